@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .bpe import bpe_encode
+from .common import shared_dir, table
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan
+from .token_files import read_token_files, with_crc32, write_token_files
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return with_crc32(read_token_files(spark, path))
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    tokens = bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +37,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_token_files": op3_token_files,
+    "op5_bpe": op5_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_license_scan": op10_license_scan,
 }
