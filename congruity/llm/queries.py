@@ -7,18 +7,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
+from .chat_format import format_chats, read_back
 from .common import shared_dir, table
 from .exact_dedup import exact_dedup
+from .html_text import html_text
 from .license_scan import license_scan
 from .token_files import read_token_files, with_crc32, write_token_files
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(table(spark, sf_dir, "pages"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return with_crc32(read_token_files(spark, path))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.sql("SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    path = shared_dir(spark)
+    format_chats(turns.unionByName(control)).write.parquet(path)
+    return read_back(spark, path)
+
+
 def token_digests(docs: DataFrame) -> DataFrame:
     tokens = bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json"))
     return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -37,13 +51,47 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op3_token_files": op3_token_files,
+    "op4_chat_format": op4_chat_format,
     "op5_bpe": op5_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_license_scan": op10_license_scan,
 }
 
 ORACLES = {
+    "op4_chat_format": """
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), g AS (
+            SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+                   coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '') AS loss
+            FROM t GROUP BY conv_id
+        ), e AS (
+            SELECT conv_id, role, turn, CAST(ceil(strlen(text) / 4.0) AS BIGINT) + 4 AS tokens,
+                   20 + length(role) + length(text) + (length(text) - length(replace(text, chr(92), '')))
+                   + (length(text) - length(replace(text, '<s>', ''))) // 3 + (length(text) - length(replace(text, '</s>', ''))) // 4
+                   + (length(text) - length(replace(text, '[INST]', ''))) // 6 + (length(text) - length(replace(text, '[/INST]', ''))) // 7 AS written
+            FROM t
+        ), r AS (
+            SELECT *, sum(tokens) OVER o AS upto, row_number() OVER o AS position FROM e WINDOW o AS (PARTITION BY conv_id ORDER BY turn)
+        ), w AS (SELECT *, CAST((upto - 1) // 512 AS BIGINT) AS window_id FROM r
+        ), f AS (SELECT conv_id, window_id, min(position) AS first_own FROM w GROUP BY ALL
+        ), again AS (
+            SELECT w.conv_id, f.window_id, w.position, w.written FROM w JOIN f ON f.conv_id = w.conv_id AND f.window_id = w.window_id + 1
+            WHERE (w.window_id + 1) * 512 - (upto - tokens) <= 256
+        ), s AS (
+            SELECT conv_id, min(position) AS at, arg_min(written, position) AS written FROM w WHERE role = 'system' GROUP BY conv_id
+        ), c AS (
+            SELECT conv_id, written FROM w UNION ALL SELECT conv_id, written FROM again
+            UNION ALL SELECT f.conv_id, s.written FROM f JOIN s ON s.conv_id = f.conv_id AND s.at < f.first_own
+            WHERE NOT EXISTS (SELECT 1 FROM again a WHERE a.conv_id = f.conv_id AND a.window_id = f.window_id AND a.position = s.at)
+        )
+        SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+               (SELECT CAST(sum(written) AS BIGINT) FROM c WHERE c.conv_id = g.conv_id) AS formatted_chars
+        FROM g
+    """,
     "op9_exact_dedup": """
         WITH n AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
