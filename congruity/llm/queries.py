@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from .bpe import bpe_encode
 from .chat_format import format_chats, read_back
 from .common import shared_dir, table
+from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .html_text import html_text
 from .license_scan import license_scan
+from .quality import quality
 from .token_files import read_token_files, with_crc32, write_token_files
 
 
@@ -42,6 +44,15 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score", "first_word", "last_word")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -55,6 +66,8 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_chat_format": op4_chat_format,
     "op5_bpe": op5_bpe,
+    "op7_quality": op7_quality,
+    "op8_decontaminate": op8_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_license_scan": op10_license_scan,
 }
