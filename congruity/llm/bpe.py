@@ -12,7 +12,9 @@ tokens as merging pairs by rank, in linear time.
 from __future__ import annotations
 
 import json
+import string
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -144,11 +146,16 @@ class Encoder:
         return found
 
     def piece(self, piece: str) -> bytes:
-        """Ids of a piece without white space, as little-endian 32-bit integers."""
-        ids = [i for w in self.word.findall(piece) for i in self.word_ids(w)]
+        """Ids of a piece without white space, as little-endian 32-bit integers;
+        letters with punctuation behind them are two words."""
         if len(self.seen) >= REMEMBERED:
             self.seen.clear()
-        self.seen[piece] = out = np.array(ids, "<u4").tobytes()
+        stem = piece.rstrip(string.punctuation)
+        if stem != piece and stem.isalpha():
+            end = piece[len(stem) :]
+            return (self.seen.get(stem) or self.piece(stem)) + (self.seen.get(end) or self.piece(end))
+        words = [piece] if stem.isalpha() else self.word.findall(piece)
+        self.seen[piece] = out = array("I", [i for w in words for i in self.word_ids(w)]).tobytes()
         return out
 
     def encode(self, text: str) -> bytes:

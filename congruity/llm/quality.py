@@ -62,7 +62,7 @@ class Scorer:
         good = [len(self.good.compress(p)) for p in parts]
         more = [len(self.bad.compress(p)) - n for p, n in zip(parts, good, strict=True)]
         n = len(data) + SMOOTH
-        return 1.0, sum(more) / n, min(m / (len(p) + SMOOTH) for m, p in zip(more, parts, strict=True)), min(0.4, sum(good) / n)
+        return 1.0, sum(more) / n, min(m / (len(p) + SMOOTH) for m, p in zip(more, parts, strict=True)), min(0.4, sum(good) / len(data))
 
     def score(self, text: str) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.weights @ np.array(self.evidence(text)), -30, 30))))

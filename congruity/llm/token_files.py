@@ -9,7 +9,9 @@ asks for a few documents or only for metadata skips the rest.
 from __future__ import annotations
 
 import os
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +27,7 @@ from .bpe import BATCH_BYTES, REMEMBERED, SPACES, byte_letters
 END = 0
 #: The pattern of the vocabulary's tokenizer.
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-PLAIN = re.compile(f"[{SPACES}]{{2}}|[{SPACES.replace(' ', '').replace(chr(10), '')}]|^ | $")
+PUNCTUATION = string.punctuation
 FORMAT = {
     "compression": "zstd",
     "parquet.writer.version": "v2",
@@ -57,27 +59,39 @@ class PieceEncoder:
         self.letters = dict(enumerate(byte_letters()))
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.seen: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
-        found = []
+        found = array("i")
         for word in WORD.findall(text):
-            found += [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-        return np.array(found, "<i4").tobytes()
+            found.extend([t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+        return found.tobytes()
 
     def piece(self, piece: str) -> bytes:
+        """Ids of a piece; letters with punctuation behind them are two words."""
         if len(self.seen) >= REMEMBERED:
             self.seen.clear()
-        self.seen[piece] = out = self.ids(piece if piece[:1] == "\n" else " " + piece)
+        if piece.isalpha() and piece.isascii():
+            out = array("i", [t.id for t in self.tokenize("Ġ" + piece)]).tobytes()
+        elif (stem := piece.rstrip(PUNCTUATION)) != piece and stem.isalpha():
+            end = piece[len(stem) :]
+            if (tail := self.ends.get(end)) is None:
+                tail = self.ends[end] = self.ids(end)
+            return (self.seen.get(stem) or self.piece(stem)) + tail
+        else:
+            out = self.ids(piece if piece[:1] == "\n" else " " + piece)
+        self.seen[piece] = out
         return out
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
-        if not text or PLAIN.search(text):
+        pieces = text.replace("\n", " \n").split(" ")
+        runs = "  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[:1] in " \n" or text[-1:] in " \n"
+        if runs or len(pieces) != len(text.split()):  # runs of white space, or other kinds of it
             return self.ids(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
         get, piece = self.seen.get, self.piece
-        return self.ids(first) + b"".join([get(p) or piece(p) for p in rest])
+        return self.ids(pieces[0]) + b"".join([get(p) or piece(p) for p in pieces[1:]])
 
 
 @lru_cache(1)
