@@ -12,6 +12,7 @@ from .common import shared_dir, table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .html_text import html_text
+from .jaccard_join import jaccard_join
 from .license_scan import license_scan
 from .quality import quality
 from .token_files import read_token_files, with_crc32, write_token_files
@@ -44,6 +45,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_chat_format": op4_chat_format,
     "op5_bpe": op5_bpe,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
