@@ -170,7 +170,8 @@ def compare(block: pa.Table, threshold: float) -> pa.Table:
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, group_size, n_links, text_hash
-    (xxhash64 of the text).
+    (xxhash64 of the text), stays (whether the row represents its class: that of
+    the smallest id, then text_hash; rows that repeat both stay together).
 
     Two texts are linked if the Jaccard similarity of their sets of ``words``-word
     shingles is ``threshold`` or more; words are separated by white space, in
@@ -195,7 +196,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target: float =
             )
 
     signed = staged(rows.mapInArrow(sign, f"doc_id {kind}, text_hash bigint, fp binary, n bigint, labels array<bigint>"))
-    classes = signed.groupBy("fp").agg(F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("labels").alias("labels"), F.min(F.struct("doc_id", "text_hash")).alias("rep"))
+    classes = signed.groupBy("fp").agg(F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("labels").alias("labels"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("rep"))
     entries = classes.filter("n > 0").select("fp", F.posexplode("labels").alias("tree", "label"))
     shared = entries.groupBy("tree", "label").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     chained = components(entries.join(shared, ["tree", "label"]).select(F.col("fp").alias("a"), "b"))
@@ -219,8 +220,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target: float =
 
     joined = components(compared.select(F.col("fp").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"a": "fp", "b": "root"})
     links = compared.groupBy("fp").agg(F.sum("links").alias("links"))
-    found = classes.select("fp", "weight", F.col("rep.doc_id").alias("least_id")).join(joined, "fp", "left").join(links, "fp", "left")
-    found = found.select("fp", "weight", "least_id", F.coalesce("root", "fp").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    groups = found.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("weight").alias("group_size"))
-    found = found.join(groups, "root").select("fp", "class_id", "group_size", (F.col("links") + F.col("weight") - 1).alias("n_links"))
-    return signed.select("doc_id", "text_hash", "fp").join(found, "fp").select("doc_id", "class_id", "group_size", "n_links", "text_hash")
+    found = classes.select("fp", "weight", "rep").join(joined, "fp", "left").join(links, "fp", "left")
+    found = found.select("fp", "weight", "rep", F.coalesce("root", "fp").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    groups = found.groupBy("root").agg(F.min("rep").alias("stays"), F.sum("weight").alias("group_size"))
+    found = found.join(groups, "root").select("fp", "stays", "group_size", (F.col("links") + F.col("weight") - 1).alias("n_links"))
+    out = signed.select("doc_id", "text_hash", "fp").join(found, "fp")
+    stays = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & F.col("text_hash").eqNullSafe(F.col("stays.text_hash"))
+    return out.select("doc_id", F.col("stays.doc_id").alias("class_id"), "group_size", "n_links", "text_hash", stays.alias("stays"))

@@ -46,7 +46,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents")).drop("text_hash")
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "group_size", "n_links")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,72 @@
-"""Corpus pipeline: the stages that turn raw documents into token ids."""
+"""Corpus pipeline: from raw documents to token ids.
+
+Each stage takes what its predecessor kept, written as Parquet and read again. A
+row is known by doc_id with a hash of its text, so null or repeated ids do no
+harm; of rows that repeat both, one goes on from the stages that deduplicate.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from congruity.llm import quality
 from congruity.llm.common import staged, table
+from congruity.llm.decontaminate import decontaminate
+from congruity.llm.exact_dedup import exact_dedup, normalised
+from congruity.llm.jaccard_join import jaccard_join
+from congruity.llm.queries import token_digests
+
+
+def by_text(text: Column) -> Column:
+    return F.struct("doc_id", F.xxhash64(text).alias("text_hash"))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).filter(F.col("score") >= quality.THRESHOLD).drop("score")
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for the case of A-Z, the one with the largest id."""
+    kept = exact_dedup(docs, keep="largest").filter("kept").select(F.struct("doc_id", "text_sha256").alias("row"))
+    rows = docs.withColumn("row", F.struct("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256")))
+    return rows.join(kept, "row", "left_semi").dropDuplicates(["row"]).drop("row")
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links connect, the one with the smallest id."""
+    kept = jaccard_join(docs).filter("stays").select(F.struct("doc_id", "text_hash").alias("row"))
+    return docs.withColumn("row", by_text(F.col("text"))).join(kept, "row", "left_semi").dropDuplicates(["row"]).drop("row")
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).select(F.struct("doc_id", "text_hash").alias("row"))
+    return docs.withColumn("row", by_text(F.col("text"))).join(found, "row", "left_anti").drop("row")
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of ids and decoded text."""
+    return token_digests(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("n-gram Jaccard join", near_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("BPE encoding and decoding", token_stage),
+]
 
-STAGES: list = []
+#: SQL cannot express the classifier; tests compare the pipeline with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the table ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)
