@@ -1,4 +1,491 @@
 """Every reconciliation query of the harness, by name, with its SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import aggregates, correlate, fields, filters, groups, profile, quality, records, schema_diff
+from ..spec import AggregateRule, GroupSpec, Mapping, QualityRule, ReconSpec, RowFilter
+from . import perturb
+from .perturb import build
+from .reconcile import Reconciliation
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str):
+    """Registers a query under the name of its function, with its SQL."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return register
+
+
+# Specifications
+
+LOOSE = {"trim": True, "case_insensitive": True}
+ORDERS = ReconSpec(keys=(("o_orderkey", "o_orderkey"),))
+ORDERS_LOOSE = ReconSpec(keys=ORDERS.keys, mappings=(Mapping("o_orderpriority", "o_orderpriority", LOOSE),))
+CUSTOMERS = ReconSpec(
+    keys=(("c_custkey", "id"),),
+    mappings=(Mapping("c_name", "full_name"), Mapping("c_nationkey", "nation"), Mapping("c_acctbal", "balance"), Mapping("c_mktsegment", "segment")),
+    ignore_target=frozenset(("version",)),
+)
+LINES = ReconSpec(keys=(("l_orderkey", "l_orderkey"), ("l_linenumber", "l_linenumber")))
+BY_CUSTOMER = GroupSpec((Mapping("o_custkey", "o_custkey"),), ((Mapping("o_totalprice", "o_totalprice"), "SUM"), (Mapping("o_orderpriority", "o_orderpriority", LOOSE), "MODE")))
+ORDERS_GROUPED = ReconSpec(keys=ORDERS.keys, mappings=ORDERS_LOOSE.mappings, groups=BY_CUSTOMER)
+
+
+def orders(spark: SparkSession, d: str, spec: ReconSpec = ORDERS) -> Reconciliation:
+    return Reconciliation(build(spark, d, perturb.ORDERS_S), build(spark, d, perturb.ORDERS_T), spec)
+
+
+def customers(spark: SparkSession, d: str, spec: ReconSpec = CUSTOMERS) -> Reconciliation:
+    return Reconciliation(build(spark, d, perturb.CUSTOMER_S), build(spark, d, perturb.CUSTOMER_T), spec)
+
+
+def lines(spark: SparkSession, d: str, spec: ReconSpec = LINES) -> Reconciliation:
+    return Reconciliation(build(spark, d, perturb.LINEITEM_S), build(spark, d, perturb.LINEITEM_T), spec)
+
+
+def customers_as(name: str, target: str, how: dict | None = None, **tolerance) -> ReconSpec:
+    """CUSTOMERS with one mapping compared in another way."""
+    mappings = tuple(Mapping(name, target, how or {}, **tolerance) if m.source == name else m for m in CUSTOMERS.mappings)
+    return ReconSpec(keys=CUSTOMERS.keys, mappings=mappings, ignore_target=CUSTOMERS.ignore_target)
+
+
+# SQL of the pairs
+
+def pairs_sql(s: str, t: str, keys: list[tuple[str, str]], columns: list[tuple[str, str]], order: dict[str, str] | None = None) -> str:
+    """CTEs s, t and pairs: k0.., status, s_.., t_.., counts and ordinals. ``order``:
+    another expression for a column where it orders the rows of a key."""
+    order = order or {}
+    ks = [f"k{i}" for i in range(len(keys))]
+    k_list, on = ", ".join(ks), " AND ".join(f"a.{k} = b.{k}" for k in ks)
+
+    def side(name: str, n: int) -> str:
+        named = ", ".join([*(f"{k[n]} AS k{i}" for i, k in enumerate(keys)), *(f"{c[n]} AS v_{c[0]}" for c in columns)])
+        by = ", ".join(f"{order.get(c[0], 'v_' + c[0]).replace('@', 'v_' + c[0])} NULLS FIRST" for c in columns)
+        return f"""{name}0 AS (SELECT {named} FROM {name}),
+        {name}1 AS (SELECT *, row_number() OVER (PARTITION BY {k_list} ORDER BY {by}) AS ord, count(*) OVER (PARTITION BY {k_list}) AS kc FROM {name}0 WHERE {' AND '.join(f'{k} IS NOT NULL' for k in ks)}),
+        {name}2 AS (SELECT {k_list}, count(*) AS n FROM {name}1 GROUP BY {k_list})"""
+
+    def numbered(name: str, other: str) -> str:
+        return f"""{name}3 AS (SELECT a.*, coalesce(b.n, 0) AS pop, CASE WHEN b.n > 0 AND a.ord > b.n THEN 1 ELSE a.ord END AS p FROM {name}1 a LEFT JOIN {other}2 b ON {on})"""
+
+    vs = ", ".join(f"a.v_{c[0]} AS s_{c[0]}, b.v_{c[0]} AS t_{c[0]}" for c in columns)
+    bad = {n: " OR ".join(f"{k} IS NULL" for k in ks) for n in "st"}
+    s_only = ", ".join(f"v_{c[0]}, NULL" for c in columns)
+    t_only = ", ".join(f"NULL, v_{c[0]}" for c in columns)
+    return f"""WITH s AS ({s}), t AS ({t}), {side('s', 0)}, {side('t', 1)}, {numbered('s', 't')}, {numbered('t', 's')},
+        pairs AS (
+            SELECT {', '.join(f'coalesce(a.{k}, b.{k}) AS {k}' for k in ks)},
+                   CASE WHEN a.p IS NOT NULL AND b.p IS NOT NULL THEN 'MATCHED' WHEN a.p IS NOT NULL THEN 'MISSING_IN_TARGET' ELSE 'EXTRA_IN_TARGET' END AS status,
+                   {vs}, coalesce(a.kc, b.pop) AS source_key_count, coalesce(b.kc, a.pop) AS target_key_count, a.ord AS source_ordinal, b.ord AS target_ordinal
+            FROM s3 a FULL JOIN t3 b ON {on} AND a.p = b.p
+            UNION ALL SELECT {k_list}, 'UNMATCHABLE_SOURCE', {s_only}, NULL, NULL, NULL, NULL FROM s0 WHERE {bad['s']}
+            UNION ALL SELECT {k_list}, 'UNMATCHABLE_TARGET', {t_only}, NULL, NULL, NULL, NULL FROM t0 WHERE {bad['t']}
+        )"""
+
+
+ORDER_NAMES = [(c, c) for c in ("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")]
+PAIRS_O = pairs_sql(perturb.ORDERS_S, perturb.ORDERS_T, [("o_orderkey", "o_orderkey")], ORDER_NAMES)
+PAIRS_OL = pairs_sql(perturb.ORDERS_S, perturb.ORDERS_T, [("o_orderkey", "o_orderkey")], ORDER_NAMES, {"o_orderpriority": "lower(trim(@))"})
+PAIRS_C = pairs_sql(perturb.CUSTOMER_S, perturb.CUSTOMER_T, [("c_custkey", "id")], [("c_name", "full_name"), ("c_nationkey", "nation"), ("c_acctbal", "balance"), ("c_mktsegment", "segment")])
+PAIRS_L = pairs_sql(perturb.LINEITEM_S, perturb.LINEITEM_T, [("l_orderkey", "l_orderkey"), ("l_linenumber", "l_linenumber")], [(c, c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")])
+S_AND_T = f"WITH s AS ({perturb.ORDERS_S}), t AS ({perturb.ORDERS_T})"
+C_AND_T = f"WITH s AS ({perturb.CUSTOMER_S}), t AS ({perturb.CUSTOMER_T})"
+
+
+# Filters
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND o_orderkey <> 7")
+def filter_eq(spark, d):
+    return filters.apply_filters(spark.read.parquet(f"{d}/orders.parquet"), (RowFilter("o_orderstatus", "=", "F"), RowFilter("o_orderkey", "!=", 7))).select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 AND o_totalprice <= 50000 AND o_orderkey >= 10 AND o_orderkey < 9000")
+def filter_range(spark, d):
+    some = (RowFilter("o_totalprice", ">", 1000), RowFilter("o_totalprice", "<=", 50000), RowFilter("o_orderkey", ">=", 10), RowFilter("o_orderkey", "<", 9000))
+    return filters.apply_filters(spark.read.parquet(f"{d}/orders.parquet"), some).select("o_orderkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def filter_in(spark, d):
+    return filters.apply_filters(spark.read.parquet(f"{d}/customer.parquet"), (RowFilter("c_mktsegment", "in", ["BUILDING", "MACHINERY"]),)).select("c_custkey")
+
+
+@query(f"WITH t AS ({perturb.CUSTOMER_T}) SELECT 'null' AS side, count(*) AS n FROM t WHERE segment IS NULL UNION ALL SELECT 'not null', count(*) FROM t WHERE segment IS NOT NULL UNION ALL SELECT 'unequal', count(*) FROM t WHERE segment IS DISTINCT FROM 'BUILDING'")
+def filter_null(spark, d):
+    t = build(spark, d, perturb.CUSTOMER_T)
+    parts = [("null", RowFilter("segment", "IS NULL"), False), ("not null", RowFilter("segment", "is_not_null"), False), ("unequal", RowFilter("segment", "!=", "BUILDING"), True)]
+    counts = [filters.apply_filters(t, (f,), loose).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("side"), "n") for name, f, loose in parts]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+# Level 1
+
+@query("""SELECT * FROM (VALUES ('c_nationkey', 'nation', 'DATA_TYPE_CHANGED', 'int', 'bigint'), ('c_acctbal', 'balance', 'DATA_TYPE_CHANGED', 'decimal(18,2)', 'decimal(18,3)'),
+    ('c_mktsegment', 'mktsegment', 'MISSING_COLUMN', 'string', NULL), (NULL, 'segment', 'UNEXPECTED_COLUMN', NULL, 'string')) AS x("column", target_column, drift, source_type, target_type)""")
+def l1_schema_diff(spark, d):
+    wrong = ReconSpec(keys=CUSTOMERS.keys, mappings=(*CUSTOMERS.mappings[:3], Mapping("c_mktsegment", "mktsegment")), ignore_target=CUSTOMERS.ignore_target)
+    return schema_diff.schema_diff(build(spark, d, perturb.CUSTOMER_S), build(spark, d, perturb.CUSTOMER_T), wrong)
+
+
+# Level 2
+
+@query(f"{S_AND_T} SELECT count(*) AS total_rows, count(o_orderkey) AS keyed_rows, count(DISTINCT o_orderkey) AS distinct_keys, count(o_orderkey) - count(DISTINCT o_orderkey) AS duplicate_rows, count(*) - count(o_orderkey) AS unusable_rows FROM t")
+def l2_profile(spark, d):
+    return profile.key_counts(build(spark, d, perturb.ORDERS_T), ["o_orderkey"])
+
+
+@query(f"""{C_AND_T}, n AS (SELECT (SELECT count(*) FROM s WHERE c_mktsegment IS NULL) AS a, (SELECT count(*) FROM t WHERE segment IS NULL) AS b)
+    SELECT c AS "column", m AS target_column, x AS source_nulls, y AS target_nulls, x = y AS matched FROM (SELECT 'c_mktsegment' AS c, 'segment' AS m, a AS x, b AS y FROM n
+    UNION ALL SELECT c, m, 0, 0 FROM (VALUES ('c_custkey', 'id'), ('c_name', 'full_name'), ('c_nationkey', 'nation'), ('c_acctbal', 'balance')) AS v(c, m))""")
+def l2_null_counts_mapped(spark, d):
+    r = customers(spark, d)
+    return profile.mapped_null_counts(r.source, r.target, r.spec)
+
+
+@query(f"""{S_AND_T}, a AS (SELECT count(*) AS n, count(o_orderkey) AS k, count(DISTINCT o_orderkey) AS u FROM s), b AS (SELECT count(*) AS n, count(o_orderkey) AS k, count(DISTINCT o_orderkey) AS u FROM t),
+    c AS (SELECT 'total_rows' AS "check", a.n AS source, b.n AS target FROM a, b UNION ALL SELECT 'distinct_keys', a.u, b.u FROM a, b UNION ALL SELECT 'duplicate_rows', a.k - a.u, b.k - b.u FROM a, b)
+    SELECT "check", source, target, target - source AS difference, CASE WHEN source = 0 AND target = 0 THEN 0.0 WHEN source = 0 THEN NULL ELSE round((target - source) * 100.0 / source, 2)::DOUBLE END AS percentage_difference, source = target AS matched FROM c""")
+def l2_volume_checks(spark, d):
+    return orders(spark, d).volume()
+
+
+@query(f"WITH t AS ({perturb.LINEITEM_T}) SELECT count(*) AS total_rows, count(*) AS keyed_rows, count(DISTINCT (l_orderkey, l_linenumber)) AS distinct_keys, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS duplicate_rows, 0 AS unusable_rows FROM t")
+def l2_key_stats_composite(spark, d):
+    return profile.key_counts(build(spark, d, perturb.LINEITEM_T), ["l_orderkey", "l_linenumber"])
+
+
+# Level 3
+
+@query(f"{PAIRS_O} SELECT status, count(*) AS n FROM pairs GROUP BY status")
+def l3_status_counts(spark, d):
+    return records.status_counts(orders(spark, d).records)
+
+
+@query(f"{PAIRS_O} SELECT k0, s_o_custkey AS o_custkey FROM pairs WHERE status = 'MISSING_IN_TARGET'")
+def l3_missing(spark, d):
+    return orders(spark, d).records.filter("status = 'MISSING_IN_TARGET'").select("k0", F.col("s.o_custkey"))
+
+
+@query(f"{PAIRS_O} SELECT k0, t_o_custkey AS o_custkey FROM pairs WHERE status = 'EXTRA_IN_TARGET'")
+def l3_extra(spark, d):
+    return orders(spark, d).records.filter("status = 'EXTRA_IN_TARGET'").select("k0", F.col("t.o_custkey"))
+
+
+@query(f"{PAIRS_O} SELECT status, coalesce(s_o_custkey, t_o_custkey) AS o_custkey, coalesce(s_o_orderdate, t_o_orderdate) AS o_orderdate FROM pairs WHERE status LIKE 'UNMATCHABLE%'")
+def l3_unmatchable(spark, d):
+    rows = orders(spark, d).records.filter("status LIKE 'UNMATCHABLE%'")
+    return rows.select("status", F.coalesce("s.o_custkey", "t.o_custkey").alias("o_custkey"), F.coalesce("s.o_orderdate", "t.o_orderdate").alias("o_orderdate"))
+
+
+@query(f"{PAIRS_L} SELECT k0, k1, max(source_key_count) AS source_rows, max(target_key_count) AS target_rows, count(*) FILTER (status = 'MATCHED') AS pairs FROM pairs GROUP BY k0, k1 HAVING max(source_key_count) > 1 OR max(target_key_count) > 1")
+def l3_duplicate_rollup(spark, d):
+    return records.duplicate_keys(lines(spark, d).records, 2)
+
+
+@query(f"{PAIRS_L} SELECT k0, k1, status, source_key_count, target_key_count, source_ordinal, target_ordinal, s_l_partkey AS source_part, t_l_partkey AS target_part FROM pairs")
+def l3_pairs_with_duplicates(spark, d):
+    keep = ("k0", "k1", "status", "source_key_count", "target_key_count", "source_ordinal", "target_ordinal")
+    return lines(spark, d).records.select(*keep, F.col("s.l_partkey").alias("source_part"), F.col("t.l_partkey").alias("target_part"))
+
+
+COVERAGE = """, n AS (
+    SELECT count(*) FILTER (status = 'MATCHED') AS matched_pairs, count(DISTINCT (k0, source_ordinal)) FILTER (status = 'MATCHED') AS matched_source,
+           count(DISTINCT (k0, target_ordinal)) FILTER (status = 'MATCHED') AS matched_target, count(*) FILTER (status = 'MISSING_IN_TARGET') AS missing,
+           count(*) FILTER (status = 'EXTRA_IN_TARGET') AS extra, count(*) FILTER (status = 'UNMATCHABLE_SOURCE') AS unmatchable_source,
+           count(*) FILTER (status = 'UNMATCHABLE_TARGET') AS unmatchable_target, (SELECT count(*) FROM s) AS source_rows, (SELECT count(*) FROM t) AS target_rows FROM pairs)"""
+
+
+@query(f"""{PAIRS_O} {COVERAGE} SELECT *, round(matched_source / source_rows * 100, 2) AS source_coverage_pct, round(matched_target / target_rows * 100, 2) AS target_coverage_pct, round(missing / source_rows * 100, 2) AS missing_rate_pct,
+    round(extra / target_rows * 100, 2) AS extra_rate_pct, round((unmatchable_source + unmatchable_target) / (source_rows + target_rows) * 100, 2) AS ambiguous_rate_pct, 'FAIL' AS status FROM n""")
+def l3_coverage_metrics(spark, d):
+    return orders(spark, d).metrics("L3")
+
+
+@query(f"""WITH s AS ({perturb.LINEITEM_S}), t AS ({perturb.LINEITEM_T}), a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, count(*) AS n FROM s GROUP BY ALL), b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, count(*) AS n FROM t GROUP BY ALL)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, coalesce(a.n, 0) AS source_rows, coalesce(b.n, 0) AS target_rows FROM a FULL JOIN b USING (l_orderkey, l_linenumber, l_partkey, l_quantity) WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""")
+def l3_rows_without_keys(spark, d):
+    return records.row_level_diff(build(spark, d, perturb.LINEITEM_S), build(spark, d, perturb.LINEITEM_T), ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"])
+
+
+UNRESOLVED = f"""{PAIRS_OL}, u AS (SELECT * FROM pairs WHERE status <> 'MATCHED'),
+    sx AS (SELECT s_o_custkey AS g, s_o_totalprice AS price, lower(trim(s_o_orderpriority)) AS pri, status = 'MISSING_IN_TARGET' AS keyed FROM u WHERE status IN ('MISSING_IN_TARGET', 'UNMATCHABLE_SOURCE')),
+    tx AS (SELECT t_o_custkey AS g, t_o_totalprice AS price, lower(trim(t_o_orderpriority)) AS pri, status = 'EXTRA_IN_TARGET' AS keyed FROM u WHERE status IN ('EXTRA_IN_TARGET', 'UNMATCHABLE_TARGET')),
+    se AS (SELECT * FROM sx WHERE NOT keyed OR g IN (SELECT g FROM tx WHERE NOT keyed)), te AS (SELECT * FROM tx WHERE NOT keyed OR g IN (SELECT g FROM sx WHERE NOT keyed))"""
+
+
+@query(f"""{UNRESOLVED}, a AS (SELECT g, count(*) AS n, bool_or(keyed) AS k FROM se GROUP BY g), b AS (SELECT g, count(*) AS n, bool_or(keyed) AS k FROM te GROUP BY g)
+    SELECT g AS n0, a.n AS source_rows, b.n AS target_rows, CASE WHEN a.k <> b.k THEN 'MISSING_BUSINESS_KEY' WHEN a.k THEN 'POSSIBLE_KEY_CHANGE' ELSE 'MATCHED_BY_ATTRIBUTES' END AS secondary_status
+    FROM a JOIN b USING (g) WHERE a.k <> b.k OR (a.n = 1 AND b.n = 1)""")
+def l3_secondary_match(spark, d):
+    return groups.secondary_match(orders(spark, d, ORDERS_GROUPED).records, ORDERS_GROUPED)
+
+
+def grouped_sql(s: str, t: str) -> str:
+    def side(x: str, n: str) -> str:
+        return f"""{n}m AS (SELECT g, arg_min(pri, (-n, pri)) AS m FROM (SELECT g, pri, count(*) AS n FROM {x} WHERE pri IS NOT NULL GROUP BY g, pri) GROUP BY g),
+        {n}g AS (SELECT x.g, count(*) AS n, sum(CAST(price AS DOUBLE)) AS a0, any_value(m.m) AS a1 FROM {x} x LEFT JOIN {n}m m ON m.g = x.g GROUP BY x.g)"""
+
+    return f"""{side(s, 'p')}, {side(t, 'q')}, j AS (
+        SELECT coalesce(p.g, q.g) AS g0, coalesce(p.n, 0) AS source_rows, coalesce(q.n, 0) AS target_rows, p.n IS NOT NULL AND q.n IS NOT NULL AS both_sides, p.a0 AS sa0, q.a0 AS ta0, p.a1 AS s_a1, q.a1 AS t_a1 FROM pg p FULL JOIN qg q ON p.g = q.g),
+        gr AS (SELECT *, both_sides AND source_rows <> target_rows AS row_count_failed, both_sides AND (source_rows > 1 OR target_rows > 1) AS duplicate_failed,
+               both_sides AND (abs(sa0 - ta0) > 0.001) AS v0, both_sides AND s_a1 IS DISTINCT FROM t_a1 AS v1 FROM j)"""
+
+
+GROUPED_STATUS = """CASE WHEN target_rows = 0 THEN 'MISSING_GROUP_IN_TARGET' WHEN source_rows = 0 THEN 'EXTRA_GROUP_IN_TARGET' WHEN row_count_failed THEN 'GROUP_ROW_COUNT_MISMATCH'
+    WHEN duplicate_failed THEN 'GROUP_DUPLICATE_ROWS' WHEN v0 OR v1 THEN 'GROUP_VALUE_MISMATCH' ELSE 'PASS' END"""
+
+
+@query(f"{UNRESOLVED}, {grouped_sql('se', 'te')} SELECT g0, source_rows, target_rows, s_a1, t_a1, {GROUPED_STATUS} AS group_status FROM gr")
+def l3_group_recon(spark, d):
+    found = groups.fallback_groups(orders(spark, d, ORDERS_GROUPED).records, ORDERS_GROUPED)
+    return found.select("g0", "source_rows", "target_rows", "s_a1", "t_a1", "group_status")
+
+
+@query(f"""{UNRESOLVED}, {grouped_sql('se', 'te')}, n AS (SELECT count(*) FILTER (source_rows > 0) AS source_groups, count(*) FILTER (target_rows > 0) AS target_groups, count(*) FILTER (both_sides) AS common_groups,
+    count(*) FILTER (target_rows = 0) AS missing_groups, count(*) FILTER (source_rows = 0) AS extra_groups, count(*) FILTER (row_count_failed) AS row_count_failed, count(*) FILTER (duplicate_failed) AS duplicate_failed,
+    count(*) FILTER (row_count_failed OR duplicate_failed OR v0 OR v1) AS mismatch_groups FROM gr)
+    SELECT *, round(common_groups / source_groups * 100, 2) AS source_coverage_pct, 'FAIL' AS status FROM n""")
+def l3_group_summary(spark, d):
+    row = groups.group_summary(groups.fallback_groups(orders(spark, d, ORDERS_GROUPED).records, ORDERS_GROUPED))
+    return row.select("source_groups", "target_groups", "common_groups", "missing_groups", "extra_groups", "row_count_failed", "duplicate_failed", "mismatch_groups", "source_coverage_pct", "status")
+
+
+@query("SELECT p_brand, arg_min(p_type, (-n, p_type)) AS mode FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL) GROUP BY p_brand")
+def group_mode(spark, d):
+    return groups.mode(spark.read.parquet(f"{d}/part.parquet").select("p_brand", "p_type"), ["p_brand"], "p_type")
+
+
+# Level 4
+
+def cells(pairs: str, names: dict[str, str], where: dict[str, str] | None = None, keys: str = "k0") -> str:
+    """SQL of the cells that differ; ``where``: another condition for a column."""
+    parts = []
+    for c, gap in names.items():
+        bad = (where or {}).get(c, f"s_{c} IS DISTINCT FROM t_{c}")
+        parts.append(f"SELECT {keys}, source_ordinal, target_ordinal, '{c}' AS source_column, {gap.replace('@s', 's_' + c).replace('@t', 't_' + c)} AS difference FROM pairs WHERE status = 'MATCHED' AND ({bad})")
+    return f"{pairs} {' UNION ALL '.join(parts)}"
+
+
+GAP, NONE = "CAST(CAST(@t AS DOUBLE) - CAST(@s AS DOUBLE) AS DOUBLE)", "CAST(NULL AS DOUBLE)"
+ORDER_GAPS = {"o_custkey": GAP, "o_orderstatus": NONE, "o_totalprice": GAP, "o_orderdate": NONE, "o_orderpriority": NONE}
+CUSTOMER_GAPS = {"c_name": NONE, "c_nationkey": GAP, "c_acctbal": GAP, "c_mktsegment": NONE}
+LINE_GAPS = {"l_partkey": GAP, "l_suppkey": GAP, "l_quantity": GAP, "l_extendedprice": GAP, "l_returnflag": NONE, "l_shipdate": NONE}
+CELL = ("source_ordinal", "target_ordinal", "source_column", "difference")
+
+
+@query(cells(PAIRS_O, ORDER_GAPS))
+def l4_exact(spark, d):
+    return orders(spark, d).mismatches().select("k0", *CELL)
+
+
+@query(cells(PAIRS_OL, ORDER_GAPS, {"o_orderpriority": "lower(trim(s_o_orderpriority)) IS DISTINCT FROM lower(trim(t_o_orderpriority))"}))
+def l4_normalized_trim_lower(spark, d):
+    return orders(spark, d, ORDERS_LOOSE).mismatches().select("k0", *CELL)
+
+
+@query(cells(PAIRS_C, CUSTOMER_GAPS, {"c_mktsegment": "nullif(trim(s_c_mktsegment), '') IS DISTINCT FROM nullif(trim(t_c_mktsegment), '')"}))
+def l4_empty_as_null(spark, d):
+    return customers(spark, d, customers_as("c_mktsegment", "segment", {"empty_as_null": True})).mismatches().select("k0", *CELL)
+
+
+@query(cells(PAIRS_C, CUSTOMER_GAPS | {"c_acctbal": "round(CAST(@t AS DOUBLE), 0) - round(CAST(@s AS DOUBLE), 0)"}, {"c_acctbal": "round(CAST(s_c_acctbal AS DOUBLE), 0) <> round(CAST(t_c_acctbal AS DOUBLE), 0)"}))
+def l4_round(spark, d):
+    return customers(spark, d, customers_as("c_acctbal", "balance", {"round": 0})).mismatches().select("k0", *CELL)
+
+
+@query(cells(PAIRS_C, CUSTOMER_GAPS, {"c_acctbal": "abs(CAST(t_c_acctbal AS DOUBLE) - CAST(s_c_acctbal AS DOUBLE)) > 0.01"}))
+def l4_abs_tolerance(spark, d):
+    return customers(spark, d, customers_as("c_acctbal", "balance", tolerance=0.01)).mismatches().select("k0", *CELL)
+
+
+@query(cells(PAIRS_C, CUSTOMER_GAPS, {"c_acctbal": "abs(CAST(t_c_acctbal AS DOUBLE) - CAST(s_c_acctbal AS DOUBLE)) > abs(CAST(s_c_acctbal AS DOUBLE)) * 0.05"}))
+def l4_pct_tolerance(spark, d):
+    return customers(spark, d, customers_as("c_acctbal", "balance", tolerance=0.0, tolerance_pct=5.0)).mismatches().select("k0", *CELL)
+
+
+@query(f"{PAIRS_C} " + " UNION ALL ".join(f"SELECT '{c}' AS source_column, count(*) AS compared, count(*) FILTER (s_{c} IS DISTINCT FROM t_{c}) AS mismatches, round((count(*) - count(*) FILTER (s_{c} IS DISTINCT FROM t_{c})) / count(*) * 100, 2) AS conformity_pct FROM pairs WHERE status = 'MATCHED'" for c in CUSTOMER_GAPS))
+def l4_field_stats(spark, d):
+    return customers(spark, d).field_stats()
+
+
+@query(cells(PAIRS_L, LINE_GAPS, keys="k0, k1"))
+def l4_duplicate_pairs(spark, d):
+    return lines(spark, d).mismatches().select("k0", "k1", *CELL)
+
+
+@query(f"""{PAIRS_O}, m AS (SELECT k0, ({' + '.join(f"CAST(s_{c} IS DISTINCT FROM t_{c} AS INTEGER)" for c in ORDER_GAPS)}) AS n FROM pairs WHERE status = 'MATCHED'), k AS (SELECT k0, count(*) AS p, sum(n) AS n FROM m GROUP BY k0),
+    r AS (SELECT CAST(sum(p) AS BIGINT) AS matched_pairs, CAST(sum(n) AS BIGINT) AS mismatches, count(*) FILTER (n > 0) AS keys_with_mismatch FROM k)
+    SELECT *, matched_pairs * 5 AS compared, round((matched_pairs * 5 - mismatches) / (matched_pairs * 5) * 100, 2) AS conformity_pct, round(keys_with_mismatch / matched_pairs * 100, 2) AS affected_pct, 'FAIL' AS status FROM r""")
+def l4_metrics(spark, d):
+    return orders(spark, d).metrics("L4")
+
+
+@query("SELECT c_custkey, sha256(concat('1', trim(lower(c_name)), chr(31), CASE WHEN c_mktsegment = '' THEN '0' ELSE concat('1', c_mktsegment) END)) AS row_hash FROM (" + perturb.CUSTOMER_S + ")")
+def l4_row_hash(spark, d):
+    s = build(spark, d, perturb.CUSTOMER_S)
+    return s.select("c_custkey", fields.row_hash(s, [("c_name", LOOSE), ("c_mktsegment", {"empty_as_null": True})]).alias("row_hash"))
+
+
+# Level 5
+
+def by_group(name: str, function: str, column: str | None, group: tuple[str, ...] = (), **more) -> AggregateRule:
+    return AggregateRule(name, function, column, column, group, group, **more)
+
+
+def checks(r: Reconciliation, *rules: AggregateRule) -> DataFrame:
+    found = aggregates.aggregate_checks(r.source, r.target, rules)
+    return found.select("rule", F.array_join("group", ",").alias("group"), F.round("source_value", 2).alias("source_value"), F.round("target_value", 2).alias("target_value"), "matched")
+
+
+def check_sql(rule: str, expression: str, ok: str, group: str = "", head: str = S_AND_T) -> str:
+    g = f"{group} AS g" if group else "'' AS g"
+    by = f"GROUP BY {group}" if group else ""
+    return f"""{head}, a AS (SELECT {g}, {expression} AS v FROM s {by}), b AS (SELECT {g}, {expression} AS v FROM t {by})
+    SELECT '{rule}' AS rule, CAST(coalesce(a.g, b.g) AS VARCHAR) AS "group", round(CAST(a.v AS DOUBLE), 2) AS source_value, round(CAST(b.v AS DOUBLE), 2) AS target_value, coalesce(a.g IS NOT NULL AND b.g IS NOT NULL AND {ok}, false) AS matched FROM a FULL JOIN b ON a.g = b.g"""
+
+
+EQUAL = "a.v IS NOT DISTINCT FROM b.v"
+
+
+@query(check_sql("total", "sum(o_totalprice)", EQUAL) + " UNION ALL SELECT * FROM (" + check_sql("mean", "CAST(sum(o_custkey) AS DOUBLE) / count(o_custkey)", EQUAL) + ")")
+def l5_global(spark, d):
+    return checks(orders(spark, d), by_group("total", "SUM", "o_totalprice"), by_group("mean", "AVG", "o_custkey"))
+
+
+@query(check_sql("by_status", "sum(o_totalprice)", EQUAL, "o_orderstatus"))
+def l5_grouped(spark, d):
+    return checks(orders(spark, d), by_group("by_status", "SUM", "o_totalprice", ("o_orderstatus",)))
+
+
+@query(check_sql("near", "sum(o_totalprice)", "abs(b.v - a.v) <= abs(a.v) * 0.2", "o_custkey"))
+def l5_grouped_tolerance(spark, d):
+    return checks(orders(spark, d), by_group("near", "SUM", "o_totalprice", ("o_custkey",), tolerance_pct=20.0))
+
+
+@query(check_sql("rows", "count(*)", "abs(b.v - a.v) <= 3", "o_orderpriority"))
+def l5_count_star(spark, d):
+    return checks(orders(spark, d), by_group("rows", "COUNT", None, ("o_orderpriority",), tolerance=3.0))
+
+
+@query(check_sql("low", "min(o_totalprice)", EQUAL) + " UNION ALL SELECT * FROM (" + check_sql("last", "epoch(max(o_orderdate))", EQUAL) + ")")
+def l5_minmax(spark, d):
+    return checks(orders(spark, d), by_group("low", "MIN", "o_totalprice"), by_group("last", "MAX", "o_orderdate"))
+
+
+# Level 6
+
+def quality_sql(rule: str, conditions: dict[str, str], head: str) -> str:
+    return head + " " + " UNION ALL ".join(f"SELECT '{rule}' AS rule, '{'SOURCE' if x == 's' else 'TARGET'}' AS side, count(*) AS total, count(*) FILTER ({c}) AS failed, round((count(*) - count(*) FILTER ({c})) / count(*) * 100, 2) AS pass_pct FROM {x}" for x, c in conditions.items())
+
+
+def quality_of(r: Reconciliation, *rules: QualityRule) -> DataFrame:
+    return quality.quality_checks(r.source, r.target, rules)
+
+
+@query(quality_sql("name", {"s": "NOT regexp_matches(c_name, '^Customer#[0-9]+$')", "t": "NOT regexp_matches(full_name, '^Customer#[0-9]+$')"}, C_AND_T))
+def l6_pattern(spark, d):
+    return quality_of(customers(spark, d), QualityRule("name", "PATTERN", "c_name", "full_name", regex="^Customer#[0-9]+$"))
+
+
+@query(quality_sql("segment", {"s": "c_mktsegment IS NULL OR trim(c_mktsegment) = ''", "t": "segment IS NULL OR trim(segment) = ''"}, C_AND_T))
+def l6_completeness(spark, d):
+    return quality_of(customers(spark, d), QualityRule("segment", "COMPLETENESS", "c_mktsegment", "segment"))
+
+
+@query(quality_sql("priority", {"s": "o_orderpriority NOT IN ('1-URGENT', '2-HIGH')", "t": "o_orderpriority NOT IN ('1-URGENT', '2-HIGH')"}, S_AND_T))
+def l6_validity_set(spark, d):
+    return quality_of(orders(spark, d), QualityRule("priority", "VALIDITY", "o_orderpriority", "o_orderpriority", allowed=("1-URGENT", "2-HIGH")))
+
+
+@query(quality_sql("price", {"s": "NOT coalesce(o_totalprice BETWEEN 1000 AND 250000, false)"}, S_AND_T))
+def l6_validity_range(spark, d):
+    return quality_of(orders(spark, d), QualityRule("price", "VALIDITY", "o_totalprice", apply_to="SOURCE", minimum=1000, maximum=250000))
+
+
+@query(f"""{C_AND_T}, q AS (SELECT (SELECT count(*) FILTER (c_mktsegment IS NULL OR trim(c_mktsegment) = '') / count(*) FROM s) AS a, (SELECT count(*) FILTER (segment IS NULL OR trim(segment) = '') / count(*) FROM t) AS b)
+    SELECT 'segment' AS rule, round(a * 100, 2) AS source_rate, round(b * 100, 2) AS target_rate, abs(round(b * 100, 2) - round(a * 100, 2)) <= 5 AS matched FROM q""")
+def dq_rate_comparison(spark, d):
+    found = quality_of(customers(spark, d), QualityRule("segment", "COMPLETENESS", "c_mktsegment", "segment"))
+    return quality.rate_comparison(found, 5.0)
+
+
+@query("SELECT (SELECT count(*) FROM lineitem WHERE lower(trim(l_returnflag)) <> lower(trim(l_linestatus))) AS source_failed, (SELECT count(*) FROM nation WHERE n_nationkey <> n_regionkey) AS target_failed, (SELECT count(*) FROM lineitem WHERE lower(trim(l_returnflag)) <> lower(trim(l_linestatus))) = (SELECT count(*) FROM nation WHERE n_nationkey <> n_regionkey) AS matched")
+def dq_consistency(spark, d):
+    return quality.consistency(spark.read.parquet(f"{d}/lineitem.parquet"), spark.read.parquet(f"{d}/nation.parquet"), ["l_returnflag", "l_linestatus"], ["n_nationkey", "n_regionkey"])
+
+
+@query("""WITH x AS (SELECT epoch(max(ts)) AS a FROM events), y AS (SELECT epoch(max(ts)) AS b FROM events WHERE event_id % 3 = 0)
+    SELECT round(a, 3) AS source_latest, round(b, 3) AS target_latest, round(abs(b - a), 3) AS latency_seconds, abs(b - a) <= 60 AS matched FROM x, y""")
+def dq_timeliness(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    row = quality.timeliness(e, e.filter("event_id % 3 = 0"), "ts", "ts", 60.0)
+    return row.select(*(F.round(c, 3).alias(c) for c in ("source_latest", "target_latest", "latency_seconds")), "matched")
+
+
+@query("SELECT s_nationkey AS value, count(*) AS rows FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 4 <> 0) GROUP BY s_nationkey")
+def dq_referential(spark, d):
+    return quality.referential(spark.read.parquet(f"{d}/supplier.parquet"), spark.read.parquet(f"{d}/nation.parquet").filter("n_nationkey % 4 <> 0"), "s_nationkey", "n_nationkey")
+
+
+@query(f"""{C_AND_T}, a AS (SELECT c_mktsegment AS v, count(*) / (SELECT count(*) FROM s) * 100 AS p FROM s GROUP BY 1), b AS (SELECT segment AS v, count(*) / (SELECT count(*) FROM t) * 100 AS p FROM t GROUP BY 1),
+    j AS (SELECT coalesce(a.v, b.v) AS value, coalesce(round(a.p, 4), 0) AS source_pct, coalesce(round(b.p, 4), 0) AS target_pct FROM a FULL JOIN b ON a.v IS NOT DISTINCT FROM b.v)
+    SELECT *, round(abs(target_pct - source_pct), 4) AS difference, round(abs(target_pct - source_pct), 4) <= 1 AS matched FROM j""")
+def dq_distribution(spark, d):
+    r = customers(spark, d)
+    return quality.distribution(r.source, r.target, "c_mktsegment", "segment", 1.0)
+
+
+@query("SELECT count(*) FILTER (c_mktsegment = 'BUILDING') AS applicable, count(*) FILTER (c_mktsegment = 'BUILDING' AND NOT c_acctbal > 0) AS failed FROM customer")
+def dq_conditional(spark, d):
+    return quality.conditional(spark.read.parquet(f"{d}/customer.parquet"), "c_mktsegment", "BUILDING", "c_acctbal", "POSITIVE")
+
+
+@query(f"{C_AND_T} SELECT count(*) AS pairs, count(*) FILTER (upper(c_name) IS DISTINCT FROM full_name) AS failed FROM s JOIN t ON c_custkey = id")
+def dq_transformation(spark, d):
+    r = customers(spark, d)
+    return quality.transformation(r.source, r.target, [("c_custkey", "id")], "c_name", "full_name", "UPPER")
+
+
+@query(f"{S_AND_T}, v AS (SELECT (SELECT CAST(count(DISTINCT o_custkey) AS DOUBLE) FROM s) AS source_value, (SELECT CAST(count(DISTINCT o_custkey) AS DOUBLE) FROM t) AS target_value) SELECT *, round((target_value - source_value) / source_value * 100, 2) AS change_pct, abs(target_value - source_value) <= 5 AS matched FROM v")
+def dq_scalar_pair(spark, d):
+    r = orders(spark, d)
+    return quality.scalar_pair(r.source, r.target, "count(DISTINCT o_custkey)", "count(DISTINCT o_custkey)", 5.0)
+
+
+# Across levels
+
+@query(f"{PAIRS_O}, n AS (SELECT (SELECT count(*) FROM t) - (SELECT count(*) FROM s) AS volume_difference, (SELECT count(*) FILTER (status = 'EXTRA_IN_TARGET') - count(*) FILTER (status = 'MISSING_IN_TARGET') FROM pairs) AS record_difference) SELECT *, volume_difference = record_difference AS explained FROM n")
+def l7_volume_record(spark, d):
+    r = orders(spark, d)
+    return correlate.volume_record(r.metrics("L2"), r.metrics("L3"))
+
+
+@query(f"""{PAIRS_C}, a AS (SELECT round(sum(CAST(t_c_acctbal AS DECIMAL(38,6)) - s_c_acctbal), 4) AS field_delta FROM pairs WHERE status = 'MATCHED'), b AS (SELECT (SELECT sum(balance) FROM t) - (SELECT sum(c_acctbal) FROM s) AS x)
+    SELECT 'balance' AS rule, 'c_acctbal' AS source_column, CAST(field_delta AS DOUBLE) AS field_delta, round(CAST(x AS DOUBLE), 4) AS aggregate_difference, abs(field_delta - x) < 1e-6 AS explained FROM a, b""")
+def l7_field_aggregate(spark, d):
+    r = customers(spark, d)
+    found = aggregates.aggregate_checks(r.source, r.target, (AggregateRule("balance", "SUM", "c_acctbal", "balance"),))
+    out = correlate.field_aggregate(r.mismatches(), found, {"balance": "c_acctbal"})
+    return out.withColumns({c: F.round(c, 4) for c in ("field_delta", "aggregate_difference")})
+
+
+@query(f"{PAIRS_C}, n AS (SELECT count(*) FILTER (s_c_nationkey IS DISTINCT FROM t_c_nationkey) AS a, count(*) FILTER (s_c_acctbal IS DISTINCT FROM t_c_acctbal) AS b FROM pairs WHERE status = 'MATCHED') SELECT 'c_acctbal' AS source_column, 'DATA_TYPE_CHANGED' AS drift, b AS mismatches FROM n WHERE b > 0 UNION ALL SELECT 'c_nationkey', 'DATA_TYPE_CHANGED', a FROM n WHERE a > 0")
+def l7_schema_field(spark, d):
+    r = customers(spark, d)
+    return correlate.schema_field(r.schema(), r.field_stats())
+
+
+@query("SELECT 4 AS levels, 4 AS failed_levels, 'CRITICAL' AS severity, 'FAIL' AS status")
+def run_rollup(spark, d):
+    return customers(spark, d, ReconSpec(keys=CUSTOMERS.keys, mappings=CUSTOMERS.mappings, ignore_target=CUSTOMERS.ignore_target, levels=("L1", "L2", "L3", "L4"))).rollup()
