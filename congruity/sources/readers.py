@@ -59,8 +59,10 @@ def read_csv(spark: SparkSession, p: dict) -> DataFrame:
     """path, delimiter, encoding, schema (else from all values), strict (fail on bad rows)."""
     options = {"header": "true", "sep": p.get("delimiter", ","), "encoding": p.get("encoding", "UTF-8"), "mode": "FAILFAST" if p.get("strict") else "PERMISSIVE"}
     text = spark.read.options(**options).csv(p["path"])
-    require(text.columns, "the file has no header")
-    require(len({c.lower() for c in text.columns}) == len(text.columns), "the header repeats a name")
+    header = spark.read.options(**options | {"header": "false"}).csv(p["path"]).limit(1).first()
+    require(header, "the file has no header")
+    names = [str(c).strip().lower() for c in header]  # the reader renames what repeats
+    require(len(set(names)) == len(names), "the header repeats a name")
     schema = p.get("schema") or csv_schema(text)
     kinds = {f.name: f.dataType for f in schema.fields}
     picked = []
