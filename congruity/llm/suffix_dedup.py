@@ -87,7 +87,8 @@ def sample(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
             around ^= ((pos - left).astype(np.uint64) * np.uint64(4096) + (right - pos).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         for kept, new in zip(found, (pos, core[k], around), strict=True):
             kept.append(new)
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+    kinds = (np.int64, np.uint64, np.uint64)  # empty lists too: mixed kinds would become floats
+    return tuple(np.concatenate([np.zeros(0, kind), *x]) for x, kind in zip(found, kinds, strict=True))
 
 
 def intervals(covered: np.ndarray, length: int) -> list[int]:
@@ -163,7 +164,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
             found = [sample(t.as_py(), length) for t in batch.column(1)]
             owner = np.repeat(np.arange(batch.num_rows), [len(p) for p, _, _ in found])
             pos, core, around = (np.concatenate([f[k] for f in found]) for k in range(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(pos.astype(np.int64)), pa.array(core.astype(np.uint64).view(np.int64)), pa.array(around.astype(np.uint64).view(np.int64))], ["doc", "pos", "core", "around"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(pos), pa.array(core.view(np.int64)), pa.array(around.view(np.int64))], ["doc", "pos", "core", "around"])
 
     sampled = staged(rows.mapInArrow(find, f"doc {doc_kind}, pos bigint, core bigint, around bigint"))
     cores = sampled.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core")
