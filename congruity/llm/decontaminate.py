@@ -24,6 +24,8 @@ from .common import staged
 WORD = re.compile(r"\w+")
 #: Words of a seed, n-grams of a stretch that gives one, words of a block of items.
 SEED, STRETCH, BLOCK_WORDS = 4, 6, 200_000
+#: Pieces of text that a worker remembers.
+REMEMBERED = 300_000
 #: Points of a match, a mismatch and a gap; share of an item's points that is a hit.
 MATCH, MISMATCH, GAP, SHARE = 2, -1, -1, 0.5
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -72,6 +74,24 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+class Pieces(dict):
+    """Codes of pieces without white space."""
+
+    def __init__(self, numbers: dict[str, int]):
+        super().__init__()
+        self.numbers, self.lists = numbers, []
+
+    def __missing__(self, piece: str) -> int:
+        words = WORD.findall(piece)
+        if len(words) == 1:
+            code = self.numbers.get(words[0], 0)
+        else:
+            self.lists.append(np.array([self.numbers.get(w, 0) for w in words], np.int64))
+            code = -len(self.lists)
+        self[piece] = code
+        return code
+
+
 class Block:
     """Items of one block: word numbers, n-grams, and where they stand in items."""
 
@@ -84,9 +104,20 @@ class Block:
         self.grams = [gram_hashes(w, min(n, len(w))) for w in self.words]
         self.known = np.unique(np.concatenate(self.grams))
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "seen"}
+
     def number(self, text: str) -> np.ndarray:
-        get = self.numbers.get
-        return np.array([get(w, 0) for w in WORD.findall(text.lower())], np.int64)
+        """Numbers of a text's words. What stands between white space is mostly one
+        word and is remembered: its number, or below 0 where its words are listed."""
+        seen = vars(self).setdefault("seen", Pieces(self.numbers))
+        if len(seen) >= REMEMBERED:  # only between texts, as codes point into the lists
+            seen.clear()
+            seen.lists.clear()
+        code = np.fromiter(map(seen.__getitem__, text.lower().split()), np.int64)
+        if not (code < 0).any():
+            return code
+        return np.concatenate([seen.lists[-c - 1] if c < 0 else (c,) for c in code.tolist()]).astype(np.int64)
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """N-grams of the items in a text, and where they start."""
@@ -94,7 +125,8 @@ class Block:
         for n in self.sizes:
             g = gram_hashes(ids, n)
             k = np.flatnonzero(g)
-            k = k[np.isin(g[k], self.known)] if len(k) else k
+            if len(k):
+                k = k[self.known[np.minimum(np.searchsorted(self.known, g[k]), len(self.known) - 1)] == g[k]]
             grams.append(g[k])
             at.append(k)
         return np.concatenate(grams), np.concatenate(at)
