@@ -2,9 +2,10 @@
 
 The benchmark is taken in blocks of bounded size. One pass over the documents
 finds the n-grams of a block's items; how many documents have each is counted
-over the whole corpus. In every stretch of an item the rarest n-gram is the seed,
-so edits cannot hit all seeds. Where a document has a seed, the stretch around it
-is aligned with the item, word by word.
+over the whole corpus. An item's seeds are its n-grams but those far more frequent
+than its median one (chance meetings of common words); in every stretch the rarest
+is a seed in any case, so edits cannot hit all seeds. Where a document has a seed,
+the stretch around it is aligned with the item, word by word.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import staged
 WORD = re.compile(r"\w+")
 #: Words of a seed, n-grams of a stretch that gives one, words of a block of items.
 SEED, STRETCH, BLOCK_WORDS = 4, 6, 200_000
+#: Times the median (at least LEAST documents) from which an n-gram is common.
+COMMON, LEAST = 4, 100
 #: Pieces of text that a worker remembers.
 REMEMBERED = 300_000
 #: Points of a match, a mismatch and a gap; share of an item's points that is a hit.
@@ -132,11 +135,14 @@ class Block:
         return np.concatenate(grams), np.concatenate(at)
 
     def seeds(self, frequency: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """N-gram -> (item, offset): the rarest of every stretch of n-grams."""
+        """N-gram -> (item, offset). Copies of an item raise all its n-grams alike, so
+        what is rare is measured against the item's own median."""
         out = defaultdict(list)
         for i, grams in enumerate(self.grams):
             df = [frequency.get(int(np.int64(np.uint64(g))), 0) for g in grams]
-            chosen = {min(range(k, min(k + STRETCH, len(df))), key=lambda j: (df[j], j)) for k in range(max(1, len(df) - STRETCH + 1))}
+            bound = COMMON * max(float(np.median(df)), LEAST)
+            chosen = {j for j, n in enumerate(df) if n <= bound}
+            chosen |= {min(range(k, min(k + STRETCH, len(df))), key=lambda j: (df[j], j)) for k in range(max(1, len(df) - STRETCH + 1))}
             for j in sorted(chosen):
                 out[int(grams[j])].append((i, j))
         return out
