@@ -171,13 +171,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     shared = staged(sampled.join(cores, "core", "left_semi"))
     names = shared.groupBy("core", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("at"))
     per_core = names.groupBy("core").agg(F.count(F.lit(1)).alias("names"))
-    wanted = names.join(per_core, "core").select("core", "around", "n", "names", F.col("at.doc").alias("doc"), F.col("at.pos").alias("pos"))
+    wanted = staged(names.join(per_core, "core").select("core", "around", "n", "names", F.col("at.doc").alias("doc"), F.col("at.pos").alias("pos")))
 
     w = length - CORE + 1
     left = F.least(F.col("pos"), F.lit(w - 1)).cast("int")
-    # Rows that repeat a document would repeat its surroundings: one of each stays.
+    # Rows that repeat a document repeat its surroundings, whose n is over 1 anyway. The
+    # texts are dealt out by document once, here and for the removal below.
     cut = rows.join(wanted, "doc").select("core", "around", "n", "names", left.alias("left"), F.expr(f"substring(data, CAST(pos - least(pos, {w - 1}) + 1 AS INT), CAST(least(pos, {w - 1}) + {length} AS INT))").alias("bytes"))
-    cut = staged(cut.dropDuplicates(["core", "around"]))
     spans_schema = "core bigint, around bigint, spans array<int>"
     solved = cut.filter(F.col("names") <= GROUP).groupBy("core").applyInArrow(lambda t: solve(t, length), spans_schema)
 
@@ -204,14 +204,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                 spans.append(intervals(covered, length))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int32()))], ["core", "around", "spans"])
 
-    if not large.isEmpty():
+    if not wanted.filter(F.col("names") > GROUP).isEmpty():
         strings = large.select("core", "around", "n", "left", "bytes").mapInArrow(spread, "core bigint, around bigint, n bigint, distance int, name bigint")
         again = strings.groupBy("core", "distance", "name").agg(F.sum("n").alias("c")).filter("c > 1").drop("c")
         hits = strings.join(again, ["core", "distance", "name"], "left_semi").groupBy("core", "around").agg(F.collect_list("distance").alias("distances"))
         solved = solved.unionByName(hits.mapInArrow(gather, spans_schema))
 
-    solved = staged(solved.filter(F.size("spans") > 0))
-    found = shared.join(solved, ["core", "around"]).groupBy("doc").agg(F.collect_list(F.struct("pos", "spans")).alias("found"))
+    found = shared.join(solved.filter(F.size("spans") > 0), ["core", "around"]).groupBy("doc").agg(F.collect_list(F.struct("pos", "spans")).alias("found"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
