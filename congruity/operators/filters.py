@@ -6,20 +6,28 @@ import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import col, every
+from ..functions.columns import col, every, kind
 from ..spec import RowFilter, require
 
 COMPARE = {"=": operator.eq, "!=": operator.ne, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
 
 
-def predicate(f: RowFilter, null_is_unequal: bool = False) -> Column:
-    """SQL's three-valued logic; with ``null_is_unequal`` a null is unequal to any value."""
+def predicate(f: RowFilter, t: T.DataType | None = None, null_is_unequal: bool = False) -> Column:
+    """SQL's three-valued logic; with ``null_is_unequal`` a null is unequal to any value.
+
+    Text (``t`` a string type) compared with a number is read as a number where it is
+    one, and is null where it is not.
+    """
     c = col(f.field)
     if f.operator == "IS NULL":
         return c.isNull()
     if f.operator == "IS NOT NULL":
         return c.isNotNull()
+    values = f.value if f.operator == "IN" else (f.value,)
+    if isinstance(t, T.StringType) and all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in values):
+        c = c.try_cast("double")
     if f.operator == "IN":
         return c.isin(*f.value)
     if f.operator == "!=" and null_is_unequal:
@@ -30,4 +38,4 @@ def predicate(f: RowFilter, null_is_unequal: bool = False) -> Column:
 def apply_filters(df: DataFrame, filters: tuple[RowFilter, ...], null_is_unequal: bool = False) -> DataFrame:
     for f in filters:
         require(f.field in df.columns, f"no column {f.field}")
-    return df.filter(every([predicate(f, null_is_unequal) for f in filters])) if filters else df
+    return df.filter(every([predicate(f, kind(df, f.field), null_is_unequal) for f in filters])) if filters else df

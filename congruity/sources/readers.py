@@ -141,6 +141,12 @@ def tables(spark: SparkSession, database: str | None = None) -> list[str]:
     return [t.name for t in spark.catalog.listTables(database)]
 
 
+def sizes(spark: SparkSession, path: str) -> DataFrame:
+    """files, bytes below ``path``, from the listing alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+
 def describe(df: DataFrame) -> DataFrame:
     """ordinal, column, type, nullable."""
     rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)]

@@ -5,8 +5,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from congruity.operators import aggregates, fields, groups, profile, quality, records, schema_diff
+from congruity.operators.filters import apply_filters
 from congruity.plans.reconcile import evidence, latest_results, page, reconcile
-from congruity.spec import AggregateRule, GroupSpec, Mapping, QualityRule, ReconSpec, SpecError
+from congruity.spec import AggregateRule, GroupSpec, Mapping, QualityRule, ReconSpec, RowFilter, SpecError
 
 SPEC = ReconSpec(keys=(("k", "k"),))
 SCHEMA = "k string, name string, n int"
@@ -162,6 +163,13 @@ def test_row_hash_tells_null_from_its_name(spark):
     assert df.select(fields.row_hash(df, [("v", {})]).alias("h")).distinct().count() == 4
 
 
+def test_text_that_is_no_number_does_not_break_a_filter(spark):
+    df = frame(spark, [("1", "x", 1), ("nope", "y", 2), (None, "z", 3), ("12", "w", 4)])
+    assert [x.k for x in apply_filters(df, (RowFilter("k", ">", 5),)).collect()] == ["12"]
+    assert {x.k for x in apply_filters(df, (RowFilter("k", "IN", [1, 2]),)).collect()} == {"1"}
+    assert {x.k for x in apply_filters(df, (RowFilter("k", "!=", "1"),), null_is_unequal=True).collect()} == {"nope", None, "12"}
+
+
 def test_edges_and_sinks(spark, tmp_path):
     r = reconcile(frame(spark, SOURCE), frame(spark, TARGET), SPEC)
     rows, more = evidence(r.mismatches(), ["k0", "source_ordinal", "target_ordinal", "source_column"], 2)

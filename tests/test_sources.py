@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from congruity.sources.readers import csv_schema, databases, default_registry, describe, empty, read_csv, tables
+from congruity.sources.readers import csv_schema, databases, default_registry, describe, empty, read_csv, sizes, tables
 from congruity.spec import SpecError
 
 
@@ -49,4 +49,6 @@ def test_registry_and_discovery(spark, tmp_path):
     assert r.read(spark, "table", {"name": "two"}).count() == 2
     assert "two" in tables(spark) and "default" in databases(spark)
     assert empty(spark, spark.range(1).schema).count() == 0
+    size = sizes(spark, f"{tmp_path}/p").first()
+    assert size.files >= 1 and size.bytes > 0
     assert describe(spark.range(1)).first().type == "bigint"
