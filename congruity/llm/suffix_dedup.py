@@ -167,10 +167,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(pos), pa.array(core.view(np.int64)), pa.array(around.view(np.int64))], ["doc", "pos", "core", "around"])
 
     sampled = staged(rows.mapInArrow(find, f"doc {doc_kind}, pos bigint, core bigint, around bigint"))
-    cores = sampled.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core")
+    # Counts are written before they are joined: Spark splits a hot core's partition only
+    # in a join that stands alone.
+    cores = staged(sampled.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core"))
     shared = staged(sampled.join(cores, "core", "left_semi"))
-    names = shared.groupBy("core", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("at"))
-    per_core = names.groupBy("core").agg(F.count(F.lit(1)).alias("names"))
+    names = staged(shared.groupBy("core", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("at")))
+    per_core = staged(names.groupBy("core").agg(F.count(F.lit(1)).alias("names")))
     wanted = staged(names.join(per_core, "core").select("core", "around", "n", "names", F.col("at.doc").alias("doc"), F.col("at.pos").alias("pos")))
 
     w = length - CORE + 1
