@@ -119,6 +119,24 @@ ORACLES = {
                (SELECT CAST(sum(written) AS BIGINT) FROM c WHERE c.conv_id = g.conv_id) AS formatted_chars
         FROM g
     """,
+    "op6_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS ws FROM documents
+        ), sh AS (
+            SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(ws) < 5 THEN ws ELSE ws[i:i + 4] END, ' ') AS s
+            FROM w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS r(i) WHERE len(ws) > 0
+        ), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+        ), c AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), l AS (
+            SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE c.c * 5 >= (p.n + q.n - c.c) * 4
+            UNION ALL SELECT a.doc_id, b.doc_id FROM w a JOIN w b ON len(a.ws) = 0 AND len(b.ws) = 0 AND a.doc_id < b.doc_id
+        ), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+        ), reach(doc_id, root) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM reach r JOIN e ON e.x = r.root
+        ), g AS (SELECT doc_id, min(root) AS class_id, count(*) AS group_size FROM reach GROUP BY doc_id)
+        SELECT doc_id, class_id, group_size, (SELECT count(*) FROM e WHERE e.x = g.doc_id) AS n_links FROM g
+    """,
     "op9_exact_dedup": """
         WITH n AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm

@@ -193,6 +193,7 @@ def test_chat_windows(spark):
 def test_main_text(spark):
     page = "<html><head><title>T</title></head><body class='single-post'><nav>Menu</nav><header>Head</header><div id=cookie-notice>We use</div><article><h1>A&amp;B</h1><p>One\n <b>tw</b>o&nbsp;3<script>var a='</p>';</script><!-- x --><div class='comments'>No <div>deep</div> no</div><p>Last &lt;</article><aside>Side</aside><footer>Foot"
     assert main_text(runs(page)) == "A&B One two 3 Last <"
+    assert main_text(runs("<article><p title='5\" tall' x=\"a>b\">one</p><p y\">two</p><a href=\"open>three</article>")) == "one two three"
     plain = ["<body><div>Home About Contact Login Search Help More Links Here</div><p>%s</p></body>" % t for t in ("first page words here", "second text of the host", "third")]
     pages = [(i, f"http://h.org/{i}", p) for i, p in enumerate([page, None, "", "<", "<article>", "no tags at all & more"])]
     pages += [(10 + i, f"http://same.org/{i}", p) for i, p in enumerate(plain)] + [(20, "http://other.org/", plain[0]), (20, "http://other.org/", plain[0]), (None, None, "<main>m</main>")]
