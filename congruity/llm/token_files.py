@@ -8,11 +8,12 @@ asks for a few documents or only for metadata skips the rest.
 
 from __future__ import annotations
 
+import gc
 import os
 import string
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,14 +23,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import BATCH_BYTES, REMEMBERED, SPACES, byte_letters
+from .bpe import BATCH_BYTES, SPACES, byte_letters
 
 END = 0
 #: The pattern of the vocabulary's tokenizer.
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 PUNCTUATION = string.punctuation
+OTHER_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+#: Pieces of a generation that a worker remembers.
+REMEMBERED = 400_000
 FORMAT = {
-    "compression": "zstd",
+    "compression": "snappy",
     "parquet.writer.version": "v2",
     "parquet.enable.dictionary": "false",
     "parquet.enable.dictionary#ids.list.element": "true",
@@ -39,6 +43,23 @@ FORMAT = {
 }
 
 
+class Remembered(dict):
+    """Values by key, found by ``find`` at first sight. When full, what it holds
+    becomes the older generation, from which keys in use come back."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        super().__init__()
+        self.find, self.older = find, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        out = self.older.get(key) or self.find(key)
+        self[key] = out
+        return out
+
+
 class PieceEncoder:
     """The model of the tokenizers library over distinct pieces of texts.
 
@@ -58,44 +79,44 @@ class PieceEncoder:
         self.tokenize = self.library.model.tokenize
         self.letters = dict(enumerate(byte_letters()))
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.seen: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {}
+        self.seen, self.ends = Remembered(self.piece), Remembered(self.ids)
+        self.words = Remembered(self.word)
+
+    def word(self, word: str) -> bytes:
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        return array("i", [t.id for t in self.tokenize(letters)]).tobytes()
 
     def ids(self, text: str) -> bytes:
-        found = array("i")
-        for word in WORD.findall(text):
-            found.extend([t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))])
-        return found.tobytes()
+        return b"".join(map(self.words.__getitem__, WORD.findall(text)))
 
     def piece(self, piece: str) -> bytes:
         """Ids of a piece; letters with punctuation behind them are two words."""
-        if len(self.seen) >= REMEMBERED:
-            self.seen.clear()
-        if piece.isalpha() and piece.isascii():
-            out = array("i", [t.id for t in self.tokenize("Ġ" + piece)]).tobytes()
-        elif (stem := piece.rstrip(PUNCTUATION)) != piece and stem.isalpha():
-            end = piece[len(stem) :]
-            if (tail := self.ends.get(end)) is None:
-                tail = self.ends[end] = self.ids(end)
-            return (self.seen.get(stem) or self.piece(stem)) + tail
-        else:
-            out = self.ids(piece if piece[:1] == "\n" else " " + piece)
-        self.seen[piece] = out
-        return out
+        broken = piece[:1] == "\n"
+        rest = piece[1:] if broken else piece
+        stem = rest.rstrip(PUNCTUATION)
+        if not stem.isalpha():
+            return self.ids(piece if broken else " " + piece)
+        if stem != rest:
+            return self.seen["\n" + stem if broken else stem] + self.ends[rest[len(stem) :]]
+        word = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
+        found = array("i", [t.id for t in self.tokenize(word if broken else "Ġ" + word)]).tobytes()
+        return self.ends["\n"] + found if broken else found
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
         pieces = text.replace("\n", " \n").split(" ")
         runs = "  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[:1] in " \n" or text[-1:] in " \n"
-        if runs or len(pieces) != len(text.split()):  # runs of white space, or other kinds of it
-            return self.ids(text)
-        get, piece = self.seen.get, self.piece
-        return self.ids(pieces[0]) + b"".join([get(p) or piece(p) for p in pieces[1:]])
+        if runs or (any(c in text for c in OTHER_ASCII) if text.isascii() else len(pieces) != len(text.split())):
+            return self.ids(text)  # runs of white space, or other kinds of it
+        return self.ends[pieces[0]] + b"".join(map(self.seen.__getitem__, pieces[1:]))
 
 
 @lru_cache(1)
 def piece_encoder(path: str) -> PieceEncoder:
+    # Encoding makes many short-lived lists and no cycles: the collector would walk over
+    # the remembered pieces again and again.
+    gc.set_threshold(1_000_000)
     return PieceEncoder(path)
 
 
