@@ -11,6 +11,7 @@ tokens as merging pairs by rank, in linear time.
 
 from __future__ import annotations
 
+import gc
 import json
 import string
 import unicodedata
@@ -183,6 +184,7 @@ class Encoder:
 
 @lru_cache(1)
 def encoder(path: str) -> Encoder:
+    gc.set_threshold(1_000_000)  # many short-lived lists, no cycles
     return Encoder(path)
 
 
