@@ -66,13 +66,13 @@ def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[: n - w + 1], before[w - 1 : n])
 
 
-def sample(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sampled positions, the names of their cores, and those of their surroundings:
-    all bytes of the strings of ``length`` bytes that contain the core."""
+def sample(data: bytes, length: int, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sampled positions, each once, the names of their cores, and those of their
+    surroundings: all bytes of the strings of ``length`` bytes that contain the core."""
     found: list[list[np.ndarray]] = [[], [], []]
-    text, n, w = np.frombuffer(data, np.uint8), len(data), length - CORE + 1
-    for begin in range(0, n - length + 1, SEGMENT):
-        end = min(begin + SEGMENT, n - length + 1)  # of the starts of this segment
+    text, n, w, latest = np.frombuffer(data, np.uint8), len(data), length - CORE + 1, -1
+    for begin in range(0, n - length + 1, segment):
+        end = min(begin + segment, n - length + 1)  # of the starts of this segment
         first, last = max(0, begin - w), min(n, end + 2 * length)
         hashes = Hashes(text[first:last])
         at = np.arange(begin - first, end - 1 + w - first)
@@ -80,7 +80,9 @@ def sample(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
         least = sliding_minimum((core & ~LOW) | np.arange(len(core)).astype(np.uint64), w)
         chosen = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
         k = (least[chosen] & LOW).astype(np.int64)
+        k = k[at[k] + first > latest]  # positions ascend; the last segment may have chosen the first
         pos = at[k] + first
+        latest = int(pos[-1]) if len(pos) else latest
         left, right = np.maximum(pos - w + 1, 0), np.minimum(pos + length, n)
         around = hashes.of(left - first, right - first)
         with np.errstate(over="ignore"):

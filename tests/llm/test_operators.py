@@ -23,7 +23,7 @@ from congruity.llm.exact_dedup import exact_dedup
 from congruity.llm.html_text import html_text, main_text, runs
 from congruity.llm.jaccard_join import depth_for, jaccard_join, recall, shingles
 from congruity.llm.license_scan import BASE_PHRASES, license_scan
-from congruity.llm.suffix_dedup import suffix_dedup
+from congruity.llm.suffix_dedup import SEGMENT, sample, suffix_dedup
 from congruity.llm.token_files import PieceEncoder, read_token_files, with_crc32, write_token_files
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -238,6 +238,22 @@ def test_suffix_dedup(spark, monkeypatch, group):
     assert suffix_dedup(spark.createDataFrame([], NOTHING)).count() == 0
 
 
+@pytest.mark.parametrize("segment", [1, 337, 1500, 4096])
+def test_suffix_sample_is_the_same_in_segments(segment):
+    text = np.random.default_rng(12).integers(0, 256, 20_000, np.uint8).tobytes() + b"xy" * 700
+    whole, parts = sample(text, 400), sample(text, 400, segment)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, parts, strict=True))
+    assert len(np.unique(parts[0])) == len(parts[0])
+
+
+def test_suffix_dedup_keeps_long_unique_texts(spark):
+    text = np.random.default_rng(13).integers(97, 123, 2 * SEGMENT + 5000, np.uint8).tobytes().decode()
+    twice = text[SEGMENT - 300 : SEGMENT + 300]
+    got = {r.doc_id: r for r in suffix_dedup(frame(spark, [text, text[:1000][::-1], "." + twice])).collect()}
+    assert [tuple(s) for s in got[0].spans] == [(SEGMENT - 300, SEGMENT + 300)] and bytes(got[2].kept) == b"."
+    assert got[1].spans == [] and len(got[1].kept) == 1000
+
+
 # Jaccard join
 
 def brute_links(texts):
