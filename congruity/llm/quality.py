@@ -8,6 +8,7 @@ logistic curve fitted on other labelled texts turns it into a probability.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Labelled rows of each class that a fit takes at most, and bytes of their texts.
+from .common import staged
+
+#: Labelled rows of each class that a fit takes at most, and bytes of their texts that
+#: the dictionaries learn from.
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 8 << 20
 #: Bytes of a dictionary, bytes of a stretch, compression level.
 DICTIONARY, STRETCH, LEVEL = 64 << 10, 1024, 3
@@ -41,6 +45,24 @@ def stretches(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+def allotment(sizes: list[int], room: int) -> int:
+    """The most bytes of one text, so that all texts together stay within ``room``."""
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) > room:
+            return room // (len(sizes) - k)
+        room -= n
+    return max(sizes, default=0)
+
+
+def spread(data: bytes, most: int) -> list[bytes]:
+    """The whole text in stretches, or ``most`` bytes in stretches spread over it."""
+    parts = stretches(data)
+    if len(data) <= most:
+        return parts
+    n = max(1, min(most // STRETCH, len(parts)))
+    return [parts[len(parts) * k // n][: most // n] for k in range(n)]
+
+
 class Scorer:
     def __init__(self, good: bytes, bad: bytes, weights: tuple[float, ...] = ()):
         self.good, self.bad = (self.compressor(d) for d in (good, bad))
@@ -88,8 +110,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     """A model from the labelled rows whose crc32(doc_id) mod 5 is not 0.
 
     The sample holds at most ``sample_rows`` rows of each class, those of the
-    smallest hash of doc_id, and of them as many as fit in ``sample_bytes`` of
-    text. Rows with null labels, ids or texts, or with empty texts, are no
+    smallest hash of doc_id; of an id that repeats, the least text. Where their
+    texts exceed ``sample_bytes``, the dictionaries learn from stretches spread over
+    each of the longest; the curve is fitted on whole texts. Rows with null labels, ids or texts, or with empty texts, are no
     examples. With an empty class the model scores every text by the share of
     good labels (0.5 without any).
     """
@@ -99,24 +122,42 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     for q in (0, 1):
         part = pool.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # At most 2 * sample_rows ids: a proven bound for the broadcast.
+    # At most 2 * sample_rows ids: a proven bound for the broadcast. An id's rows become
+    # one before anything is collected.
     rows = docs.select("doc_id", "text").filter("text != ''").join(F.broadcast(chosen), "doc_id")
-    sizes = rows.select("doc_id", "quality", F.octet_length("text").alias("n")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    room, fitting = {0: sample_bytes, 1: sample_bytes}, []
-    for r in sizes:
-        room[r["quality"]] -= r["n"]
-        if room[r["quality"]] >= 0:
-            fitting.append(r["doc_id"])
-    texts = rows.filter(F.col("doc_id").isin(fitting)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect() if fitting else []
-    by = {q: [r["text"] for r in texts if r["quality"] == q] for q in (0, 1)}
+    rows = staged(rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")))
+    sizes = rows.select("doc_id", "quality", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    by = {q: [r for r in sizes if r["quality"] == q] for q in (0, 1)}
     total = sum(counts.values())
     if min(len(by[0]), len(by[1])) < 8:
         share = counts.get(1, 0) / total if total else 0.5
         share = min(max(share, 1e-3), 1 - 1e-3)
+        if total:
+            logging.getLogger(__name__).warning("%d labelled rows, but only %d bad and %d good texts: every text gets the score %.3f", total, len(by[0]), len(by[1]), share)
         return Model(b"", b"", (float(np.log(share / (1 - share))), 0.0, 0.0, 0.0))
 
+    most = {q: allotment([r["n"] for r in by[q]], sample_bytes) for q in (0, 1)}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [spread(t.as_py().encode("utf-8", "replace"), most[q.as_py()]) for q, t in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.list_(pa.binary()))], ["doc_id", "parts"])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Scorer(good, bad)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.evidence(t.as_py()) for t in batch.column(2)], pa.list_(pa.float64()))], ["doc_id", "evidence"])
+
+    def of(ids: list, f, column: str) -> dict:
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        return {r["doc_id"]: r[1] for r in rows.filter(F.col("doc_id").isin(ids)).select("doc_id", "quality", "text").mapInArrow(f, f"doc_id {kind}, {column}").collect()}
+
+    # Dictionaries are trained on bounded stretches here; the others are weighed whole on executors.
+    taught = {q: [r["doc_id"] for r in by[q][::2]] for q in (0, 1)}
+    stretched = of(taught[0] + taught[1], cut, "parts array<binary>")
+
     def dictionary(q: int) -> bytes:
-        parts = [p for t in by[q][::2] for p in stretches(t.encode("utf-8", "replace"))]
+        parts = [bytes(p) for i in taught[q] for p in stretched[i]]
         size = min(DICTIONARY, max(1024, sum(map(len, parts)) // 8))
         try:
             return zstandard.train_dictionary(size, parts, level=LEVEL).as_bytes()
@@ -124,9 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
             return b"".join(parts)[-DICTIONARY:]
 
     good, bad = dictionary(1), dictionary(0)
-    own = Scorer(good, bad)
-    rest = {q: by[q][1::2] for q in (0, 1)}
-    x = np.array([own.evidence(t) for q in (0, 1) for t in rest[q]])
+    rest = {q: [r["doc_id"] for r in by[q][1::2]] for q in (0, 1)}
+    evidence = of(rest[0] + rest[1], weigh, "evidence array<double>")
+    x = np.array([evidence[i] for q in (0, 1) for i in rest[q]])
     y = np.array([float(q) for q in (0, 1) for _ in rest[q]])
     w = np.array([counts[q] / total / len(rest[q]) for q in (0, 1) for _ in rest[q]])
     return Model(good, bad, tuple(logistic(x, y, w * len(y))))

@@ -331,6 +331,24 @@ def test_quality_learns_and_keeps_clean_texts(spark):
     assert quality.quality(docs.limit(0), labels).count() == 0
 
 
+def test_quality_fits_where_texts_are_long_or_repeat(spark, caplog):
+    rng = random.Random(14)
+    marks = [int(k % 2 == 0) for k in range(80)]
+    texts = [" ".join(w if m else w.upper() + "!!$$$" for w in prose(600, rng).split()) for m in marks]
+    ids = list(range(80))
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, quality int")
+    model = quality.fit(frame(spark, texts, ids), labels, sample_bytes=6000)  # less than two texts
+    assert model.good and model.bad and any(model.weights[1:])
+    own = quality.Scorer(model.good, model.bad, model.weights)
+    assert sum((own.score(t) >= 0.5) == m for t, m in zip(texts, marks, strict=True)) >= 76
+    again = quality.fit(frame(spark, texts + texts[:1] * 50 + texts[1:2] * 50, ids + [0] * 50 + [1] * 50), labels, sample_bytes=6000)
+    assert again == model
+    caplog.clear()
+    assert not quality.fit(frame(spark, texts[:4]), labels).good and "every text gets the score" in caplog.text
+    assert quality.allotment([5, 1, 9], 100) == 9 and quality.allotment([5, 1, 9], 9) == 4 and quality.allotment([], 5) == 0
+    assert sum(map(len, quality.spread(b"a" * 5000, 2500))) <= 2500 and b"".join(quality.spread(b"ab" * 900, 1800)) == b"ab" * 900
+
+
 # Decontamination
 
 def brute_align(item, words):
