@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col, every, kind, number, percent_change, rate_pct
-from ..spec import QualityRule, require
+from ..spec import Mapping, QualityRule, ReconSpec, require
+from .records import MATCHED, UNMATCHABLE, reconcile_records
 
 SCHEMA = "rule string, side string, total long, failed long, pass_pct double"
 
@@ -118,15 +119,22 @@ TRANSFORMS = {"IDENTITY": lambda c, a: c, "LOWER": lambda c, a: F.lower(c), "UPP
 
 
 def transformation(source: DataFrame, target: DataFrame, keys: list[tuple[str, str]], source_column: str, target_column: str, transform: str, digits: int = 0, tolerance: float = 0.0) -> DataFrame:
-    """One row: keyed pairs, and those whose target is not the transformed source. Rows
-    are joined on ``keys``: rows of a distributed table have no positions."""
+    """One row: keyed pairs, those whose target is not the transformed source, and rows
+    of either side without a usable key. Pairs are those of ``reconcile_records``: rows
+    of a key are ordered by the compared values and pair by ordinal."""
     require(transform in TRANSFORMS, f"unknown transformation {transform}")
-    s = source.select(*(col(a).alias(f"k{i}") for i, (a, _) in enumerate(keys)), TRANSFORMS[transform](col(source_column), digits).alias("want"))
-    t = target.select(*(col(b).alias(f"k{i}") for i, (_, b) in enumerate(keys)), col(target_column).alias("got"))
+    ks = [f"k{i}" for i in range(len(keys))]
+    s = source.select(*(col(a).alias(k) for k, (a, _) in zip(ks, keys, strict=True)), TRANSFORMS[transform](col(source_column), digits).alias("want"))
+    t = target.select(*(col(b).alias(k) for k, (_, b) in zip(ks, keys, strict=True)), col(target_column).alias("got"))
     a, b = s.schema["want"].dataType, t.schema["got"].dataType
-    near = F.coalesce(F.abs(number(F.col("got"), b) - number(F.col("want"), a)) <= tolerance, F.lit(False)) if tolerance else F.lit(False)
-    joined = s.join(t, [f"k{i}" for i in range(len(keys))])
-    return joined.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(~(F.col("want").eqNullSafe(F.col("got")) | near)).alias("failed"))
+    near = F.coalesce(F.abs(number(F.col("t.got"), b) - number(F.col("s.want"), a)) <= tolerance, F.lit(False)) if tolerance else F.lit(False)
+    records = reconcile_records(s, t, ReconSpec(keys=tuple((k, k) for k in ks), mappings=(Mapping("want", "got"),)))
+    paired = F.col("status") == MATCHED
+    return records.agg(
+        F.count_if(paired).alias("pairs"),
+        F.count_if(paired & ~(F.col("s.want").eqNullSafe(F.col("t.got")) | near)).alias("failed"),
+        *(F.count_if(F.col("status") == UNMATCHABLE[own]).alias(f"unmatchable_{side}") for own, side in (("s", "source"), ("t", "target"))),
+    )
 
 
 def scalar_pair(source: DataFrame, target: DataFrame, source_sql: str, target_sql: str, tolerance: float = 0.0) -> DataFrame:

@@ -454,7 +454,7 @@ def dq_conditional(spark, d):
 @query(f"{C_AND_T} SELECT count(*) AS pairs, count(*) FILTER (upper(c_name) IS DISTINCT FROM full_name) AS failed FROM s JOIN t ON c_custkey = id")
 def dq_transformation(spark, d):
     r = customers(spark, d)
-    return quality.transformation(r.source, r.target, [("c_custkey", "id")], "c_name", "full_name", "UPPER")
+    return quality.transformation(r.source, r.target, [("c_custkey", "id")], "c_name", "full_name", "UPPER").select("pairs", "failed")
 
 
 @query(f"{S_AND_T}, v AS (SELECT (SELECT CAST(count(DISTINCT o_custkey) AS DOUBLE) FROM s) AS source_value, (SELECT CAST(count(DISTINCT o_custkey) AS DOUBLE) FROM t) AS target_value) SELECT *, round((target_value - source_value) / source_value * 100, 2) AS change_pct, abs(target_value - source_value) <= 5 AS matched FROM v")

@@ -185,3 +185,10 @@ def test_edges_and_sinks(spark, tmp_path):
     with pytest.raises(SpecError):
         reconcile(frame(spark, SOURCE), frame(spark, TARGET), ReconSpec(keys=(("q", "q"),)))
     assert records.sample_by_key(frame(spark, SOURCE), ["k"], 100).count() == len(SOURCE)
+
+
+def test_transformation_pairs_duplicate_keys_by_ordinal(spark):
+    source = spark.createDataFrame([(1, "a")] * 3 + [(1, "b"), (2, "c"), (None, "d"), (7, "z")], "k int, v string")
+    target = spark.createDataFrame([(1, "A")] * 3 + [(1, "B"), (2, "x"), (None, "D"), (None, "E")], "k int, v string")
+    got = quality.transformation(source, target, [("k", "k")], "v", "v", "UPPER").first()
+    assert (got.pairs, got.failed, got.unmatchable_source, got.unmatchable_target) == (5, 1, 1, 2)
