@@ -207,6 +207,16 @@ def test_main_text(spark):
     assert html_text(df.limit(0)).count() == 0
 
 
+def test_main_text_in_wrappers():
+    article = "<article class='post tag-advertising category-search ad'>text<div class='comments'>no<article>no</article></div></article>"
+    wrappers = ["<div class='content with-sidebar'>", "<div class='has-comments no-ads'>", "<form id=aspnetForm>", "<div class=widget>", "<form><div class='header fixed'>"]
+    for w in ["", *wrappers]:
+        assert main_text(runs(f"<body>{w}<div class=cookie-notice>we</div>{article}")) == "text"
+        assert main_text(runs(f"<body>{w}<nav><article>no</article></nav><div class=comments><article>no</article></div>{article}")) == "text"
+    assert main_text(runs("<main>a<div class='social-share'>no</div><div id=ad-3>no</div><p class=shared-history>b</main>")) == "a b"
+    assert main_text(runs("<div class=main-nav>no</div><div class=main-content>a</div>")) == "a"
+
+
 # Suffix dedup
 
 def brute_suffix(texts, n):
