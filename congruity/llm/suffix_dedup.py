@@ -10,12 +10,19 @@ their own are done, the others are named again by all bytes of the strings that
 contain the core. Equal names merge into one, and of the names that share a core
 the suffixes at every distance before it are sorted and adjacent ones compared.
 What is equal is covered, in every document that has the name.
+
+Arithmetic hashes choose the sample and the groups; they decide nothing. Names of
+surroundings are BLAKE2 digests of 128 bits under a key drawn for each run, and
+adjacent strings of a group are compared byte by byte.
 """
 
 from __future__ import annotations
 
+import secrets
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -66,14 +73,17 @@ def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[: n - w + 1], before[w - 1 : n])
 
 
-def sample(data: bytes, length: int, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sampled positions, each once, the names of their cores, and those of their
-    surroundings: all bytes of the strings of ``length`` bytes that contain the core."""
-    found: list[list[np.ndarray]] = [[], [], []]
+def digest(data: bytes, key: bytes, left: int = 0) -> bytes:
+    return blake2b(data, digest_size=16, key=key, person=left.to_bytes(4, "little")).digest()
+
+
+def sample(data: bytes, length: int, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled positions, each once, and the hashes of their cores."""
+    found: list[list[np.ndarray]] = [[], []]
     text, n, w, latest = np.frombuffer(data, np.uint8), len(data), length - CORE + 1, -1
     for begin in range(0, n - length + 1, segment):
         end = min(begin + segment, n - length + 1)  # of the starts of this segment
-        first, last = max(0, begin - w), min(n, end + 2 * length)
+        first, last = begin, min(n, end + length)
         hashes = Hashes(text[first:last])
         at = np.arange(begin - first, end - 1 + w - first)
         core = hashes.of(at, at + CORE)
@@ -83,16 +93,19 @@ def sample(data: bytes, length: int, segment: int = SEGMENT) -> tuple[np.ndarray
         k = k[at[k] + first > latest]  # positions ascend; the last segment may have chosen the first
         pos = at[k] + first
         latest = int(pos[-1]) if len(pos) else latest
-        left, right = np.maximum(pos - w + 1, 0), np.minimum(pos + length, n)
-        around = hashes.of(left - first, right - first)
-        with np.errstate(over="ignore"):
-            around ^= ((pos - left).astype(np.uint64) * np.uint64(4096) + (right - pos).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        for kept, new in zip(found, (pos, core[k], around), strict=True):
+        for kept, new in zip(found, (pos, core[k]), strict=True):
             kept.append(new)
-    kinds = (np.int64, np.uint64, np.uint64)  # empty lists too: mixed kinds would become floats
+    kinds = (np.int64, np.uint64)  # empty lists too: mixed kinds would become floats
     return tuple(np.concatenate([np.zeros(0, kind), *x]) for x, kind in zip(found, kinds, strict=True))
 
 
+def surroundings(data: bytes, positions: np.ndarray, length: int, key: bytes) -> list[bytes]:
+    """Names of all bytes of the strings of ``length`` bytes that contain the core, and
+    of where the core stands among them."""
+    most, view = length - CORE, memoryview(data)
+    return [digest(view[max(0, p - most) : p + length], key, min(p, most)) for p in positions.tolist()]
+
+
 def intervals(covered: np.ndarray, length: int) -> list[int]:
     """Bytes relative to the core that strings at the covered distances take up, as
     from, to, from, to; ``covered`` is indexed by the distance before the core."""
@@ -116,22 +129,65 @@ def window_names(lefts: np.ndarray, blobs: list[bytes], length: int) -> np.ndarr
     return out
 
 
+class Aligned:
+    """Surroundings laid side by side with their cores in one column."""
+
+    def __init__(self, lefts: np.ndarray, blobs: list[bytes], length: int):
+        self.length, self.w = length, length - CORE + 1
+        self.bytes = np.zeros((len(blobs), self.w - 1 + length), np.uint8)
+        for r, (left, blob) in enumerate(zip(lefts.tolist(), blobs, strict=True)):
+            at = self.w - 1 - left
+            self.bytes[r, at : at + len(blob)] = np.frombuffer(blob, np.uint8)
+
+    def agree(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes in which rows ``a`` and ``b`` agree before the core, and from it on."""
+        before, after = np.empty(len(a), np.int32), np.empty(len(a), np.int32)
+        for k in range(0, len(a), 4096):
+            x, y = self.bytes[a[k : k + 4096]], self.bytes[b[k : k + 4096]]
+            unlike = np.ones((len(x), x.shape[1] + 2), bool)  # a border on either side
+            np.not_equal(x, y, out=unlike[:, 1:-1])
+            before[k : k + 4096] = unlike[:, self.w - 1 :: -1].argmax(axis=1)
+            after[k : k + 4096] = unlike[:, self.w :].argmax(axis=1)
+        return before, after
+
+    def repeated(self, rows: np.ndarray, distance: int) -> np.ndarray:
+        """Which of ``rows`` have a string at ``distance`` that another of them has."""
+        at = self.w - 1 - distance
+        by = defaultdict(list)
+        for r in rows.tolist():
+            by[self.bytes[r, at : at + self.length].tobytes()].append(r)
+        return np.array([r for same in by.values() if len(same) > 1 for r in same], np.int64)
+
+
 def solve(group: pa.Table, length: int) -> pa.Table:
-    """For the surroundings of one core: which bytes around it are covered."""
+    """For the surroundings of one core: which bytes around it are covered. Strings
+    are sorted by their hashes; adjacent ones of one hash are compared by their bytes."""
     lefts, blobs, many = group["left"].to_numpy(), group["bytes"].to_pylist(), group["n"].to_numpy() > 1
-    covered = np.zeros((len(blobs), length - CORE + 1), bool)
-    step = max(1, CELLS // len(blobs))
-    names = window_names(lefts, blobs, length)
-    for k in range(0, names.shape[1], step):
-        part = names[:, k : k + step]
-        order = np.argsort(part, axis=0, kind="stable")
-        in_order = np.take_along_axis(part, order, axis=0)
-        equal = np.zeros((len(blobs) + 1, part.shape[1]), bool)
-        equal[1:-1] = in_order[1:] == in_order[:-1]
-        np.put_along_axis(covered[:, k : k + step], order, equal[1:] | equal[:-1], axis=0)
-    distance = np.arange(covered.shape[1])[None, :]
-    sizes = np.array([len(b) for b in blobs])
+    m, sizes, distance = len(blobs), np.array([len(b) for b in blobs]), np.arange(length - CORE + 1)[None, :]
     exists = (distance <= lefts[:, None]) & (lefts[:, None] - distance + length <= sizes[:, None])
+    covered = np.zeros(exists.shape, bool)
+    if m > 1:
+        aligned, names, known = Aligned(lefts, blobs, length), window_names(lefts, blobs, length), {}
+        step = max(1, CELLS // m)
+        for k in range(0, names.shape[1], step):
+            part = names[:, k : k + step]
+            order = np.argsort(part, axis=0, kind="stable")
+            in_order = np.take_along_axis(part, order, axis=0)
+            near, column = np.nonzero(in_order[1:] == in_order[:-1])
+            a, b, distance = order[near, column], order[near + 1, column], column + k
+            real = exists[a, distance] & exists[b, distance]
+            a, b, distance = a[real], b[real], distance[real]
+            pairs, which = np.unique(a * m + b, return_inverse=True)
+            new = np.array([p for p in pairs.tolist() if p not in known], np.int64)
+            if len(new):
+                known.update(zip(new.tolist(), zip(*(x.tolist() for x in aligned.agree(new // m, new % m)), strict=True), strict=True))
+            both = np.array([known[p] for p in pairs.tolist()], np.int32).reshape(-1, 2)[which]
+            same = (both[:, 0] >= distance) & (both[:, 1] >= length - distance)
+            covered[a[same], distance[same]] = covered[b[same], distance[same]] = True
+            for d in np.unique(distance[~same]).tolist():  # one hash, unequal bytes
+                rows = np.unique(np.concatenate((a[distance == d], b[distance == d])))
+                covered[rows, d] = False
+                covered[aligned.repeated(rows, d), d] = True
     covered = (covered | many[:, None]) & exists
     return pa.table({"core": group["core"], "around": group["around"], "spans": pa.array([intervals(c, length) for c in covered], pa.list_(pa.int32()))})
 
@@ -152,7 +208,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
     A byte goes if a string of ``length`` UTF-8 bytes (at least twice CORE) that
     covers it also starts anywhere else, in the same text or another, overlaps
-    included; strings never cross texts and are judged on the input. Null texts
+    included; strings never cross texts and are judged on the input, by their bytes
+    or keyed digests of them, whatever the hashes of the sample say. Null texts
     are empty; repeated rows are texts of their own; null ids are carried. Extra
     columns are ignored; an empty table gives an empty result.
     """
@@ -160,15 +217,18 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     data = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
     rows = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(data).alias("hash")).alias("doc"), data.alias("data"))
     doc_kind = f"struct<id:{kind},hash:bigint>"
+    key = secrets.token_bytes(16)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sample(t.as_py(), length) for t in batch.column(1)]
-            owner = np.repeat(np.arange(batch.num_rows), [len(p) for p, _, _ in found])
-            pos, core, around = (np.concatenate([f[k] for f in found]) for k in range(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(pos), pa.array(core.view(np.int64)), pa.array(around.view(np.int64))], ["doc", "pos", "core", "around"])
-
-    sampled = staged(rows.mapInArrow(find, f"doc {doc_kind}, pos bigint, core bigint, around bigint"))
+            texts = [t.as_py() for t in batch.column(1)]
+            found = [sample(t, length) for t in texts]
+            owner = np.repeat(np.arange(batch.num_rows), [len(p) for p, _ in found])
+            pos, core = (np.concatenate([f[k] for f in found]) for k in range(2))
+            around = [x for t, (p, _) in zip(texts, found, strict=True) for x in surroundings(t, p, length, key)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(pos), pa.array(core.view(np.int64)), pa.array(around, pa.binary())], ["doc", "pos", "core", "around"])
+
+    sampled = staged(rows.mapInArrow(find, f"doc {doc_kind}, pos bigint, core bigint, around binary"))
     # Counts are written before they are joined: Spark splits a hot core's partition only
     # in a join that stands alone.
     cores = staged(sampled.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core"))
@@ -182,7 +242,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     # Rows that repeat a document repeat its surroundings, whose n is over 1 anyway. The
     # texts are dealt out by document once, here and for the removal below.
     cut = rows.join(wanted, "doc").select("core", "around", "n", "names", left.alias("left"), F.expr(f"substring(data, CAST(pos - least(pos, {w - 1}) + 1 AS INT), CAST(least(pos, {w - 1}) + {length} AS INT))").alias("bytes"))
-    spans_schema = "core bigint, around bigint, spans array<int>"
+    spans_schema = "core bigint, around binary, spans array<int>"
     solved = cut.filter(F.col("names") <= GROUP).groupBy("core").applyInArrow(lambda t: solve(t, length), spans_schema)
 
     # Cores with more names than a task sorts: a row for each string, counted by name.
@@ -192,12 +252,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                lefts, blobs = part.column(3).to_numpy(), part.column(4).to_pylist()
-                hashed = window_names(lefts, blobs, length)
-                distance = np.arange(w)[None, :]
-                r, d = np.nonzero((distance <= lefts[:, None]) & (lefts[:, None] - distance + length <= np.array([len(b) for b in blobs])[:, None]))
-                some = part.take(pa.array(r))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(d.astype(np.int32)), pa.array(hashed[r, d].view(np.int64))], ["core", "around", "n", "distance", "name"])
+                row, distance, name = [], [], []
+                for r, (left, blob) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
+                    for d in range(max(0, left + length - len(blob)), left + 1):
+                        row.append(r)
+                        distance.append(d)
+                        name.append(digest(blob[left - d : left - d + length], key))
+                some = part.take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(distance, pa.int32()), pa.array(name, pa.binary())], ["core", "around", "n", "distance", "name"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +271,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int32()))], ["core", "around", "spans"])
 
     if not wanted.filter(F.col("names") > GROUP).isEmpty():
-        strings = large.select("core", "around", "n", "left", "bytes").mapInArrow(spread, "core bigint, around bigint, n bigint, distance int, name bigint")
+        strings = large.select("core", "around", "n", "left", "bytes").mapInArrow(spread, "core bigint, around binary, n bigint, distance int, name binary")
         again = strings.groupBy("core", "distance", "name").agg(F.sum("n").alias("c")).filter("c > 1").drop("c")
         hits = strings.join(again, ["core", "distance", "name"], "left_semi").groupBy("core", "around").agg(F.collect_list("distance").alias("distances"))
         solved = solved.unionByName(hits.mapInArrow(gather, spans_schema))

@@ -9,11 +9,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from congruity.llm import quality, queries
+from congruity.llm import suffix_dedup as suffix_module
 from congruity.llm.bpe import Encoder, bpe_encode
 from congruity.llm.chat_format import escape, format_chats, read_back, read_turns, unescape
 from congruity.llm.common import shared_dir
@@ -23,7 +25,7 @@ from congruity.llm.exact_dedup import exact_dedup
 from congruity.llm.html_text import html_text, main_text, runs
 from congruity.llm.jaccard_join import depth_for, jaccard_join, recall, shingles
 from congruity.llm.license_scan import BASE_PHRASES, license_scan
-from congruity.llm.suffix_dedup import SEGMENT, sample, suffix_dedup
+from congruity.llm.suffix_dedup import SEGMENT, intervals, sample, solve, suffix_dedup
 from congruity.llm.token_files import PieceEncoder, read_token_files, with_crc32, write_token_files
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -264,6 +266,52 @@ def test_suffix_dedup_keeps_long_unique_texts(spark):
     assert got[1].spans == [] and len(got[1].kept) == 1000
 
 
+@pytest.mark.parametrize("group", [20_000, 1])
+def test_suffix_dedup_compares_bytes_where_hashes_collide(spark, monkeypatch, group):
+    monkeypatch.setattr("congruity.llm.suffix_dedup.GROUP", group)
+    word = [bin(k).count("1") % 2 for k in range(256)]  # its complement has the same hash modulo 2^64
+    t, u = ("".join("/K"[x ^ flip] for x in word) for flip in (0, 1))
+    rng = random.Random(21)
+    texts = []
+    for size in (192, 160, 128, 96):
+        gap = "".join(rng.choice("abcdefghij") for _ in range(size))
+        texts += [t + gap + u, u + gap + t]
+    texts += [prose(30, rng) + t + gap + u + prose(30, rng), "x" + texts[0]]
+    got = {r.doc_id: r for r in suffix_dedup(frame(spark, texts)).collect()}
+    data = [x.encode() for x in texts]
+    for i, (x, (n, kept)) in enumerate(zip(data, brute_suffix(data, 400), strict=True)):
+        assert (got[i].n_bytes, len(got[i].spans), bytes(got[i].kept)) == (len(x), n, kept)
+    assert [len(got[i].spans) for i in range(10)] == [1, 0, 0, 0, 0, 0, 1, 0, 1, 1]
+
+
+def test_suffix_groups_settle_by_bytes_even_if_all_hashes_are_equal(monkeypatch):
+    rng = random.Random(22)
+    parts = ["".join(rng.choice("ab") for _ in range(rng.randrange(30, 90))) for _ in range(6)]
+    blobs, lefts = [], []
+    for _ in range(40):
+        before, after = rng.choice(parts) + rng.choice(parts), rng.choice(parts) + rng.choice(parts)
+        before, after = before[-rng.randrange(1, 60) :], after[: rng.randrange(20, 90)]
+        blobs.append((before + "c" * 64 + after).encode())
+        lefts.append(len(before))
+    length = 124
+    w = length - 64 + 1
+    blobs = [b[max(0, n - w + 1) : n + length] for b, n in zip(blobs, lefts, strict=True)]
+    lefts = [min(n, w - 1) for n in lefts]
+    group = pa.table({"core": [1] * 40, "around": [bytes([i]) for i in range(40)], "n": [1] * 40, "left": pa.array(lefts, pa.int32()), "bytes": blobs})
+    right = solve(group, length)["spans"].to_pylist()
+    want = []
+    for i in range(40):
+        gone = np.zeros(w, bool)
+        for d in range(lefts[i] + 1):
+            own = blobs[i][lefts[i] - d : lefts[i] - d + length]
+            gone[d] = len(own) == length and any(j != i and lefts[j] >= d and blobs[j][lefts[j] - d : lefts[j] - d + length] == own for j in range(40))
+        want.append(intervals(gone, length))
+    assert right == want and any(want)
+    names = suffix_module.window_names
+    monkeypatch.setattr(suffix_module, "window_names", lambda *a: np.minimum(names(*a), np.uint64(1 << 40)))  # only fillers are smaller
+    assert solve(group, length)["spans"].to_pylist() == want
+
+
 # Jaccard join
 
 def brute_links(texts):
