@@ -12,8 +12,10 @@ the suffixes at every distance before it are sorted and adjacent ones compared.
 What is equal is covered, in every document that has the name.
 
 Arithmetic hashes choose the sample and the groups; they decide nothing. Names of
-surroundings are BLAKE2 digests of 128 bits under a key drawn for each run, and
-adjacent strings of a group are compared byte by byte.
+surroundings are BLAKE2 digests of 64 bits under a key drawn for each run, and
+adjacent strings of a group are compared byte by byte (in a group too large for one
+task, by digests of 96 bits). Before a document loses what a name says, a second digest of 128 bits under another key must agree, or the run
+stops.
 """
 
 from __future__ import annotations
@@ -73,8 +75,8 @@ def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[: n - w + 1], before[w - 1 : n])
 
 
-def digest(data: bytes, key: bytes, left: int = 0) -> bytes:
-    return blake2b(data, digest_size=16, key=key, person=left.to_bytes(4, "little")).digest()
+def digest(data: bytes, key: bytes, left: int = 0, size: int = 16) -> bytes:
+    return blake2b(data, digest_size=size, key=key, person=left.to_bytes(4, "little")).digest()
 
 
 def sample(data: bytes, length: int, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
@@ -99,11 +101,11 @@ def sample(data: bytes, length: int, segment: int = SEGMENT) -> tuple[np.ndarray
     return tuple(np.concatenate([np.zeros(0, kind), *x]) for x, kind in zip(found, kinds, strict=True))
 
 
-def surroundings(data: bytes, positions: np.ndarray, length: int, key: bytes) -> list[bytes]:
+def surroundings(data: bytes, positions: np.ndarray, length: int, key: bytes) -> np.ndarray:
     """Names of all bytes of the strings of ``length`` bytes that contain the core, and
     of where the core stands among them."""
     most, view = length - CORE, memoryview(data)
-    return [digest(view[max(0, p - most) : p + length], key, min(p, most)) for p in positions.tolist()]
+    return np.frombuffer(b"".join([digest(view[max(0, p - most) : p + length], key, min(p, most), 8) for p in positions.tolist()]), np.int64)
 
 
 def intervals(covered: np.ndarray, length: int) -> list[int]:
@@ -159,7 +161,7 @@ class Aligned:
         return np.array([r for same in by.values() if len(same) > 1 for r in same], np.int64)
 
 
-def solve(group: pa.Table, length: int) -> pa.Table:
+def solve(group: pa.Table, length: int, key: bytes = b"") -> pa.Table:
     """For the surroundings of one core: which bytes around it are covered. Strings
     are sorted by their hashes; adjacent ones of one hash are compared by their bytes."""
     lefts, blobs, many = group["left"].to_numpy(), group["bytes"].to_pylist(), group["n"].to_numpy() > 1
@@ -189,7 +191,8 @@ def solve(group: pa.Table, length: int) -> pa.Table:
                 covered[rows, d] = False
                 covered[aligned.repeated(rows, d), d] = True
     covered = (covered | many[:, None]) & exists
-    return pa.table({"core": group["core"], "around": group["around"], "spans": pa.array([intervals(c, length) for c in covered], pa.list_(pa.int32()))})
+    checks = [digest(b, key, n) for b, n in zip(blobs, lefts.tolist(), strict=True)]
+    return pa.table({"core": group["core"], "around": group["around"], "check": pa.array(checks, pa.binary()), "spans": pa.array([intervals(c, length) for c in covered], pa.list_(pa.int32()))})
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -217,7 +220,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     data = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
     rows = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(data).alias("hash")).alias("doc"), data.alias("data"))
     doc_kind = f"struct<id:{kind},hash:bigint>"
-    key = secrets.token_bytes(16)
+    key, second = secrets.token_bytes(16), secrets.token_bytes(16)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,10 +228,10 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
             found = [sample(t, length) for t in texts]
             owner = np.repeat(np.arange(batch.num_rows), [len(p) for p, _ in found])
             pos, core = (np.concatenate([f[k] for f in found]) for k in range(2))
-            around = [x for t, (p, _) in zip(texts, found, strict=True) for x in surroundings(t, p, length, key)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(pos), pa.array(core.view(np.int64)), pa.array(around, pa.binary())], ["doc", "pos", "core", "around"])
+            around = np.concatenate([surroundings(t, p, length, key) for t, (p, _) in zip(texts, found, strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(pos), pa.array(core.view(np.int64)), pa.array(around)], ["doc", "pos", "core", "around"])
 
-    sampled = staged(rows.mapInArrow(find, f"doc {doc_kind}, pos bigint, core bigint, around binary"))
+    sampled = staged(rows.mapInArrow(find, f"doc {doc_kind}, pos bigint, core bigint, around bigint"))
     # Counts are written before they are joined: Spark splits a hot core's partition only
     # in a join that stands alone.
     cores = staged(sampled.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core"))
@@ -242,8 +245,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     # Rows that repeat a document repeat its surroundings, whose n is over 1 anyway. The
     # texts are dealt out by document once, here and for the removal below.
     cut = rows.join(wanted, "doc").select("core", "around", "n", "names", left.alias("left"), F.expr(f"substring(data, CAST(pos - least(pos, {w - 1}) + 1 AS INT), CAST(least(pos, {w - 1}) + {length} AS INT))").alias("bytes"))
-    spans_schema = "core bigint, around binary, spans array<int>"
-    solved = cut.filter(F.col("names") <= GROUP).groupBy("core").applyInArrow(lambda t: solve(t, length), spans_schema)
+    spans_schema = "core bigint, around bigint, check binary, spans array<int>"
+    solved = cut.filter(F.col("names") <= GROUP).groupBy("core").applyInArrow(lambda t: solve(t, length, second), spans_schema)
 
     # Cores with more names than a task sorts: a row for each string, counted by name.
     large = cut.filter(F.col("names") > GROUP)
@@ -257,7 +260,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                     for d in range(max(0, left + length - len(blob)), left + 1):
                         row.append(r)
                         distance.append(d)
-                        name.append(digest(blob[left - d : left - d + length], key))
+                        name.append(digest(blob[left - d : left - d + length], key, size=12))
                 some = part.take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(distance, pa.int32()), pa.array(name, pa.binary())], ["core", "around", "n", "distance", "name"])
 
@@ -268,22 +271,28 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                 covered = np.zeros(w, bool)
                 covered[distances.values.to_numpy()] = True
                 spans.append(intervals(covered, length))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int32()))], ["core", "around", "spans"])
+            checks = [digest(b, second, n) for n, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(checks, pa.binary()), pa.array(spans, pa.list_(pa.int32()))], ["core", "around", "check", "spans"])
 
-    if not wanted.filter(F.col("names") > GROUP).isEmpty():
-        strings = large.select("core", "around", "n", "left", "bytes").mapInArrow(spread, "core bigint, around binary, n bigint, distance int, name binary")
+    if not per_core.filter(F.col("names") > GROUP).isEmpty():
+        strings = large.select("core", "around", "n", "left", "bytes").mapInArrow(spread, "core bigint, around bigint, n bigint, distance int, name binary")
         again = strings.groupBy("core", "distance", "name").agg(F.sum("n").alias("c")).filter("c > 1").drop("c")
         hits = strings.join(again, ["core", "distance", "name"], "left_semi").groupBy("core", "around").agg(F.collect_list("distance").alias("distances"))
+        hits = hits.join(large.select("core", "around", "left", "bytes"), ["core", "around"])
         solved = solved.unionByName(hits.mapInArrow(gather, spans_schema))
 
-    found = shared.join(solved.filter(F.size("spans") > 0), ["core", "around"]).groupBy("doc").agg(F.collect_list(F.struct("pos", "spans")).alias("found"))
+    found = shared.join(solved.filter(F.size("spans") > 0), ["core", "around"]).groupBy("doc").agg(F.collect_list(F.struct("pos", "check", "spans")).alias("found"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, spans, kept = [], [], []
             for data, found in zip(batch.column(1), batch.column(2), strict=True):
-                text = data.as_py()
-                gone = merged([(f["pos"] + a, f["pos"] + b) for f in found.as_py() or [] for a, b in zip(f["spans"][::2], f["spans"][1::2], strict=True)])
+                text, found = data.as_py(), found.as_py() or []
+                for f in found:
+                    left = min(f["pos"], length - CORE)
+                    if digest(text[f["pos"] - left : f["pos"] + length], second, left) != f["check"]:
+                        raise RuntimeError("two surroundings have one name: run again, under another key")
+                gone = merged([(f["pos"] + a, f["pos"] + b) for f in found for a, b in zip(f["spans"][::2], f["spans"][1::2], strict=True)])
                 stays, at = [], 0
                 for a, b in gone:
                     stays.append(text[at:a])
