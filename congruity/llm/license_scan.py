@@ -1,30 +1,25 @@
 """Licence detection with a positional rare-token index.
 
-Every template's words are postings (word, template, offset). The rarest licence
-words of the corpus, by document frequency, are the anchors: where a file has
-one, the template's start follows from the offset, and the words at that relative
-position are intersected with the template's postings, weighted by IDF. A label
-needs enough of that weight and its mandatory key phrase in full. All steps are
-DataFrame operations on arrays; the texts are never shuffled.
+The index is a table of postings (word, template, offset) of each template's rarest
+words by document frequency: as many as weigh together more than a place may lack.
+So a place without any of them cannot reach the share that labels it, and the words
+of a file that are in the index are its licence words of highest IDF. Each of them is
+looked up; a posting proposes where the template would start, and the words around
+are intersected with the template's by relative position, weighted by IDF. A label
+needs enough of that weight and all key phrases of the template. All steps are
+DataFrame operations; texts are read twice and never shuffled.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, words_of
-
-
-@dataclass(frozen=True)
-class Template:
-    label: str
-    words: str
-    key_phrase: str
-
+from .common import ascii_lower, staged, words_of
+from .license_texts import TEMPLATES, Template
 
 #: Phrases whose consecutive words give a label by themselves.
 BASE_PHRASES = {
@@ -33,43 +28,37 @@ BASE_PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Licence sentences and the phrase each must contain.
-TEMPLATES = (
-    Template("mit", "released under the mit license", "mit license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted free of charge"),
-    Template("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
-    Template("gpl-3", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    Template("gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    Template("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    Template("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2"),
-)
-
-#: Anchors looked up for each template; the least share of its weight that labels a place.
-ANCHORS, SHARE = 2, 0.8
+#: The least share of a template's weight that labels a place, and by how many words one
+#: may stand off its place.
+SHARE, SLACK = 0.8, 3
 
 
-def literal(words: list[str]) -> Column:
-    return F.array(*(F.lit(w) for w in words))
-
-
-def at(words: Column, start: Column, phrase: list[str]) -> Column:
-    """Whether ``phrase`` stands at ``start`` (from 0); false out of bounds."""
-    one = [F.coalesce(F.get(words, start + F.lit(k)) == F.lit(w), F.lit(False)) for k, w in enumerate(phrase)]
-    out = one[0]
-    for x in one[1:]:
-        out = out & x
-    return out
+def template_words(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
 
 
 def inverse_frequencies(docs_words: DataFrame, vocabulary: list[str]) -> dict[str, float]:
-    """IDF of each licence word over all documents; as many rows as the templates have words."""
-    counts = docs_words.select(F.explode(F.array_intersect("words", literal(vocabulary))).alias("word")).groupBy("word").count().collect()
+    """IDF of each licence word over all documents; as many rows as the templates have
+    words, and one (of the empty word) for the number of documents."""
+    own = F.array_distinct(F.filter("words", lambda w: w.isin(*vocabulary)))
+    counts = docs_words.select(F.explode(F.concat(own, F.array(F.lit("")))).alias("word")).groupBy("word").count().collect()
     seen = {r["word"]: r["count"] for r in counts}
-    n = max([1, *seen.values()])
+    n = seen.get("", 0)
     return {w: math.log((n + 1) / (seen.get(w, 0) + 1)) + 1 for w in vocabulary}
 
 
+def rare_offsets(words: list[str], idf: dict[str, float], share: float = SHARE) -> list[int]:
+    """Offsets of all occurrences of the rarest words, which together weigh more than
+    a place may lack."""
+    room, chosen = (1 - share) * sum(idf[w] for w in words) + 1e-9, set()
+    for w in sorted(set(words), key=lambda w: (-idf[w], w)):
+        if room < 0:
+            break
+        chosen.add(w)
+        room -= idf[w] * words.count(w)
+    return [k for k, w in enumerate(words) if w in chosen]
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] = BASE_PHRASES) -> DataFrame:
     """One row per input row: ``id_col``, n_words, n_base, first_word, last_word,
     base_labels, labels, score.
@@ -77,75 +66,88 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Words are runs of digits, a-z and characters beyond ASCII after lower-casing
     A-Z; null text is empty. n_base counts every place of a base phrase,
     first_word and last_word are the least and greatest start (null without any).
-    labels adds to base_labels what the templates give; score is the largest
-    share of a template's IDF weight found at one place, 1 where a base phrase
-    stands, 0 without any. Rows with equal or null ids are scanned one by one;
-    extra columns are ignored; an empty table gives an empty result.
+    labels adds to base_labels what the templates give, in alphabetical order however
+    many reach the share; score is the largest share of a template's IDF weight found
+    at one place, 1 where a base phrase stands, 0 without any. Words may stand up to
+    SLACK words off. Rows with equal or null ids are scanned one by one; extra columns
+    are ignored; an empty table gives an empty result.
     """
+    spark = docs.sparkSession
     words = words_of(ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
     rows = docs.select(F.col(f"`{id_col}`").alias(id_col), words.alias("words"))
-    split = [(t, t.words.split()) for t in templates]
-    phrases = {p: p.split() for p in base}
-    vocabulary = sorted({w for _, ws in split for w in ws} | {w for ws in phrases.values() for w in ws})
-    idf = inverse_frequencies(rows, vocabulary)
+    split, phrases = [template_words(t.text) for t in templates], {p: p.split() for p in base}
+    idf = inverse_frequencies(rows, sorted({w for ws in (*split, *phrases.values()) for w in ws}))
 
-    def rarest(ws: list[str], n: int) -> list[int]:
-        return sorted(range(len(ws)), key=lambda k: (-idf[ws[k]], k))[:n]
-
-    anchors = sorted({ws[k] for _, ws in split for k in rarest(ws, ANCHORS)} | {ws[rarest(ws, 1)[0]] for ws in phrases.values()})
-
-    # Positions of anchor words, one pass over the words of a file.
-    marked = F.transform("words", lambda w, i: F.when(w.isin(*anchors), i))
+    postings = [(ws[k], n, k) for n, ws in enumerate(split) for k in rare_offsets(ws, idf)]
+    index, longest = sorted({w for w, _, _ in postings}), max((len(ws) for ws in split), default=0)
+    anchor = {p: max(range(len(ws)), key=lambda k, ws=ws: (idf[ws[k]], -k)) for p, ws in phrases.items()}
+    marked = F.transform("words", lambda w, i: F.when(w.isin(*index, *(phrases[p][k] for p, k in anchor.items())), i))
     rows = rows.withColumn("spots", F.filter(marked, lambda i: i.isNotNull()))
 
-    def starts(ws: list[str], k: int, keep) -> Column:
-        """Starts at which the anchor at offset ``k`` stands and ``keep`` holds."""
-        return F.filter(F.transform(F.filter("spots", lambda i: F.get("words", i) == F.lit(ws[k])), lambda i: i - F.lit(k)), keep)
-
-    def full(ws: list[str]) -> Column:
-        return starts(ws, rarest(ws, 1)[0], lambda s: at(F.col("words"), s, ws))
-
-    for n, ws in enumerate(phrases.values()):
-        rows = rows.withColumn(f"base_{n}", full(ws))
+    def places(p: str) -> Column:
+        """Starts of a base phrase: where its rarest word stands among the others."""
+        ws, k = phrases[p], anchor[p]
 
-    def share(ws: list[str]) -> Column:
-        """The largest weighted share of ``ws`` at a start that an anchor proposes."""
-        total = sum(idf[w] for w in ws)
-        every = F.array_distinct(F.concat(*(starts(ws, k, lambda s: F.lit(True)) for k in rarest(ws, ANCHORS))))
-
-        def found(s: Column) -> Column:
-            out = F.lit(0.0)
-            for k, w in enumerate(ws):
-                out = out + F.when(F.get("words", s + F.lit(k)) == F.lit(w), F.lit(idf[w] / total)).otherwise(0.0)
+        def stands(i: Column) -> Column:
+            out = F.lit(True)
+            for j, w in enumerate(ws):
+                out = out & F.coalesce(F.get("words", i + F.lit(j - k)) == F.lit(w), F.lit(False))
             return out
 
-        return F.coalesce(F.array_max(F.transform(every, found)), F.lit(0.0))
+        return F.transform(F.filter("spots", stands), lambda i: i - F.lit(k))
+
+    def around(i: Column) -> Column:
+        first = F.greatest(i - F.lit(longest + SLACK), F.lit(0))
+        return F.struct(F.get("words", i).alias("word"), i.alias("at"), first.alias("first"), F.slice("words", first + 1, F.lit(2 * (longest + SLACK) + 1)).alias("words"))
+
+    rows = rows.withColumns({f"base_{n}": places(p) for n, p in enumerate(phrases)})
+    every = F.concat(*(F.col(f"base_{n}") for n in range(len(phrases))))
+    scanned = staged(
+        rows.select(
+            F.monotonically_increasing_id().alias("key"),
+            id_col,
+            F.size("words").cast("long").alias("n_words"),
+            F.size(every).cast("long").alias("n_base"),
+            F.array_min(every).cast("long").alias("first_word"),
+            F.array_max(every).cast("long").alias("last_word"),
+            F.array_compact(F.array(*(F.when(F.size(f"base_{n}") > 0, F.lit(label)) for n, label in enumerate(base.values())))).alias("base_labels"),
+            F.transform(F.filter("spots", lambda i: F.get("words", i).isin(*index)), around).alias("near"),
+        )
+    )
+
+    # As many rows as the templates have words: a proven bound for the broadcasts.
+    index_table = spark.createDataFrame(postings, "word string, template int, offset int")
+    template_table = spark.createDataFrame(
+        [(n, t.label, [(w, idf[w] / sum(idf[x] for x in ws)) for w in ws], [f" {' '.join(template_words(p))} " for p in t.key_phrases]) for n, (t, ws) in enumerate(zip(templates, split, strict=True))],
+        "template int, label string, parts array<struct<word:string,weight:double>>, phrases array<string>",
+    )
+    near = scanned.select("key", F.explode("near").alias("n")).select("key", "n.*")
+    found = near.join(F.broadcast(index_table), "word").join(F.broadcast(template_table), "template")
+    found = found.withColumn("start", F.col("at") - F.col("offset") - F.col("first"))  # among the words around
 
-    def mandatory(t: Template, ws: list[str]) -> Column:
-        key = t.key_phrase.split()
-        if key[rarest(key, 1)[0]] in anchors:
-            return F.size(full(key)) > 0
-        return F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).contains(f" {t.key_phrase} ")
+    def stretch(start: Column, n: Column) -> Column:
+        first = F.greatest(start, F.lit(0))
+        return F.slice("words", first + 1, F.greatest(start + n - first, F.lit(0)))
 
-    for n, (t, ws) in enumerate(split):
-        rows = rows.withColumn(f"share_{n}", F.when(F.size("spots") == 0, 0.0).otherwise(share(ws)))
-        rows = rows.withColumn(f"label_{n}", F.when((F.col(f"share_{n}") >= SHARE), F.when(mandatory(t, ws), F.lit(t.label))))
+    def weight(p: Column, k: Column) -> Column:
+        return F.when(F.array_contains(stretch(F.col("start") + k - F.lit(SLACK), F.lit(2 * SLACK + 1)), p["word"]), p["weight"]).otherwise(0.0)
 
-    places = F.concat(*(F.col(f"base_{n}") for n in range(len(phrases))))
-    base_labels = F.array(*(F.when(F.size(f"base_{n}") > 0, F.lit(label)) for n, label in enumerate(base.values())))
-    extra = F.array(*(F.col(f"label_{n}") for n in range(len(split))))
+    share = F.aggregate(F.transform("parts", weight), F.lit(0.0), lambda a, x: a + x)
+    text = F.concat(F.lit(" "), F.array_join(stretch(F.col("start") - F.lit(SLACK), F.size("parts") + F.lit(2 * SLACK)), " "), F.lit(" "))
+    whole = F.forall("phrases", lambda p: F.col("text").contains(p))
+    found = found.select("key", "label", "phrases", share.alias("share"), text.alias("text"))
+    best = found.groupBy("key").agg(F.least(F.max("share"), F.lit(1.0)).alias("share"), F.collect_set(F.when((F.col("share") >= SHARE - 1e-9) & whole, F.col("label"))).alias("more"))
 
     def joined(labels: Column) -> Column:
-        return F.array_join(F.array_sort(F.array_distinct(F.array_compact(labels))), ",")
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
 
-    best = F.greatest(*(F.col(f"share_{n}") for n in range(len(split))), F.lit(0.0))
-    return rows.select(
+    return scanned.drop("near").join(best, "key", "left").select(
         id_col,
-        F.size("words").cast("long").alias("n_words"),
-        F.size(places).cast("long").alias("n_base"),
-        F.array_min(places).cast("long").alias("first_word"),
-        F.array_max(places).cast("long").alias("last_word"),
-        joined(base_labels).alias("base_labels"),
-        joined(F.concat(base_labels, extra)).alias("labels"),
-        F.when(F.size(places) > 0, 1.0).otherwise(F.least(best, F.lit(1.0))).alias("score"),
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        joined(F.col("base_labels")).alias("base_labels"),
+        joined(F.concat("base_labels", F.coalesce("more", F.array().cast("array<string>")))).alias("labels"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )
