@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 from typing import Any
 
 #: The words a specification may use.
@@ -25,11 +26,26 @@ def require(ok: object, message: str) -> None:
         raise SpecError(message)
 
 
-def check_tolerances(tolerance: float | None, tolerance_pct: float | None) -> None:
-    require(tolerance is None or tolerance >= 0, "tolerance must not be negative")
+#: A number, or "absolute" and "percentage" by name.
+Tolerance = float | dict[str, float] | None
+
+
+def check_tolerances(tolerance: Tolerance, tolerance_pct: float | None) -> None:
+    named = tolerance if isinstance(tolerance, dict) else {"absolute": tolerance}
+    require(named.keys() <= {"absolute", "percentage"}, "a tolerance is absolute or percentage")
+    require(all(x is None or x >= 0 for x in named.values()), "tolerance must not be negative")
     require(tolerance_pct is None or 0 <= tolerance_pct <= 100, "tolerance_pct must be from 0 to 100")
 
 
+def limits(tolerance: Tolerance, tolerance_pct: float | None = None) -> tuple[float | None, float | None]:
+    """The absolute limit and that in per cent; tolerance_pct goes before all others."""
+    if tolerance_pct is not None:
+        return None, tolerance_pct
+    if isinstance(tolerance, dict):
+        return tolerance.get("absolute"), tolerance.get("percentage")
+    return tolerance, None
+
+
 @dataclass(frozen=True)
 class RowFilter:
     """One predicate; all filters of a side hold together."""
@@ -91,7 +107,7 @@ class AggregateRule:
     target_column: str | None = None
     source_group_by: tuple[str, ...] = ()
     target_group_by: tuple[str, ...] = ()
-    tolerance: float | None = None
+    tolerance: Tolerance = None
     tolerance_pct: float | None = None
     enabled: bool = True
 
@@ -121,9 +137,11 @@ class QualityRule:
     allowed: tuple[Any, ...] = ()
     minimum: float | None = None
     maximum: float | None = None
+    tolerance: Tolerance = None
     enabled: bool = True
 
     def __post_init__(self) -> None:
+        check_tolerances(self.tolerance, None)
         object.__setattr__(self, "rule", self.rule.upper())
         object.__setattr__(self, "apply_to", self.apply_to.upper())
         object.__setattr__(self, "allowed", tuple(self.allowed))
@@ -165,6 +183,8 @@ class ReconSpec:
     pair_order: str = "aligned"
     key_mode: str = "common"
     detect_key_changes: bool = False
+    #: Rows from which a key is cut into pieces; 0 where no key can be that frequent.
+    hot_rows: int = 1_000_000
 
     def __post_init__(self) -> None:
         require(self.levels and set(self.levels) <= set(LEVELS), f"levels must be among {LEVELS}")
@@ -205,9 +225,43 @@ class ReconSpec:
 
     def check(self, source_columns: list[str], target_columns: list[str]) -> None:
         """Whether all columns it names exist."""
-        for side, columns, names in (
-            ("source", source_columns, [s for s, _ in self.keys] + [f.field for f in self.source_filters]),
-            ("target", target_columns, [t for _, t in self.keys] + [f.field for f in self.target_filters]),
-        ):
+        groups = [*self.groups.grouping, *(m for m, _ in self.groups.aggregations)] if self.groups else []
+        mapped = [m for m in self.mappings if m.source not in self.ignore_source]
+        aggregates, quality = [r for r in self.aggregates if r.enabled], [r for r in self.quality if r.enabled]
+        source = [s for s, _ in self.keys] + [f.field for f in self.source_filters] + [m.source for m in (*mapped, *groups)]
+        target = [t for _, t in self.keys] + [f.field for f in self.target_filters] + [m.target for m in (*mapped, *groups)]
+        for r in aggregates:
+            source += [*r.source_group_by, *([r.source_column] if r.source_column else [])]
+            target += [*r.target_group_by, *([r.target_column] if r.target_column else [])]
+        source += [r.source_column for r in quality if r.apply_to != "TARGET"]
+        target += [r.target_column for r in quality if r.apply_to != "SOURCE"]
+        for side, columns, names in (("source", source_columns, source), ("target", target_columns, target)):
             for n in names:
                 require(n in columns, f"no column {n} in the {side}")
+
+    def to_json(self) -> str:
+        """The whole specification as text; ``from_json`` reads it back."""
+        return json.dumps(asdict(self), default=lambda x: sorted(x) if isinstance(x, frozenset) else str(x), sort_keys=True)
+
+    @classmethod
+    def from_json(cls, text: str) -> ReconSpec:
+        """A specification from text; unknown names are refused."""
+        p = json.loads(text)
+        require(isinstance(p, dict), "a specification is an object")
+
+        def made(kind: type, rows: list[dict]) -> tuple:
+            known = {f.name for f in fields(kind)}
+            for r in rows:
+                require(set(r) <= known, f"unknown names {sorted(set(r) - known)}")
+            return tuple(kind(**r) for r in rows)
+
+        require(set(p) <= {f.name for f in fields(cls)}, f"unknown names {sorted(set(p) - {f.name for f in fields(cls)})}")
+        p["keys"] = tuple(tuple(k) for k in p.get("keys", ()))
+        p |= {n: frozenset(p.get(n, ())) for n in ("ignore_source", "ignore_target")}
+        p |= {n: made(kind, p.get(n, [])) for n, kind in (("mappings", Mapping), ("source_filters", RowFilter), ("target_filters", RowFilter), ("aggregates", AggregateRule), ("quality", QualityRule))}
+        if p.get("groups"):
+            g = p["groups"]
+            p["groups"] = GroupSpec(made(Mapping, g.get("grouping", [])), tuple((made(Mapping, [m])[0], op) for m, op in g.get("aggregations", [])))
+        if "levels" in p:
+            p["levels"] = tuple(p["levels"])
+        return cls(**p)
