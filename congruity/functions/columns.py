@@ -84,6 +84,23 @@ def usable(columns: list[str]) -> Column:
     return every([col(c).isNotNull() & (F.trim(col(c).cast("string")) != "") for c in columns])
 
 
+def exact_type(a: T.DataType, b: T.DataType) -> T.DecimalType | None:
+    """A decimal for the differences of two whole or decimal types."""
+    digits = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
+    sizes = [(t.precision - t.scale, t.scale) if isinstance(t, T.DecimalType) else (digits.get(type(t)), 0) for t in (a, b)]
+    if any(whole is None for whole, _ in sizes):
+        return None
+    whole, scale = max(w for w, _ in sizes) + 1, max(n for _, n in sizes)
+    return T.DecimalType(min(whole + scale, 38), scale)
+
+
+def gap(s: Column, st: T.DataType, t: Column, tt: T.DataType) -> Column:
+    """target less source as a double; whole numbers and decimals are subtracted exactly
+    (where 38 digits hold them)."""
+    rough, exact = number(t, tt) - number(s, st), exact_type(st, tt)
+    return F.coalesce(F.try_subtract(t.try_cast(exact), s.try_cast(exact)).cast("double"), rough) if exact else rough
+
+
 def within(s: Column, t: Column, st: T.DataType, tt: T.DataType, m: Mapping) -> Column:
     """Whether two values match: equal (nulls too), or within the tolerance, where
     both are numbers and the percentage goes before the absolute one."""
@@ -93,9 +110,8 @@ def within(s: Column, t: Column, st: T.DataType, tt: T.DataType, m: Mapping) ->
         return F.coalesce(s.cast("string").rlike(m.regex) & t.cast("string").rlike(m.regex), F.lit(False))
     if not (is_numeric(st) and is_numeric(tt)) or m.tolerance is None and m.tolerance_pct is None:
         return same
-    gap = F.abs(t.cast("double") - s.cast("double"))
     limit = F.abs(s.cast("double")) * (m.tolerance_pct / 100) if m.tolerance_pct is not None else F.lit(float(m.tolerance))
-    return same | F.coalesce(gap <= limit, F.lit(False))
+    return same | F.coalesce(F.abs(gap(s, st, t, tt)) <= limit, F.lit(False))
 
 
 def rate_pct(n: Column, d: Column, zero: float | None = 0.0) -> Column:

@@ -11,16 +11,17 @@ FAILING = ("FAIL", "FAILED", "SKIPPED", "CANCELLED")
 
 
 def volume_record(volume: DataFrame, records: DataFrame) -> DataFrame:
-    """One row: do the row counts differ by what is extra less what is missing?
-
-    Rows without a key and surplus rows of a key are part of the counts, so a
-    difference is explained in full only without them; ``explained`` says so."""
-    both = volume.join(records, F.lit(True))
+    """One row: by how much the row counts differ, and what of it is extra less missing,
+    rows without a key, and rows of a key beyond those it pairs with on the other side;
+    ``explained`` says whether the terms add up."""
+    both = volume.join(records, F.lit(True))  # one row each
     out = both.select(
         (F.col("target_total_rows") - F.col("source_total_rows")).alias("volume_difference"),
         (F.col("extra") - F.col("missing")).alias("record_difference"),
+        (F.col("unmatchable_target") - F.col("unmatchable_source")).alias("keyless_difference"),
+        (F.col("matched_target") - F.col("matched_source")).alias("surplus_difference"),
     )
-    return out.withColumn("explained", F.col("volume_difference") == F.col("record_difference"))
+    return out.withColumn("explained", F.expr("volume_difference = record_difference + keyless_difference + surplus_difference"))
 
 
 def field_deltas(mismatches: DataFrame) -> DataFrame:

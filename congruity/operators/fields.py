@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col, is_numeric, normalize, normalized_type, number, rate_pct, within
+from ..functions.columns import col, gap, is_numeric, normalize, normalized_type, rate_pct, within
 from ..spec import Mapping, ReconSpec
 from .records import MATCHED
 
@@ -36,10 +36,10 @@ def field_mismatches(records: DataFrame, pairs: list[Mapping], n_keys: int = 1)
     cells = []
     for m in pairs:
         s, t, a, b = values(m, st[m.source], tt[m.target])
-        gap = number(t, b) - number(s, a) if is_numeric(a) and is_numeric(b) else F.lit(None).cast("double")
+        difference = gap(s, a, t, b) if is_numeric(a) and is_numeric(b) else F.lit(None).cast("double")
         cell = F.struct(
             F.lit(m.source).alias("source_column"), F.lit(m.target).alias("target_column"), text(col(m.source, "s"), st[m.source]).alias("source_value"),
-            text(col(m.target, "t"), tt[m.target]).alias("target_value"), gap.alias("difference"), F.lit(m.comparison).alias("comparison"),
+            text(col(m.target, "t"), tt[m.target]).alias("target_value"), difference.alias("difference"), F.lit(m.comparison).alias("comparison"),
         )
         cells.append(F.when(mismatch(m, st[m.source], tt[m.target]), cell))
     matched = records.filter(F.col("status") == MATCHED)
@@ -56,12 +56,16 @@ def field_stats(records: DataFrame, pairs: list[Mapping]) -> DataFrame:
     return out.select("x.source_column", "compared", "x.mismatches", rate_pct(F.col("compared") - F.col("mismatches"), F.col("compared"), 100.0).alias("conformity_pct"))
 
 
+def mismatches_of(records: DataFrame, pairs: list[Mapping]) -> Column:
+    """Cells of a matched pair that differ; 0 of others."""
+    st, tt = fields_of(records, "s"), fields_of(records, "t")
+    count = sum((mismatch(m, st[m.source], tt[m.target]).cast("long") for m in pairs), F.lit(0).cast("long"))
+    return F.when(F.col("status") == MATCHED, count).otherwise(0)
+
+
 def field_metrics(records: DataFrame, pairs: list[Mapping], n_keys: int = 1) -> DataFrame:
     """One row: matched pairs, compared cells, mismatches, keys with any, rates, status."""
-    st, tt = fields_of(records, "s"), fields_of(records, "t")
-    bad = [mismatch(m, st[m.source], tt[m.target]) for m in pairs]
-    count = sum((b.cast("long") for b in bad), F.lit(0).cast("long"))
-    rows = records.filter(F.col("status") == MATCHED).select(*(f"k{i}" for i in range(n_keys)), count.alias("n"))
+    rows = records.filter(F.col("status") == MATCHED).select(*(f"k{i}" for i in range(n_keys)), mismatches_of(records, pairs).alias("n"))
     per_key = rows.groupBy(*(f"k{i}" for i in range(n_keys))).agg(F.count(F.lit(1)).alias("p"), F.sum("n").alias("n"))
     row = per_key.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("matched_pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("mismatches"), F.count_if(F.col("n") > 0).alias("keys_with_mismatch"))
     row = row.withColumn("compared", F.col("matched_pairs") * len(pairs))
@@ -75,10 +79,10 @@ def field_metrics(records: DataFrame, pairs: list[Mapping], n_keys: int = 1) ->
 
 
 def row_hash(df: DataFrame, columns: list[tuple[str, dict]]) -> Column:
-    """SHA-256 of a row's normalised values; nulls carry a flag of their own, so no
-    text can pass for one."""
+    """SHA-256 of a row's normalised values. Nulls carry a flag of their own and texts
+    their length, so no values can pass for others."""
     parts = []
     for name, how in columns:
         v = text(normalize(col(name), df.schema[name].dataType, how), df.schema[name].dataType)
-        parts.append(F.concat(F.when(v.isNull(), "0").otherwise("1"), F.coalesce(v, F.lit(""))))
-    return F.sha2(F.concat_ws("\x1f", *parts), 256)
+        parts.append(F.coalesce(F.concat(F.lit("1"), F.length(v).cast("string"), F.lit(":"), v), F.lit("0")))
+    return F.sha2(F.concat(*parts), 256)

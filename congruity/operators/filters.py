@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import operator
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,8 @@ COMPARE = {"=": operator.eq, "!=": operator.ne, ">": operator.gt, ">=": operator
 def predicate(f: RowFilter, t: T.DataType | None = None, null_is_unequal: bool = False) -> Column:
     """SQL's three-valued logic; with ``null_is_unequal`` a null is unequal to any value.
 
-    Text (``t`` a string type) compared with a number is read as a number where it is
-    one, and is null where it is not.
+    Text (``t`` a string type) compared with a number, date or moment is read as one
+    where it is one, and is null where it is not.
     """
     c = col(f.field)
     if f.operator == "IS NULL":
@@ -28,6 +29,8 @@ def predicate(f: RowFilter, t: T.DataType | None = None, null_is_unequal: bool =
     values = f.value if f.operator == "IN" else (f.value,)
     if isinstance(t, T.StringType) and all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in values):
         c = c.try_cast("double")
+    if isinstance(t, T.StringType) and values and all(isinstance(v, date) for v in values):
+        c = c.try_cast("timestamp" if any(isinstance(v, datetime) for v in values) else "date")
     if f.operator == "IN":
         return c.isin(*f.value)
     if f.operator == "!=" and null_is_unequal:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col, every, kind, number, percent_change, rate_pct
-from ..spec import Mapping, QualityRule, ReconSpec, require
+from ..spec import Mapping, QualityRule, ReconSpec, limits, require
 from .records import MATCHED, UNMATCHABLE, reconcile_records
 
 SCHEMA = "rule string, side string, total long, failed long, pass_pct double"
@@ -45,6 +45,31 @@ def quality_checks(source: DataFrame, target: DataFrame, rules: tuple[QualityRul
     return out
 
 
+def quality_verdicts(checks: DataFrame, rules: tuple[QualityRule, ...]) -> DataFrame:
+    """rule, source_failed, target_failed, source_rate, target_rate, matched: a row per rule.
+
+    A rule of both sides holds where they fail alike, a rule of one side where it does
+    not fail, within its tolerance: a number or "absolute" counts rows for VALIDITY and
+    per cent points of the rate for others, "percentage" is of the rate for all and goes
+    first. Without any, rates of both sides must be equal."""
+    on = {r.name: r for r in rules if r.enabled}
+    rate, side = rate_pct(F.col("failed"), F.col("total")), F.col("side")
+    pick = [F.max(F.when(side == x, c)).alias(f"{x.lower()}_{what}") for x in ("SOURCE", "TARGET") for what, c in (("failed", F.col("failed")), ("rate", rate))]
+    out = checks.filter(F.col("rule").isin(*on)).groupBy("rule").agg(*pick)
+
+    def near(r: QualityRule) -> Column:
+        absolute, pct = limits(r.tolerance)
+        what, limit = ("failed", absolute) if r.rule == "VALIDITY" and pct is None and absolute is not None else ("rate", pct if pct is not None else absolute)
+        a, b = F.col(f"source_{what}"), F.col(f"target_{what}")
+        far = F.abs(b - a) if r.apply_to == "BOTH" else a if r.apply_to == "SOURCE" else b
+        return F.coalesce(far <= F.lit(float(limit or 0)), F.lit(False))
+
+    matched = F.lit(False)
+    for r in on.values():
+        matched = F.when(F.col("rule") == r.name, near(r)).otherwise(matched)
+    return out.withColumn("matched", matched)
+
+
 def failing_rows(df: DataFrame, rule: QualityRule, name: str) -> DataFrame:
     return df.filter(violation(df, rule, name))
 
@@ -115,6 +140,7 @@ def conditional(df: DataFrame, column: str, equals, then_column: str, then: str)
     return df.agg(F.count_if(applies).alias("applicable"), F.count_if(applies & bad).alias("failed"))
 
 
+#: The names of transformations.
 TRANSFORMS = {"IDENTITY": lambda c, a: c, "LOWER": lambda c, a: F.lower(c), "UPPER": lambda c, a: F.upper(c), "STRIP": lambda c, a: F.trim(c), "ROUND": lambda c, a: F.round(c, a)}
 
 

@@ -16,7 +16,7 @@ Reader = Callable[[SparkSession, dict], DataFrame]
 WHOLE = r"^[+-]?\d{1,18}$"
 DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)$"
 MOMENT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
-TRUTH = ("true", "false")
+TRUE, FALSE = ("true", "yes"), ("false", "no")
 
 
 def csv_schema(rows: DataFrame) -> T.StructType:
@@ -32,7 +32,7 @@ def csv_schema(rows: DataFrame) -> T.StructType:
         v = F.when(v != "", v)
         point = F.when(v.rlike(DECIMAL), v)
         aggs += [
-            F.count(v).alias(f"n{i}"), F.count_if(F.lower(v).isin(*TRUTH)).alias(f"b{i}"), F.count_if(v.rlike(WHOLE)).alias(f"w{i}"), F.count(point).alias(f"d{i}"),
+            F.count(v).alias(f"n{i}"), F.count_if(F.lower(v).isin(*TRUE, *FALSE)).alias(f"b{i}"), F.count_if(v.rlike(WHOLE)).alias(f"w{i}"), F.count(point).alias(f"d{i}"),
             F.count_if(v.rlike(MOMENT) & v.try_cast("timestamp").isNotNull()).alias(f"t{i}"), F.count_if(v.isNull()).alias(f"e{i}"),
             F.max(F.length(F.regexp_replace(F.regexp_extract(point, r"^[+-]?(\d*)", 1), "^0+", ""))).alias(f"p{i}"), F.max(F.length(F.regexp_extract(point, r"\.(\d+)$", 1))).alias(f"s{i}"),
         ]
@@ -68,6 +68,9 @@ def read_csv(spark: SparkSession, p: dict) -> DataFrame:
     picked = []
     for c in text.columns:
         v = F.trim(col(c))
+        if isinstance(kinds[c], T.BooleanType):
+            v = F.lower(v)
+            v = F.when(v.isin(*TRUE), "true").when(v.isin(*FALSE), "false").otherwise("")
         picked.append((col(c) if isinstance(kinds[c], T.StringType) else F.when(v != "", v).try_cast(kinds[c])).alias(c))
     return text.select(*picked)
 
@@ -147,6 +150,16 @@ def sizes(spark: SparkSession, path: str) -> DataFrame:
     return files.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
 
 
+def analyze(df: DataFrame) -> DataFrame:
+    """One row: rows, columns, and of all columns how many are numbers, text, moments, or
+    have nulls, from one aggregate."""
+    count = {"numeric": T.NumericType, "text": T.StringType, "temporal": (T.DateType, T.TimestampType, T.TimestampNTZType)}
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(col(c).isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)))
+    with_nulls = sum((F.when(F.col(f"n{i}") > 0, 1).otherwise(0) for i in range(len(df.columns))), F.lit(0))
+    kinds = [F.lit(sum(isinstance(f.dataType, t) for f in df.schema.fields)).alias(name) for name, t in count.items()]
+    return row.select("rows", F.lit(len(df.columns)).alias("columns"), *kinds, with_nulls.alias("with_nulls"))
+
+
 def describe(df: DataFrame) -> DataFrame:
     """ordinal, column, type, nullable."""
     rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)]
