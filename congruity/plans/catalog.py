@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, correlate, fields, filters, groups, profile, quality, records, schema_diff
+from ..sources import readers
 from ..spec import AggregateRule, GroupSpec, Mapping, QualityRule, ReconSpec, RowFilter
+from ..streaming import events
 from . import perturb
 from .perturb import build
-from .reconcile import Reconciliation
+from .reconcile import Reconciliation, latest_results, page
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,30 +79,30 @@ def pairs_sql(s: str, t: str, keys: list[tuple[str, str]], columns: list[tuple[s
         named = ", ".join([*(f"{k[n]} AS k{i}" for i, k in enumerate(keys)), *(f"{c[n]} AS v_{c[0]}" for c in columns)])
         by = ", ".join(f"{order.get(c[0], 'v_' + c[0]).replace('@', 'v_' + c[0])} NULLS FIRST" for c in columns)
         return f"""{name}0 AS (SELECT {named} FROM {name}),
-        {name}1 AS (SELECT *, row_number() OVER (PARTITION BY {k_list} ORDER BY {by}) AS ord, count(*) OVER (PARTITION BY {k_list}) AS kc FROM {name}0 WHERE {' AND '.join(f'{k} IS NOT NULL' for k in ks)}),
-        {name}2 AS (SELECT {k_list}, count(*) AS n FROM {name}1 GROUP BY {k_list})"""
+        {name}1 AS (SELECT *, row_number() OVER (PARTITION BY {k_list} ORDER BY {by}) AS ord, count(*) OVER (PARTITION BY {k_list}) AS kc FROM {name}0 WHERE {' AND '.join(f'{k} IS NOT NULL' for k in ks)})"""
 
-    def numbered(name: str, other: str) -> str:
-        return f"""{name}3 AS (SELECT a.*, coalesce(b.n, 0) AS pop, CASE WHEN b.n > 0 AND a.ord > b.n THEN 1 ELSE a.ord END AS p FROM {name}1 a LEFT JOIN {other}2 b ON {on})"""
+    def values(of_s: str, of_t: str) -> str:
+        one = [f"{of_s}.v_{c[0]} AS s_{c[0]}" if of_s else f"NULL AS s_{c[0]}" for c in columns] + [f"{of_t}.v_{c[0]} AS t_{c[0]}" if of_t else f"NULL AS t_{c[0]}" for c in columns]
+        return ", ".join(one)
 
-    vs = ", ".join(f"a.v_{c[0]} AS s_{c[0]}, b.v_{c[0]} AS t_{c[0]}" for c in columns)
-    bad = {n: " OR ".join(f"{k} IS NULL" for k in ks) for n in "st"}
-    s_only = ", ".join(f"v_{c[0]}, NULL" for c in columns)
-    t_only = ", ".join(f"NULL, v_{c[0]}" for c in columns)
-    return f"""WITH s AS ({s}), t AS ({t}), {side('s', 0)}, {side('t', 1)}, {numbered('s', 't')}, {numbered('t', 's')},
+    bad = " OR ".join(f"a.{k} IS NULL" for k in ks)
+    a_list = ", ".join(f"a.{k}" for k in ks)
+    return f"""WITH s AS ({s}), t AS ({t}), {side('s', 0)}, {side('t', 1)},
         pairs AS (
-            SELECT {', '.join(f'coalesce(a.{k}, b.{k}) AS {k}' for k in ks)},
-                   CASE WHEN a.p IS NOT NULL AND b.p IS NOT NULL THEN 'MATCHED' WHEN a.p IS NOT NULL THEN 'MISSING_IN_TARGET' ELSE 'EXTRA_IN_TARGET' END AS status,
-                   {vs}, coalesce(a.kc, b.pop) AS source_key_count, coalesce(b.kc, a.pop) AS target_key_count, a.ord AS source_ordinal, b.ord AS target_ordinal
-            FROM s3 a FULL JOIN t3 b ON {on} AND a.p = b.p
-            UNION ALL SELECT {k_list}, 'UNMATCHABLE_SOURCE', {s_only}, NULL, NULL, NULL, NULL FROM s0 WHERE {bad['s']}
-            UNION ALL SELECT {k_list}, 'UNMATCHABLE_TARGET', {t_only}, NULL, NULL, NULL, NULL FROM t0 WHERE {bad['t']}
+            SELECT {a_list}, 'MATCHED' AS status, {values('a', 'b')}, a.kc AS source_key_count, b.kc AS target_key_count, a.ord AS source_ordinal, b.ord AS target_ordinal
+            FROM s1 a JOIN t1 b ON {on} AND (a.ord = b.ord OR b.ord = 1 AND a.ord > b.kc OR a.ord = 1 AND b.ord > a.kc)
+            UNION ALL BY NAME SELECT {a_list}, 'MISSING_IN_TARGET' AS status, {values('a', '')}, a.kc AS source_key_count, 0 AS target_key_count, a.ord AS source_ordinal FROM s1 a ANTI JOIN t1 b ON {on}
+            UNION ALL BY NAME SELECT {a_list}, 'EXTRA_IN_TARGET' AS status, {values('', 'a')}, 0 AS source_key_count, a.kc AS target_key_count, a.ord AS target_ordinal FROM t1 a ANTI JOIN s1 b ON {on}
+            UNION ALL BY NAME SELECT {a_list}, 'UNMATCHABLE_SOURCE' AS status, {values('a', '')} FROM s0 a WHERE {bad}
+            UNION ALL BY NAME SELECT {a_list}, 'UNMATCHABLE_TARGET' AS status, {values('', 'a')} FROM t0 a WHERE {bad}
         )"""
 
 
 ORDER_NAMES = [(c, c) for c in ("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")]
 PAIRS_O = pairs_sql(perturb.ORDERS_S, perturb.ORDERS_T, [("o_orderkey", "o_orderkey")], ORDER_NAMES)
 PAIRS_OL = pairs_sql(perturb.ORDERS_S, perturb.ORDERS_T, [("o_orderkey", "o_orderkey")], ORDER_NAMES, {"o_orderpriority": "lower(trim(@))"})
+PAIRS_ST = pairs_sql(perturb.ORDERS_S, perturb.ORDERS_T, [("o_orderstatus", "o_orderstatus")], [(c, c) for c in ("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")])
+PAIRS_CC = pairs_sql(perturb.CUSTOMER_S, perturb.CUSTOMER_S, [("c_custkey", "c_custkey")], [(c, c) for c in ("c_name", "c_nationkey", "c_acctbal", "c_mktsegment")])
 PAIRS_C = pairs_sql(perturb.CUSTOMER_S, perturb.CUSTOMER_T, [("c_custkey", "id")], [("c_name", "full_name"), ("c_nationkey", "nation"), ("c_acctbal", "balance"), ("c_mktsegment", "segment")])
 PAIRS_L = pairs_sql(perturb.LINEITEM_S, perturb.LINEITEM_T, [("l_orderkey", "l_orderkey"), ("l_linenumber", "l_linenumber")], [(c, c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")])
 S_AND_T = f"WITH s AS ({perturb.ORDERS_S}), t AS ({perturb.ORDERS_T})"
@@ -199,6 +205,13 @@ def l3_pairs_with_duplicates(spark, d):
     return lines(spark, d).records.select(*keep, F.col("s.l_partkey").alias("source_part"), F.col("t.l_partkey").alias("target_part"))
 
 
+@query(f"{PAIRS_ST} SELECT k0, status, source_key_count, target_key_count, source_ordinal, target_ordinal, s_o_custkey AS source_customer, t_o_custkey AS target_customer FROM pairs")
+def l3_frequent_keys(spark, d):
+    """Keys with up to half of all rows."""
+    found = orders(spark, d, ReconSpec(keys=(("o_orderstatus", "o_orderstatus"),), hot_rows=400)).records
+    return found.select("k0", "status", "source_key_count", "target_key_count", "source_ordinal", "target_ordinal", F.col("s.o_custkey").alias("source_customer"), F.col("t.o_custkey").alias("target_customer"))
+
+
 COVERAGE = """, n AS (
     SELECT count(*) FILTER (status = 'MATCHED') AS matched_pairs, count(DISTINCT (k0, source_ordinal)) FILTER (status = 'MATCHED') AS matched_source,
            count(DISTINCT (k0, target_ordinal)) FILTER (status = 'MATCHED') AS matched_target, count(*) FILTER (status = 'MISSING_IN_TARGET') AS missing,
@@ -261,6 +274,16 @@ def l3_group_summary(spark, d):
     return row.select("source_groups", "target_groups", "common_groups", "missing_groups", "extra_groups", "row_count_failed", "duplicate_failed", "mismatch_groups", "source_coverage_pct", "status")
 
 
+@query(f"""{UNRESOLVED}, {grouped_sql('se', 'te')}
+    SELECT g0, 'GROUP_PRESENCE' AS check_name, CASE WHEN source_rows > 0 THEN 'PRESENT' ELSE 'ABSENT' END AS source_value, CASE WHEN target_rows > 0 THEN 'PRESENT' ELSE 'ABSENT' END AS target_value, CASE WHEN both_sides THEN 'PASS' ELSE 'FAIL' END AS status FROM gr
+    UNION ALL SELECT g0, 'ROW_COUNT', source_rows::VARCHAR, target_rows::VARCHAR, CASE WHEN row_count_failed THEN 'FAIL' ELSE 'PASS' END FROM gr WHERE both_sides
+    UNION ALL SELECT g0, 'DUPLICATE_ROWS', source_rows::VARCHAR, target_rows::VARCHAR, 'FAIL' FROM gr WHERE both_sides AND duplicate_failed
+    UNION ALL SELECT g0, 'MODE(o_orderpriority)', s_a1, t_a1, CASE WHEN v1 THEN 'FAIL' ELSE 'PASS' END FROM gr WHERE both_sides AND (s_a1 IS NOT NULL OR t_a1 IS NOT NULL)""")
+def l3_group_evidence(spark, d):
+    found = groups.fallback_groups(orders(spark, d, ORDERS_GROUPED).records, ORDERS_GROUPED)
+    return groups.evidence_rows(found, BY_CUSTOMER).filter("check_name != 'SUM(o_totalprice)'")
+
+
 @query("SELECT p_brand, arg_min(p_type, (-n, p_type)) AS mode FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL) GROUP BY p_brand")
 def group_mode(spark, d):
     return groups.mode(spark.read.parquet(f"{d}/part.parquet").select("p_brand", "p_type"), ["p_brand"], "p_type")
@@ -331,7 +354,7 @@ def l4_metrics(spark, d):
     return orders(spark, d).metrics("L4")
 
 
-@query("SELECT c_custkey, sha256(concat('1', trim(lower(c_name)), chr(31), CASE WHEN c_mktsegment = '' THEN '0' ELSE concat('1', c_mktsegment) END)) AS row_hash FROM (" + perturb.CUSTOMER_S + ")")
+@query("SELECT c_custkey, sha256(concat('1', length(trim(c_name)), ':', trim(lower(c_name)), CASE WHEN c_mktsegment = '' THEN '0' ELSE concat('1', length(c_mktsegment), ':', c_mktsegment) END)) AS row_hash FROM (" + perturb.CUSTOMER_S + ")")
 def l4_row_hash(spark, d):
     s = build(spark, d, perturb.CUSTOMER_S)
     return s.select("c_custkey", fields.row_hash(s, [("c_name", LOOSE), ("c_mktsegment", {"empty_as_null": True})]).alias("row_hash"))
@@ -383,6 +406,14 @@ def l5_minmax(spark, d):
     return checks(orders(spark, d), by_group("low", "MIN", "o_totalprice"), by_group("last", "MAX", "o_orderdate"))
 
 
+@query(f"""{C_AND_T}, a AS (SELECT count(c_mktsegment) AS v, count(*) FILTER (c_mktsegment IS NULL OR c_mktsegment = '') AS n FROM s), b AS (SELECT count(segment) AS v, count(*) FILTER (segment IS NULL OR segment = '') AS n FROM t)
+    SELECT r AS rule, CAST(a.v AS DOUBLE) AS source_value, CAST(b.v AS DOUBLE) AS target_value, a.n AS source_nulls, b.n AS target_nulls, abs(b.v - a.v) <= greatest(x, a.v * y / 100) AS matched FROM a, b, (VALUES ('exact', 0, 0), ('rows', 3, 0), ('either', 1, 12)) AS w(r, x, y)""")
+def l5_null_counts(spark, d):
+    r = customers(spark, d)
+    rules = [AggregateRule(n, "COUNT", "c_mktsegment", "segment", tolerance=t) for n, t in (("exact", None), ("rows", 3), ("either", {"absolute": 1, "percentage": 12}))]
+    return aggregates.aggregate_checks(r.source, r.target, tuple(rules)).select("rule", "source_value", "target_value", "source_nulls", "target_nulls", "matched")
+
+
 # Level 6
 
 def quality_sql(rule: str, conditions: dict[str, str], head: str) -> str:
@@ -463,9 +494,30 @@ def dq_scalar_pair(spark, d):
     return quality.scalar_pair(r.source, r.target, "count(DISTINCT o_custkey)", "count(DISTINCT o_custkey)", 5.0)
 
 
+@query(f"""{C_AND_T}, a AS (SELECT count(*) FILTER (NOT coalesce(c_acctbal BETWEEN 0 AND 8000, false)) AS f, count(*) AS n FROM s), b AS (SELECT count(*) FILTER (NOT coalesce(balance BETWEEN 0 AND 8000, false)) AS f, count(*) AS n FROM t),
+    v AS (SELECT a.f AS source_failed, b.f AS target_failed, round(a.f / a.n * 100, 2) AS source_rate, round(b.f / b.n * 100, 2) AS target_rate FROM a, b)
+    SELECT 'rows' AS rule, *, abs(target_failed - source_failed) <= 5 AS matched FROM v UNION ALL SELECT 'rate', *, abs(target_rate - source_rate) <= 2 AS matched FROM v
+    UNION ALL SELECT 'source', source_failed, NULL, source_rate, NULL, source_rate <= 40 FROM v""")
+def dq_validity_tolerance(spark, d):
+    ranges = {"minimum": 0, "maximum": 8000}
+    rules = (
+        QualityRule("rows", "VALIDITY", "c_acctbal", "balance", tolerance=5, **ranges), QualityRule("rate", "VALIDITY", "c_acctbal", "balance", tolerance={"percentage": 2}, **ranges),
+        QualityRule("source", "VALIDITY", "c_acctbal", apply_to="SOURCE", tolerance={"percentage": 40, "absolute": 1}, **ranges),
+    )
+    return quality.quality_verdicts(quality_of(customers(spark, d), *rules), rules)
+
+
+@query(f"{C_AND_T} SELECT c_custkey FROM s WHERE c_mktsegment IS NULL OR trim(c_mktsegment) = ''")
+def dq_failing_rows(spark, d):
+    return quality.failing_rows(customers(spark, d).source, QualityRule("segment", "COMPLETENESS", "c_mktsegment", "segment"), "c_mktsegment").select("c_custkey")
+
+
 # Across levels
 
-@query(f"{PAIRS_O}, n AS (SELECT (SELECT count(*) FROM t) - (SELECT count(*) FROM s) AS volume_difference, (SELECT count(*) FILTER (status = 'EXTRA_IN_TARGET') - count(*) FILTER (status = 'MISSING_IN_TARGET') FROM pairs) AS record_difference) SELECT *, volume_difference = record_difference AS explained FROM n")
+@query(f"""{PAIRS_O}, n AS (SELECT (SELECT count(*) FROM t) - (SELECT count(*) FROM s) AS volume_difference, count(*) FILTER (status = 'EXTRA_IN_TARGET') - count(*) FILTER (status = 'MISSING_IN_TARGET') AS record_difference,
+    count(*) FILTER (status = 'UNMATCHABLE_TARGET') - count(*) FILTER (status = 'UNMATCHABLE_SOURCE') AS keyless_difference,
+    (SELECT count(*) FROM t1 WHERE k0 IN (SELECT k0 FROM s1)) - (SELECT count(*) FROM s1 WHERE k0 IN (SELECT k0 FROM t1)) AS surplus_difference FROM pairs)
+    SELECT *, volume_difference = record_difference + keyless_difference + surplus_difference AS explained FROM n""")
 def l7_volume_record(spark, d):
     r = orders(spark, d)
     return correlate.volume_record(r.metrics("L2"), r.metrics("L3"))
@@ -486,6 +538,113 @@ def l7_schema_field(spark, d):
     return correlate.schema_field(r.schema(), r.field_stats())
 
 
-@query("SELECT 4 AS levels, 4 AS failed_levels, 'CRITICAL' AS severity, 'FAIL' AS status")
+def rollup_sql(pairs: str, schema: str, nulls: str, cells: str, keys: tuple[str, str]) -> str:
+    return f"""{pairs}, l AS (
+        SELECT 'L1' AS level, {schema} AS ok UNION ALL SELECT 'L2', (SELECT count(*) FROM s) = (SELECT count(*) FROM t) AND (SELECT count(DISTINCT {keys[0]}) FROM s) = (SELECT count(DISTINCT {keys[1]}) FROM t) AND {nulls}
+        UNION ALL SELECT 'L3', NOT EXISTS (SELECT * FROM pairs WHERE status <> 'MATCHED') UNION ALL SELECT 'L4', NOT EXISTS (SELECT * FROM pairs WHERE status = 'MATCHED' AND ({cells})))
+    SELECT count(*) AS levels, count(*) FILTER (NOT ok) AS failed_levels, CASE WHEN bool_or(NOT ok AND level IN ('L2', 'L3')) THEN 'CRITICAL' WHEN bool_or(NOT ok) THEN 'HIGH' ELSE 'INFO' END AS severity,
+           CASE WHEN bool_and(ok) THEN 'PASS' ELSE 'FAIL' END AS status FROM l"""
+
+
+LEVELS_1_TO_4 = ("L1", "L2", "L3", "L4")
+ANY_CELL = " OR ".join(f"s_{c} IS DISTINCT FROM t_{c}" for c in CUSTOMER_GAPS)
+
+
+@query(rollup_sql(PAIRS_C, "false", "(SELECT count(c_mktsegment) - count(*) FROM s) = (SELECT count(segment) - count(*) FROM t)", ANY_CELL, ("c_custkey", "id")))
 def run_rollup(spark, d):
-    return customers(spark, d, ReconSpec(keys=CUSTOMERS.keys, mappings=CUSTOMERS.mappings, ignore_target=CUSTOMERS.ignore_target, levels=("L1", "L2", "L3", "L4"))).rollup()
+    return customers(spark, d, replace(CUSTOMERS, levels=LEVELS_1_TO_4)).rollup()
+
+
+@query(rollup_sql(PAIRS_CC, "true", "true", ANY_CELL, ("c_custkey", "c_custkey")))
+def run_rollup_of_equals(spark, d):
+    s = build(spark, d, perturb.CUSTOMER_S)
+    return Reconciliation(s, s, ReconSpec(keys=(("c_custkey", "c_custkey"),), levels=LEVELS_1_TO_4)).rollup()
+
+
+@query("""WITH r AS (SELECT o_custkey AS run_id, o_orderpriority AS task_id, epoch(o_orderdate) * 1000000 + o_orderkey AS created_at, o_orderkey AS result FROM orders), d AS (SELECT DISTINCT o_custkey AS run_id, o_orderpriority AS task_id FROM orders WHERE o_orderstatus = 'F')
+    SELECT run_id, task_id, arg_max(result, created_at) AS result FROM r JOIN d USING (run_id, task_id) GROUP BY run_id, task_id""")
+def latest_of_runs(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    named = [F.col("o_custkey").alias("run_id"), F.col("o_orderpriority").alias("task_id")]
+    results = o.select(*named, (F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey")).alias("created_at"), F.col("o_orderkey").alias("result"))
+    tasks = o.select(*named, F.when(F.col("o_orderstatus") == "F", "SUCCESS").otherwise("FAILED").alias("state"))
+    return latest_results(results, tasks).select("run_id", "task_id", "result")
+
+
+@query(cells(PAIRS_O, ORDER_GAPS) + " ORDER BY k0, source_ordinal, target_ordinal, source_column LIMIT 50 OFFSET 50")
+def report_page(spark, d):
+    found = orders(spark, d).mismatches().select("k0", *CELL)
+    return page(found, ["k0", "source_ordinal", "target_ordinal", "source_column"], 2, 50)
+
+
+# Sources
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/congruity-{uuid.uuid4().hex}"
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, n_regionkey = 1 AS flag, CASE WHEN n_nationkey % 5 <> 0 THEN n_nationkey / 4 END AS share, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (n_nationkey) DAY AS at FROM nation")
+def source_csv(spark, d):
+    path, n = scratch(spark), spark.read.parquet(f"{d}/nation.parquet")
+    flag = F.when(F.col("n_regionkey") == 1, "Yes").otherwise("no")
+    share = F.when(F.col("n_nationkey") % 5 != 0, F.format_string("%.2f", F.col("n_nationkey") / 4))
+    n.select("n_nationkey", "n_name", "n_regionkey", flag.alias("flag"), share.alias("share"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("n_nationkey")).cast("string").alias("at")).write.option("header", True).csv(path)
+    return readers.default_registry().read(spark, "CSV", {"path": path}).withColumns({"share": F.col("share").cast("double"), "at": F.col("at").cast("timestamp_ntz")})
+
+
+@query("SELECT f AS format, r_regionkey, r_name FROM region, (VALUES ('parquet'), ('orc'), ('json'), ('table')) AS x(f)")
+def source_formats(spark, d):
+    known, region = readers.default_registry(), spark.read.parquet(f"{d}/region.parquet")
+    region.createOrReplaceTempView("congruity_region")
+    out = known.read(spark, "table", {"name": "congruity_region"}).select(F.lit("table").alias("format"), "r_regionkey", "r_name")
+    for name in ("parquet", "orc", "json"):
+        path = scratch(spark)
+        region.write.format(name).save(path)
+        out = out.unionByName(known.read(spark, name, {"path": path}).select(F.lit(name).alias("format"), F.col("r_regionkey").cast("int").alias("r_regionkey"), "r_name"))
+    return out
+
+
+@query("""SELECT row_number() OVER () - 1 AS ordinal, column_name AS "column", CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(column_type) END AS type FROM (DESCRIBE SELECT * FROM customer)""")
+def source_schema(spark, d):
+    return readers.describe(spark.read.parquet(f"{d}/customer.parquet")).select("ordinal", "column", "type")
+
+
+@query(f"WITH t AS ({perturb.CUSTOMER_T}) SELECT count(*) AS rows, 6 AS columns, 4 AS numeric, 2 AS text, 0 AS temporal, CAST(count(*) > count(segment) AS INTEGER) AS with_nulls FROM t")
+def source_analysis(spark, d):
+    return readers.analyze(build(spark, d, perturb.CUSTOMER_T))
+
+
+@query("SELECT 'customer' AS name, true AS opens UNION ALL SELECT 'nothing', false")
+def source_test(spark, d):
+    known = readers.default_registry()
+    found = [(n, known.test(spark, "parquet", {"path": f"{d}/{n}.parquet"})[0]) for n in ("customer", "nothing")]
+    return spark.createDataFrame(found, "name string, opens boolean")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1995-03-01' AND o_orderdate < TIMESTAMP '1997-01-01 12:00:00'")
+def filter_dates_in_text(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("string").alias("at"))
+    return filters.apply_filters(o, (RowFilter("at", ">=", date(1995, 3, 1)), RowFilter("at", "<", datetime(1997, 1, 1, 12)))).select("o_orderkey")
+
+
+# Streams, over tables
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS \"start\", time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_window_counts(spark, d):
+    return as_moments(events.window_counts(stream(spark, d), "ts", "1 hour", "1 hour", by=("event_type",)))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER o <= INTERVAL 3 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e)
+    SELECT min(ts) AS "start", max(ts) + INTERVAL 3 HOUR AS "end", user_id, count(*) AS n FROM g GROUP BY user_id, session""")
+def stream_sessions(spark, d):
+    return as_moments(events.sessions(stream(spark, d), "ts", "1 hour", "3 hours", "user_id"))
+
+
+def stream(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def as_moments(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -52,6 +53,33 @@ def test_n_and_m_rows_of_a_key_give_the_larger_number_of_pairs(spark, source, ta
     assert (m.source_rows, m.target_rows) == (len(source), len(target))
 
 
+def rows_of(records):
+    return Counter((x.k0, x.status, x.source_key_count, x.target_key_count, x.source_ordinal, x.target_ordinal, x.s and (x.s.name, x.s.n), x.t and (x.t.name, x.t.n)) for x in records.collect())
+
+
+@pytest.mark.parametrize("hot_rows", [1, 40, 2000])
+def test_a_key_of_half_of_all_rows_is_cut_into_pieces(spark, hot_rows):
+    rng = random.Random(1)
+    s = [("hot" if rng.random() < 0.5 else rng.choice("abcdefgh "), rng.choice(["x", None, "y"]), rng.randrange(50)) for _ in range(900)] + [(None, "z", 1)] * 30 + [("only", "s", 1)] * 50
+    t = [("hot" if rng.random() < 0.5 else rng.choice("abcdefgk "), rng.choice(["x", None, "y"]), rng.randrange(50)) for _ in range(700)] + [("other", "t", 1)] * 60
+    source, target = frame(spark, s).repartition(3), frame(spark, t).repartition(5)
+    plain, cut = (rows_of(reconcile(source, target, ReconSpec(keys=SPEC.keys, hot_rows=h)).records) for h in (0, hot_rows))
+    assert plain == cut and sum(n for row, n in cut.items() if row[:2] == ("hot", "MATCHED")) == max(sum(k == "hot" for k, *_ in side) for side in (s, t))
+    assert sum(n for row, n in cut.items() if row[1] == "MISSING_IN_TARGET" and row[0] == "only") == 50
+
+
+def test_keyless_rows_of_both_sides_never_meet(spark):
+    same = frame(spark, [(None, "x", 1)] * 5 + [(" ", "y", 2)] * 3)
+    got = Counter((x.status, x.s is None, x.t is None, x.source_key_count) for x in reconcile(same, same, SPEC).records.collect())
+    assert got == {("UNMATCHABLE_SOURCE", False, True, None): 8, ("UNMATCHABLE_TARGET", True, False, None): 8}
+
+
+def test_one_exchange_pairs_both_sides(spark):
+    r = reconcile(frame(spark, SOURCE), frame(spark, TARGET), ReconSpec(keys=SPEC.keys, hot_rows=0)).records
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_a_dataset_agrees_with_itself_and_sides_swap(spark):
     good = frame(spark, [x for x in SOURCE if x[0] and x[0].strip()])
     r = reconcile(good, good, SPEC)
@@ -158,6 +186,34 @@ def test_mode_breaks_ties_by_text_and_keeps_null_groups(spark):
     assert {(x.g0, x.s_a0) for x in both.collect()} == {("g", "a"), (None, "z")}
 
 
+def test_row_hash_tells_where_a_value_ends(spark):
+    df = spark.createDataFrame([("a\x1f1b", "c"), ("a", "b\x1f1c"), ("11:a", ""), ("1", "1:a"), (None, "0"), ("0", None)], "v string, w string")
+    assert df.select(fields.row_hash(df, [("v", {}), ("w", {})]).alias("h")).distinct().count() == 6
+
+
+def test_large_numbers_are_subtracted_exactly(spark):
+    s, t = frame(spark, [("a", 2**53), ("b", 5)], "k string, n long"), frame(spark, [("a", 2**53 + 1), ("b", 5)], "k string, n long")
+    for tolerance, keys in ((0, {"a"}), (1, set())):
+        spec = ReconSpec(keys=SPEC.keys, mappings=(Mapping("n", "n", tolerance=tolerance),))
+        assert {x.k0 for x in reconcile(s, t, spec).mismatches().collect()} == keys
+    assert reconcile(s, t, SPEC).mismatches().first().difference == 1.0
+    sums = aggregates.aggregate_checks(s, t, (AggregateRule("n", "SUM", "n"), AggregateRule("max", "MAX", "n", tolerance=0), AggregateRule("near", "SUM", "n", tolerance={"absolute": 1})))
+    assert {(x.rule, x.difference, x.matched) for x in sums.collect()} == {("n", 1.0, False), ("max", 1.0, False), ("near", 1.0, True)}
+    d = spark.sql("SELECT 'a' AS k, CAST('99999999999999999999999999999999999999' AS DECIMAL(38,0)) AS n")
+    assert reconcile(d, d, ReconSpec(keys=SPEC.keys, mappings=(Mapping("n", "n", tolerance=0),))).metrics("L4").first().status == "PASS"
+
+
+def test_two_modes_and_other_aggregates_of_a_group(spark):
+    s = frame(spark, [("a", "x", 1), ("a", "x", 2), ("a", "y", 2), ("b", None, None), (None, "z", 3)])
+    t = frame(spark, [("a", "x", 1), ("a", "x", 2), ("a", "z", 2), ("b", "q", None), (None, "z", 4)])
+    pairs = ((Mapping("name", "name"), "MODE"), (Mapping("n", "n"), "MODE"), (Mapping("n", "n"), "AVG"), (Mapping("n", "n"), "COUNT"), (Mapping("name", "name"), "MAX"))
+    found = groups.group_recon(s, t, GroupSpec((Mapping("k", "k"),), pairs))
+    got = {x.g0: tuple(x[f"{side}_a{i}"] for side in "st" for i in range(5)) for x in found.collect()}
+    assert got == {"a": ("x", 2, 5 / 3, "3", "y", "x", 2, 5 / 3, "3", "z"), "b": (None, None, None, "0", None, "q", None, None, "0", "q"), None: ("z", 3, 3.0, "1", "z", "z", 4, 4.0, "1", "z")}
+    rows = {(x.g0, x.check_name): x.status for x in groups.evidence_rows(found, GroupSpec((Mapping("k", "k"),), pairs)).collect()}
+    assert rows["a", "MAX(name)"] == "FAIL" and rows["a", "DUPLICATE_ROWS"] == "FAIL" and rows["b", "COUNT(n)"] == "PASS" and ("b", "AVG(n)") not in rows
+
+
 def test_row_hash_tells_null_from_its_name(spark):
     df = spark.createDataFrame([("0",), (None,), ("1",), ("",)], "v string")
     assert df.select(fields.row_hash(df, [("v", {})]).alias("h")).distinct().count() == 4

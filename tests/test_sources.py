@@ -1,9 +1,12 @@
+from datetime import date, datetime
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from congruity.sources.readers import csv_schema, databases, default_registry, describe, empty, read_csv, sizes, tables
-from congruity.spec import SpecError
+from congruity.operators.filters import apply_filters
+from congruity.sources.readers import analyze, catalogs, csv_schema, databases, default_registry, describe, empty, read_csv, read_jdbc, sizes, tables
+from congruity.spec import RowFilter, SpecError
 
 
 def write(path, text):
@@ -32,6 +35,32 @@ def test_late_values_decide_too(spark, tmp_path):
     assert csv_schema(spark.read.option("header", True).csv(path)).fields[0].dataType == T.StringType()
 
 
+def test_yes_and_no_are_truth_values(spark, tmp_path):
+    df = read_csv(spark, {"path": write(tmp_path / "y.csv", "a,b\nYes,1\nno,0\n,1\ntrue,0\n")})
+    assert df.schema["a"].dataType == T.BooleanType() and df.schema["b"].dataType == T.LongType()
+    assert [r.a for r in df.collect()] == [True, False, None, True]
+
+
+def test_filters_read_dates_in_text(spark):
+    df = spark.createDataFrame([("2024-01-02",), ("2024-03-01 10:00:00",), ("nope",), (None,)], "at string")
+    assert apply_filters(df, (RowFilter("at", ">", date(2024, 2, 1)),)).count() == 1
+    assert apply_filters(df, (RowFilter("at", ">=", datetime(2024, 3, 1, 10)),)).count() == 1
+    assert apply_filters(df, (RowFilter("at", "IN", [date(2024, 1, 2)]),)).count() == 1
+
+
+def test_analysis(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, None, None)], "n int, t string, d date")
+    assert analyze(df).first().asDict() == {"rows": 2, "columns": 3, "numeric": 1, "text": 1, "temporal": 1, "with_nulls": 2}
+    assert "spark_catalog" in catalogs(spark)
+
+
+def test_jdbc_options_name_what_is_read(spark):
+    with pytest.raises(Exception, match="(?i)driver|jdbc"):
+        read_jdbc(spark, {"url": "jdbc:none://host/db", "table": "t"})
+    ok, why = default_registry().test(spark, "postgres", {"url": "jdbc:postgresql://host/db", "query": "SELECT 1", "user": "u", "password": "p", "column": "id", "lower": 0, "upper": 9, "partitions": 2})
+    assert not ok and why
+
+
 def test_registry_and_discovery(spark, tmp_path):
     r = default_registry()
     spark.range(3).write.parquet(f"{tmp_path}/p")

@@ -47,6 +47,45 @@ def test_ignoring_one_side_of_a_mapping_ignores_both():
     assert [m.source for m in spec.pairs(["k", "a", "c", "d"], ["k", "b", "c"])] == ["c"]
 
 
-def test_named_columns_must_exist():
+@pytest.mark.parametrize(
+    "part",
+    [
+        {"mappings": (Mapping("a", "typo"),)},
+        {"mappings": (Mapping("typo", "a"),)},
+        {"source_filters": (RowFilter("typo", "=", 1),)},
+        {"aggregates": (AggregateRule("r", "SUM", "a", "typo"),)},
+        {"aggregates": (AggregateRule("r", "COUNT", source_group_by=("typo",)),)},
+        {"quality": (QualityRule("r", "COMPLETENESS", "a", "typo"),)},
+        {"groups": GroupSpec((Mapping("a", "a"),), ((Mapping("a", "typo"), "SUM"),))},
+        {"keys": (("k", "typo"),)},
+    ],
+)
+def test_named_columns_must_exist(part):
+    with pytest.raises(SpecError):
+        ReconSpec(**{"keys": (("k", "k"),)} | part).check(["k", "a"], ["k", "a"])
+
+
+def test_what_is_off_or_ignored_need_not_exist():
+    ReconSpec(
+        keys=(("k", "k"),), mappings=(Mapping("gone", "a"),), ignore_source=frozenset(("gone",)),
+        aggregates=(AggregateRule("r", "SUM", "typo", enabled=False),), quality=(QualityRule("r", "COMPLETENESS", "a", apply_to="SOURCE"),),
+    ).check(["k", "a"], ["k", "a"])
+
+
+def test_specifications_are_read_back_from_json():
+    spec = ReconSpec(
+        keys=(("k", "id"),), mappings=(Mapping("a", "b", {"trim": True}, tolerance=1.5),), ignore_target=frozenset(("x", "y")), source_filters=(RowFilter("a", "in", ["1", "2"]),),
+        aggregates=(AggregateRule("r", "SUM", "a", "b", ("g",), tolerance={"absolute": 1.0, "percentage": 2.0}),), quality=(QualityRule("q", "VALIDITY", "a", "b", allowed=("u", "v")),),
+        groups=GroupSpec((Mapping("g", "g"),), ((Mapping("a", "b"), "MODE"),)), levels=("L1", "L3"), detect_key_changes=True,
+    )
+    assert ReconSpec.from_json(spec.to_json()) == spec and ReconSpec.from_json("{}") == ReconSpec()
+    for bad in ('{"key": []}', '{"mappings": [{"source": "a", "target": "b", "tolerence": 1}]}', "[]", '{"levels": ["L9"]}'):
+        with pytest.raises(SpecError):
+            ReconSpec.from_json(bad)
+
+
+def test_tolerances_by_name():
+    with pytest.raises(SpecError):
+        AggregateRule("r", "COUNT", tolerance={"relative": 1})
     with pytest.raises(SpecError):
-        ReconSpec(keys=(("k", "k"),)).check(["k"], ["x"])
+        QualityRule("r", "COMPLETENESS", "a", "a", tolerance={"absolute": -1})
