@@ -2,11 +2,15 @@
 
 The vocabulary file is that of a public tokenizer whose words end in ``</w>`` and
 whose token ids follow the order of its merges. Words are strings over 512
-symbols: a byte, or a last byte. An Aho-Corasick automaton finds the longest
-token at a place; a token is taken if it can stand behind the one before it,
-which a table of compatible pairs says (filled as pairs turn up); if not, shorter
-prefixes are tried, and with none left the encoder steps back. This gives the same
-tokens as merging pairs by rank, in linear time.
+symbols: a byte, or a last byte. One pass of an Aho-Corasick automaton over a word
+finds the longest token at every place; a token is taken if it can stand behind the
+one before it, which a table of compatible pairs says (filled as pairs turn up); if
+not, shorter prefixes are tried, and with none left the encoder steps back. This
+gives the same tokens as merging pairs by rank, in linear time.
+
+The library that defines the ids knows other versions of Unicode than Python does.
+Pieces with a character on which they may differ (unassigned here, or combined in
+another way there) are normalised and cut into words by the library itself.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import string
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -25,15 +29,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, normalizers
 
 #: The white space and the word pattern of the vocabulary's tokenizer.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
-#: Words that a worker remembers before it starts anew, and bytes of output to a batch.
-REMEMBERED, BATCH_BYTES = 300_000, 16 << 20
-#: No token is longer.
-LONGEST = 256
+#: Pieces that a worker remembers before it starts anew, characters of the longest one
+#: that it remembers, and bytes of output to a batch.
+REMEMBERED, LONG, BATCH_BYTES = 300_000, 64, 16 << 20
 
 
 def byte_letters() -> list[str]:
@@ -43,15 +47,37 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+@lru_cache(1)
+def unsure() -> np.ndarray:
+    """Which code points Python and the library may treat differently."""
+    out = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+    library = normalizers.NFC()
+
+    def differs(text: str) -> bool:
+        return library.normalize_str(text) != unicodedata.normalize("NFC", text)
+
+    for c in range(0x300, 0x110000):
+        if out[c] or 0xAC00 <= c < 0xE000:  # syllables and surrogates follow a rule
+            continue
+        x = chr(c)
+        if unicodedata.category(x)[0] == "M":  # before and behind marks of other classes
+            out[c] = any(differs(t) for t in (f"a{x}\u0301", f"a\u0345{x}", f"a\u0334{x}\u0301", f"a\u0301{x}\u0323"))
+        parts = unicodedata.decomposition(x)
+        if parts and parts[0] != "<" and (differs(x) or differs(unicodedata.normalize("NFD", x))):
+            out[[c, *(ord(p) for p in unicodedata.normalize("NFD", x))]] = True
+    return out
+
+
 class Encoder:
     """Encodes and decodes with one vocabulary file."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        of_byte = {c: b for b, c in enumerate(byte_letters())}
+        self.of_byte = of_byte = {c: b for b, c in enumerate(byte_letters())}
 
         def symbols(token: str) -> str:
             last = token.endswith(WORD_END)
@@ -61,12 +87,12 @@ class Encoder:
         n = max([*vocab.values(), *self.special.values()]) + 1
         self.text, self.parts, self.whole = [""] * n, [(i, i) for i in range(n)], {}
         names = [b""] * n
-        self.trie = ahocorasick.Automaton()
+        self.automaton = ahocorasick.Automaton()
         for token, i in vocab.items():
             names[i] = token.encode()
             self.text[i] = symbols(token)
-            self.trie.add_word(self.text[i], i)
-        self.trie.make_automaton()
+            self.automaton.add_word(self.text[i], i)
+        self.automaton.make_automaton()
         for a, b in (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]):
             i = vocab[a + b]
             self.parts[i] = vocab[a], vocab[b]
@@ -83,6 +109,11 @@ class Encoder:
         self.offset = np.concatenate(([0], np.cumsum([len(x) + 1 for x in names])))
         self.blob = np.frombuffer(b"".join(x + b" " for x in names), np.uint8)
         self.seen: dict[str, bytes] = {}
+        self.unsure = unsure()
+
+    @cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
 
     def shorter(self, token: int) -> int | None:
         """The longest token that is a proper prefix of ``token``."""
@@ -114,22 +145,21 @@ class Encoder:
         self.compatible[left, right] = ok
         return ok
 
-    def longest(self, word: str) -> int:
-        """The longest token that ``word`` starts with."""
-        k = self.trie.longest_prefix(word)
-        while (token := self.ids.get(word[:k])) is None:
-            k -= 1
-        return token
+    def longest(self, word: str) -> list[int]:
+        """The longest token that starts at each place of ``word``."""
+        out, length = [0] * len(word), self.length
+        for end, token in self.automaton.iter(word):  # ends ascend, so the last of a start is the longest
+            out[end + 1 - length[token]] = token
+        return out
 
-    def word_ids(self, word: str) -> list[int]:
-        data = word.encode()
+    def word_ids(self, data: bytes) -> list[int]:
         s = data[:-1].decode("latin-1") + chr(data[-1] + 256)
         if (token := self.ids.get(s)) is not None:
             return [token]
         found: list[int] = []
-        length, compatible, n = self.length, self.compatible, len(s)
+        length, compatible, longest, n = self.length, self.compatible, self.longest(s), len(s)
         closed: set[int] = set()  # places from which no tokens can follow
-        pos, token = 0, self.longest(s[:LONGEST])
+        pos, token = 0, longest[0]
         while pos < n:
             while token is not None:
                 end = pos + length[token]
@@ -139,7 +169,7 @@ class Encoder:
             if token is not None:
                 found.append(token)
                 pos = end
-                token = self.longest(s[pos : pos + LONGEST]) if pos < n else None
+                token = longest[pos] if pos < n else None
             else:  # nothing can stand here: the token before was too long
                 closed.add(pos)
                 token = found.pop()
@@ -147,8 +177,8 @@ class Encoder:
         return found
 
     def piece(self, piece: str) -> bytes:
-        """Ids of a piece without white space, as little-endian 32-bit integers;
-        letters with punctuation behind them are two words."""
+        """Ids of a normalised piece without white space, as little-endian 32-bit
+        integers; letters with punctuation behind them are two words."""
         if len(self.seen) >= REMEMBERED:
             self.seen.clear()
         stem = piece.rstrip(string.punctuation)
@@ -156,20 +186,37 @@ class Encoder:
             end = piece[len(stem) :]
             return (self.seen.get(stem) or self.piece(stem)) + (self.seen.get(end) or self.piece(end))
         words = [piece] if stem.isalpha() else self.word.findall(piece)
-        self.seen[piece] = out = array("I", [i for w in words for i in self.word_ids(w)]).tobytes()
+        if len(words) == 1:
+            out = array("I", self.word_ids(words[0].encode())).tobytes()
+        else:
+            out = b"".join(self.seen.get(w) or self.piece(w) for w in words)
+        if len(piece) <= LONG:
+            self.seen[piece] = out
         return out
 
+    def cut_by_library(self, piece: str) -> bytes:
+        """Ids of a raw piece without white space, cut into words by the library."""
+        words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
+        return array("I", [i for w, _ in words for i in self.word_ids(bytes(self.of_byte[c] for c in w))]).tobytes()
+
+    def normalised(self, text: str) -> bytes:
+        text = (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
+        pieces = [p for p in self.spaces.split(text) if p] if self.control.search(text) else text.split()
+        get, piece = self.seen.get, self.piece
+        return b"".join([get(p) or piece(p) for p in pieces])
+
+    def is_unsure(self, text: str) -> bool:
+        return not text.isascii() and bool(self.unsure[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any())
+
     def encode(self, text: str) -> bytes:
         out = []
         for part in self.split_special.split(text) if self.split_special and "<|" in text else (text,):
             if part in self.special:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
-                continue
-            part = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            part = part.lower()
-            pieces = [p for p in self.spaces.split(part) if p] if self.control.search(part) else part.split()
-            get, piece = self.seen.get, self.piece
-            out += [get(p) or piece(p) for p in pieces]
+            elif self.is_unsure(part):
+                out += [self.cut_by_library(p) if self.is_unsure(p) else self.normalised(p) for p in self.spaces.split(part) if p]
+            else:
+                out.append(self.normalised(part))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
