@@ -35,12 +35,12 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(\\)|([<\[])\\", "$1$2")
 
 
-def word_tokens(text: Column) -> Column:
+def estimated_tokens(text: Column) -> Column:
     """An estimate of a text's tokens: four bytes to a token."""
     return F.ceil(F.octet_length(text) / 4).cast("long")
 
 
-def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, count: Callable[[Column], Column] = word_tokens) -> DataFrame:
+def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, count: Callable[[Column], Column] = estimated_tokens) -> DataFrame:
     """One row per window: conv_id, window_id, formatted, turns (array of struct
     position, start, length, repeated, loss; start and length in code points of
     ``formatted`` and of the turn's escaped text).

@@ -27,8 +27,8 @@ WORD = re.compile(r"\w+")
 SEED, STRETCH, BLOCK_WORDS = 4, 6, 200_000
 #: Times the median (at least LEAST documents) from which an n-gram is common.
 COMMON, LEAST = 4, 100
-#: Pieces of text that a worker remembers.
-REMEMBERED = 300_000
+#: Pieces of text, characters of one, and words of listed ones that a worker remembers.
+REMEMBERED, LONG, LISTED = 300_000, 64, 4_000_000
 #: Points of a match, a mismatch and a gap; share of an item's points that is a hit.
 MATCH, MISMATCH, GAP, SHARE = 2, -1, -1, 0.5
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -82,7 +82,7 @@ class Pieces(dict):
 
     def __init__(self, numbers: dict[str, int]):
         super().__init__()
-        self.numbers, self.lists = numbers, []
+        self.numbers, self.lists, self.listed = numbers, [], 0
 
     def __missing__(self, piece: str) -> int:
         words = WORD.findall(piece)
@@ -90,10 +90,17 @@ class Pieces(dict):
             code = self.numbers.get(words[0], 0)
         else:
             self.lists.append(np.array([self.numbers.get(w, 0) for w in words], np.int64))
+            self.listed += len(words)
             code = -len(self.lists)
-        self[piece] = code
+        if len(piece) <= LONG:
+            self[piece] = code
         return code
 
+    def forget(self) -> None:
+        self.clear()
+        self.lists.clear()
+        self.listed = 0
+
 
 class Block:
     """Items of one block: word numbers, n-grams, and where they stand in items."""
@@ -114,9 +121,8 @@ class Block:
         """Numbers of a text's words. What stands between white space is mostly one
         word and is remembered: its number, or below 0 where its words are listed."""
         seen = vars(self).setdefault("seen", Pieces(self.numbers))
-        if len(seen) >= REMEMBERED:  # only between texts, as codes point into the lists
-            seen.clear()
-            seen.lists.clear()
+        if len(seen) >= REMEMBERED or seen.listed >= LISTED:  # between texts, as codes point into the lists
+            seen.forget()
         code = np.fromiter(map(seen.__getitem__, text.lower().split()), np.int64)
         if not (code < 0).any():
             return code
@@ -149,14 +155,20 @@ class Block:
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, words: int) -> Iterator[list[tuple]]:
+    """Items in order, at most ``words`` words at a time, or one longer item alone. They
+    come partition by partition, so the driver holds one of those and one block."""
     rows = benchmark.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).filter(F.col("t").isNotNull()).distinct()
-    total = rows.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
-    n = math.ceil(total / words)
-    for k in range(n):
-        part = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else rows
-        items = [(r["i"], r["t"]) for r in part.orderBy("i", "t").collect() if WORD.search(r["t"])]
-        if items:
-            yield items
+    held, total = [], 0
+    for r in rows.orderBy("i", "t").toLocalIterator():
+        n = len(WORD.findall(r["t"]))
+        if held and total + n > words:
+            yield held
+            held, total = [], 0
+        if n:
+            held.append((r["i"], r["t"]))
+            total += n
+    if held:
+        yield held
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:

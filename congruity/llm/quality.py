@@ -110,13 +110,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     """A model from the labelled rows whose crc32(doc_id) mod 5 is not 0.
 
     The sample holds at most ``sample_rows`` rows of each class, those of the
-    smallest hash of doc_id; of an id that repeats, the least text. Where their
+    smallest hash of doc_id; of an id that repeats, the least text and the lower label. Where their
     texts exceed ``sample_bytes``, the dictionaries learn from stretches spread over
     each of the longest; the curve is fitted on whole texts. Rows with null labels, ids or texts, or with empty texts, are no
     examples. With an empty class the model scores every text by the share of
     good labels (0.5 without any).
     """
-    pool = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality IN (0, 1)").filter(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    pool = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality IN (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = {r["quality"]: r["count"] for r in pool.groupBy("quality").count().collect()}
     chosen = None
     for q in (0, 1):
