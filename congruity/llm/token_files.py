@@ -18,20 +18,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex as re
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import BATCH_BYTES, SPACES, byte_letters
+from .bpe import LONG, SPACES, byte_letters
 
 END = 0
 #: The pattern of the vocabulary's tokenizer.
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 PUNCTUATION = string.punctuation
 OTHER_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-#: Pieces of a generation that a worker remembers.
+#: Pieces of a generation that a worker remembers; longer ones than LONG are not.
 REMEMBERED = 400_000
+#: Characters of the texts that are encoded together.
+CHUNK = 4 << 20
 FORMAT = {
     "compression": "snappy",
     "parquet.writer.version": "v2",
@@ -52,6 +55,8 @@ class Remembered(dict):
         self.find, self.older = find, {}
 
     def __missing__(self, key: str) -> bytes:
+        if len(key) > LONG:
+            return self.find(key)
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
@@ -102,14 +107,41 @@ class PieceEncoder:
         found = array("i", [t.id for t in self.tokenize(word if broken else "Ġ" + word)]).tobytes()
         return self.ends["\n"] + found if broken else found
 
+    def is_plain(self, text: str) -> bool:
+        """Whether blanks and line breaks are all the white space, one at a time and
+        inside the text, and no special token stands in it."""
+        if any(s in text for s in self.special) or text[:1] in " \n" or text[-1:] in " \n":
+            return False
+        if "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
+            return False
+        return not any(c in text for c in OTHER_ASCII) if text.isascii() else text.count(" ") + text.count("\n") + 1 == len(text.split())
+
     def encode(self, text: str) -> bytes:
+        if self.is_plain(text):
+            pieces = text.replace("\n", " \n").split(" ")
+            return self.ends[pieces[0]] + b"".join(map(self.seen.__getitem__, pieces[1:]))
         if any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
-        pieces = text.replace("\n", " \n").split(" ")
-        runs = "  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[:1] in " \n" or text[-1:] in " \n"
-        if runs or (any(c in text for c in OTHER_ASCII) if text.isascii() else len(pieces) != len(text.split())):
-            return self.ids(text)  # runs of white space, or other kinds of it
-        return self.ends[pieces[0]] + b"".join(map(self.seen.__getitem__, pieces[1:]))
+        return self.ids(text)
+
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each text has. Each
+        piece of the plain ones is looked up once; a return marks the first of a text."""
+        plain = [self.is_plain(t) for t in texts]
+        lists = pc.split_pattern(pa.array(["\r" + t.replace("\n", " \n") for t, ok in zip(texts, plain, strict=True) if ok], pa.string()), " ")
+        codes = lists.values.dictionary_encode()
+        found = [self.ends[p[1:]] if p[0] == "\r" else self.seen[p] for p in codes.dictionary.to_pylist()]
+        size = np.array([len(x) // 4 for x in found], np.int64)
+        at, start = codes.indices.to_numpy(), np.cumsum(size) - size
+        many = size[at]
+        ends = np.cumsum(many)
+        ids = np.frombuffer(b"".join(found), "<i4")[np.repeat(start[at] - ends + many, many) + np.arange(int(many.sum()))]
+        border = np.concatenate(([0], ends))[lists.offsets.to_numpy()]
+        if all(plain):
+            return ids, np.diff(border)
+        spans = iter(zip(border[:-1].tolist(), border[1:].tolist(), strict=True))
+        parts = [ids[slice(*next(spans))] if ok else np.frombuffer(self.encode(t), "<i4") for t, ok in zip(texts, plain, strict=True)]
+        return np.concatenate([np.zeros(0, "<i4"), *parts]), np.array([len(p) for p in parts], np.int64)
 
 
 @lru_cache(1)
@@ -124,34 +156,34 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, id_col: str =
     """Writes doc_id, part, first (ids before it in its part), n_tokens and ids to ``path``.
 
     Rows ascend by ``id_col`` over the parts and within them; nulls come first,
-    and rows of equal id are ordered by a hash of their text. Every document,
+    and rows of equal id are ordered by a hash of their text, repeated rows by where
+    they were read, so that rows of one id may lie in many parts. Every document,
     empty or null ones too, ends with id 0. ``vocabulary`` is a path that every
     executor can open. Extra columns are ignored.
     """
-    end = np.array([END], "<i4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, first = piece_encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
-            packed, size, begin = [], 0, 0
+            texts, size, begin = [], 0, 0
             for k, text in enumerate(batch.column(1)):
-                packed.append(own.encode(text.as_py() or "") + end)
-                size += len(packed[-1])
-                if size >= BATCH_BYTES or k + 1 == batch.num_rows:
-                    n = np.array([len(x) // 4 for x in packed], np.int64)
-                    offsets = np.concatenate(([0], np.cumsum(n)))
-                    flat = np.frombuffer(b"".join(packed), "<i4")
+                texts.append(text.as_py() or "")
+                size += len(texts[-1])
+                if size >= CHUNK or k + 1 == batch.num_rows:
+                    ids, n = own.encode_many(texts)
+                    flat = np.insert(ids, np.cumsum(n), END)
+                    offsets = np.concatenate(([0], np.cumsum(n + 1)))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(begin, len(n)), pa.array(np.full(len(n), part, np.int32)), pa.array(offsets[:-1] + first), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))],
+                        [batch.column(0).slice(begin, len(n)), pa.array(np.full(len(n), part, np.int32)), pa.array(offsets[:-1] + first), pa.array(n + 1), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))],
                         ["doc_id", "part", "first", "n_tokens", "ids"],
                     )
                     first += int(offsets[-1])
-                    packed, size, begin = [], 0, k + 1
+                    texts, size, begin = [], 0, k + 1
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    encoded = dealt.mapInArrow(run, f"doc_id {kind}, part int, first bigint, n_tokens bigint, ids array<int>")
+    order = ("doc_id", "tie", "at")
+    dealt = rows.withColumns({"tie": F.xxhash64("text"), "at": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    encoded = dealt.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, part int, first bigint, n_tokens bigint, ids array<int>")
     encoded.write.options(**FORMAT).parquet(path)
 
 

@@ -1,33 +1,40 @@
 """The training-data operators against brute force, on small tables with odd rows."""
 
 import hashlib
+import importlib
 import itertools
+import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from congruity.llm import quality, queries
-from congruity.llm import suffix_dedup as suffix_module
 from congruity.llm.bpe import Encoder, bpe_encode
 from congruity.llm.chat_format import escape, format_chats, read_back, read_turns, unescape
-from congruity.llm.common import shared_dir
+from congruity.llm.common import ascii_lower, filter_of, passing, shared_dir
 from congruity.llm.components import components
 from congruity.llm.decontaminate import MATCH, align, decontaminate
-from congruity.llm.exact_dedup import exact_dedup
+from congruity.llm.decontaminate import blocks as items_in_blocks
+from congruity.llm.exact_dedup import Index, exact_dedup, sha256
 from congruity.llm.html_text import html_text, main_text, runs
-from congruity.llm.jaccard_join import depth_for, jaccard_join, recall, shingles
-from congruity.llm.license_scan import BASE_PHRASES, license_scan
+from congruity.llm.jaccard_join import DEPTH, TREES, expected_recall, first_met, jaccard_join, read_signatures, recall, shingles, signature
+from congruity.llm.license_scan import BASE_PHRASES, license_scan, rare_offsets, template_words
+from congruity.llm.license_texts import TEMPLATES
 from congruity.llm.suffix_dedup import SEGMENT, intervals, sample, solve, suffix_dedup
-from congruity.llm.token_files import PieceEncoder, read_token_files, with_crc32, write_token_files
+from congruity.llm.token_files import FORMAT, PieceEncoder, read_token_files, with_crc32, write_token_files
 
+suffix_module, jaccard_module = (importlib.import_module(f"congruity.llm.{n}") for n in ("suffix_dedup", "jaccard_join"))
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 BYTE_BPE, WORD_BPE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 RNG = random.Random(3)
@@ -65,33 +72,123 @@ def test_exact_dedup(spark):
     assert exact_dedup(spark.createDataFrame([], NOTHING)).count() == 0
 
 
-def test_the_index_answers_lookups_and_runs_no_python(spark):
-    from congruity.llm.exact_dedup import flush_runs, lookup
-
-    path = shared_dir(spark)
-    rows = spark.range(100).select(F.col("id"), F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"))
-    flush_runs(rows, path)
-    assert [r.id for r in lookup(spark, path, hashlib.sha256(b"42").digest()).collect()] == [42]
+def test_the_index_merges_levels_and_answers_lookups(spark):
+    index = Index(spark, shared_dir(spark), "smallest", fanout=2)
+    want = defaultdict(list)
+    for batch in range(5):
+        ids = list(range(batch * 10, batch * 10 + 30))
+        for i in ids:
+            want[hashlib.sha256(str(i % 37).encode()).digest()].append(i)
+        text = (F.col("id") % 37).cast("string")
+        rows = spark.createDataFrame([(i,) for i in ids], "id long").select("id", sha256(text).alias("digest"), F.xxhash64(text).alias("hash"))
+        assert index.ingest(rows).count() == 30
+    assert [len(level) for level in index.levels] == [1, 0, 1]  # five batches, two by two
+    some = hashlib.sha256(b"5").digest()
+    assert sum(r.group_size for r in index.lookup(some).collect()) == len(want[some])
+    got = {bytes(r.digest): (r.keep_id, r.group_size, r.low_hash == r.high_hash) for r in index.compact().collect()}
+    assert got == {d: (min(ids), len(ids), True) for d, ids in want.items()}
+    assert index.lookup(some).count() == 1
+
+
+def test_the_filter_passes_what_it_holds_and_little_else(spark):
+    held = spark.range(0, 3000, 3).select(F.xxhash64("id").alias("hash"))
+    rows = spark.range(3000).select("id", F.xxhash64("id").alias("hash"))
+    got = {r.id for r in passing(rows, filter_of(held)).collect()}
+    assert got >= set(range(0, 3000, 3)) and len(got) < 1010
+    assert passing(rows, filter_of(held.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("weak", [lambda t: F.unhex(F.sha2(F.substring(t, 1, 1), 256)), lambda t: F.unhex(F.lit("00"))])
+def test_texts_that_share_a_digest_are_told_apart_by_their_bytes(spark, weak):
+    texts = ["ab", "ac", "AB", "b", None, "", "ac"]
+    strong, weakly = (sorted(map(tuple, exact_dedup(frame(spark, texts), **how).collect())) for how in ({}, {"digest": weak}))
+    assert strong == weakly and len(strong) == 7
+
+
+def test_native_operators_run_no_python(spark):
     for out in (exact_dedup(frame(spark, ODD)), license_scan(frame(spark, ODD))):
         assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())
 
 
+def test_lower_case_is_that_of_ascii(spark):
+    texts = [t for t in [*ODD, "ÀB İ ẞ", "AZ[a`z{"] if t is not None]
+    got = frame(spark, texts).select("text", ascii_lower(F.col("text")).alias("l")).collect()
+    assert all(r.l == "".join(c.lower() if c.isascii() else c for c in r.text) for r in got)
+
+
 # Licences
 
+def words_like_spark(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+
+
+def brute_licences(texts):
+    """labels and score by trying every start at which a rare word of a template stands."""
+    docs = [words_like_spark(t) for t in texts]
+    split = [template_words(t.text) for t in TEMPLATES]
+    vocabulary = {w for ws in split for w in ws} | {w for p in BASE_PHRASES for w in p.split()}
+    idf = {w: math.log((len(docs) + 1) / (sum(w in d for d in docs) + 1)) + 1 for w in vocabulary}
+    out = []
+    for words in docs:
+        labels, best = set(), 0.0
+        for t, ws in zip(TEMPLATES, split, strict=True):
+            total = sum(idf[w] for w in ws)
+            rare = {k for k in rare_offsets(ws, idf)}
+            for start in range(-len(ws), len(words)):
+                if not any(0 <= start + k < len(words) and words[start + k] == ws[k] for k in rare):
+                    continue
+                share = sum(idf[w] / total for k, w in enumerate(ws) if w in words[max(0, start + k - 3) : max(0, start + k + 4)])
+                stretch = f" {' '.join(words[max(0, start - 3) : max(0, start + len(ws) + 3)])} "
+                best = max(best, share)
+                if share >= 0.8 - 1e-9 and all(f" {' '.join(template_words(p))} " in stretch for p in t.key_phrases):
+                    labels.add(t.label)
+        base = {label for p, label in BASE_PHRASES.items() if f" {p} " in f" {' '.join(words)} "}
+        out.append((",".join(sorted(labels | base)), 1.0 if base else min(best, 1.0)))
+    return out
+
+
+def edited(text, share, rng):
+    """A text with that share of its words replaced, left out or doubled."""
+    out = []
+    for w in text.split():
+        if rng.random() >= share:
+            out.append(w)
+        elif (how := rng.randrange(3)) == 0:
+            out.append("changed")
+        elif how == 1:
+            out += [w, w]
+    return " ".join(out)
+
+
 def test_license_scan(spark):
-    texts = [*ODD, "Released under the MIT License. under the mit license", "Licensed under the Apache License, Version 2.0.", "CC-BY-NC and cc by nc", "licensed under the GNU General Public License, version 3", "mit mit under the mit license2", *(prose(40) for _ in range(60))]
+    rng = random.Random(26)
+    texts = [*ODD, "Released under the MIT License. under the mit license", "Licensed under the Apache License, Version 2.0.", "CC-BY-NC and cc by nc", "licensed under GNU General Public License, version 3", "mit mit under the mit license2", *(prose(40) for _ in range(60))]
+    texts += [f"{prose(30, rng)} {t.text} {prose(30, rng)}" for t in TEMPLATES] + [edited(t.text, 0.08, rng) for t in TEMPLATES] + [f"{TEMPLATES[1].text} and {TEMPLATES[9].text}", "hereby " * 50 + "granted warranty software", TEMPLATES[4].text.split("3. Neither")[0]]
     phrases = {tuple(p.split()): v for p, v in BASE_PHRASES.items()}
     got = {r.doc_id: r for r in license_scan(frame(spark, texts)).collect()}
-    for i, t in enumerate(texts):
-        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    for i, (t, (labels, score)) in enumerate(zip(texts, brute_licences(texts), strict=True)):
+        words = words_like_spark(t)
         hits = [(k, label) for p, label in phrases.items() for k in range(len(words)) if tuple(words[k : k + len(p)]) == p]
         r = got[i]
         assert (r.n_words, r.n_base) == (len(words), len(hits))
         assert (r.first_word, r.last_word) == ((min(k for k, _ in hits), max(k for k, _ in hits)) if hits else (None, None))
         assert r.base_labels == ",".join(sorted({x for _, x in hits}))
-        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
+        assert r.labels == labels and r.score == pytest.approx(score)
     assert "gpl-3" in got[len(ODD) + 3].labels
+    for k, t in enumerate(TEMPLATES):
+        assert t.label in got[len(ODD) + 65 + k].labels.split(",")
     assert license_scan(spark.createDataFrame([], NOTHING)).count() == 0
+    twice = license_scan(frame(spark, ["released under the mit license"] * 2 + [None], [None, None, 1])).collect()
+    assert sorted((r.doc_id is None, r.labels) for r in twice) == [(False, ""), (True, "mit"), (True, "mit")]
+
+
+def test_a_place_without_rare_words_cannot_reach_the_share():
+    rng = random.Random(27)
+    for t in TEMPLATES:
+        ws = template_words(t.text)
+        idf = {w: rng.choice([0.5, 1, 1, 4]) for w in ws}
+        rare = rare_offsets(ws, idf)
+        assert sum(idf[w] for k, w in enumerate(ws) if k not in set(rare)) < 0.8 * sum(idf[w] for w in ws)
 
 
 # Tokens
@@ -112,6 +209,24 @@ def test_bpe_gives_the_ids_and_texts_of_the_library(spark):
     assert bpe_encode(spark.createDataFrame([], NOTHING), WORD_BPE).count() == 0
 
 
+@pytest.mark.parametrize("form", ["ab?cd", "? x", "x?", "a?\u0301", "\u0391?'s"])
+def test_every_code_point_gives_the_ids_of_the_library(form):
+    own, library = Encoder(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 1024):
+        text = " ".join(form.replace("?", chr(c)) for c in points[k : k + 1024])
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_long_pieces_are_not_remembered():
+    own, files, library = Encoder(WORD_BPE), PieceEncoder(BYTE_BPE), Tokenizer.from_file(WORD_BPE)
+    text = " ".join(["QUJD" * 400 + "==", "東京" * 300, "a.b" * 200, "ok"])
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    files.encode(text)
+    for seen in (own.seen, files.seen, files.ends, files.words):
+        assert max(map(len, seen), default=0) <= 64
+
+
 def test_backtracking_is_linear_on_long_words():
     own = Encoder(WORD_BPE)
     library = Tokenizer.from_file(WORD_BPE)
@@ -137,6 +252,20 @@ def test_token_files(spark):
     assert order == sorted(order, key=lambda i: (i is not None, i or 0))
     plan = read_token_files(spark, path).select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString()
     assert "ids" not in re.search("ReadSchema: [^\n]*", plan)[0]
+    for name in sorted(p for p in os.listdir(path.removeprefix("file://")) if p.endswith(".parquet")):
+        meta = pq.ParquetFile(f"{path.removeprefix('file://')}/{name}").metadata
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            assert meta.row_group(g).total_byte_size <= 2 * int(FORMAT["parquet.block.size"])
+            for c, column in columns.items():
+                assert column.has_offset_index and column.has_column_index
+                assert ("RLE_DICTIONARY" if c.startswith("ids") else "DELTA_BINARY_PACKED") in column.encodings, c
+    same = shared_dir(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    write_token_files(frame(spark, ["one text"] * 3000 + ["x"] * 10, [7] * 3000 + list(range(10))).repartition(8), same, BYTE_BPE)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = Counter(r.part for r in spark.read.parquet(same).filter("doc_id = 7").select("part").collect())
+    assert len(parts) > 1 and max(parts.values()) < 2500  # one id does not fill one task
     none = shared_dir(spark)
     write_token_files(spark.createDataFrame([], NOTHING), none, BYTE_BPE)
     assert with_crc32(read_token_files(spark, none)).count() == 0
@@ -144,8 +273,12 @@ def test_token_files(spark):
 
 def test_pieces_remembered_give_the_same_ids_again():
     own, library = PieceEncoder(BYTE_BPE), Tokenizer.from_file(BYTE_BPE)
-    for t in [x or "" for x in texts_for_tokens()] * 2:
-        assert np.frombuffer(own.encode(t), "<i4").tolist() == library.encode(t, add_special_tokens=False).ids
+    texts = [x or "" for x in texts_for_tokens()] * 2
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(own.encode(t), "<i4").tolist() for t in texts] == want
+    for some in (slice(0, None), slice(len(ODD) + 404, None), slice(0, 0), slice(1, 2)):  # mixed, plain, none, an empty text
+        ids, n = own.encode_many(texts[some])
+        assert ids.tolist() == [i for w in want[some] for i in w] and n.tolist() == [len(w) for w in want[some]]
 
 
 # Chats
@@ -190,6 +323,25 @@ def test_chat_windows(spark):
     assert format_chats(df.limit(0)).count() == 0
 
 
+def test_windows_keep_to_the_budget_and_repeat_no_more_than_the_history(spark):
+    rng, budget, history = random.Random(29), 400, 60
+    tokens = lambda text: -(-len(text.encode()) // 4) + 4
+    rows = [(c, k, "system" if k == 0 and c % 2 else rng.choice(["user", "assistant"]), "é" * rng.randrange(1, 60) if k == 0 else prose(rng.randrange(12), rng)) for c in range(30) for k in range(rng.randrange(1, 80))]
+    limit = budget // 2 - history - max(tokens(t) for _, _, r, t in rows if r == "system")
+    assert max(tokens(t) for *_, t in rows) <= limit  # else a window holds a long turn whole
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    windows = read_turns(format_chats(df, budget, history)).collect()
+    repeated = 0
+    for w in windows:
+        assert sum(tokens(t.text) for t in w.turns) <= budget
+        again = sum(tokens(t.text) for t in w.turns if t.repeated and t.role != "system")
+        assert again <= history and not any(t.loss for t in w.turns if t.repeated)
+        repeated += again > 0
+    assert repeated > 20 and max(w.window_id for w in windows) > 3
+    want = Counter((c, r, t) for c, _, r, t in rows)
+    assert Counter((w.conv_id, t.role, t.text) for w in windows for t in w.turns if not t.repeated) == want
+
+
 # Pages
 
 def test_main_text(spark):
@@ -219,6 +371,60 @@ def test_main_text_in_wrappers():
     assert main_text(runs("<div class=main-nav>no</div><div class=main-content>a</div>")) == "a"
 
 
+def test_main_text_of_unusual_pages():
+    for page in (
+        "<html><head><title>T</title><meta charset=utf-8><body><article>text</article>",
+        "<html><head><title>T</title><article>text</article>",
+        "<div class='content no-sidebar'><article>text</article></div>",
+        "<article class='post has-sidebar'>text</article>",
+        "<form><nav>menu</nav><article>text</article></form>",
+        "<article><p class='share-price' id='search-for-life'>text</p></article>",
+        "<head><script>var a = '<article>no</article>'</script></head><main>text</main>",
+        "<article>text<footer>by</footer></article></nav></div></article>",
+        "<article><nav>a<nav>b</nav>c</nav>text</article><footer>f<article>no</article></footer>",
+    ):
+        assert main_text(runs(page)) == "text", page
+    deep = "<nav>" * 30_000 + "no" + "</nav>" * 30_000 + "<div>" * 30_000 + "<article>" * 20_000 + "text"
+    began = time.perf_counter()
+    assert main_text(runs(deep)) == "text" and main_text(runs("<article>" + "word " * 400_000 + "<svg>" * 5000)) == ("word " * 400_000).strip()
+    assert time.perf_counter() - began < 20
+
+
+def test_repeats_of_a_host_decide_on_pages_without_an_article(spark):
+    rng = random.Random(28)
+    lines = [prose(rng.randrange(3, 20), rng) for _ in range(6)]
+    pages = []
+    for i in range(40):
+        own = [prose(rng.randrange(1, 30), rng, 9000) for _ in range(3)]
+        parts = [f"<div>{t}</div>" for t in rng.sample(lines, 3) + own] + [f"<nav>{rng.choice(lines)}</nav>", "<form>" + rng.choice(lines) + "</form>"]
+        rng.shuffle(parts)
+        pages.append((i, f"http://h{i % 3}.org/{i}", "<body>" + "".join(parts) + ("<article>main</article>" if i % 8 == 0 else "")))
+    pages += [pages[3], (100, "http://h0.org/x", "<body>" + lines[0])]
+    streams = {i: [(k, t.split()) for k, t in runs(h) if t] for i, _, h in pages}
+    heads = defaultdict(set)
+    host = {i: u.split("/")[2] for i, u, _ in pages}
+    whole = lambda w: [tuple(w[k : k + 8]) for k in range(len(w) - 7)] or [(*w, None)]
+    for i, found in streams.items():
+        for k, w in found:
+            if k != 0:  # protected
+                for part in whole(w):
+                    heads[host[i], part].add(i)
+    want = Counter()
+    for i, _, h in pages:
+        if main_text(runs(h)) is not None:
+            want[i, "main", True] += 1
+            continue
+        out = []
+        for k, w in streams[i]:
+            if k == 1:  # open
+                gone = {j + d for j, part in enumerate(whole(w)) if len(heads[host[i], part]) > 1 for d in range(min(8, len(w)))}
+                out += [x for j, x in enumerate(w) if j not in gone]
+        want[i, " ".join(out), False] += 1
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert Counter((r.page_id, r.text, r.from_structure) for r in html_text(df).collect()) == want
+    assert len({t for _, t, s in want if not s}) > 20
+
+
 # Suffix dedup
 
 def brute_suffix(texts, n):
@@ -327,7 +533,7 @@ def brute_links(texts):
     return links, root
 
 
-@pytest.mark.parametrize("block", [2000, 5])
+@pytest.mark.parametrize("block", [1000, 5])
 def test_jaccard_join(spark, monkeypatch, block):
     monkeypatch.setattr("congruity.llm.jaccard_join.BLOCK_SETS", block)
     rng = random.Random(8)
@@ -350,9 +556,52 @@ def test_jaccard_join(spark, monkeypatch, block):
     assert jaccard_join(spark.createDataFrame([], NOTHING)).count() == 0
 
 
-def test_prefixes_are_shortened_until_the_target(spark):
-    assert depth_for(0.8, 0.9999) == 4 and recall(0.8, 20, 4) >= 0.9999 > recall(0.8, 20, 5)
-    assert depth_for(0.95, 0.9999) == 5 and depth_for(0.01, 1.0) == 1
+def test_prefixes_are_shortened_until_the_target(spark, monkeypatch):
+    depths, real = [], jaccard_module.compare_at
+    monkeypatch.setattr(jaccard_module, "compare_at", lambda depth, *a: depths.append(depth) or real(depth, *a))
+    rng = random.Random(23)
+    base = prose(400, rng, 9000).split()
+    near = frame(spark, [" ".join([*base[:-1], str(k)]) for k in range(8)])  # links of similarity 0.99
+    assert all(r.n_links == 7 for r in jaccard_join(near).collect()) and depths == [5]
+    far = frame(spark, [" ".join([*base[:200], *(f"{k}-{j}" for j in range(21)), *base[221:]]) for k in range(3)])  # and of 0.88
+    depths.clear()
+    jaccard_join(far, threshold=0.5, target=1.0).collect()
+    assert depths == [5, 4, 3, 2, 1]
+    assert expected_recall(np.array([0, 0, 5]), 0.8, 20, 5) > 0.9999 > expected_recall(np.array([5, 0, 0]), 0.8, 20, 5)
+    assert expected_recall(np.zeros(3), 0.8, 20, 4) == recall(0.8, 20, 4) >= 0.9999 > recall(0.8, 20, 5)
+
+
+@pytest.mark.parametrize("n", [6, 60])
+def test_every_pair_is_met_once(n):
+    rng = np.random.default_rng(24)
+    sig = rng.integers(0, 3, (n, TREES, DEPTH)).astype(np.uint32)
+    same = np.logical_and.accumulate(sig[:, None] == sig[None], axis=3)
+    times = sum(first_met(sig, sig, t, d).astype(int) for d in range(1, DEPTH + 1) for t in range(TREES))
+    assert (times == same[..., 0].any(axis=2)).all()
+    for d in range(1, DEPTH + 1):
+        upto = sum(first_met(sig, sig, t, k).astype(int) for k in range(d, DEPTH + 1) for t in range(TREES))
+        assert (upto == same[..., d - 1].any(axis=2)).all()
+
+
+def test_signatures_are_read_as_they_were_written():
+    some = signature(shingles("one two three four five six seven"))
+    assert len(some) == TREES * DEPTH * 4 and read_signatures(pa.chunked_array([pa.array([some])])).astype(">u4").tobytes() == some
+
+
+def test_recall_of_links(spark):
+    rng = random.Random(25)
+    texts = []
+    for _ in range(60):
+        base = prose(200, rng, 20_000).split()
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(rng.randrange(6)):
+                copy[rng.randrange(200)] = prose(1, rng, 20_000)
+            texts.append(" ".join(copy))
+    links, root = brute_links(texts)
+    got = {r.doc_id: r for r in jaccard_join(frame(spark, texts)).collect()}
+    assert sum(got[i].n_links for i in got) >= 0.999 * sum(links) and all(got[i].n_links <= n for i, n in enumerate(links))
+    assert sum(got[i].class_id != r for i, r in enumerate(root)) <= 2
 
 
 def test_components(spark):
@@ -384,6 +633,8 @@ def test_quality_learns_and_keeps_clean_texts(spark):
     assert all(got[i].held_out == (i in held) for i in range(600))
     assert sum(got[i].predicted == marks[i] for i in held) >= 0.97 * len(held)
     assert all(got[i].predicted for i in held if marks[i])
+    twice = labels.filter("quality = 1").unionByName(labels.withColumn("quality", F.lit(0)))
+    assert quality.fit(docs, twice) == quality.fit(docs, labels.withColumn("quality", F.lit(0)))
     nothing = quality.quality(docs, labels.limit(0)).collect()
     assert {r.score for r in nothing} == {0.5}
     assert quality.quality(docs.limit(0), labels).count() == 0
@@ -444,6 +695,8 @@ def test_decontamination(spark):
     assert not [k for k in got if k[1] in (0, 1, 2) and k[0] < at]
     blocks = {(r.doc_id, r.item_id, r.score) for r in decontaminate(frame(spark, texts), bench, block_words=30).collect()}
     assert blocks == {(r.doc_id, r.item_id, r.score) for r in found}
+    sizes = [sum(len(re.findall(r"\w+", t)) for _, t in b) for b in items_in_blocks(bench.repartition(3), "item_id", "text", 60)]
+    assert sizes == [40, 60] and [len(b) for b in items_in_blocks(bench, "item_id", "text", 1)] == [1] * 5
     assert decontaminate(frame(spark, texts), bench.limit(0)).count() == 0
     assert decontaminate(spark.createDataFrame([], NOTHING), bench).count() == 0
     assert MATCH > 0
