@@ -66,9 +66,19 @@ def filter_of(hashes: DataFrame) -> DataFrame:
     return hashes.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
 
 
-def passing(rows: DataFrame, bits: DataFrame) -> DataFrame:
-    """Rows whose column ``hash`` has its bit set."""
+def bit_of(bits: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with column ``held``: whether the bit of column ``hash`` is set."""
     at = F.bitmap_bit_position(slot(F.col("hash")))
     byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    joined = rows.join(F.broadcast(bits), F.bitmap_bucket_number(slot(F.col("hash"))) == F.col("bucket"))
-    return joined.filter(F.bit_get(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+    joined = rows.join(F.broadcast(bits), F.bitmap_bucket_number(slot(F.col("hash"))) == F.col("bucket"), "left")
+    return joined.select(*rows.columns, F.coalesce(F.bit_get(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias("held"))
+
+
+def passing(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """Rows whose column ``hash`` has its bit set."""
+    return bit_of(bits, rows).filter("held").drop("held")
+
+
+def failing(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """The other rows: what the filter holds is certainly none of them."""
+    return bit_of(bits, rows).filter("NOT held").drop("held")

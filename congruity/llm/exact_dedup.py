@@ -62,7 +62,7 @@ class Index:
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             self.merge(level)
             level += 1
-        return self.spark.read.schema(one.schema).parquet(path).select(F.col("keep_id").alias("id"), "digest")
+        return self.spark.read.schema(one.schema).parquet(path).select(F.col("keep_id").alias("id"), "digest", F.col("low_hash").alias("hash"))
 
     def merged(self, paths: list[str]) -> DataFrame:
         return self.spark.read.parquet(*paths).groupBy("digest").agg(KEEP[self.keep]("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.min("low_hash").alias("low_hash"), F.max("high_hash").alias("high_hash"))
@@ -84,7 +84,8 @@ class Index:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One row per input row: ``id_col``, keep_id, group_size, kept, text_sha256.
+    """One row per input row: ``id_col``, keep_id, group_size, kept, text_sha256, text_hash
+    (xxhash64 of the normalised text).
 
     Texts are equal when identical after lower-casing A-Z; null equals empty.
     Of equal texts one row stays: the one with the smallest (or largest) id. Rows
@@ -107,8 +108,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = passing(base.select("norm", "hash"), bits).groupBy("norm").agg(F.count(F.lit(1)).alias("n"))
     unlike = texts.groupBy(digest(F.col("norm")).alias("digest")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
     if unlike.unionByName(hits.filter("low_hash != high_hash").select("digest")).isEmpty():
-        found = members.join(level, "digest").withColumn("text_sha256", F.lower(F.hex("digest")))
+        found = members.join(level.select("digest", "keep_id", "group_size"), "digest").withColumn("text_sha256", F.lower(F.hex("digest")))
     else:
         by_text = base.groupBy("norm").agg(KEEP[keep]("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         found = base.join(by_text, "norm").withColumn("text_sha256", F.sha2("norm", 256))
-    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.col("hash").alias("text_hash"))

@@ -66,7 +66,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
+    return exact_dedup(table(spark, sf_dir, "documents"), keep="largest").drop("text_hash")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,22 @@ def test_pipeline(spark, tmp_path):
         assert got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
 
+def test_repeated_and_null_ids(spark, tmp_path):
+    rng = random.Random(31)
+    a, b, c, d, e = (prose(60, rng, 4000) for _ in range(5))
+    near = " ".join([*e.split()[:-1], "end"])
+    rows = [(1, a), (1, a), (None, b), (None, b), (2, c), (2, d), (None, None), (None, ""), (3, e), (3, near), (None, e.upper()), (4, f"{a} and more {prose(300, rng)}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCS)
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, None), (1, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [(r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    digest = lambda text: hashlib.sha256(np.array(library.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()
+    want = {(1, digest(a)), (None, digest(b)), (2, digest(c)), (2, digest(d)), (None, digest("")), (4, digest(rows[-1][1]))}
+    assert len(got) == len(want) + 1 and want < set(got) and {g for g in got if g not in want} <= {(3, digest(e)), (3, digest(near))}
+
+
 def test_stages_return_the_columns_of_documents(spark, tmp_path):
     docs = spark.createDataFrame([], DOCS)
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
