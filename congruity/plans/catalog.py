@@ -17,7 +17,7 @@ from ..spec import AggregateRule, GroupSpec, Mapping, QualityRule, ReconSpec, Ro
 from ..streaming import events
 from . import perturb
 from .perturb import build
-from .reconcile import Reconciliation, latest_results, page
+from .reconcile import Reconciliation, latest_results, page, run_listing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -577,6 +577,12 @@ def report_page(spark, d):
     return page(found, ["k0", "source_ordinal", "target_ordinal", "source_column"], 2, 50)
 
 
+@query("SELECT o_custkey AS run_id, count(*) AS levels, count(*) FILTER (o_orderstatus = 'F') AS failed_levels, CASE WHEN bool_or(o_orderstatus = 'F') THEN 'FAIL' ELSE 'PASS' END AS status FROM orders GROUP BY o_custkey")
+def runs(spark, d):
+    status = F.when(F.col("o_orderstatus") == "F", "FAIL").otherwise("PASS")
+    return run_listing(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("level"), status.alias("status")))
+
+
 # Sources
 
 def scratch(spark: SparkSession) -> str:

@@ -120,3 +120,10 @@ def latest_results(results: DataFrame, tasks: DataFrame) -> DataFrame:
     done = tasks.filter("state = 'SUCCESS'").select("run_id", "task_id").distinct()
     newest = results.join(done, ["run_id", "task_id"]).groupBy("run_id", "task_id").agg(F.max_by(F.struct(*results.columns), "created_at").alias("r"))
     return newest.select("r.*")
+
+
+def run_listing(levels: DataFrame) -> DataFrame:
+    """run_id, levels, failed_levels, status of written level statuses (run_id, level, status)."""
+    failed = F.count_if(F.col("status").isin(*correlate.FAILING))
+    rows = levels.groupBy("run_id").agg(F.count(F.lit(1)).alias("levels"), failed.alias("failed_levels"))
+    return rows.withColumn("status", F.when(F.col("failed_levels") > 0, "FAIL").otherwise("PASS"))
