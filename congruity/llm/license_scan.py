@@ -28,9 +28,9 @@ BASE_PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: The least share of a template's weight that labels a place, and by how many words one
-#: may stand off its place.
-SHARE, SLACK = 0.8, 3
+#: The least share of a template's weight that labels a place, by how many words one may
+#: stand off its place, and for how many words between it and the rare word one more.
+SHARE, SLACK, DRIFT = 0.8, 3, 10
 
 
 def template_words(text: str) -> list[str]:
@@ -68,8 +68,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first_word and last_word are the least and greatest start (null without any).
     labels adds to base_labels what the templates give, in alphabetical order however
     many reach the share; score is the largest share of a template's IDF weight found
-    at one place, 1 where a base phrase stands, 0 without any. Words may stand up to
-    SLACK words off. Rows with equal or null ids are scanned one by one; extra columns
+    at one place, 1 where a base phrase stands, 0 without any. Words may stand SLACK
+    words off, and further with their distance from the rare word. Rows with equal or null ids are scanned one by one; extra columns
     are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -80,6 +80,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     postings = [(ws[k], n, k) for n, ws in enumerate(split) for k in rare_offsets(ws, idf)]
     index, longest = sorted({w for w, _, _ in postings}), max((len(ws) for ws in split), default=0)
+    reach = SLACK + longest // DRIFT
     anchor = {p: max(range(len(ws)), key=lambda k, ws=ws: (idf[ws[k]], -k)) for p, ws in phrases.items()}
     marked = F.transform("words", lambda w, i: F.when(w.isin(*index, *(phrases[p][k] for p, k in anchor.items())), i))
     rows = rows.withColumn("spots", F.filter(marked, lambda i: i.isNotNull()))
@@ -97,8 +98,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.transform(F.filter("spots", stands), lambda i: i - F.lit(k))
 
     def around(i: Column) -> Column:
-        first = F.greatest(i - F.lit(longest + SLACK), F.lit(0))
-        return F.struct(F.get("words", i).alias("word"), i.alias("at"), first.alias("first"), F.slice("words", first + 1, F.lit(2 * (longest + SLACK) + 1)).alias("words"))
+        first = F.greatest(i - F.lit(longest + reach), F.lit(0))
+        return F.struct(F.get("words", i).alias("word"), i.alias("at"), first.alias("first"), F.slice("words", first + 1, F.lit(2 * (longest + reach) + 1)).alias("words"))
 
     rows = rows.withColumns({f"base_{n}": places(p) for n, p in enumerate(phrases)})
     every = F.concat(*(F.col(f"base_{n}") for n in range(len(phrases))))
@@ -130,10 +131,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.slice("words", first + 1, F.greatest(start + n - first, F.lit(0)))
 
     def weight(p: Column, k: Column) -> Column:
-        return F.when(F.array_contains(stretch(F.col("start") + k - F.lit(SLACK), F.lit(2 * SLACK + 1)), p["word"]), p["weight"]).otherwise(0.0)
+        slack = F.lit(SLACK) + F.floor(F.abs(k - F.col("offset")) / DRIFT).cast("int")
+        return F.when(F.array_contains(stretch(F.col("start") + k - slack, slack * 2 + 1), p["word"]), p["weight"]).otherwise(0.0)
 
     share = F.aggregate(F.transform("parts", weight), F.lit(0.0), lambda a, x: a + x)
-    text = F.concat(F.lit(" "), F.array_join(stretch(F.col("start") - F.lit(SLACK), F.size("parts") + F.lit(2 * SLACK)), " "), F.lit(" "))
+    text = F.concat(F.lit(" "), F.array_join(stretch(F.col("start") - F.lit(reach), F.size("parts") + F.lit(2 * reach)), " "), F.lit(" "))
     whole = F.forall("phrases", lambda p: F.col("text").contains(p))
     found = found.select("key", "label", "phrases", share.alias("share"), text.alias("text"))
     best = found.groupBy("key").agg(F.least(F.max("share"), F.lit(1.0)).alias("share"), F.collect_set(F.when((F.col("share") >= SHARE - 1e-9) & whole, F.col("label"))).alias("more"))

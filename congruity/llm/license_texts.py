@@ -36,23 +36,23 @@ CC0 = """To the extent possible under law, the author has dedicated all copyrigh
 
 TEMPLATES = (
     Template("mit", "released under the MIT License", ("mit license",)),
-    Template("mit", MIT, ("permission is hereby granted free of charge to any person",)),
-    Template("isc", ISC, ("permission to use copy modify and or distribute this software",)),
-    Template("bsd-2", f"{BSD_HEAD} {BSD_TAIL}", ("redistribution and use in source and binary forms",)),
-    Template("bsd-3", f"{BSD_HEAD} {BSD_NAMES} {BSD_TAIL}", ("redistribution and use in source and binary forms", "neither the name of")),
-    Template("zlib", ZLIB, ("the origin of this software must not be misrepresented",)),
+    Template("mit", MIT, ("permission is hereby granted",)),
+    Template("isc", ISC, ("permission to use copy modify",)),
+    Template("bsd-2", f"{BSD_HEAD} {BSD_TAIL}", ("redistribution and use",)),
+    Template("bsd-3", f"{BSD_HEAD} {BSD_NAMES} {BSD_TAIL}", ("redistribution and use", "neither the name of")),
+    Template("zlib", ZLIB, ("must not be misrepresented",)),
     Template("unlicense", UNLICENSE, ("free and unencumbered software",)),
-    Template("bsl-1", BOOST, ("any person or organization obtaining a copy",)),
-    Template("apache-2", "licensed under the Apache License, Version 2.0", ("apache license version 2",)),
-    Template("apache-2", APACHE, ("apache license version 2",)),
-    Template("gpl-2", "licensed under the GNU General Public License version 2", ("gnu general public license version 2",)),
-    Template("gpl-3", "licensed under the GNU General Public License version 3", ("gnu general public license version 3",)),
-    Template("gpl-2", GNU.format(name="General Public License", version=2), ("the gnu general public license", "version 2 of the license")),
-    Template("gpl-3", GNU.format(name="General Public License", version=3), ("the gnu general public license", "version 3 of the license")),
-    Template("lgpl-2.1", GNU.format(name="Lesser General Public License", version="2.1"), ("the gnu lesser general public license", "version 2 1 of the license")),
-    Template("lgpl-3", GNU.format(name="Lesser General Public License", version=3), ("the gnu lesser general public license", "version 3 of the license")),
-    Template("agpl-3", GNU.format(name="Affero General Public License", version=3), ("the gnu affero general public license", "version 3 of the license")),
-    Template("mpl-2", MPL, ("mozilla public license v 2",)),
+    Template("bsl-1", BOOST, ("person or organization",)),
+    Template("apache-2", "licensed under the Apache License, Version 2.0", ("apache license",)),
+    Template("apache-2", APACHE, ("apache license",)),
+    Template("gpl-2", "licensed under the GNU General Public License version 2", ("general public license", "version 2")),
+    Template("gpl-3", "licensed under the GNU General Public License version 3", ("general public license", "version 3")),
+    Template("gpl-2", GNU.format(name="General Public License", version=2), ("gnu general public license", "version 2")),
+    Template("gpl-3", GNU.format(name="General Public License", version=3), ("gnu general public license", "version 3")),
+    Template("lgpl-2.1", GNU.format(name="Lesser General Public License", version="2.1"), ("gnu lesser general public license", "version 2 1")),
+    Template("lgpl-3", GNU.format(name="Lesser General Public License", version=3), ("gnu lesser general public license", "version 3")),
+    Template("agpl-3", GNU.format(name="Affero General Public License", version=3), ("gnu affero general public license", "version 3")),
+    Template("mpl-2", MPL, ("mozilla public license",)),
     Template("cc0-1", CC0, ("cc0 public domain dedication",)),
     Template("cc-by-nc", "licensed under CC BY-NC 4.0", ("cc by nc",)),
 )
