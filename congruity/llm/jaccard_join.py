@@ -28,7 +28,7 @@ from .components import components
 WORDS, THRESHOLD, TARGET = 5, 0.8, 0.9999
 TREES, DEPTH = 20, 5
 #: Sets and shingles of one block; a task holds two blocks.
-BLOCK_SETS, BLOCK_SHINGLES = 1000, 2_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 500, 2_000_000
 #: Steps of the histogram of similarities, rows of a batch.
 STEPS, ROWS = 20, 4096
 MIX = np.uint64(0xFF51AFD7ED558CCD)
