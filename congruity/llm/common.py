@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of a filter over hashes: 4096 rows of 4 kB, whatever the input, so that it can be
+#: Bits of a filter over hashes: 1024 rows of 4 kB, whatever the input, so that it can be
 #: broadcast.
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 25
+#: Rows of text that a Python worker handles at once.
+SLICE = 1000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -41,6 +45,13 @@ def staged(df: DataFrame, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that what is made of one stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else. For ASCII texts that is what lower() does,
     several times faster than translate()."""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import in_slices, staged
 
 WORD = re.compile(r"\w+")
 #: Words of a seed, n-grams of a stretch that gives one, words of a block of items.
@@ -28,7 +28,7 @@ SEED, STRETCH, BLOCK_WORDS = 4, 6, 200_000
 #: Times the median (at least LEAST documents) from which an n-gram is common.
 COMMON, LEAST = 4, 100
 #: Pieces of text, characters of one, and words of listed ones that a worker remembers.
-REMEMBERED, LONG, LISTED = 300_000, 64, 4_000_000
+REMEMBERED, LONG, LISTED = 200_000, 64, 2_000_000
 #: Points of a match, a mismatch and a gap; share of an item's points that is a hit.
 MATCH, MISMATCH, GAP, SHARE = 2, -1, -1, 0.5
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -193,7 +193,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, i
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value
-            for batch in batches:
+            for batch in in_slices(batches):
                 keep, words, grams, at = [], [], [], []
                 for k, text in enumerate(batch.column(1)):
                     ids = own.number(text.as_py() or "")

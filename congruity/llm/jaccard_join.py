@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_of, passing, staged
+from .common import filter_of, in_slices, passing, staged
 from .components import components
 
 WORDS, THRESHOLD, TARGET = 5, 0.8, 0.9999
@@ -280,7 +280,7 @@ def compare_at(depth: int, classes: DataFrame, rows: DataFrame, threshold: float
     texts = texts.join(members, F.col("doc_id").eqNullSafe(F.col("rep_id")) & F.col("text_hash").eqNullSafe(F.col("rep_hash")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             found = pa.array([shingles(t.as_py(), words).view(np.int64) for t in batch.column(4)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], found], ["fp", "sig", "weight", "at", "shingles"])
 
@@ -312,7 +312,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target: float =
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [shingles(t.as_py(), words) for t in batch.column(1)]
             sigs = [signature(s) if len(s) else None for s in found]
             yield pa.RecordBatch.from_arrays(

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import in_slices, staged
 
 #: Labelled rows of each class that a fit takes at most, and bytes of their texts that
 #: the dictionaries learn from.
@@ -185,7 +185,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(model.good, model.bad, model.weights)
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [own.score(t.as_py() or "") for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*names, "score"])
 
