@@ -37,7 +37,7 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 #: Pieces that a worker remembers before it starts anew, characters of the longest one
 #: that it remembers, and bytes of output to a batch.
-REMEMBERED, LONG, BATCH_BYTES = 300_000, 64, 16 << 20
+REMEMBERED, LONG, BATCH_BYTES = 200_000, 64, 16 << 20
 
 
 def byte_letters() -> list[str]:
@@ -140,7 +140,7 @@ class Encoder:
                     before, b = b + 1, self.parts[b][0]
                 else:
                     ok = True
-        if len(self.compatible) > 4 * REMEMBERED:
+        if len(self.compatible) > 2 * REMEMBERED:
             self.compatible.clear()
         self.compatible[left, right] = ok
         return ok

@@ -209,7 +209,7 @@ def test_bpe_gives_the_ids_and_texts_of_the_library(spark):
     assert bpe_encode(spark.createDataFrame([], NOTHING), WORD_BPE).count() == 0
 
 
-@pytest.mark.parametrize("form", ["ab?cd", "? x", "x?", "a?\u0301", "\u0391?'s"])
+@pytest.mark.parametrize("form", ["ab?cd", "x?", "? a?\u0301"])
 def test_every_code_point_gives_the_ids_of_the_library(form):
     own, library = Encoder(WORD_BPE), Tokenizer.from_file(WORD_BPE)
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
