@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .chat_format import format_chats, read_back
+from .collocations import collocations
 from .common import shared_dir, table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
@@ -73,6 +74,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_collocations": op11_collocations,
 }
 
 ORACLES = {
@@ -146,4 +152,33 @@ ORACLES = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
         FROM n WINDOW g AS (PARTITION BY norm)
     """,
+    "op11_collocations": r"""
+        WITH t AS (
+            SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+        ), p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t
+        ), w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM p
+        ), n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang
+        ), f AS (
+            SELECT lang, k, phrase, count(*) AS f
+            FROM (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) AS v(k) WHERE len(ws) >= k)
+            GROUP BY lang, k, phrase
+        ), c AS (SELECT * FROM f WHERE k > 1 AND f >= 10
+        ), cut AS (
+            SELECT lang, k, phrase, f AS a, j, array_to_string(string_split(phrase, ' ')[:j], ' ') AS head, array_to_string(string_split(phrase, ' ')[j + 1:], ' ') AS tail
+            FROM c, (VALUES (1), (2)) AS v(j) WHERE j < k
+        ), s AS (
+            SELECT cut.*, x.f AS l, y.f AS r, CAST(CAST(a AS HUGEINT) * a * 1000000 // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+            FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = head JOIN f y ON y.lang = cut.lang AND y.phrase = tail
+            QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.phrase ORDER BY score, j) = 1
+        ), z AS (
+            SELECT lang, phrase, max(f) AS longer
+            FROM (SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS phrase FROM c WHERE k = 3)
+            GROUP BY lang, phrase
+        )
+        SELECT s.lang, row_number() OVER o AS rank, s.phrase, a, l, r, n, score
+        FROM s JOIN n ON n.lang = s.lang LEFT JOIN z ON z.lang = s.lang AND z.phrase = s.phrase
+        WHERE longer IS NULL OR 100 * longer < 50 * a
+        WINDOW o AS (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase)
+        QUALIFY rank <= 2000
+    """,
 }
