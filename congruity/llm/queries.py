@@ -16,6 +16,7 @@ from .html_text import html_text
 from .jaccard_join import jaccard_join
 from .license_scan import license_scan
 from .quality import quality
+from .recompression import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_files import read_token_files, with_crc32, write_token_files
 
@@ -78,6 +79,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -90,6 +96,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_license_scan": op10_license_scan,
     "op11_collocations": op11_collocations,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 ORACLES = {
@@ -181,4 +188,15 @@ ORACLES = {
         WINDOW o AS (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase)
         QUALIFY rank <= 2000
     """,
+    "op13_substring_dedup": r"""
+        WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+        ), w AS (
+            SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS name FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM t WHERE len(ws) >= 13)
+        ), f AS (SELECT name, min(doc_id) AS first FROM w GROUP BY name
+        ), c AS (SELECT DISTINCT doc_id, i + j AS pos FROM w JOIN f USING (name), unnest(range(0, 13)) AS r(j) WHERE doc_id > first
+        ), g AS (SELECT doc_id, list(pos) AS gone, count(*) AS n_removed FROM c GROUP BY doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+               sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+        FROM t LEFT JOIN g USING (doc_id)
+    """,
 }
