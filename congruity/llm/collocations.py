@@ -25,16 +25,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import UPPER, in_slices, staged
-from .word_names import PORTION, mixed, sequence_names, word_names
+from .word_names import mixed, sequence_names, word_names
 
 #: Cells of a row of the sketch are 2 ** CELL_BITS, whatever the input: 16 MB of bits for
 #: both rows, and shards of 65536 cells, each summed by one task.
 CELL_BITS = 26
-#: Sequences that a task counts before it passes them on.
-HELD = 1 << 22
-#: Phrases, and their bytes, whose automata a worker holds at once; each block of them is
-#: one scan of the texts. Counts of a row.
-BLOCK, BLOCK_BYTES, ROW = 2_000_000, 64 << 20, 4096
+#: Bytes of text taken together; sequences that a task counts before it passes them on, and
+#: candidates that it remembers.
+PORTION, HELD, REMEMBERED = 1 << 21, 1 << 22, 1 << 20
+#: Phrases, and their bytes, whose automata a worker holds at once (some 140 bytes each);
+#: each block of them is one scan of the texts in their languages. Counts of a row.
+BLOCK, BLOCK_BYTES, ROW = 1_250_000, 64 << 20, 4096
 #: What ends a piece of text.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 LETTERS = bytes.maketrans(UPPER.encode() + b"\t" + ENDS, UPPER.lower().encode() + b" " + b"\n" * len(ENDS))
@@ -152,7 +153,7 @@ def candidates(texts: DataFrame, marks: Broadcast, longest: int, bits: int, key:
                 names, at = np.unique(hashes[one & two], return_index=True)
                 new = [k for k, h in zip(at.tolist(), names.tolist(), strict=True) if h not in seen[lang]]
                 seen[lang].update(names.tolist())
-                if len(seen[lang]) > HELD:  # a phrase may then be passed on again
+                if len(seen[lang]) > REMEMBERED:  # a phrase may then be passed on again
                     seen[lang].clear()
                 where = first[one & two][new]
                 phrases += [own.data[a:b] for a, b in zip(own.start[where].tolist(), own.end[where + n - 1].tolist(), strict=True)]
@@ -229,18 +230,31 @@ def scan(texts: DataFrame, phrases: Broadcast, n: int) -> DataFrame:
 def counts_of(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """lang, phrase, f of all ``keys``; each block of them is one scan."""
     spark = texts.sparkSession
-    total = keys.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("phrase") + 1), F.lit(0)).alias("bytes")).first()
-    blocks = max(1, -(-total["n"] // BLOCK), -(-total["bytes"] // BLOCK_BYTES))
-    dealt = keys.withColumn("hash", F.xxhash64("lang", "phrase")).withColumn("block", F.pmod("hash", F.lit(blocks)))
+    # A row for each language.
+    sizes = keys.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("phrase") + 1).alias("bytes")).orderBy("lang").collect()
+    blocks: list[tuple[list[str], int, int]] = []  # languages, which part of their phrases, of how many
+    room = 0
+    for lang, n, size in sizes:
+        parts = max(-(-n // BLOCK), -(-size // BLOCK_BYTES))
+        share = max(n / BLOCK, size / BLOCK_BYTES)
+        if parts == 1 and share <= room:
+            blocks[-1][0].append(lang)
+            room -= share
+        else:
+            blocks += [([lang], part, parts) for part in range(parts)]
+            room = 1 - share if parts == 1 else 0
+    dealt = keys.withColumn("hash", F.xxhash64("lang", "phrase"))
     out = []
-    for block in range(blocks):
+    for langs, part, parts in blocks:
         # At most BLOCK phrases pass the driver at once, in blobs of some ten thousand.
-        part = dealt.filter(F.col("block") == block).groupBy("lang", F.pmod(F.shiftright("hash", 20), F.lit(-(-total["n"] // blocks // 20_000) + 1)).alias("part"))
-        blobs = [(r["lang"], bytes(r["blob"])) for r in part.agg(F.array_join(F.sort_array(F.collect_list("phrase")), "\n").cast("binary").alias("blob")).orderBy("lang", "part").collect()]
-        n = sum(b.count(b"\n") + 1 for _, b in blobs)
+        own = dealt.filter(F.col("lang").isin(langs) & (F.pmod("hash", F.lit(parts)) == part))
+        blob = F.array_join(F.sort_array(F.collect_list("phrase")), "\n").cast("binary").alias("blob")
+        blobs = own.groupBy("lang", F.pmod(F.shiftright("hash", 20), F.lit(BLOCK // 20_000)).alias("part")).agg(blob).orderBy("lang", "part")
+        found = [(r["lang"], bytes(r["blob"])) for r in blobs.collect()]
+        n = sum(b.count(b"\n") + 1 for _, b in found)
         if n:
-            shared = spark.sparkContext.broadcast({"id": secrets.token_hex(8), "phrases": blobs})
-            out.append(staged(scan(texts, shared, n)))
+            shared = spark.sparkContext.broadcast({"id": secrets.token_hex(8), "phrases": found})
+            out.append(staged(scan(texts.filter(F.col("lang").isin(langs)), shared, n)))
     return reduce(DataFrame.unionByName, out) if out else keys.select("lang", "phrase", F.lit(0).cast("bigint").alias("f"))
 
 

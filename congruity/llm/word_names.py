@@ -12,7 +12,7 @@ from hashlib import blake2b
 import numpy as np
 
 #: Longer words are digested by themselves; bytes hashed at once.
-LONG_WORD, PORTION = 1 << 12, 1 << 22
+LONG_WORD, PORTION = 1 << 12, 1 << 20
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
