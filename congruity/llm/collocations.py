@@ -249,7 +249,7 @@ def counts_of(texts: DataFrame, keys: DataFrame) -> DataFrame:
         # At most BLOCK phrases pass the driver at once, in blobs of some ten thousand.
         own = dealt.filter(F.col("lang").isin(langs) & (F.pmod("hash", F.lit(parts)) == part))
         blob = F.array_join(F.sort_array(F.collect_list("phrase")), "\n").cast("binary").alias("blob")
-        blobs = own.groupBy("lang", F.pmod(F.shiftright("hash", 20), F.lit(BLOCK // 20_000)).alias("part")).agg(blob).orderBy("lang", "part")
+        blobs = own.groupBy("lang", F.pmod(F.shiftright("hash", 20), F.lit(BLOCK // 20_000 + 1)).alias("part")).agg(blob).orderBy("lang", "part")
         found = [(r["lang"], bytes(r["blob"])) for r in blobs.collect()]
         n = sum(b.count(b"\n") + 1 for _, b in found)
         if n:
