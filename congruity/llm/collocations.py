@@ -32,7 +32,7 @@ from .word_names import mixed, sequence_names, word_names
 CELL_BITS = 26
 #: Bytes of text taken together; sequences that a task counts before it passes them on, and
 #: candidates that it remembers.
-PORTION, HELD, REMEMBERED = 1 << 21, 1 << 22, 1 << 20
+PORTION, HELD, REMEMBERED = 1 << 20, 1 << 20, 1 << 18
 #: Phrases, and their bytes, whose automata a worker holds at once (some 140 bytes each);
 #: each block of them is one scan of the texts in their languages. Counts of a row.
 BLOCK, BLOCK_BYTES, ROW = 1_250_000, 64 << 20, 4096
