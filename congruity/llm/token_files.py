@@ -11,6 +11,7 @@ from __future__ import annotations
 import gc
 import os
 import string
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -31,6 +32,9 @@ END = 0
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 PUNCTUATION = string.punctuation
 OTHER_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+#: Kinds of characters: what pieces are made of, other white space, and what Python does
+#: not know, which the library may know.
+COMMON, SPACE, UNKNOWN = 0, 1, 2
 #: Pieces of a generation that a worker remembers; longer ones than LONG are not.
 REMEMBERED = 400_000
 #: Characters of the texts that are encoded together.
@@ -46,6 +50,26 @@ FORMAT = {
 }
 
 
+@lru_cache(1)
+def kinds() -> np.ndarray:
+    """The kind of each code point."""
+    out = np.full(0x110000, COMMON, np.uint8)
+    for c in range(0x110000):
+        letter = chr(c)
+        if unicodedata.category(letter) == "Cn":
+            out[c] = UNKNOWN
+        elif letter not in " \n" and (letter.isspace() or letter in SPACES):
+            out[c] = SPACE
+    return out
+
+
+def kind_of(text: str) -> int:
+    """The most unusual kind of the characters of a text."""
+    if text.isascii():
+        return SPACE if any(c in text for c in OTHER_ASCII) else COMMON
+    return int(kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].max())
+
+
 class Remembered(dict):
     """Values by key, found by ``find`` at first sight. When full, what it holds
     becomes the older generation, from which keys in use come back."""
@@ -71,7 +95,8 @@ class PieceEncoder:
     A piece is what stands between blanks, with the blank before it (written as
     none) or with the line break before it: the tokenizer's own pattern never
     joins characters of two pieces. Texts with other white space are cut by the
-    pattern itself; texts with special tokens go to the library whole.
+    pattern itself; texts with special tokens, or with code points that Python does not
+    know, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -107,36 +132,41 @@ class PieceEncoder:
         found = array("i", [t.id for t in self.tokenize(word if broken else "Ġ" + word)]).tobytes()
         return self.ends["\n"] + found if broken else found
 
-    def is_plain(self, text: str) -> bool:
+    def is_plain(self, text: str, kind: int) -> bool:
         """Whether blanks and line breaks are all the white space, one at a time and
         inside the text, and no special token stands in it."""
-        if any(s in text for s in self.special) or text[:1] in " \n" or text[-1:] in " \n":
-            return False
-        if "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
+        if kind != COMMON or any(s in text for s in self.special) or text[:1] in " \n" or text[-1:] in " \n":
             return False
-        return not any(c in text for c in OTHER_ASCII) if text.isascii() else text.count(" ") + text.count("\n") + 1 == len(text.split())
+        return not ("  " in text or "\n " in text or " \n" in text or "\n\n" in text)
 
     def encode(self, text: str) -> bytes:
-        if self.is_plain(text):
+        kind = kind_of(text)
+        if self.is_plain(text, kind):
             pieces = text.replace("\n", " \n").split(" ")
             return self.ends[pieces[0]] + b"".join(map(self.seen.__getitem__, pieces[1:]))
-        if any(s in text for s in self.special):
+        if kind == UNKNOWN or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
         return self.ids(text)
 
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each text has. Each
-        piece of the plain ones is looked up once; a return marks the first of a text."""
-        plain = [self.is_plain(t) for t in texts]
-        lists = pc.split_pattern(pa.array(["\r" + t.replace("\n", " \n") for t, ok in zip(texts, plain, strict=True) if ok], pa.string()), " ")
-        codes = lists.values.dictionary_encode()
-        found = [self.ends[p[1:]] if p[0] == "\r" else self.seen[p] for p in codes.dictionary.to_pylist()]
+        piece of the plain ones is looked up once, and once more where it begins a text."""
+        plain = [self.is_plain(t, kind_of(t)) for t in texts]
+        lists = pc.split_pattern(pa.array([t.replace("\n", " \n") for t, ok in zip(texts, plain, strict=True) if ok], pa.string()), " ")
+        codes, offsets = lists.values.dictionary_encode(), lists.offsets.to_numpy()
+        pieces, at = codes.dictionary.to_pylist(), codes.indices.to_numpy().astype(np.int64)
+        begins = np.zeros(len(at), bool)
+        begins[offsets[:-1]] = True
+        at[begins] += len(pieces)
+        used = np.bincount(at, minlength=2 * len(pieces)) > 0
+        found = [(self.seen[p] if follows else b"") for p, follows in zip(pieces, used[: len(pieces)].tolist(), strict=True)]
+        found += [(self.ends[p] if first else b"") for p, first in zip(pieces, used[len(pieces) :].tolist(), strict=True)]
         size = np.array([len(x) // 4 for x in found], np.int64)
-        at, start = codes.indices.to_numpy(), np.cumsum(size) - size
+        start = np.cumsum(size) - size
         many = size[at]
         ends = np.cumsum(many)
         ids = np.frombuffer(b"".join(found), "<i4")[np.repeat(start[at] - ends + many, many) + np.arange(int(many.sum()))]
-        border = np.concatenate(([0], ends))[lists.offsets.to_numpy()]
+        border = np.concatenate(([0], ends))[offsets]
         if all(plain):
             return ids, np.diff(border)
         spans = iter(zip(border[:-1].tolist(), border[1:].tolist(), strict=True))

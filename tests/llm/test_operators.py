@@ -32,7 +32,7 @@ from congruity.llm.jaccard_join import DEPTH, TREES, expected_recall, first_met,
 from congruity.llm.license_scan import BASE_PHRASES, license_scan, rare_offsets, template_words
 from congruity.llm.license_texts import TEMPLATES
 from congruity.llm.suffix_dedup import SEGMENT, intervals, sample, solve, suffix_dedup
-from congruity.llm.token_files import FORMAT, PieceEncoder, read_token_files, with_crc32, write_token_files
+from congruity.llm.token_files import COMMON, FORMAT, SPACE, UNKNOWN, PieceEncoder, kinds, read_token_files, with_crc32, write_token_files
 
 suffix_module, jaccard_module = (importlib.import_module(f"congruity.llm.{n}") for n in ("suffix_dedup", "jaccard_join"))
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -281,6 +281,30 @@ def test_pieces_remembered_give_the_same_ids_again():
         assert ids.tolist() == [i for w in want[some] for i in w] and n.tolist() == [len(w) for w in want[some]]
 
 
+ENDED = ["Prix :\xa05 €\r\nOui \r\nNon", "é \r\nb\xa0c", "é\r", "\ré", "é \r", "\u3000é \r b", "é\r\n\r\n x"]
+
+
+def test_line_ends_and_other_spaces_of_texts_beyond_ascii():
+    own, library, rng = PieceEncoder(BYTE_BPE), Tokenizer.from_file(BYTE_BPE), random.Random(9)
+    letters = ["a", "é", "東", " ", " ", "\n", "\r", "\r\n", "\xa0", "\u3000", "\t", "\x1c", "\x85", "'s", ".", "1", "\u2028", "\u180e", "\u200b"]
+    texts = ENDED + ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))) for _ in range(30_000)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    ids, n = own.encode_many(texts)
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+@pytest.mark.parametrize("form", ["ab?cd", "?'s", "? x", " ?", "?\r\n?"])
+def test_every_code_point_of_a_text_file_gives_the_ids_of_the_library(form):
+    own, library = PieceEncoder(BYTE_BPE), Tokenizer.from_file(BYTE_BPE)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for kind in (COMMON, SPACE, UNKNOWN):
+        some = [c for c in points if kinds()[c] == kind]
+        texts = [" | ".join(form.replace("?", chr(c)) for c in some[k : k + 256]) for k in range(0, len(some), 256)]
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        ids, n = own.encode_many(texts)
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 # Chats
 
 def test_escapes_are_undone(spark):
