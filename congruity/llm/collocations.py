@@ -31,8 +31,8 @@ from .word_names import mixed, sequence_names, word_names
 #: both rows, and shards of 65536 cells, each summed by one task.
 CELL_BITS = 26
 #: Bytes of text taken together; sequences that a task counts before it passes them on, and
-#: candidates that it remembers.
-PORTION, HELD, REMEMBERED = 1 << 20, 1 << 20, 1 << 18
+#: candidates of a language that it remembers; parts of a language's candidates.
+PORTION, HELD, REMEMBERED, PARTS = 1 << 20, 1 << 20, 1 << 18, 1024
 #: Phrases, and their bytes, whose automata a worker holds at once (some 140 bytes each);
 #: each block of them is one scan of the texts in their languages. Counts of a row.
 BLOCK, BLOCK_BYTES, ROW = 1_250_000, 64 << 20, 4096
@@ -140,29 +140,47 @@ def reaches(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def candidates(texts: DataFrame, marks: Broadcast, longest: int, bits: int, key: int) -> DataFrame:
     """lang, phrase of every candidate, and for each language a row without a phrase;
-    n is 0, or the language's number of words."""
+    n is 0, or the language's number of words. A row of the shuffle has many phrases."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, words = defaultdict(set), defaultdict(int)
+        seen, words = defaultdict(dict), defaultdict(int)
         for lang, found in portions(batches):
-            own, phrases = Sequences(lang, found, key), []
+            own, mine = Sequences(lang, found, key), seen[lang]
             words[lang] += len(own.words) - int(own.ends.sum())
             for n in range(2, longest + 1):
                 first, hashes = own.of(n)
                 one, two = (reaches(row, at) for row, at in zip(marks.value, cells(hashes, bits), strict=True))
                 names, at = np.unique(hashes[one & two], return_index=True)
-                new = [k for k, h in zip(at.tolist(), names.tolist(), strict=True) if h not in seen[lang]]
-                seen[lang].update(names.tolist())
-                if len(seen[lang]) > REMEMBERED:  # a phrase may then be passed on again
-                    seen[lang].clear()
-                where = first[one & two][new]
-                phrases += [own.data[a:b] for a, b in zip(own.start[where].tolist(), own.end[where + n - 1].tolist(), strict=True)]
-            if phrases:
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()), pa.array(np.zeros(len(phrases), np.int64))], ["lang", "phrase", "n"])
+                where = first[one & two][at]
+                for name, a, b in zip(names.tolist(), own.start[where].tolist(), own.end[where + n - 1].tolist(), strict=True):
+                    if name not in mine:
+                        mine[name] = own.data[a:b]
+            if len(mine) >= REMEMBERED:  # a phrase may then be passed on again
+                yield packed(lang, seen.pop(lang))
+        for lang, mine in seen.items():
+            yield packed(lang, mine)
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array([-1] * len(words), pa.int32()), pa.nulls(len(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["lang", "part", "phrases", "n"])
+
+    def packed(lang: str, phrases: dict[int, bytes]) -> pa.RecordBatch:
+        parts = defaultdict(list)
+        for name, phrase in phrases.items():
+            parts[name % PARTS].append(phrase)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(parts), pa.string()), pa.array(list(parts), pa.int32()), pa.array(list(map(b"\n".join, parts.values())), pa.binary()), pa.array(np.zeros(len(parts), np.int64))], ["lang", "part", "phrases", "n"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases, words = defaultdict(set), defaultdict(int)
+        for batch in batches:
+            for lang, part, blob, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part < 0:
+                    words[lang] += n
+                else:
+                    phrases[lang].update(blob.split(b"\n"))
+        for lang, found in phrases.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.binary()), pa.array(np.zeros(len(found), np.int64))], ["lang", "phrase", "n"])
         yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.nulls(len(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["lang", "phrase", "n"])
 
-    found = texts.mapInArrow(find, "lang string, phrase binary, n bigint")
-    return found.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("n"))
+    dealt = texts.mapInArrow(find, "lang string, part int, phrases binary, n bigint").repartition("lang", "part")
+    return dealt.mapInArrow(merge, "lang string, phrase binary, n bigint").select("lang", F.col("phrase").cast("string").alias("phrase"), "n")
 
 
 built: dict[object, dict[str, tuple[object, int]]] = {}
@@ -302,7 +320,11 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, top: int =
     parts = F.flatten(F.transform(F.sequence(F.lit(2), F.col("words") - 1), inside))
     longer = enough.filter("words > 2").select("lang", F.explode(F.array_distinct(parts)).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
     kept = scored.join(longer, ["lang", "phrase"], "left").filter(f"longer IS NULL OR 100 * longer < {held_percent} * a")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    # A language's best go through one task: at most 64 times ``top``, whatever its size.
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    part = F.pmod(F.xxhash64("phrase"), F.lit(64))
+    kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).filter(f"rank <= {top}")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
     n = found.filter("phrase IS NULL").select("lang", "n")
     best = kept.withColumn("rank", rank.cast("long")).filter(f"rank <= {top}")
     return best.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
