@@ -11,7 +11,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, correlate, fields, filters, groups, profile, quality, records, schema_diff
+from ..operators import aggregates, correlate, fields, filters, groups, profile, quality, records, sampling, schema_diff
 from ..sources import readers
 from ..spec import AggregateRule, GroupSpec, Mapping, QualityRule, ReconSpec, RowFilter
 from ..streaming import events
@@ -654,3 +654,53 @@ def stream(spark: SparkSession, d: str) -> DataFrame:
 
 def as_moments(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+# Samples
+
+#: Strata of l_linenumber: about so many rows of each; smaller ones are read whole.
+SAMPLE_ROWS, SAMPLE_SEED = 1500, 7
+DRAWN = "CAST('0x' || substr(md5('{seed}' || chr(10) || l_orderkey || chr(10) || l_linenumber), 1, 8) AS BIGINT)".format(seed=SAMPLE_SEED)
+SAMPLE_SQL = f"""WITH s AS ({perturb.LINEITEM_S}), t AS ({perturb.LINEITEM_T}), n AS (
+        SELECT l_linenumber AS h, count(*) FILTER (own = 's') AS source_rows, count(*) FILTER (own = 't') AS target_rows
+        FROM (SELECT l_linenumber, 's' AS own FROM s WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL UNION ALL SELECT l_linenumber, 't' FROM t WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL) GROUP BY 1
+    ), r AS (SELECT *, ceil(least(1.0::DOUBLE, {SAMPLE_ROWS}.0::DOUBLE / greatest(source_rows, target_rows)) * 4294967296) AS cut FROM n
+    ), a AS (SELECT s.* FROM s JOIN r ON r.h = l_linenumber AND {DRAWN} < cut
+    ), b AS (SELECT t.* FROM t JOIN r ON r.h = l_linenumber AND {DRAWN} < cut)"""
+
+
+@query(f"{SAMPLE_SQL} SELECT 'source' AS side, l_orderkey, l_linenumber FROM a UNION ALL SELECT 'target', l_orderkey, l_linenumber FROM b")
+def sample_members(spark, d):
+    r = lines(spark, d)
+    s, t, _ = sampling.sample_sides(r.source, r.target, LINES, SAMPLE_ROWS, ("l_linenumber",), SAMPLE_SEED)
+    return s.select(F.lit("source").alias("side"), "l_orderkey", "l_linenumber").unionByName(t.select(F.lit("target").alias("side"), "l_orderkey", "l_linenumber"))
+
+
+LINE_NAMES = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
+LINE_CELLS = ", ".join(LINE_NAMES)
+
+
+@query(f"""{SAMPLE_SQL}, a1 AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {LINE_CELLS}) AS o, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS c FROM a
+    ), b1 AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {LINE_CELLS}) AS o, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS c FROM b
+    ), k AS (
+        SELECT a1.l_orderkey, a1.l_linenumber AS h, count(*) AS xs, count(*) FILTER (b1.o IS NOT NULL) AS covered,
+               count(*) FILTER (b1.o IS NOT NULL AND ({" OR ".join(f"a1.{c} IS DISTINCT FROM b1.{c}" for c in LINE_NAMES)})) AS differing, 0 AS xt, 0 AS extra
+        FROM a1 LEFT JOIN b1 ON a1.l_orderkey = b1.l_orderkey AND a1.l_linenumber = b1.l_linenumber AND b1.o = CASE WHEN a1.o <= b1.c THEN a1.o ELSE 1 END GROUP BY 1, 2
+        UNION ALL SELECT b.l_orderkey, b.l_linenumber, 0, 0, 0, count(*), count(*) FILTER (a2.l_orderkey IS NULL) FROM b LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM a) a2 USING (l_orderkey, l_linenumber) GROUP BY 1, 2
+    ), e AS (
+        SELECT h, metric, sum(y) AS y, sum(x) AS x, sum(x::DOUBLE * x) AS xx
+        FROM (SELECT h, 'coverage' AS metric, covered AS y, xs AS x FROM k UNION ALL SELECT h, 'mismatch', differing, xs FROM k UNION ALL SELECT h, 'extra', extra, xt FROM k) GROUP BY ALL
+    ), p AS (
+        SELECT metric, CASE WHEN metric = 'extra' THEN target_rows ELSE source_rows END AS n, cut >= 4294967296 AS exact, coalesce(x, 0) AS seen,
+               CASE WHEN x > 0 THEN y / x ELSE 0.5 END AS p, CASE WHEN x > 0 THEN (1 - cut / 4294967296) * xx / (x::DOUBLE * x) ELSE 1e9 END AS d, 1.959963984540054 AS z
+        FROM r JOIN e USING (h)
+    ), w AS (
+        SELECT *, greatest((p + z * z * d / 2 - z * sqrt(p * (1 - p) * d + z * d * z * d / 4)) / (1 + z * z * d), 0) AS low, least((p + z * z * d / 2 + z * sqrt(p * (1 - p) * d + z * d * z * d / 4)) / (1 + z * z * d), 1) AS high FROM p WHERE n > 0
+    )
+    SELECT metric, round(sum(n * p) / sum(n), 6) AS estimate, round(greatest(sum(n * p) / sum(n) - sqrt(sum(pow(n * (p - low), 2))) / sum(n), 0), 6) AS lower,
+           round(least(sum(n * p) / sum(n) + sqrt(sum(pow(n * (high - p), 2))) / sum(n), 1), 6) AS upper,
+           CAST(sum(n) AS BIGINT) AS population, CAST(sum(seen) AS BIGINT) AS sampled_rows, count(*) AS strata, count(*) FILTER (exact) AS exact_strata
+    FROM w GROUP BY metric""")
+def sample_bounds(spark, d):
+    found = lines(spark, d).sampled(SAMPLE_ROWS, ("l_linenumber",), SAMPLE_SEED)
+    return found.withColumns({c: F.round(c, 6) for c in ("estimate", "lower", "upper")})

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, correlate, fields, groups, profile, quality, records, schema_diff
+from ..operators import aggregates, correlate, fields, groups, profile, quality, records, sampling, schema_diff
 from ..operators.filters import apply_filters
 from ..spec import ReconSpec
 
@@ -75,6 +75,11 @@ class Reconciliation:
             "L6": lambda: quality.quality_metrics(self.quality()),
         }[level]()
 
+    def sampled(self, rows: int, strata: tuple[str, ...] = (), seed: int = 0, confidence: float = 0.95) -> DataFrame:
+        """Coverage, mismatches and extra rows with their bounds, from about ``rows`` rows
+        of each stratum."""
+        return sampling.sampled_metrics(self.source, self.target, self.spec, rows, strata, seed, confidence)
+
     def levels(self) -> DataFrame:
         """level, status of the levels asked for; L3 and L4 share one pass over the records."""
         levels, out = list(self.spec.levels), None
