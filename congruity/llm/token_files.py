@@ -32,11 +32,12 @@ END = 0
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 PUNCTUATION = string.punctuation
 OTHER_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+OTHER_LATIN = OTHER_ASCII + "\x85\xa0"
 #: Kinds of characters: what pieces are made of, other white space, and what Python does
 #: not know, which the library may know.
 COMMON, SPACE, UNKNOWN = 0, 1, 2
 #: Pieces of a generation that a worker remembers; longer ones than LONG are not.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Characters of the texts that are encoded together.
 CHUNK = 4 << 20
 FORMAT = {
@@ -65,9 +66,14 @@ def kinds() -> np.ndarray:
 
 def kind_of(text: str) -> int:
     """The most unusual kind of the characters of a text."""
-    if text.isascii():
-        return SPACE if any(c in text for c in OTHER_ASCII) else COMMON
-    return int(kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].max())
+    spaces = OTHER_ASCII
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+            spaces = OTHER_LATIN
+        except UnicodeEncodeError:
+            return int(kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].max())
+    return SPACE if any(c in text for c in spaces) else COMMON
 
 
 class Remembered(dict):
@@ -155,12 +161,11 @@ class PieceEncoder:
         lists = pc.split_pattern(pa.array([t.replace("\n", " \n") for t, ok in zip(texts, plain, strict=True) if ok], pa.string()), " ")
         codes, offsets = lists.values.dictionary_encode(), lists.offsets.to_numpy()
         pieces, at = codes.dictionary.to_pylist(), codes.indices.to_numpy().astype(np.int64)
-        begins = np.zeros(len(at), bool)
-        begins[offsets[:-1]] = True
-        at[begins] += len(pieces)
-        used = np.bincount(at, minlength=2 * len(pieces)) > 0
-        found = [(self.seen[p] if follows else b"") for p, follows in zip(pieces, used[: len(pieces)].tolist(), strict=True)]
-        found += [(self.ends[p] if first else b"") for p, first in zip(pieces, used[len(pieces) :].tolist(), strict=True)]
+        begins = offsets[:-1]
+        firsts = [self.ends[pieces[k]] for k in at[begins].tolist()]
+        at[begins] = len(pieces) + np.arange(len(firsts))
+        follows = np.bincount(at, minlength=len(pieces))[: len(pieces)] > 0
+        found = [self.seen[p] if used else b"" for p, used in zip(pieces, follows.tolist(), strict=True)] + firsts
         size = np.array([len(x) // 4 for x in found], np.int64)
         start = np.cumsum(size) - size
         many = size[at]
