@@ -11,7 +11,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, correlate, fields, filters, groups, profile, quality, records, sampling, schema_diff
+from ..operators import aggregates, checksum, correlate, fields, filters, groups, profile, quality, records, sampling, schema_diff
 from ..sources import readers
 from ..spec import AggregateRule, GroupSpec, Mapping, QualityRule, ReconSpec, RowFilter
 from ..streaming import events
@@ -704,3 +704,23 @@ LINE_CELLS = ", ".join(LINE_NAMES)
 def sample_bounds(spark, d):
     found = lines(spark, d).sampled(SAMPLE_ROWS, ("l_linenumber",), SAMPLE_SEED)
     return found.withColumns({c: F.round(c, 6) for c in ("estimate", "lower", "upper")})
+
+
+# Checksums
+
+ALL_LINES = ("l_orderkey", "l_linenumber", *LINE_NAMES)
+DIFFERENT_LINES = f"""WITH s AS (SELECT {', '.join(ALL_LINES)}, count(*) AS n FROM ({perturb.LINEITEM_S}) GROUP BY ALL), t AS (SELECT {', '.join(ALL_LINES)}, count(*) AS n FROM ({perturb.LINEITEM_T}) GROUP BY ALL)
+    SELECT {', '.join(f'coalesce(s.{c}, t.{c}) AS {c}' for c in ALL_LINES)}, coalesce(s.n, 0) AS source_rows, coalesce(t.n, 0) AS target_rows
+    FROM s FULL JOIN t ON {' AND '.join(f's.{c} IS NOT DISTINCT FROM t.{c}' for c in ALL_LINES)} WHERE s.n IS DISTINCT FROM t.n"""
+
+
+@query(DIFFERENT_LINES)
+def checksum_by_hash(spark, d):
+    r = lines(spark, d)
+    return checksum.checksum_diff(r.source, r.target, list(ALL_LINES))
+
+
+@query(f"WITH s AS ({perturb.ORDERS_S}), t AS (SELECT * FROM s WHERE o_orderkey IS NULL OR o_orderkey NOT BETWEEN 4000 AND 4100) SELECT *, 1 AS source_rows, 0 AS target_rows FROM s WHERE o_orderkey BETWEEN 4000 AND 4100")
+def checksum_by_range(spark, d):
+    s = build(spark, d, perturb.ORDERS_S)
+    return checksum.checksum_diff(s, s.filter("o_orderkey IS NULL OR o_orderkey NOT BETWEEN 4000 AND 4100"), s.columns, "o_orderkey")
