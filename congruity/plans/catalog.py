@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
-from datetime import date, datetime
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, checksum, correlate, fields, filters, groups, profile, quality, records, sampling, schema_diff
 from ..sources import readers
+from ..sources.shared import shared_dir
 from ..spec import AggregateRule, GroupSpec, Mapping, QualityRule, ReconSpec, RowFilter
 from ..streaming import events
 from . import perturb
 from .perturb import build
-from .reconcile import Reconciliation, latest_results, page, run_listing
+from .reconcile import Reconciliation, latest_results, run_listing
+from .results import Results, evidence
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -573,8 +573,60 @@ def latest_of_runs(spark, d):
 
 @query(cells(PAIRS_O, ORDER_GAPS) + " ORDER BY k0, source_ordinal, target_ordinal, source_column LIMIT 50 OFFSET 50")
 def report_page(spark, d):
-    found = orders(spark, d).mismatches().select("k0", *CELL)
-    return page(found, ["k0", "source_ordinal", "target_ordinal", "source_column"], 2, 50)
+    return written(spark, d).page("mismatches", "a", 2, 50).select("k0", *CELL)
+
+
+REPORT = ["k0", "source_ordinal", "target_ordinal", "source_column"]
+
+
+def written(spark: SparkSession, d: str, times: int = 1) -> Results:
+    """The cells of the orders that differ, as a run in a folder of its own."""
+    out = Results(spark, shared_dir(spark))
+    for _ in range(times):
+        out.put(orders(spark, d).mismatches(), "mismatches", "a", REPORT)
+    return out
+
+
+@query(cells(PAIRS_O, ORDER_GAPS))
+def sink_retry(spark, d):
+    """Written twice, each cell is there once."""
+    return written(spark, d, 2).read("mismatches", "a").select("k0", *CELL)
+
+
+@query(cells(PAIRS_O, ORDER_GAPS) + " ORDER BY k0, source_ordinal, target_ordinal, source_column LIMIT 60 OFFSET 120")
+def report_seek(spark, d):
+    """The third page, each sought from the last row of the one before."""
+    results, row = written(spark, d), None
+    for _ in range(2):
+        row = results.after("mismatches", "a", row, 60).agg(F.max("row")).first()[0]
+    return results.after("mismatches", "a", row, 60).select("k0", *CELL)
+
+
+@query(f"SELECT * FROM ({cells(PAIRS_O, ORDER_GAPS)}) WHERE k0 >= 5000 ORDER BY k0, source_ordinal, target_ordinal, source_column LIMIT 40")
+def report_from_key(spark, d):
+    return written(spark, d).from_key("mismatches", "a", {"k0": 5000}, 40).select("k0", *CELL)
+
+
+@query(f"WITH m AS ({cells(PAIRS_O, ORDER_GAPS)}) SELECT k0, source_column, (SELECT count(*) FROM m) AS total FROM m ORDER BY k0, source_ordinal, target_ordinal, source_column LIMIT 30")
+def evidence_count(spark, d):
+    rows, total = evidence(orders(spark, d).mismatches(), REPORT, 30)
+    return spark.createDataFrame([(r["k0"], r["source_column"], total) for r in rows], "k0 long, source_column string, total long")
+
+
+RUN_STATUS = "CASE WHEN NOT EXISTS (SELECT * FROM pairs WHERE status <> 'MATCHED') THEN 'PASS' ELSE 'FAIL' END"
+
+
+@query(f"""{PAIRS_O} SELECT 'second' AS run_id, 'DONE' AS state, TIMESTAMP '2024-01-02 00:00:00' AS created_at, 1 AS levels, CAST({RUN_STATUS} = 'FAIL' AS INTEGER) AS failed_levels, {RUN_STATUS} AS status
+    UNION ALL SELECT 'first', 'DONE', TIMESTAMP '2024-01-01 00:00:00', 1, CAST(NOT EXISTS (SELECT * FROM pairs WHERE k0 < 0) AS INTEGER) - 1, 'PASS'
+    UNION ALL SELECT 'broken', 'RUNNING', TIMESTAMP '2024-01-03 00:00:00', NULL, NULL, NULL""")
+def run_history(spark, d):
+    """A run that passed, one that failed, one that broke off."""
+    out, spec = Results(spark, shared_dir(spark)), replace(ORDERS, levels=("L3",))
+    s = build(spark, d, perturb.CUSTOMER_S)
+    out.write(Reconciliation(s, s, ReconSpec(keys=(("c_custkey", "c_custkey"),), levels=("L3",))), "first", datetime(2024, 1, 1, tzinfo=timezone.utc))
+    out.write(orders(spark, d, spec), "second", datetime(2024, 1, 2, tzinfo=timezone.utc))
+    out.state("broken", "RUNNING", datetime(2024, 1, 3, tzinfo=timezone.utc), "")
+    return out.runs().drop("spec").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
 @query("SELECT o_custkey AS run_id, count(*) AS levels, count(*) FILTER (o_orderstatus = 'F') AS failed_levels, CASE WHEN bool_or(o_orderstatus = 'F') THEN 'FAIL' ELSE 'PASS' END AS status FROM orders GROUP BY o_custkey")
@@ -585,15 +637,9 @@ def runs(spark, d):
 
 # Sources
 
-def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/congruity-{uuid.uuid4().hex}"
-
-
 @query("SELECT n_nationkey, n_name, n_regionkey, n_regionkey = 1 AS flag, CASE WHEN n_nationkey % 5 <> 0 THEN n_nationkey / 4 END AS share, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (n_nationkey) DAY AS at FROM nation")
 def source_csv(spark, d):
-    path, n = scratch(spark), spark.read.parquet(f"{d}/nation.parquet")
+    path, n = shared_dir(spark), spark.read.parquet(f"{d}/nation.parquet")
     flag = F.when(F.col("n_regionkey") == 1, "Yes").otherwise("no")
     share = F.when(F.col("n_nationkey") % 5 != 0, F.format_string("%.2f", F.col("n_nationkey") / 4))
     n.select("n_nationkey", "n_name", "n_regionkey", flag.alias("flag"), share.alias("share"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("n_nationkey")).cast("string").alias("at")).write.option("header", True).csv(path)
@@ -606,7 +652,7 @@ def source_formats(spark, d):
     region.createOrReplaceTempView("congruity_region")
     out = known.read(spark, "table", {"name": "congruity_region"}).select(F.lit("table").alias("format"), "r_regionkey", "r_name")
     for name in ("parquet", "orc", "json"):
-        path = scratch(spark)
+        path = shared_dir(spark)
         region.write.format(name).save(path)
         out = out.unionByName(known.read(spark, name, {"path": path}).select(F.lit(name).alias("format"), F.col("r_regionkey").cast("int").alias("r_regionkey"), "r_name"))
     return out

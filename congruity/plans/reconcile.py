@@ -1,4 +1,4 @@
-"""A whole run: every level a lazy DataFrame, and their sinks."""
+"""A whole run: every level a lazy DataFrame."""
 
 from __future__ import annotations
 
@@ -96,29 +96,11 @@ class Reconciliation:
     def rollup(self) -> DataFrame:
         return correlate.run_rollup(self.levels())
 
-    def write(self, path: str, run_id: str, fmt: str = "parquet") -> None:
-        """Results as tables below ``path``, each with its run in a partition column."""
-        out = {"records": self.records.drop("s", "t"), "mismatches": self.mismatches(), "levels": self.levels()} if self.spec.keys else {"levels": self.levels()}
-        for name, df in out.items():
-            df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").format(fmt).save(f"{path}/{name}")
-
 
 def reconcile(source: DataFrame, target: DataFrame, spec: ReconSpec) -> Reconciliation:
     return Reconciliation(source, target, spec)
 
 
-def evidence(df: DataFrame, order: list[str], limit: int = 100) -> tuple[list[dict], bool]:
-    """At most ``limit`` rows for a report, in order, and whether there are more."""
-    rows = df.orderBy(*order).limit(limit + 1).collect()
-    return [r.asDict(True) for r in rows[:limit]], len(rows) > limit
-
-
-def page(df: DataFrame, order: list[str], number: int, size: int = 100) -> DataFrame:
-    """Page ``number`` (from 1) of a result for display; at most 200 rows."""
-    size = min(size, 200)
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
-
-
 def latest_results(results: DataFrame, tasks: DataFrame) -> DataFrame:
     """The newest result of each run and task that succeeded, from result and task
     tables (run_id, task_id, created_at, ..; run_id, task_id, state)."""

@@ -1,0 +1,145 @@
+"""Result tables: retries, pages, runs, and what may leave."""
+
+import hashlib
+import hmac
+from datetime import datetime, timezone
+
+import pytest
+from pyspark.sql import functions as F
+
+from congruity.plans.privacy import guarded, keyed_digest
+from congruity.plans.reconcile import Reconciliation
+from congruity.plans.results import Results, evidence
+from congruity.spec import AggregateRule, Mapping, ReconSpec, SpecError
+
+KEY = b"0123456789abcdef"
+SPEC = ReconSpec(keys=(("id", "key"),), mappings=(Mapping("name", "label"), Mapping("amount", "amount")), aggregates=(AggregateRule("sum", "SUM", "amount"),), levels=("L1", "L2", "L3", "L4", "L5"))
+
+
+def run(spark, n=500, bad=7):
+    s = spark.range(n).select("id", F.concat(F.lit("n"), "id").alias("name"), (F.col("id") * 2).alias("amount"))
+    t = s.select(F.col("id").alias("key"), F.when(F.col("id") % bad == 0, "other").otherwise(F.col("name")).alias("label"), F.when(F.col("id") % (2 * bad) == 0, 0).otherwise(F.col("amount")).alias("amount"))
+    return Reconciliation(s, t.filter(f"key % 50 != 49"), SPEC)
+
+
+def test_a_retry_leaves_each_row_once(spark, tmp_path):
+    out, own = Results(spark, str(tmp_path)), run(spark)
+    for _ in range(2):
+        out.write(own, "a", datetime(2024, 1, 1, tzinfo=timezone.utc))
+    out.write(run(spark, 100), "b.2", datetime(2024, 1, 2, tzinfo=timezone.utc))
+    assert out.read("records", "a").count() == 500 and out.read("mismatches", "a").count() == own.mismatches().count()
+    assert spark.read.parquet(f"{tmp_path}/records").groupBy("run_id").count().count() == 2
+    out.write(run(spark, 100, 1000), "a")  # the same run with fewer rows
+    assert out.read("mismatches", "a").count() == run(spark, 100, 1000).mismatches().count() == 1
+    assert out.read("aggregates", "a").count() == 1 and out.read("levels", "a").count() == 5
+    with pytest.raises(SpecError):
+        out.folder("records", "../b")
+
+
+def test_runs_are_listed_newest_first_and_broken_ones_are_not_done(spark, tmp_path, monkeypatch):
+    out = Results(spark, str(tmp_path))
+    assert out.runs().collect() == []
+    out.write(run(spark, 60), "a", datetime(2024, 1, 1, tzinfo=timezone.utc))
+    real = Results.put
+
+    def breaks(self, df, table, *more):
+        if table == "mismatches":
+            raise RuntimeError("lost")
+        real(self, df, table, *more)
+
+    monkeypatch.setattr(Results, "put", breaks)
+    for name in ("a", "b"):  # one that was done before, one that is new
+        with pytest.raises(RuntimeError):
+            out.write(run(spark, 60), name, datetime(2024, 1, 2, tzinfo=timezone.utc))
+    monkeypatch.setattr(Results, "put", real)
+    assert [(r.run_id, r.state, r.status) for r in out.runs().collect()] == [("a", "RUNNING", None), ("b", "RUNNING", None)]
+    out.write(run(spark, 60), "a", datetime(2024, 1, 3, tzinfo=timezone.utc))
+    first = out.runs().first()
+    assert (first.run_id, first.state, first.status, first.levels) == ("a", "DONE", "FAIL", 5) and ReconSpec.from_json(first.spec) == SPEC
+
+
+def test_pages_equal_a_sorted_list(spark, tmp_path):
+    out, order = Results(spark, str(tmp_path)), ["a", "b"]
+    rows = [(k % 90 if k % 11 else None, k * 37 % 1000) for k in range(1000)]
+    out.put(spark.createDataFrame(rows, "a long, b long").repartition(6), "x", "r", order)
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    pages = [[tuple(r)[:2] for r in out.page("x", "r", n, 150).collect()] for n in range(1, 9)]
+    assert sum(pages, []) == want and [len(p) for p in pages] == [150] * 6 + [100, 0]
+    got, last = [], None
+    while page := out.after("x", "r", last, 70).collect():
+        got += [(r.a, r.b) for r in page]
+        last = page[-1].row
+    assert got == want
+    for key in ({"a": 40}, {"a": 40, "b": 500}, {"a": None, "b": 600}, {"a": 39, "b": 10_000}, {"a": 1000}):
+        begin = [r for r in want if (r[0] is not None, r[0] or 0, r[1]) >= (key["a"] is not None, key["a"] or 0, key.get("b", -1))]
+        assert [(r.a, r.b) for r in out.from_key("x", "r", key, 90).collect()] == begin[:90], key
+    assert len(out.page("x", "r", 1, 10**6).collect()) == 200
+
+
+def test_a_page_is_a_range_of_the_scan(spark, tmp_path):
+    out = Results(spark, str(tmp_path))
+    out.put(spark.range(50_000).repartition(4), "x", "r", ["id"])
+    for df in (out.page("x", "r", 100, 100), out.after("x", "r", 200, 100)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThan" in plan and "LessThan(row," in plan and "TakeOrderedAndProject" in plan and "Exchange" not in plan and "Sort [" not in plan
+    plan = out.from_key("x", "r", {"id": 77}, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,77)" in plan and "Exchange" not in plan
+
+
+def test_empty_tables_have_pages(spark, tmp_path):
+    out = Results(spark, str(tmp_path))
+    out.put(spark.range(0), "x", "r", ["id"])
+    assert out.page("x", "r", 1).collect() == out.after("x", "r", None).collect() == out.from_key("x", "r", {"id": 1}).collect() == []
+
+
+def test_evidence_and_its_count_take_one_job(spark):
+    df = spark.range(0, 5000, 1, 5).withColumn("v", F.col("id") % 10)
+    group = "evidence-test"
+    spark.sparkContext.setJobGroup(group, "")
+    rows, total = evidence(df.filter("v = 3"), ["id"], 20)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert total == 500 and [r["id"] for r in rows] == [3 + 10 * k for k in range(20)] and len(jobs) == 1
+    assert evidence(df.filter("v = 77"), ["id"]) == ([], 0)
+    assert evidence(df.limit(3), ["id"], 5)[1] == 3
+
+
+# Privacy
+
+def test_private_values_never_reach_the_files(spark, tmp_path):
+    out = Results(spark, str(tmp_path))
+    with pytest.raises(SpecError, match="private"):
+        out.write(run(spark, 60), "a", private=("ID", "label"))
+    out.write(run(spark, 60), "a", private=("ID", "label"), key=KEY)
+    text = "".join(str(r) for t in ("records", "mismatches") for r in out.read(t, "a").collect())
+    assert "n14" not in text and "other" not in text
+    named = {r.source_column: r for r in out.read("mismatches", "a").collect()}
+    assert named["amount"].target_value == "0" and named["amount"].difference is not None
+    digest = hmac.new(KEY, b"other", hashlib.sha256).hexdigest()
+    assert named["name"].target_value == digest
+    assert {r.k0 for r in out.read("records", "a").collect()} == {hmac.new(KEY, str(k).encode(), hashlib.sha256).hexdigest() for k in range(60)}
+
+
+def test_nested_private_fields_are_found(spark):
+    df = spark.sql("""SELECT 1 AS id, named_struct('name', 'ann', 'age', 7) AS person, array(named_struct('Name', 'bob', 'x', 1), NULL) AS friends,
+        map('name', 'cid', 'city', 'rome') AS tags, map(1, named_struct('name', 'dan')) AS numbered, map('p', array(named_struct('name', 'eve'))) AS deep, CAST(NULL AS STRUCT<name: STRING>) AS nobody, 'fay' AS NAME""")
+    for private in (("name",), ("NAME", "other")):
+        row = guarded(df, None, private, KEY).first()
+        for hidden in ("ann", "bob", "cid", "dan", "eve", "fay"):
+            assert hidden not in str(row)
+        assert row.id == 1 and row.person.age == 7 and row.friends[0].x == 1 and row.friends[1] is None and row.tags["city"] == "rome" and row.nobody is None
+        assert row.person.name == hmac.new(KEY, b"ann", hashlib.sha256).hexdigest() and len({row.person.name, row.tags["name"], row.numbered[1].name, row.NAME}) == 4
+    assert guarded(df, None, ()).first() == df.first()
+    with pytest.raises(SpecError):
+        guarded(df, None, ("name",))
+    with pytest.raises(SpecError, match="keys of the map"):
+        guarded(spark.sql("SELECT map(named_struct('name', 'x'), 1) AS m"), None, ("name",), KEY)
+    assert guarded(df.select("id", "person.age"), None, ("name",)).count() == 1  # nothing private there
+
+
+def test_digests_are_hmacs(spark):
+    df = spark.createDataFrame([("x", 1.5), (None, None), ("", 0.0)], "s string, d double")
+    rows = df.select(keyed_digest(F.col("s"), df.schema["s"].dataType, KEY).alias("s")).collect()
+    assert [r.s for r in rows] == [hmac.new(KEY, b"x", hashlib.sha256).hexdigest(), None, hmac.new(KEY, b"", hashlib.sha256).hexdigest()]
+    with pytest.raises(SpecError):
+        keyed_digest(F.col("s"), df.schema["s"].dataType, b"short")
