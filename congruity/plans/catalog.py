@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date, datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, checksum, correlate, fields, filters, groups, profile, quality, records, sampling, schema_diff
-from ..sources import readers
+from ..sources import jdbc, readers
 from ..sources.shared import shared_dir
 from ..spec import AggregateRule, GroupSpec, Mapping, QualityRule, ReconSpec, RowFilter
 from ..streaming import events
@@ -770,3 +772,45 @@ def checksum_by_hash(spark, d):
 def checksum_by_range(spark, d):
     s = build(spark, d, perturb.ORDERS_S)
     return checksum.checksum_diff(s, s.filter("o_orderkey IS NULL OR o_orderkey NOT BETWEEN 4000 AND 4100"), s.columns, "o_orderkey")
+
+
+# Databases
+
+def derby(spark: SparkSession, d: str, *names: str) -> dict:
+    """The named tables in a database of this process."""
+    p = {"url": f"jdbc:derby:memory:congruity{uuid.uuid4().hex};create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    for name in names:
+        jdbc.write_jdbc(spark.read.parquet(f"{d}/{name}.parquet").coalesce(4), p | {"table": name, "text": "VARCHAR(200)"})
+    return p
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderstatus = 'F'")
+def source_jdbc(spark, d):
+    p = derby(spark, d, "orders") | {"table": "orders", "column": "o_orderkey", "partitions": 8}
+    o = readers.default_registry().read(spark, "jdbc", p)
+    return filters.apply_filters(o, (RowFilter("o_orderkey", ">=", 100), RowFilter("o_orderstatus", "=", "F"))).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("SELECT c_mktsegment, count(*) AS n, max(c_custkey) AS last FROM customer WHERE c_nationkey < 12 GROUP BY c_mktsegment")
+def source_jdbc_query(spark, d):
+    p = derby(spark, d, "customer") | {"query": 'SELECT "c_custkey", "c_mktsegment" FROM customer WHERE "c_nationkey" < 12', "column": "c_custkey", "partitions": 4}
+    return readers.default_registry().read(spark, "JDBC", p).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.max("c_custkey").alias("last"))
+
+
+@query(f"{PAIRS_C} SELECT status, count(*) AS n FROM pairs GROUP BY status")
+def l3_over_jdbc(spark, d):
+    """Records of a database table against files."""
+    p = derby(spark, d, "customer") | {"table": "customer", "column": "c_custkey", "partitions": 4}
+    names = [f.name for f in spark.read.parquet(f"{d}/customer.parquet").schema.fields]
+    source = readers.default_registry().read(spark, "jdbc", p).toDF(*names)
+    source = source.withColumns({"c_acctbal": F.col("c_acctbal").cast("decimal(18,2)"), "c_mktsegment": F.when(F.col("c_custkey") % 29 == 0, "").otherwise(F.col("c_mktsegment"))})
+    return records.status_counts(Reconciliation(source, build(spark, d, perturb.CUSTOMER_T), CUSTOMERS).records)
+
+
+@query("SELECT name, 'BASE TABLE' AS type, n AS rows FROM (SELECT 'NATION' AS name, (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'REGION', (SELECT count(*) FROM region))")
+def source_discovery(spark, d):
+    """Tables that a database has, and their rows."""
+    p = derby(spark, d, "nation", "region")
+    found = jdbc.discover(spark, p).filter("table_schema = 'APP'").orderBy("table_name").collect()
+    out = [jdbc.read_jdbc(spark, p | {"table": r["table_name"]}).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(r["table_name"]).alias("name"), F.lit(r["table_type"]).alias("type"), "rows") for r in found]
+    return reduce(DataFrame.unionByName, out)

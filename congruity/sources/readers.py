@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import col
 from ..spec import require
+from .jdbc import read_jdbc
 
 Reader = Callable[[SparkSession, dict], DataFrame]
 #: Texts of numbers, moments and truth values in CSV files.
@@ -75,18 +76,6 @@ def read_csv(spark: SparkSession, p: dict) -> DataFrame:
     return text.select(*picked)
 
 
-def read_jdbc(spark: SparkSession, p: dict) -> DataFrame:
-    """url, table or query, user, password, driver, and column, lower, upper, partitions
-    for a read in parallel. Filters and columns are pushed to the database."""
-    reader = spark.read.format("jdbc").option("url", p["url"]).option("query" if "query" in p else "dbtable", p.get("query") or p["table"])
-    for name in ("user", "password", "driver", "fetchsize"):
-        if name in p:
-            reader = reader.option(name, p[name])
-    if "column" in p:
-        reader = reader.options(partitionColumn=p["column"], lowerBound=p["lower"], upperBound=p["upper"], numPartitions=p["partitions"])
-    return reader.load()
-
-
 def columnar(name: str) -> Reader:
     def read(spark: SparkSession, p: dict) -> DataFrame:
         reader = spark.read.format(name)
