@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import operator
 from datetime import date, datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 from ..functions.columns import col, every, kind
 from ..spec import RowFilter, require
 
+#: Places behind the point of numbers in text that are compared exactly.
+PLACES = 18
 COMPARE = {"=": operator.eq, "!=": operator.ne, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
 
 
@@ -27,15 +30,24 @@ def predicate(f: RowFilter, t: T.DataType | None = None, null_is_unequal: bool =
     if f.operator == "IS NOT NULL":
         return c.isNotNull()
     values = f.value if f.operator == "IN" else (f.value,)
-    if isinstance(t, T.StringType) and all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in values):
-        c = c.try_cast("double")
+
+    def compared(c: Column, some: tuple) -> Column:
+        if f.operator == "IN":
+            return c.isin(*some)
+        if f.operator == "!=" and null_is_unequal:
+            return ~c.eqNullSafe(F.lit(some[0]))
+        return COMPARE[f.operator](c, F.lit(some[0]))
+
+    if isinstance(t, T.StringType) and all(isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) for v in values):
+        rough = compared(c.try_cast("double"), tuple(map(float, values)))
+        if any(isinstance(v, float) for v in values):
+            return rough
+        # Whole and decimal numbers are compared exactly where the text is one that 38 digits hold.
+        exact = c.try_cast(T.DecimalType(38, PLACES))
+        return F.when(exact.isNotNull(), compared(exact, tuple(map(Decimal, values)))).otherwise(rough)
     if isinstance(t, T.StringType) and values and all(isinstance(v, date) for v in values):
         c = c.try_cast("timestamp" if any(isinstance(v, datetime) for v in values) else "date")
-    if f.operator == "IN":
-        return c.isin(*f.value)
-    if f.operator == "!=" and null_is_unequal:
-        return ~c.eqNullSafe(F.lit(f.value))
-    return COMPARE[f.operator](c, F.lit(f.value))
+    return compared(c, values)
 
 
 def apply_filters(df: DataFrame, filters: tuple[RowFilter, ...], null_is_unequal: bool = False) -> DataFrame:

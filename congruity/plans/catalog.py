@@ -249,22 +249,22 @@ def l3_secondary_match(spark, d):
 def grouped_sql(s: str, t: str) -> str:
     def side(x: str, n: str) -> str:
         return f"""{n}m AS (SELECT g, arg_min(pri, (-n, pri)) AS m FROM (SELECT g, pri, count(*) AS n FROM {x} WHERE pri IS NOT NULL GROUP BY g, pri) GROUP BY g),
-        {n}g AS (SELECT x.g, count(*) AS n, sum(CAST(price AS DOUBLE)) AS a0, any_value(m.m) AS a1 FROM {x} x LEFT JOIN {n}m m ON m.g = x.g GROUP BY x.g)"""
+        {n}g AS (SELECT x.g, count(*) AS n, sum(price) AS a0, any_value(m.m) AS a1 FROM {x} x LEFT JOIN {n}m m ON m.g = x.g GROUP BY x.g)"""
 
     return f"""{side(s, 'p')}, {side(t, 'q')}, j AS (
         SELECT coalesce(p.g, q.g) AS g0, coalesce(p.n, 0) AS source_rows, coalesce(q.n, 0) AS target_rows, p.n IS NOT NULL AND q.n IS NOT NULL AS both_sides, p.a0 AS sa0, q.a0 AS ta0, p.a1 AS s_a1, q.a1 AS t_a1 FROM pg p FULL JOIN qg q ON p.g = q.g),
         gr AS (SELECT *, both_sides AND source_rows <> target_rows AS row_count_failed, both_sides AND (source_rows > 1 OR target_rows > 1) AS duplicate_failed,
-               both_sides AND (abs(sa0 - ta0) > 0.001) AS v0, both_sides AND s_a1 IS DISTINCT FROM t_a1 AS v1 FROM j)"""
+               both_sides AND sa0 IS DISTINCT FROM ta0 AS v0, both_sides AND s_a1 IS DISTINCT FROM t_a1 AS v1 FROM j)"""
 
 
 GROUPED_STATUS = """CASE WHEN target_rows = 0 THEN 'MISSING_GROUP_IN_TARGET' WHEN source_rows = 0 THEN 'EXTRA_GROUP_IN_TARGET' WHEN row_count_failed THEN 'GROUP_ROW_COUNT_MISMATCH'
     WHEN duplicate_failed THEN 'GROUP_DUPLICATE_ROWS' WHEN v0 OR v1 THEN 'GROUP_VALUE_MISMATCH' ELSE 'PASS' END"""
 
 
-@query(f"{UNRESOLVED}, {grouped_sql('se', 'te')} SELECT g0, source_rows, target_rows, s_a1, t_a1, {GROUPED_STATUS} AS group_status FROM gr")
+@query(f"{UNRESOLVED}, {grouped_sql('se', 'te')} SELECT g0, source_rows, target_rows, sa0 AS s_a0, ta0 AS t_a0, s_a1, t_a1, {GROUPED_STATUS} AS group_status FROM gr")
 def l3_group_recon(spark, d):
     found = groups.fallback_groups(orders(spark, d, ORDERS_GROUPED).records, ORDERS_GROUPED)
-    return found.select("g0", "source_rows", "target_rows", "s_a1", "t_a1", "group_status")
+    return found.select("g0", "source_rows", "target_rows", "s_a0", "t_a0", "s_a1", "t_a1", "group_status")
 
 
 @query(f"""{UNRESOLVED}, {grouped_sql('se', 'te')}, n AS (SELECT count(*) FILTER (source_rows > 0) AS source_groups, count(*) FILTER (target_rows > 0) AS target_groups, count(*) FILTER (both_sides) AS common_groups,
@@ -280,10 +280,11 @@ def l3_group_summary(spark, d):
     SELECT g0, 'GROUP_PRESENCE' AS check_name, CASE WHEN source_rows > 0 THEN 'PRESENT' ELSE 'ABSENT' END AS source_value, CASE WHEN target_rows > 0 THEN 'PRESENT' ELSE 'ABSENT' END AS target_value, CASE WHEN both_sides THEN 'PASS' ELSE 'FAIL' END AS status FROM gr
     UNION ALL SELECT g0, 'ROW_COUNT', source_rows::VARCHAR, target_rows::VARCHAR, CASE WHEN row_count_failed THEN 'FAIL' ELSE 'PASS' END FROM gr WHERE both_sides
     UNION ALL SELECT g0, 'DUPLICATE_ROWS', source_rows::VARCHAR, target_rows::VARCHAR, 'FAIL' FROM gr WHERE both_sides AND duplicate_failed
+    UNION ALL SELECT g0, 'SUM(o_totalprice)', sa0::VARCHAR, ta0::VARCHAR, CASE WHEN v0 THEN 'FAIL' ELSE 'PASS' END FROM gr WHERE both_sides AND (sa0 IS NOT NULL OR ta0 IS NOT NULL)
     UNION ALL SELECT g0, 'MODE(o_orderpriority)', s_a1, t_a1, CASE WHEN v1 THEN 'FAIL' ELSE 'PASS' END FROM gr WHERE both_sides AND (s_a1 IS NOT NULL OR t_a1 IS NOT NULL)""")
 def l3_group_evidence(spark, d):
     found = groups.fallback_groups(orders(spark, d, ORDERS_GROUPED).records, ORDERS_GROUPED)
-    return groups.evidence_rows(found, BY_CUSTOMER).filter("check_name != 'SUM(o_totalprice)'")
+    return groups.evidence_rows(found, BY_CUSTOMER)
 
 
 @query("SELECT p_brand, arg_min(p_type, (-n, p_type)) AS mode FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL) GROUP BY p_brand")

@@ -1,9 +1,11 @@
 import random
 from collections import Counter
+from decimal import Decimal
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from congruity.operators import aggregates, fields, groups, profile, quality, records, schema_diff
 from congruity.operators.filters import apply_filters
@@ -240,3 +242,35 @@ def test_transformation_pairs_duplicate_keys_by_ordinal(spark):
     target = spark.createDataFrame([(1, "A")] * 3 + [(1, "B"), (2, "x"), (None, "D"), (None, "E")], "k int, v string")
     got = quality.transformation(source, target, [("k", "k")], "v", "v", "UPPER").first()
     assert (got.pairs, got.failed, got.unmatchable_source, got.unmatchable_target) == (5, 1, 1, 2)
+
+
+def test_group_sums_do_not_depend_on_the_order_of_rows(spark):
+    pairs = ((Mapping("v", "v"), "SUM"), (Mapping("v", "v"), "AVG"))
+    values = ["0.10", "0.20", "0.30", "12345678901.27", "-12345678901.27"]
+    for cast, failed in (("decimal(18,2)", False), ("double", False)):
+        s = spark.createDataFrame([("g", x) for x in values], "k string, v string").withColumn("v", F.col("v").cast(cast))
+        t = spark.createDataFrame([("g", x) for x in reversed(values)], "k string, v string").withColumn("v", F.col("v").cast(cast)).repartition(5)
+        row = groups.group_recon(s, t, GroupSpec((Mapping("k", "k"),), pairs)).first()
+        assert row.value_failed is failed, cast
+    cents = spark.createDataFrame([("g", "0.01")], "k string, v string").select("k", F.col("v").cast("decimal(38,2)").alias("v"))
+    large = spark.createDataFrame([("g", "99999999999999999999999.00")], "k string, v string").select("k", F.col("v").cast("decimal(38,2)").alias("v"))
+    assert groups.group_recon(large, large.unionByName(cents), GroupSpec((Mapping("k", "k"),), pairs[:1])).first().value_failed
+
+
+def test_filters_on_text_compare_whole_and_decimal_numbers_exactly(spark):
+    df = spark.createDataFrame([("9007199254740993",), ("9007199254740992",), ("0.1",), ("0.10000000000000001",), ("1e3",), ("1" + "0" * 30,), ("nope",), (None,), (" 7 ",)], "k string")
+    kept = lambda *f, **how: {x.k for x in apply_filters(df, (RowFilter("k", *f),), **how).collect()}
+    assert kept("=", 9007199254740992) == {"9007199254740992"}
+    assert kept("IN", [9007199254740993, 1000]) == {"9007199254740993", "1e3"}
+    assert kept("=", Decimal("0.1")) == {"0.1"} and kept("=", 0.1) == {"0.1", "0.10000000000000001"}
+    assert kept(">", 10**20) == {"1" + "0" * 30} and " 7 " in kept("<=", 7)
+    assert kept("!=", 7, null_is_unequal=True) == {x.k for x in df.collect()} - {" 7 "}
+
+
+def test_pieces_of_rows_behind_a_shuffle(spark):
+    """Rows that come in another order whenever they are read again still pair once."""
+    s = spark.range(4000).select(F.lit(1).alias("k"), (F.col("id") % 3).alias("v")).repartition(7)
+    t = spark.range(3000).select(F.lit(1).alias("k"), (F.col("id") % 3).alias("v")).repartition(3)
+    found = records.reconcile_records(s, t, ReconSpec(keys=(("k", "k"),), hot_rows=1))
+    row = found.agg(F.count("*").alias("n"), F.count_distinct("source_ordinal").alias("s"), F.count_distinct("target_ordinal").alias("t"), F.max("source_ordinal").alias("last")).first()
+    assert (row.n, row.s, row.t, row.last) == (4000, 4000, 3000, 4000)
