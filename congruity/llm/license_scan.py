@@ -31,6 +31,8 @@ BASE_PHRASES = {
 #: The least share of a template's weight that labels a place, by how many words one may
 #: stand off its place, and for how many words between it and the rare word one more.
 SHARE, SLACK, DRIFT = 0.8, 3, 10
+#: Shares below this are not told apart: they count as none. Words of a block.
+FLOOR, BLOCK = 0.5, 4096
 
 
 def template_words(text: str) -> list[str]:
@@ -68,9 +70,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first_word and last_word are the least and greatest start (null without any).
     labels adds to base_labels what the templates give, in alphabetical order however
     many reach the share; score is the largest share of a template's IDF weight found
-    at one place, 1 where a base phrase stands, 0 without any. Words may stand SLACK
-    words off, and further with their distance from the rare word. Rows with equal or null ids are scanned one by one; extra columns
-    are ignored; an empty table gives an empty result.
+    at one place if it is FLOOR or more, 1 where a base phrase stands, else 0. Words may
+    stand SLACK words off, and further with their distance from the rare word. Very long
+    texts are scanned in blocks, with the same result. Rows with equal or null ids are
+    scanned one by one; extra columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     words = words_of(ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
@@ -97,10 +100,19 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return F.transform(F.filter("spots", stands), lambda i: i - F.lit(k))
 
-    def around(i: Column) -> Column:
-        first = F.greatest(i - F.lit(longest + reach), F.lit(0))
-        return F.struct(F.get("words", i).alias("word"), i.alias("at"), first.alias("first"), F.slice("words", first + 1, F.lit(2 * (longest + reach) + 1)).alias("words"))
+    margin = longest + reach
+    vocabulary = sorted({w for ws in split for w in ws})
 
+    def block(b: Column) -> Column:
+        """The words from ``margin`` before a block to ``margin`` behind it, the licence
+        words among them, and where the block's own rare words stand."""
+        first = F.greatest(b * BLOCK - F.lit(margin), F.lit(0))
+        own = F.slice("words", first + 1, F.lit(BLOCK + 2 * margin))
+        spots = F.transform(F.filter("rare", lambda i: F.floor(i / BLOCK) == b), lambda i: i - first)
+        return F.struct(b.alias("block"), own.alias("words"), F.array_distinct(F.filter(own, lambda w: w.isin(*vocabulary))).alias("bag"), spots.alias("spots"))
+
+    rows = rows.withColumn("rare", F.filter("spots", lambda i: F.get("words", i).isin(*index)))
+    blocks = F.array_distinct(F.transform("rare", lambda i: F.floor(i / BLOCK).cast("int")))
     rows = rows.withColumns({f"base_{n}": places(p) for n, p in enumerate(phrases)})
     every = F.concat(*(F.col(f"base_{n}") for n in range(len(phrases))))
     scanned = staged(
@@ -112,38 +124,55 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.array_min(every).cast("long").alias("first_word"),
             F.array_max(every).cast("long").alias("last_word"),
             F.array_compact(F.array(*(F.when(F.size(f"base_{n}") > 0, F.lit(label)) for n, label in enumerate(base.values())))).alias("base_labels"),
-            F.transform(F.filter("spots", lambda i: F.get("words", i).isin(*index)), around).alias("near"),
+            F.transform(blocks, block).alias("blocks"),
         )
     )
 
     # As many rows as the templates have words: a proven bound for the broadcasts.
-    index_table = spark.createDataFrame(postings, "word string, template int, offset int")
+    index_table = spark.createDataFrame(sorted({(w, n) for w, n, _ in postings}), "word string, template int")
     template_table = spark.createDataFrame(
-        [(n, t.label, [(w, idf[w] / sum(idf[x] for x in ws)) for w in ws], [f" {' '.join(template_words(p))} " for p in t.key_phrases]) for n, (t, ws) in enumerate(zip(templates, split, strict=True))],
-        "template int, label string, parts array<struct<word:string,weight:double>>, phrases array<string>",
+        [
+            (n, t.label, [(w, idf[w] / sum(idf[x] for x in ws)) for w in ws], [f" {' '.join(template_words(p))} " for p in t.key_phrases], [(w, k) for w, m, k in postings if m == n])
+            for n, (t, ws) in enumerate(zip(templates, split, strict=True))
+        ],
+        "template int, label string, parts array<struct<word:string,weight:double>>, phrases array<string>, postings array<struct<word:string,offset:int>>",
     )
-    near = scanned.select("key", F.explode("near").alias("n")).select("key", "n.*")
-    found = near.join(F.broadcast(index_table), "word").join(F.broadcast(template_table), "template")
-    found = found.withColumn("start", F.col("at") - F.col("offset") - F.col("first"))  # among the words around
+    near = scanned.select("key", F.explode("blocks").alias("b")).select("key", "b.*")
+    met = near.select("key", "block", F.explode("bag").alias("word")).join(F.broadcast(index_table), "word").select("key", "block", "template").distinct()
+    found = near.join(met, ["key", "block"]).join(F.broadcast(template_table), "template")
+    bound = F.aggregate("parts", F.lit(0.0), lambda a, p: a + F.when(F.array_contains("bag", p["word"]), p["weight"]).otherwise(0.0))
+    found = found.filter(bound >= FLOOR - 1e-9)
+
+    def posted(i: Column) -> Column:
+        """Where the template would start, by each posting of the rare word at ``i``."""
+        own = F.filter("postings", lambda p: p["word"] == F.get("words", i))
+        return F.transform(own, lambda p: F.struct((i - p["offset"]).alias("start"), p["offset"].alias("offset")))
 
     def stretch(start: Column, n: Column) -> Column:
         first = F.greatest(start, F.lit(0))
         return F.slice("words", first + 1, F.greatest(start + n - first, F.lit(0)))
 
-    def weight(p: Column, k: Column) -> Column:
-        slack = F.lit(SLACK) + F.floor(F.abs(k - F.col("offset")) / DRIFT).cast("int")
-        return F.when(F.array_contains(stretch(F.col("start") + k - slack, slack * 2 + 1), p["word"]), p["weight"]).otherwise(0.0)
+    def share(c: Column) -> Column:
+        def weight(p: Column, k: Column) -> Column:
+            slack = F.lit(SLACK) + F.floor(F.abs(k - c["offset"]) / DRIFT).cast("int")
+            return F.when(F.array_contains(stretch(c["start"] + k - slack, slack * 2 + 1), p["word"]), p["weight"]).otherwise(0.0)
+
+        return F.aggregate(F.transform("parts", weight), F.lit(0.0), lambda a, x: a + x)
+
+    def whole(c: Column) -> Column:
+        text = F.concat(F.lit(" "), F.array_join(stretch(c["start"] - F.lit(reach), F.size("parts") + F.lit(2 * reach)), " "), F.lit(" "))
+        return F.forall("phrases", lambda p: text.contains(p))
 
-    share = F.aggregate(F.transform("parts", weight), F.lit(0.0), lambda a, x: a + x)
-    text = F.concat(F.lit(" "), F.array_join(stretch(F.col("start") - F.lit(reach), F.size("parts") + F.lit(2 * reach)), " "), F.lit(" "))
-    whole = F.forall("phrases", lambda p: F.col("text").contains(p))
-    found = found.select("key", "label", "phrases", share.alias("share"), text.alias("text"))
-    best = found.groupBy("key").agg(F.least(F.max("share"), F.lit(1.0)).alias("share"), F.collect_set(F.when((F.col("share") >= SHARE - 1e-9) & whole, F.col("label"))).alias("more"))
+    starts = F.array_distinct(F.flatten(F.transform("spots", posted)))
+    scored = found.select("key", "label", "words", "parts", "phrases", F.transform(starts, lambda c: F.struct(c["start"].alias("start"), share(c).alias("share"))).alias("places"))
+    good = F.exists("places", lambda c: F.when(c["share"] >= SHARE - 1e-9, whole(c)).otherwise(F.lit(False)))
+    best = scored.select("key", F.array_max(F.transform("places", lambda c: c["share"])).alias("share"), F.when(good, F.col("label")).alias("label"))
+    best = best.groupBy("key").agg(F.least(F.coalesce(F.max(F.when(F.col("share") >= FLOOR - 1e-9, F.col("share"))), F.lit(0.0)), F.lit(1.0)).alias("share"), F.collect_set("label").alias("more"))
 
     def joined(labels: Column) -> Column:
         return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
 
-    return scanned.drop("near").join(best, "key", "left").select(
+    return scanned.drop("blocks").join(best, "key", "left").select(
         id_col,
         "n_words",
         "n_base",

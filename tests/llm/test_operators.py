@@ -122,8 +122,9 @@ def words_like_spark(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
 
 
-def brute_licences(texts):
-    """labels and score by trying every start at which a rare word of a template stands."""
+def brute_licences(texts, every=False):
+    """labels and score by trying every start at which a rare word of a template stands,
+    or with ``every`` any word of it."""
     docs = [words_like_spark(t) for t in texts]
     split = [template_words(t.text) for t in TEMPLATES]
     vocabulary = {w for ws in split for w in ws} | {w for p in BASE_PHRASES for w in p.split()}
@@ -133,7 +134,7 @@ def brute_licences(texts):
         labels, best = set(), 0.0
         for t, ws in zip(TEMPLATES, split, strict=True):
             total = sum(idf[w] for w in ws)
-            for k, p in itertools.product(rare_offsets(ws, idf), range(len(words))):
+            for k, p in itertools.product(range(len(ws)) if every else rare_offsets(ws, idf), range(len(words))):
                 if words[p] != ws[k]:
                     continue
                 start, slack = p - k, lambda j, k=k: 3 + abs(j - k) // 10
@@ -143,7 +144,7 @@ def brute_licences(texts):
                 if share >= 0.8 - 1e-9 and all(f" {' '.join(template_words(x))} " in stretch for x in t.key_phrases):
                     labels.add(t.label)
         base = {label for p, label in BASE_PHRASES.items() if f" {p} " in f" {' '.join(words)} "}
-        out.append((",".join(sorted(labels | base)), 1.0 if base else min(best, 1.0)))
+        out.append((",".join(sorted(labels | base)), 1.0 if base else min(best, 1.0) if best >= 0.5 - 1e-9 else 0.0))
     return out
 
 
@@ -182,6 +183,33 @@ def test_license_scan(spark):
     assert sorted((r.doc_id is None, r.labels) for r in twice) == [(False, ""), (True, "mit"), (True, "mit")]
 
 
+def test_rare_words_find_what_all_words_would(spark):
+    rng = random.Random(31)
+    short = [t for t in TEMPLATES if len(template_words(t.text)) < 120]
+    texts = [f"{prose(20, rng)} {edited(t.text, share, rng)} {prose(20, rng)}" for share in (0.02, 0.05, 0.1) for t in short for _ in range(2)]
+    want = [labels for labels, _ in brute_licences(texts, every=True)]
+    got = {r.doc_id: r.labels for r in license_scan(frame(spark, texts)).collect()}
+    both = sum(want[i] == got[i] != "" for i in range(len(texts)))
+    assert all(set(got[i].split(",")) <= set(w.split(",")) for i, w in enumerate(want) if got[i])
+    assert both >= 0.9 * sum(w != "" for w in want) > 20
+
+
+def test_blocks_do_not_change_what_is_found(spark, monkeypatch):
+    rng = random.Random(32)
+    texts = [" ".join([prose(rng.randrange(200), rng), edited(t.text, 0.04, rng), prose(rng.randrange(300), rng), t.text]) for t in TEMPLATES] + ODD
+    whole = [tuple(r) for r in license_scan(frame(spark, texts)).orderBy("doc_id").collect()]
+    for words in (50, 333):
+        monkeypatch.setattr(importlib.import_module("congruity.llm.license_scan"), "BLOCK", words)
+        assert [tuple(r) for r in license_scan(frame(spark, texts)).orderBy("doc_id").collect()] == whole
+
+
+def test_a_long_text_of_one_licence_word(spark):
+    began = time.time()
+    rows = {r.doc_id: r for r in license_scan(frame(spark, ["x", "hereby " * 700_000, "mit", TEMPLATES[0].text * 200, "y"])).collect()}
+    assert rows[1].n_words == 700_000 and rows[1].labels == "" and rows[1].score == 0 and TEMPLATES[0].label in rows[3].labels
+    assert time.time() - began < 60
+
+
 def test_a_place_without_rare_words_cannot_reach_the_share():
     rng = random.Random(27)
     for t in TEMPLATES:
