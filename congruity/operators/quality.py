@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -168,3 +168,54 @@ def scalar_pair(source: DataFrame, target: DataFrame, source_sql: str, target_sq
     both = source.agg(F.expr(source_sql).cast("double").alias("source_value")).join(target.agg(F.expr(target_sql).cast("double").alias("target_value")), F.lit(True))
     gap = F.abs(F.col("target_value") - F.col("source_value"))
     return both.withColumns({"change_pct": percent_change(F.col("source_value"), F.col("target_value")), "matched": F.col("source_value").eqNullSafe(F.col("target_value")) | F.coalesce(gap <= tolerance, F.lit(False))})
+
+
+def quantile_borders(source: DataFrame, target: DataFrame, source_column: str, target_column: str, bins: int = 10, accuracy: int = 10_000) -> list[float]:
+    """Borders of bins that hold about equal shares of both sides together, from one
+    quantile sketch over them; a border is at most 1 / accuracy of the rows off."""
+    require(bins >= 2, "a distribution needs two bins")
+    both = source.select(number(col(source_column), kind(source, source_column)).alias("x")).unionByName(target.select(number(col(target_column), kind(target, target_column)).alias("x")))
+    found = both.filter(~F.isnan("x")).agg(F.percentile_approx("x", [k / bins for k in range(1, bins)], accuracy).alias("b")).first()["b"]
+    return sorted(set(found or ()))
+
+
+def numeric_distribution(source: DataFrame, target: DataFrame, source_column: str, target_column: str, borders: list[float]) -> DataFrame:
+    """bin, low, high, source_rows, target_rows, source_share, target_share, psi, ks: how
+    two columns of numbers or moments (seconds since 1970) spread over common bins.
+
+    A bin holds low <= x < high; the first and the last are open. One aggregate counts
+    both sides; psi is the bin's part of the population stability index, where an empty
+    bin counts as half a row, and ks the distance of both sides' running shares at the
+    bin's end. Nulls and values that are no numbers are in bin -1, without psi and ks."""
+    require(list(borders) == sorted(set(borders)), "borders must ascend")
+    ends = [float(b) for b in borders]
+
+    def side(df: DataFrame, name: str, own: str) -> DataFrame:
+        return df.select(number(col(name), kind(df, name)).alias("x"), F.lit(own).alias("side"))
+
+    x, n = F.col("x"), len(ends)
+    at = sum((F.when(x >= b, 1).otherwise(0) for b in ends), F.lit(0))
+    both = side(source, source_column, "s").unionByName(side(target, target_column, "t"))
+    counted = both.groupBy(F.when(x.isNull() | F.isnan(x), -1).otherwise(at).alias("bin")).agg(*(F.count_if(F.col("side") == k).alias(f"{name}_rows") for k, name in (("s", "source"), ("t", "target"))))
+    frame = [(-1, None, None), *((k, ends[k - 1] if k else None, ends[k] if k < n else None) for k in range(n + 1))]
+    rows = source.sparkSession.createDataFrame(frame, "bin int, low double, high double").join(counted, "bin", "left")
+    rows = rows.withColumns({f"{s}_rows": F.coalesce(f"{s}_rows", F.lit(0)) for s in ("source", "target")})
+    # A row a bin from here on.
+    whole, upto = Window.partitionBy(F.col("bin") >= 0), Window.partitionBy(F.col("bin") >= 0).orderBy("bin")
+    values = F.col("bin") >= 0
+    share = {s: F.when(values, F.try_divide(F.col(f"{s}_rows"), F.sum(f"{s}_rows").over(whole))) for s in ("source", "target")}
+    smooth = {s: F.try_divide(F.greatest(F.col(f"{s}_rows"), F.lit(0.5)), F.sum(f"{s}_rows").over(whole)) for s in ("source", "target")}
+    running = {s: F.try_divide(F.sum(f"{s}_rows").over(upto), F.sum(f"{s}_rows").over(whole)) for s in ("source", "target")}
+    there = values & (F.sum("source_rows").over(whole) > 0) & (F.sum("target_rows").over(whole) > 0)
+    return rows.select(
+        "bin", "low", "high", "source_rows", "target_rows", share["source"].alias("source_share"), share["target"].alias("target_share"),
+        F.when(there, (smooth["target"] - smooth["source"]) * F.ln(F.try_divide(smooth["target"], smooth["source"]))).alias("psi"), F.when(there, F.abs(running["target"] - running["source"])).alias("ks"),
+    )
+
+
+def distribution_shift(bins: DataFrame, psi_limit: float = 0.1, ks_limit: float = 0.1) -> DataFrame:
+    """One row: psi, ks, null_difference (in per cent points), matched, from the bins of
+    numeric_distribution()."""
+    share = {s: F.try_divide(F.sum(F.when(F.col("bin") < 0, F.col(f"{s}_rows"))), F.sum(f"{s}_rows")) for s in ("source", "target")}
+    row = bins.agg(F.sum("psi").alias("psi"), F.max("ks").alias("ks"), ((share["target"] - share["source"]) * 100).alias("null_difference"))
+    return row.withColumn("matched", F.coalesce((F.col("psi") <= psi_limit) & (F.col("ks") <= ks_limit), F.lit(False)))

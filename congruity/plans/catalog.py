@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, checksum, correlate, fields, filters, groups, profile, quality, records, sampling, schema_diff
-from ..sources import jdbc, readers
+from ..sources import footers, jdbc, readers
 from ..sources.shared import shared_dir
 from ..spec import AggregateRule, GroupSpec, Mapping, QualityRule, ReconSpec, RowFilter
 from ..streaming import events
@@ -815,3 +815,39 @@ def source_discovery(spark, d):
     found = jdbc.discover(spark, p).filter("table_schema = 'APP'").orderBy("table_name").collect()
     out = [jdbc.read_jdbc(spark, p | {"table": r["table_name"]}).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(r["table_name"]).alias("name"), F.lit(r["table_type"]).alias("type"), "rows") for r in found]
     return reduce(DataFrame.unionByName, out)
+
+
+# Footers and distributions
+
+@query("""SELECT 'o_orderkey' AS "column", count(*) AS rows, count(*) - count(o_orderkey) AS nulls, min(o_orderkey)::VARCHAR AS low, max(o_orderkey)::VARCHAR AS high FROM orders
+    UNION ALL SELECT 'o_custkey', count(*), count(*) - count(o_custkey), min(o_custkey)::VARCHAR, max(o_custkey)::VARCHAR FROM orders
+    UNION ALL SELECT 'o_orderstatus', count(*), count(*) - count(o_orderstatus), NULL, NULL FROM orders UNION ALL SELECT 'o_orderpriority', count(*), count(*) - count(o_orderpriority), NULL, NULL FROM orders""")
+def source_footers(spark, d):
+    names = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return footers.footer_statistics(spark, f"{d}/orders.parquet").filter(F.col("column").isin(*names)).drop("type")
+
+
+BALANCES = [0.0, 1000.0, 2500.0, 4000.0, 6000.0, 8000.0]
+BINS_SQL = f"""{C_AND_T}, x AS (SELECT c_acctbal::DOUBLE AS x, 's' AS own FROM s UNION ALL SELECT CASE WHEN id % 5 = 0 THEN NULL ELSE balance * 1.2 END::DOUBLE, 't' FROM t),
+    c AS (SELECT CASE WHEN x IS NULL THEN -1 ELSE {' + '.join(f'(x >= {b})::INTEGER' for b in BALANCES)} END AS bin, count(*) FILTER (own = 's') AS s, count(*) FILTER (own = 't') AS t FROM x GROUP BY 1),
+    b AS (SELECT bin, coalesce(s, 0) AS s, coalesce(t, 0) AS t FROM range(-1, {len(BALANCES) + 1}) AS r(bin) LEFT JOIN c USING (bin)),
+    v AS (SELECT bin, s, t, s / sum(s) OVER () AS p, t / sum(t) OVER () AS q, greatest(s, 0.5) / sum(s) OVER () AS ps, greatest(t, 0.5) / sum(t) OVER () AS qs,
+          abs(sum(t) OVER (ORDER BY bin) / sum(t) OVER () - sum(s) OVER (ORDER BY bin) / sum(s) OVER ()) AS ks FROM b WHERE bin >= 0)"""
+
+
+def balance_bins(spark, d):
+    r = customers(spark, d)
+    target = r.target.withColumn("balance", F.when(F.col("id") % 5 != 0, F.col("balance").cast("double") * 1.2))
+    return quality.numeric_distribution(r.source, target, "c_acctbal", "balance", BALANCES)
+
+
+@query(f"{BINS_SQL} SELECT bin, s AS source_rows, t AS target_rows, round(p, 6) AS source_share, round(q, 6) AS target_share, round((qs - ps) * ln(qs / ps), 6) AS psi, round(ks, 6) AS ks FROM v UNION ALL SELECT bin, s, t, NULL, NULL, NULL, NULL FROM b WHERE bin = -1")
+def dq_numeric_bins(spark, d):
+    return balance_bins(spark, d).drop("low", "high").withColumns({c: F.round(c, 6) for c in ("source_share", "target_share", "psi", "ks")})
+
+
+@query(f"""{BINS_SQL} SELECT round(sum((qs - ps) * ln(qs / ps)), 6) AS psi, round(max(ks), 6) AS ks, (SELECT round((sum(t) FILTER (bin < 0) / sum(t) - sum(s) FILTER (bin < 0) / sum(s)) * 100, 4) FROM b) AS null_difference,
+    sum((qs - ps) * ln(qs / ps)) <= 0.1 AND max(ks) <= 0.1 AS matched FROM v""")
+def dq_numeric_shift(spark, d):
+    row = quality.distribution_shift(balance_bins(spark, d))
+    return row.select(F.round("psi", 6).alias("psi"), F.round("ks", 6).alias("ks"), F.round("null_difference", 4).alias("null_difference"), "matched")

@@ -274,3 +274,23 @@ def test_pieces_of_rows_behind_a_shuffle(spark):
     found = records.reconcile_records(s, t, ReconSpec(keys=(("k", "k"),), hot_rows=1))
     row = found.agg(F.count("*").alias("n"), F.count_distinct("source_ordinal").alias("s"), F.count_distinct("target_ordinal").alias("t"), F.max("source_ordinal").alias("last")).first()
     assert (row.n, row.s, row.t, row.last) == (4000, 4000, 3000, 4000)
+
+
+def test_distributions_of_numbers(spark):
+    rng = random.Random(5)
+    s = spark.createDataFrame([(rng.gauss(0, 1),) for _ in range(3000)] + [(None,), (float("nan"),)], "x double")
+    t = spark.createDataFrame([(rng.gauss(0.8, 1),) for _ in range(2000)], "y double")
+    borders = quality.quantile_borders(s, t, "x", "y", 8)
+    assert len(borders) == 7 and borders == sorted(borders)
+    bins = quality.numeric_distribution(s, t, "x", "y", borders).collect()
+    assert len(bins) == 9 and sum(b.source_rows for b in bins) == 3002 and sum(b.target_rows for b in bins) == 2000
+    assert all(abs(b.source_rows + b.target_rows - 625) < 5 for b in bins if b.bin >= 0) and next(b for b in bins if b.bin == -1).source_rows == 2
+    far = quality.distribution_shift(quality.numeric_distribution(s, t, "x", "y", borders)).first()
+    same = quality.distribution_shift(quality.numeric_distribution(s, s, "x", "x", borders)).first()
+    assert far.psi > 0.4 and 0.25 < far.ks < 0.4 and not far.matched and same.matched and same.psi == same.ks == same.null_difference == 0
+    none = quality.distribution_shift(quality.numeric_distribution(s, t.limit(0), "x", "y", borders)).first()
+    assert none.psi is None and not none.matched
+    whole = quality.numeric_distribution(spark.range(10), spark.range(5, 15), "id", "id", [5.0]).orderBy("bin").collect()
+    assert [(b.bin, b.source_rows, b.target_rows) for b in whole] == [(-1, 0, 0), (0, 5, 0), (1, 5, 10)] and whole[2].ks == 0 and whole[1].psi > 0
+    with pytest.raises(SpecError):
+        quality.numeric_distribution(s, t, "x", "y", [2.0, 1.0])

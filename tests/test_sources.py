@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from congruity.operators.filters import apply_filters
+from congruity.sources.footers import footer_row, footer_statistics
 from congruity.sources.readers import analyze, catalogs, csv_schema, databases, default_registry, describe, empty, read_csv, read_jdbc, sizes, tables
 from congruity.spec import RowFilter, SpecError
 
@@ -81,3 +82,19 @@ def test_registry_and_discovery(spark, tmp_path):
     size = sizes(spark, f"{tmp_path}/p").first()
     assert size.files >= 1 and size.bytes > 0
     assert describe(spark.range(1)).first().type == "bigint"
+
+
+def test_footers_give_statistics_without_a_scan(spark, tmp_path):
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 4 != 0, F.col("id") * -2).cast("int").alias("a.b"), F.lit("x").alias("t"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 9).cast("int")).alias("d"), F.array("id").alias("l"), (F.col("id") / 4).alias("f"))
+    rows.repartition(3).write.parquet(str(tmp_path / "p"))
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    got = {r["column"]: r for r in footer_statistics(spark, str(tmp_path / "p")).collect()}
+    assert {c: (r.rows, r.nulls, r.low, r.high) for c, r in got.items()} == {
+        "id": (1000, 0, "0", "999"), "a.b": (1000, 250, "-1998", "-2"), "t": (1000, 0, None, None), "d": (1000, 0, "19723", "19731"), "l": (1000, None, None, None), "f": (1000, 0, "0.0", "249.75"),
+    }
+    plan = footer_row(spark, str(tmp_path / "p"))._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedAggregation: ")[1].split("]")[0]
+    assert "COUNT(*)" in pushed and "MAX(id)" in pushed and "COUNT(`a.b`)" in pushed
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
+    spark.range(0).write.parquet(str(tmp_path / "e"))
+    assert footer_statistics(spark, str(tmp_path / "e")).first().rows == 0
