@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
-from datetime import date, datetime, timezone
+from datetime import date, datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from ..sources import footers, jdbc, readers
 from ..sources.shared import shared_dir
 from ..spec import AggregateRule, GroupSpec, Mapping, QualityRule, ReconSpec, RowFilter
 from ..streaming import events
+from ..streaming import runs as runs_of
 from . import perturb
 from .perturb import build
 from .reconcile import Reconciliation, latest_results, run_listing
@@ -851,3 +852,47 @@ def dq_numeric_bins(spark, d):
 def dq_numeric_shift(spark, d):
     row = quality.distribution_shift(balance_bins(spark, d))
     return row.select(F.round("psi", 6).alias("psi"), F.round("ks", 6).alias("ks"), F.round("null_difference", 4).alias("null_difference"), "matched")
+
+
+# Streams, from files to tables
+
+def arriving(spark: SparkSession, events: DataFrame, parts: int, again: bool = False) -> str:
+    """A folder in which the events arrive by time in so many files, with the rows of the
+    file before once more in ``again``; a last event lets all watermarks pass."""
+    path, ends = shared_dir(spark), events.agg(F.min("ts"), F.max("ts")).first()
+    width = (ends[1] - ends[0]) / parts
+    for k in range(parts + 1):
+        first = ends[0] + width * (k - 1 if again else k)
+        kept = events.filter((F.col("ts") >= first) & (F.col("ts") < ends[0] + width * (k + 1))) if k < parts else events.filter(F.col("ts") >= ends[0] + width * parts)
+        kept.coalesce(1).write.mode("append").parquet(path)
+    events.limit(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(ends[1] + timedelta(days=400)).alias("ts")).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+EVENTS = "event_id long, ts timestamp"
+SHIFTED = "ts + INTERVAL 2 MINUTES * (event_id % 4)"
+
+
+@query(f"""WITH s AS (SELECT event_id, ts FROM events WHERE event_id % 5 <> 0), t AS (SELECT event_id, {SHIFTED.replace('INTERVAL 2 MINUTES * (event_id % 4)', 'INTERVAL (2 * (event_id % 4)) MINUTE')} AS ts FROM events WHERE event_id % 7 <> 0)
+    SELECT coalesce(s.event_id, t.event_id) AS event_id, s.ts AS source_time, t.ts AS target_time, CASE WHEN t.event_id IS NULL THEN 'MISSING_IN_TARGET' WHEN s.event_id IS NULL THEN 'EXTRA_IN_TARGET' ELSE 'MATCHED' END AS status
+    FROM s FULL JOIN t ON s.event_id = t.event_id AND t.ts BETWEEN s.ts - INTERVAL 5 MINUTE AND s.ts + INTERVAL 5 MINUTE""")
+def stream_match(spark, d):
+    """Two streams of files, joined across batches; what finds no partner comes out once
+    the watermarks have passed it."""
+    e, out, state = stream(spark, d).select("event_id", "ts"), shared_dir(spark), shared_dir(spark)
+    sides = e.filter("event_id % 5 <> 0"), e.filter("event_id % 7 <> 0").withColumn("ts", F.expr(SHIFTED))
+    s, t = (runs_of.file_stream(spark, arriving(spark, x, 3), EVENTS, files=1) for x in sides)
+    runs_of.run_available(events.match(s, t, "event_id", "ts", "10 minutes", "5 MINUTES"), out, state)
+    found = spark.read.parquet(out).filter("event_id >= 0")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("source_time", "target_time")})
+
+
+@query("SELECT event_id, ts FROM events")
+def stream_first_seen(spark, d):
+    """Every event arrives twice, in two files, and is kept once; the second run goes on
+    from the state of the first."""
+    e, out, state = stream(spark, d).select("event_id", "ts"), shared_dir(spark), shared_dir(spark)
+    arrived = runs_of.file_stream(spark, arriving(spark, e, 3, again=True), EVENTS, files=2)
+    for _ in range(2):
+        runs_of.run_available(events.first_seen(arrived, ["event_id"], "ts", "300 days"), out, state)
+    return spark.read.parquet(out).filter("event_id >= 0").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
