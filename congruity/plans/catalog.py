@@ -8,10 +8,10 @@ from dataclasses import replace
 from datetime import date, datetime, timedelta, timezone
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, checksum, correlate, fields, filters, groups, profile, quality, records, sampling, schema_diff
+from ..operators import aggregates, checksum, correlate, fields, filters, groups, profile, quality, records, sampling, schema_diff, sketches
 from ..sources import footers, jdbc, readers
 from ..sources.shared import shared_dir
 from ..spec import AggregateRule, GroupSpec, Mapping, QualityRule, ReconSpec, RowFilter
@@ -896,3 +896,25 @@ def stream_first_seen(spark, d):
     for _ in range(2):
         runs_of.run_available(events.first_seen(arrived, ["event_id"], "ts", "300 days"), out, state)
     return spark.read.parquet(out).filter("event_id >= 0").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+# Profiles that add up
+
+@query("""SELECT 'o_custkey' AS "column", count(*) AS rows, count(*) - count(o_custkey) AS nulls, min(o_custkey)::DOUBLE AS low, max(o_custkey)::DOUBLE AS high, NULL AS low_text, NULL AS high_text, count(DISTINCT o_custkey) AS exact, true AS near, true AS median_near FROM orders
+    UNION ALL SELECT 'o_totalprice', count(*), count(*) - count(o_totalprice), min(o_totalprice)::DOUBLE, max(o_totalprice)::DOUBLE, NULL, NULL, count(DISTINCT o_totalprice), true, true FROM orders
+    UNION ALL SELECT 'o_orderpriority', count(*), count(*) - count(o_orderpriority), NULL, NULL, min(o_orderpriority), max(o_orderpriority), count(DISTINCT o_orderpriority), true, NULL FROM orders""")
+def profile_of_parts(spark, d):
+    """Profiles of each year, kept as a table and merged: exact rows, nulls and ends;
+    distinct values within 3 %, the median within 2 % of the ranks, of the exact ones."""
+    o, path = spark.read.parquet(f"{d}/orders.parquet").withColumn("year", F.year("o_orderdate")), shared_dir(spark)
+    names = ["o_custkey", "o_totalprice", "o_orderpriority"]
+    sketches.column_profiles(o, names, ("year",)).write.parquet(path)
+    found = sketches.in_numbers(sketches.merged(spark.read.parquet(path)))
+    exact = o.agg(*(F.count_distinct(c).alias(c) for c in names))
+    exact = exact.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in names))).alias("x")).select("x.*")
+    both = found.join(exact, "column")
+    medians = both.select(F.map_from_entries(F.collect_list(F.struct("column", F.col("quantiles")[1].alias("m"))).over(Window.partitionBy())).alias("m")).limit(1)
+    below = o.join(medians, F.lit(True)).agg(*(F.avg((F.col(c).cast("double") <= F.col("m")[c]).cast("double")).alias(c) for c in names[:2]))
+    below = below.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), (F.abs(F.col(c) - 0.5) <= 0.02).alias("median_near")) for c in names[:2]))).alias("x")).select("x.*")
+    near = F.abs(F.col("distinct") - F.col("exact")) <= F.col("exact") * 0.03
+    return both.join(below, "column", "left").select("column", "rows", "nulls", "low", "high", "low_text", "high_text", "exact", near.alias("near"), "median_near")
