@@ -444,13 +444,13 @@ def test_main_text_of_unusual_pages():
 
 def test_repeats_of_a_host_decide_on_pages_without_an_article(spark):
     rng = random.Random(28)
-    lines = [prose(rng.randrange(3, 20), rng) for _ in range(6)]
+    lines, main = [prose(rng.randrange(3, 20), rng) for _ in range(6)], "main " * 300 + "text"  # more than the rest
     pages = []
     for i in range(40):
         own = [prose(rng.randrange(1, 30), rng, 9000) for _ in range(3)]
         parts = [f"<div>{t}</div>" for t in rng.sample(lines, 3) + own] + [f"<nav>{rng.choice(lines)}</nav>", "<form>" + rng.choice(lines) + "</form>"]
         rng.shuffle(parts)
-        pages.append((i, f"http://h{i % 3}.org/{i}", "<body>" + "".join(parts) + ("<article>main</article>" if i % 8 == 0 else "")))
+        pages.append((i, f"http://h{i % 3}.org/{i}", "<body>" + "".join(parts) + (f"<article>{main}</article>" if i % 8 == 0 else "")))
     pages += [pages[3], (100, "http://h0.org/x", "<body>" + lines[0])]
     streams = {i: [(k, t.split()) for k, t in runs(h) if t] for i, _, h in pages}
     heads = defaultdict(set)
@@ -464,7 +464,7 @@ def test_repeats_of_a_host_decide_on_pages_without_an_article(spark):
     want = Counter()
     for i, _, h in pages:
         if main_text(runs(h)) is not None:
-            want[i, "main", True] += 1
+            want[i, main, True] += 1
             continue
         out = []
         for k, w in streams[i]:
@@ -790,3 +790,25 @@ def test_edited_items_are_found_as_by_aligning_everything(spark):
 
 def test_registered_queries_are_named_by_operator():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+
+
+# Pages that structure alone does not settle
+
+def test_articles_that_are_teasers_or_comments(spark):
+    words = lambda n, of: " ".join(f"{of}{k}" for k in range(n))
+    menu = f"<div>{words(12, 'menu')}</div>"
+    story = f'{menu}<div class="story">{words(60, "own")}</div><article class="card">{words(6, "teaser")}</article>'
+    other = f'{menu}<div class="story">{words(60, "else")}</div><article class="card">{words(6, "teaser")}</article>'
+    copy = f"{menu}<p>{words(30, 'copied')}</p>"
+    rows = [(1, "http://a.b/1", story), (2, "http://a.b/2", other), (3, "http://a.b/x", copy), (4, "http://a.b/x?print=1", copy)]
+    got = {r.page_id: r.text for r in html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: words(60, "own"), 2: words(60, "else"), 3: words(30, "copied"), 4: words(30, "copied")}
+
+
+def test_names_that_say_what_an_element_is():
+    for name in ("ad-slot", "ad-container", "related-posts", "share-buttons", "comments-area", "user-comments"):
+        assert main_text(runs(f'<article>a<div class="{name}">no</div>b</article>')) == "a b", name
+    assert main_text(runs('<article>a<div id="cookie-bar">no</div>b</article>')) == "a b"
+    for kept in ('<h2 id="promotion">yes</h2>', '<p id="menu">yes</p>', '<h1 class="banner">yes</h1>', '<div class="with-sidebar">yes</div>', '<p class="shared-history">yes</p>'):
+        assert main_text(runs(f"<article>a{kept}b</article>")) == "a yes b", kept
+    assert main_text(runs('<article>a text</article><section class="user-comments"><article class="comment-body">no</article></section><article class="comment">no</article>')) == "a text"
