@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from ..functions.columns import col, every, gap, is_numeric, kind, number, rate_pct
 from ..spec import AggregateRule, limits
 
+#: Of sums of doubles: how far their order may move them, as a share of their size.
+ROUNDING = 1e-9
 FUNCTIONS = {"SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max}
 
 
@@ -29,11 +31,18 @@ def aggregate(df: DataFrame, function: str, name: str | None) -> Column:
 
 
 def nulls(df: DataFrame, name: str | None) -> Column:
-    """Rows whose value is null or blank."""
-    return F.count_if(col(name).isNull() | (F.trim(col(name).cast("string")) == "")) if name else F.lit(0).cast("long")
-
-
-def agrees(rule: AggregateRule, s: Column, difference: Column, same: Column) -> Column:
+    """Rows whose value is null, or text that is blank."""
+    if not name:
+        return F.lit(0).cast("long")
+    blank = F.trim(col(name)) == "" if isinstance(kind(df, name), T.StringType) else F.lit(False)
+    return F.count_if(col(name).isNull() | blank)
+
+
+def agrees(rule: AggregateRule, s: Column, difference: Column, same: Column, rounded: bool = False) -> Column:
+    """Sums of doubles (``rounded``) depend on the order of rows in their last digits: they
+    agree within ROUNDING of their size, whatever the tolerance."""
+    if rounded:
+        same = same | F.coalesce(F.abs(difference) <= F.abs(s.cast("double")) * ROUNDING, F.lit(False))
     absolute, pct = limits(rule.tolerance, rule.tolerance_pct)
     if absolute is not None:
         same = same | F.coalesce(F.abs(difference) <= F.lit(float(absolute)), F.lit(False))
@@ -75,10 +84,12 @@ def aggregate_checks(source: DataFrame, target: DataFrame, rules: tuple[Aggregat
         for i, r in enumerate(some):
             a, b = F.col(f"s{i}"), F.col(f"t{i}")
             difference = gap(a, kind(s, f"s{i}"), b, kind(t, f"t{i}"))
+            inexact = any(isinstance(kind(df, c), (T.FloatType, T.DoubleType, T.StringType)) for df, c in ((source, r.source_column), (target, r.target_column)) if c)
+            rounded = r.function in ("SUM", "AVG") and inexact
             checks.append(
                 F.struct(
                     F.lit(r.name).alias("rule"), a.cast("double").alias("source_value"), b.cast("double").alias("target_value"), difference.alias("difference"),
-                    F.coalesce(f"s_nulls{i}", F.lit(0)).alias("source_nulls"), F.coalesce(f"t_nulls{i}", F.lit(0)).alias("target_nulls"), agrees(r, a, difference, a.eqNullSafe(b)).alias("ok"),
+                    F.coalesce(f"s_nulls{i}", F.lit(0)).alias("source_nulls"), F.coalesce(f"t_nulls{i}", F.lit(0)).alias("target_nulls"), agrees(r, a, difference, a.eqNullSafe(b), rounded).alias("ok"),
                 )
             )
         rows = joined.select(group.alias("group"), F.coalesce("has_s", F.lit(False)).alias("in_source"), F.coalesce("has_t", F.lit(False)).alias("in_target"), F.explode(F.array(*checks)).alias("c"))

@@ -294,3 +294,13 @@ def test_distributions_of_numbers(spark):
     assert [(b.bin, b.source_rows, b.target_rows) for b in whole] == [(-1, 0, 0), (0, 5, 0), (1, 5, 10)] and whole[2].ks == 0 and whole[1].psi > 0
     with pytest.raises(SpecError):
         quality.numeric_distribution(s, t, "x", "y", [2.0, 1.0])
+
+
+def test_sums_of_doubles_agree_whatever_the_order_of_rows(spark):
+    values = [0.1, 0.2, 0.3, 1e9, 0.7] * 50
+    s = spark.createDataFrame([(x,) for x in values], "v double").repartition(3)
+    t = spark.createDataFrame([(x,) for x in reversed(sorted(values))], "v double").repartition(7)
+    rules = (AggregateRule("sum", "SUM", "v"), AggregateRule("avg", "AVG", "v"), AggregateRule("max", "MAX", "v"))
+    assert all(r.matched for r in aggregates.aggregate_checks(s, t, rules).collect())
+    more = t.unionByName(spark.createDataFrame([(0.001,)], "v double"))
+    assert {r.rule: r.matched for r in aggregates.aggregate_checks(s, more, rules).collect()} == {"sum": False, "avg": False, "max": True}
