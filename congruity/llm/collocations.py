@@ -1,7 +1,7 @@
 """Collocations: word sequences that stand together more often than their parts suggest.
 
-Every sequence is counted in a sketch first: two rows of CELLS cells, which never
-count less than there is. A sequence whose cells both reach the least count is a
+Every sequence is counted in a sketch first: two rows of 2 ** CELL_BITS cells, which
+never count less than there is. A sequence whose cells both reach the least count is a
 candidate; the candidates and their words compile into automata of " phrase " with
 blanks as guards, over texts whose pieces a line feed keeps apart. Each task scans its
 texts, overlapping matches included, the counts of all tasks are summed, and the exact
