@@ -672,11 +672,19 @@ def source_analysis(spark, d):
     return readers.analyze(build(spark, d, perturb.CUSTOMER_T))
 
 
-@query("SELECT 'customer' AS name, true AS opens UNION ALL SELECT 'nothing', false")
+@query("""SELECT 'customer' AS name, true AS opens, (SELECT count(*) FROM (DESCRIBE SELECT * FROM customer)) AS columns UNION ALL SELECT 'nothing', false, 0 UNION ALL SELECT 'damaged', false, 0
+    UNION ALL SELECT 'NATION', true, (SELECT count(*) FROM (DESCRIBE SELECT * FROM nation)) UNION ALL SELECT 'MISSING', false, 0""")
 def source_test(spark, d):
-    known = readers.default_registry()
-    found = [(n, known.test(spark, "parquet", {"path": f"{d}/{n}.parquet"})[0]) for n in ("customer", "nothing")]
-    return spark.createDataFrame(found, "name string, opens boolean")
+    """Tables that are there, that are not, and one whose schema is given but whose file
+    is no Parquet; of files and of a database."""
+    known, broken, p = readers.default_registry(), shared_dir(spark), derby(spark, d, "nation")
+    spark.read.parquet(f"{d}/region.parquet").select("r_name").write.text(broken)
+    asked = [
+        ("customer", "parquet", {"path": f"{d}/customer.parquet"}), ("nothing", "parquet", {"path": f"{d}/nothing.parquet"}), ("damaged", "parquet", {"path": broken, "schema": "id long"}),
+        ("NATION", "jdbc", p | {"table": "NATION"}), ("MISSING", "jdbc", p | {"table": "MISSING"}),
+    ]
+    found = [(n, *known.test(spark, reader, q)) for n, reader, q in asked]
+    return spark.createDataFrame([(n, ok, len(why.split(", ")) if ok else 0) for n, ok, why in found], "name string, opens boolean, columns long")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1995-03-01' AND o_orderdate < TIMESTAMP '1997-01-01 12:00:00'")

@@ -99,9 +99,12 @@ class Registry:
         return self.readers[name.lower()](spark, properties)
 
     def test(self, spark: SparkSession, name: str, properties: dict) -> tuple[bool, str]:
-        """Whether a dataset opens; its columns, or what went wrong."""
+        """Whether a dataset opens and its first row can be read; its columns, or what
+        went wrong."""
         try:
-            return True, ", ".join(self.read(spark, name, properties).limit(0).columns)
+            found = self.read(spark, name, properties)
+            found.limit(1).collect()
+            return True, ", ".join(found.columns)
         except Exception as e:  # whatever the source raises is the answer
             return False, str(e).splitlines()[0]
 

@@ -304,3 +304,16 @@ def test_sums_of_doubles_agree_whatever_the_order_of_rows(spark):
     assert all(r.matched for r in aggregates.aggregate_checks(s, t, rules).collect())
     more = t.unionByName(spark.createDataFrame([(1e6,)], "v double"))
     assert {r.rule: r.matched for r in aggregates.aggregate_checks(s, more, rules).collect()} == {"sum": False, "avg": False, "max": True}
+
+
+def test_a_frequent_key_in_a_tiny_file_is_found(spark, tmp_path):
+    """200,000 equal keys take a few bytes in Parquet; they are cut into pieces all the same."""
+    rows = spark.range(200_000).select(F.when(F.col("id") < 180_000, 7).otherwise(F.col("id")).alias("k"), (F.col("id") % 5).cast("int").alias("v"))
+    rows.sort("k").coalesce(1).write.parquet(str(tmp_path / "s"))
+    s = spark.read.parquet(str(tmp_path / "s"))
+    found = records.frequent_keys([(s, [F.col("k")], ["k"]), (s, [F.col("k")], ["k"])], 50_000, 0.02)
+    assert [r.k0 for r in found.collect()] == [7]
+    assert records.frequent_keys([(s.filter("k != 7"), [F.col("k")], ["k"]), (s.limit(0), [F.col("k")], ["k"])], 50_000, 0.02) is None
+    spec = ReconSpec(keys=(("k", "k"),), hot_rows=50_000)
+    got = reconcile(s, s.filter("v != 1"), spec).records.groupBy("status").count().collect()
+    assert {r.status: r["count"] for r in got} == {"MATCHED": 180_000 + 16_000, "MISSING_IN_TARGET": 4000}
