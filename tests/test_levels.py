@@ -317,3 +317,11 @@ def test_a_frequent_key_in_a_tiny_file_is_found(spark, tmp_path):
     spec = ReconSpec(keys=(("k", "k"),), hot_rows=50_000)
     got = reconcile(s, s.filter("v != 1"), spec).records.groupBy("status").count().collect()
     assert {r.status: r["count"] for r in got} == {"MATCHED": 180_000 + 16_000, "MISSING_IN_TARGET": 4000}
+
+
+def test_rows_of_a_task_do_not_grow_with_the_tables(spark, monkeypatch):
+    monkeypatch.setattr(records, "TASK_ROWS", 100, raising=False)
+    s = spark.range(3000).select(F.col("id").alias("k"))
+    found = records.reconcile_records(s, s, ReconSpec(keys=(("k", "k"),), hot_rows=1000))
+    sizes = [r.n for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 3000 and len(sizes) > 30 and max(sizes) < 200
