@@ -1,7 +1,11 @@
 """Parallel reads of a database that runs in this process."""
 
+import os
+import subprocess
+import sys
 import uuid
 from datetime import date, datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +95,16 @@ def test_sql_that_is_written():
     for bad in ({}, {"table": "a", "query": "b"}, {"table": "a b"}):
         with pytest.raises(SpecError):
             relation(bad)
+
+
+def test_a_database_is_read_by_executors_of_their_own(tmp_path):
+    here = Path(__file__).resolve().parent.parent
+    code = f"""
+from pyspark.sql import SparkSession
+from congruity.plans.catalog import QUERIES
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+print("rows", [tuple(r) for r in QUERIES["source_discovery"](spark, "/root/testdata/sf0.001").orderBy("name").collect()])
+"""
+    settings = {k: v for k, v in os.environ.items() if k != "PYSPARK_SUBMIT_ARGS"} | {"PYTHONPATH": str(here)}
+    done = subprocess.run([sys.executable, "-c", code], env=settings, capture_output=True, text=True, timeout=240)
+    assert "rows [('NATION', 'BASE TABLE', 25), ('REGION', 'BASE TABLE', 5)]" in done.stdout, done.stderr[-2000:]
