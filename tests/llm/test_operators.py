@@ -570,6 +570,22 @@ def test_suffix_groups_settle_by_bytes_even_if_all_hashes_are_equal(monkeypatch)
     assert solve(group, length)["spans"].to_pylist() == want
 
 
+def test_suffix_groups_of_many_cores_are_settled_together():
+    """Also where a core's rows lie in several batches."""
+    rng, rows = random.Random(23), []
+    for core in range(30):
+        parts = [bytes(rng.choice(b"ab") for _ in range(60)) for _ in range(3)]
+        for k in range(rng.randrange(1, 9)):
+            before, after = rng.choice(parts)[rng.randrange(60) :], rng.choice(parts)[: rng.randrange(20, 60)]
+            rows.append((core, 100 * core + k, rng.choice([1, 1, 2]), len(before), before + bytes([core] * 64) + after))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    table = pa.table({n: pa.array(x, t) for n, x, t in zip(("core", "around", "n", "left", "bytes"), zip(*rows, strict=True), kinds, strict=True)})
+    want = [x for core in range(30) for x in solve(table.filter(pa.compute.equal(table["core"], core)), 124)["spans"].to_pylist()]
+    blocks = list(suffix_module.whole_cores(iter(table.to_batches(max_chunksize=7)), 10))
+    assert all(set(a["core"].to_pylist()).isdisjoint(b["core"].to_pylist()) for a, b in itertools.combinations(blocks, 2))
+    assert len(blocks) > 5 and [x for b in blocks for x in solve(b, 124)["spans"].to_pylist()] == want and any(want)
+
+
 # Jaccard join
 
 def brute_links(texts):
