@@ -3,12 +3,13 @@
 A page's text is cut into runs of tokens. Runs inside ``article`` or ``main`` are
 protected where they are at least half of what is not chrome: a copied article is main
 text too, so repeats do not count against it. Runs in menus, footers, forms, adverts, comments and the like are chrome.
-The streams of all runs that are not protected make the host's suffix array, cut at
-the shortest length that counts: neighbours in it that agree so far are suffixes with
-equal heads, so heads are grouped, with a partial count in each task, and never
-sorted: one line of a large host would fill a task otherwise. Heads on two distinct
-pages are repeats. On pages without a protected run, what repeats cover is
-boilerplate and goes; the unique runs stay. Pages are parsed once.
+The streams of all runs that are not protected make the host's suffix array: suffixes,
+cut at the shortest length that counts, are dealt to tasks by ranges of their order and
+sorted there. Neighbours that agree so far on two distinct pages are repeats. A suffix's
+place is part of its order, so that one line of a large host is split between tasks; the
+first and last suffixes of the tasks are compared with each other. On pages without a
+protected run, what repeats cover is boilerplate and goes; the unique runs stay. Pages
+are parsed once.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import html
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,6 +53,9 @@ MAIN, MAIN_NAMES = frozenset(("article", "main")), frozenset("article main".spli
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+"[^"]*"|=\s*+'[^']*'|["'=])*+)>|<[!?][^>]*>|<[/!?a-zA-Z][^>]*\Z""", re.S)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PROTECTED, OPEN, IN_CHROME, WRAPPER = 0, 1, 2, 3
+#: The suffix array, in its order: key is null where the text stays whatever repeats it.
+ENTRIES = ("host", "suffix", "page", "key", "run", "start", "n")
+ARRAY = "host string, suffix string, page bigint, key bigint, run int, start int, n int, differs boolean, edge boolean"
 
 
 def names(attributes: str, ids: bool = True) -> set[str]:
@@ -192,6 +197,34 @@ def suffixes(tokens: list[str], least: int) -> Iterator[tuple[int, int, str]]:
             yield k, len(part), "\x01".join(part) + "\x02" * (len(tokens) < least)
 
 
+def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sorted suffixes of a task, each with: whether it agrees with the one before and
+    stands on another page; whether it is the first or last of the task."""
+    held, before = None, None
+    for batch in chain((b for b in batches if b.num_rows), (None,)):
+        if held is not None:
+            heads = list(zip(*(held.column(k).to_pylist() for k in range(3)), strict=True))
+            differs = [a is not None and a[:2] == b[:2] and a[2] != b[2] for a, b in zip((before, *heads), heads)]
+            edge = [before is None, *(False for _ in heads[1:])]
+            edge[-1] |= batch is None
+            yield pa.RecordBatch.from_arrays([*held.columns, pa.array(differs), pa.array(edge)], [*ENTRIES, "differs", "edge"])
+            before = heads[-1]
+        held = batch
+
+
+def suffix_array(entries: DataFrame) -> DataFrame:
+    """ARRAY: the suffixes in their order, compared with their neighbours in a task."""
+    dealt = entries.repartitionByRange(*ENTRIES).sortWithinPartitions(*ENTRIES)
+    return staged(dealt.mapInArrow(neighbours, ARRAY), compression="zstd")
+
+
+def repeats_of(array: DataFrame) -> DataFrame:
+    """host, suffix: what two distinct pages of a host have. Where neighbours lie in two
+    tasks, both are edges."""
+    edges = array.filter("edge").groupBy("host", "suffix").agg(F.min("page").alias("a"), F.max("page").alias("b")).filter("a != b")
+    return array.filter("differs").select("host", "suffix").unionByName(edges.select("host", "suffix")).distinct()
+
+
 def html_text(pages: DataFrame, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points), from_structure.
 
@@ -217,17 +250,17 @@ def html_text(pages: DataFrame, least_tokens: int = LEAST_TOKENS) -> DataFrame:
                 ["page_id", "url", "host", "text", "left", "chrome"],
             )
 
-    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches, 100):
-            rows = [(h, s, p) for h, p, streams in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) for t in streams for _, _, s in suffixes(t.split(), least_tokens)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["host", "suffix", "page"])
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
         for batch in in_slices(batches, 100):
-            rows = [(key.as_py(), h.as_py(), r, k, n, s) for key, h, left in zip(batch.column(0), batch.column(1), batch.column(2), strict=True) for r, t in enumerate(left.as_py()) for k, n, s in suffixes(t.split(), least_tokens)]
+            rows = [
+                (h, s, p, key if r < len(left) else None, r, k, n)
+                for h, p, key, left, chrome in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                for r, t in enumerate((*left, *chrome))
+                for k, n, s in suffixes(t.split(), least_tokens)
+            ]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["key", "host", "run", "start", "n", "suffix"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], list(ENTRIES))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,11 +279,11 @@ def html_text(pages: DataFrame, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     if not undecided.isEmpty():
         undecided = staged(undecided.drop("text").withColumn("key", F.monotonically_increasing_id()))
         bits = staged(filter_of(undecided.select("hash")))
-        streams = passing(parsed.select("host", "page", F.concat("left", "chrome").alias("streams")).withColumn("hash", F.xxhash64("host")), bits)
-        array = streams.select("host", "page", "streams").mapInArrow(evidence, "host string, suffix string, page bigint")
-        repeats = array.groupBy("host", "suffix").agg(F.min("page").alias("a"), F.max("page").alias("b")).filter("a != b").select("host", "suffix")
-        at = undecided.select("key", "host", "left").mapInArrow(places, "key bigint, host string, run int, start int, n int, suffix string")
-        covered = at.join(repeats, ["host", "suffix"], "left_semi").groupBy("key").agg(F.collect_list(F.struct("run", "start", "n")).alias("covered"))
+        others = passing(parsed.filter("text IS NOT NULL OR size(left) = 0").withColumn("hash", F.xxhash64("host")), bits)
+        of_host = [x.select("host", "page", key.alias("key"), "left", "chrome") for x, key in ((undecided, F.col("key")), (others, F.lit(None).cast("long")))]
+        array = suffix_array(of_host[0].unionByName(of_host[1]).mapInArrow(entries, ARRAY[: ARRAY.index(", differs")]))
+        places = array.filter("key IS NOT NULL").select("key", "host", "suffix", "run", "start", "n")
+        covered = places.join(repeats_of(array), ["host", "suffix"], "left_semi").groupBy("key").agg(F.collect_list(F.struct("run", "start", "n")).alias("covered"))
         decided = undecided.join(covered, "key", "left").select("page_id", "url", "left", "covered").mapInArrow(cut, f"page_id {id_kind}, url string, text string")
         out = out.unionByName(decided.withColumn("from_structure", F.lit(False)))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "from_structure")

@@ -27,7 +27,7 @@ from congruity.llm.components import components
 from congruity.llm.decontaminate import MATCH, align, decontaminate
 from congruity.llm.decontaminate import blocks as items_in_blocks
 from congruity.llm.exact_dedup import Index, exact_dedup, sha256
-from congruity.llm.html_text import html_text, main_text, runs
+from congruity.llm.html_text import ENTRIES, html_text, main_text, neighbours, repeats_of, runs, suffix_array
 from congruity.llm.jaccard_join import DEPTH, TREES, expected_recall, first_met, jaccard_join, read_signatures, recall, shingles, signature
 from congruity.llm.license_scan import BASE_PHRASES, license_scan, rare_offsets, template_words
 from congruity.llm.license_texts import TEMPLATES
@@ -477,6 +477,33 @@ def test_repeats_of_a_host_decide_on_pages_without_an_article(spark):
     assert len({t for _, t, s in want if not s}) > 20
 
 
+def test_neighbours_in_the_suffix_array(spark):
+    """One line of a large host is split between tasks; what repeats is the same."""
+    rng = random.Random(29)
+    rows = [("h", "line", 7, k if k % 3 else None, 0, k, 8) for k in range(3000)] + [("h", "twice", p, p, 0, 0, 8) for p in (1, 2)]
+    rows += [(f"h{rng.randrange(3)}", f"s{rng.randrange(60)}", rng.randrange(3), k if k % 2 else None, 1, k, 8) for k in range(300)]
+    for more in ([], [("h", "line", 8, None, 0, 0, 8)]):
+        entries = spark.createDataFrame(rows + more, "host string, suffix string, page bigint, key bigint, run int, start int, n int")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            array = suffix_array(entries)
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        sizes = [r["count"] for r in array.groupBy(F.input_file_name()).count().collect()]
+        assert sum(sizes) == len(rows + more) and len(sizes) > 3 and max(sizes) < 0.6 * sum(sizes)
+        pages = defaultdict(set)
+        for h, suffix, page, *_ in rows + more:
+            pages[h, suffix].add(page)
+        found = [tuple(r) for r in repeats_of(array).collect()]
+        assert len(found) == len(set(found)) and set(found) == {x for x, on in pages.items() if len(on) > 1}
+    kinds = (pa.string(), pa.string(), *[pa.int64()] * 2, *[pa.int32()] * 3)
+    sort = sorted([("h", s, p, 0, 0, 0, 8) for s, p in (("a", 1), ("a", 1), ("a", 2), ("b", 2), ("b", 3))])
+    table = pa.table({c: pa.array(x, t) for c, x, t in zip(ENTRIES, zip(*sort, strict=True), kinds, strict=True)})
+    for size in (1, 2, 5):
+        got = pa.Table.from_batches(neighbours(iter(table.to_batches(max_chunksize=size))))
+        assert got["differs"].to_pylist() == [False, False, True, False, True] and got["edge"].to_pylist() == [True, False, False, False, True]
+
+
 # Suffix dedup
 
 def brute_suffix(texts, n):
