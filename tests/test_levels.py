@@ -325,3 +325,10 @@ def test_rows_of_a_task_do_not_grow_with_the_tables(spark, monkeypatch):
     found = records.reconcile_records(s, s, ReconSpec(keys=(("k", "k"),), hot_rows=1000))
     sizes = [r.n for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     assert sum(sizes) == 3000 and len(sizes) > 30 and max(sizes) < 200
+
+
+def test_a_scan_does_not_sort_what_it_writes_up_to_150_million_rows():
+    """Spark's scan gathers and sorts its rows once they go to more than 200 tasks."""
+    million = 1_000_000
+    found = [records.tasks_of(n * million) for n in (1, 18, 49, 55, 109, 149, 400)]
+    assert found == [None, 73, 197, 200, 200, 200, 1601]
