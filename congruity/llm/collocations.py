@@ -1,17 +1,19 @@
 """Collocations: word sequences that stand together more often than their parts suggest.
 
-Every sequence is counted in a sketch first: two rows of 2 ** CELL_BITS cells, which
-never count less than there is. A sequence whose cells both reach the least count is a
-candidate; the candidates and their words compile into automata of " phrase " with
-blanks as guards, over texts whose pieces a line feed keeps apart. Each task scans its
-texts, overlapping matches included, the counts of all tasks are summed, and the exact
-counts decide: the sketch may only add candidates in vain.
+Every sequence of one to some words is counted in a sketch first: a row of 2 ** CELL_BITS
+cells of which only those that occur are kept, dealt over the tasks, so that it never
+counts less than there is and grows with the input. Cells that reach the least count are
+marked in a filter, and a sequence with a mark is a candidate. Each task then writes its
+texts in codes, two letters a word, compiles the candidates among them into automata and
+scans the texts, overlapping matches included. The counts of all tasks are summed, and
+the exact counts decide: sketch and filter may only add candidates in vain. Texts are
+read twice, whatever their number and that of the candidates.
 """
 
 from __future__ import annotations
 
 import secrets
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 from hashlib import blake2b
@@ -27,15 +29,17 @@ from pyspark.sql import functions as F
 from .common import UPPER, in_slices, staged
 from .word_names import mixed, sequence_names, word_names
 
-#: Cells of a row of the sketch are 2 ** CELL_BITS, whatever the input: 16 MB of bits for
-#: both rows, and shards of 65536 cells, each summed by one task.
-CELL_BITS = 26
-#: Bytes of text taken together; sequences that a task counts before it passes them on, and
-#: candidates of a language that it remembers; parts of a language's candidates.
-PORTION, HELD, REMEMBERED, PARTS = 1 << 20, 1 << 20, 1 << 18, 1024
-#: Phrases, and their bytes, whose automata a worker holds at once (some 140 bytes each);
-#: each block of them is one scan of the texts in their languages. Counts of a row.
-BLOCK, BLOCK_BYTES, ROW = 1_250_000, 64 << 20, 4096
+#: Cells of the sketch are 2 ** CELL_BITS, whatever the input, in 2 ** SHARD_BITS shards. A
+#: shard's marks are 8 to 16 bits for each cell that reaches the least count, and at most
+#: 2 ** MARK_BITS, so that all of them stay below 128 MB.
+CELL_BITS, SHARD_BITS, MARK_BITS = 44, 12, 18
+#: Bytes of text taken together; sequences that a task counts before it passes them on;
+#: candidates, and words of text, that a task holds before an automaton counts them.
+PORTION, HELD, REMEMBERED, BLOCK = 1 << 22, 1 << 22, 1 << 19, 1 << 22
+#: Parts of a language's counts; phrases of a batch; bytes of text for each task that sums.
+PARTS, ROW, DEALT = 1024, 1 << 16, 32 << 20
+#: The second letter of a word's code is one of CODES, the first tells the rest.
+CODES = 512
 #: What ends a piece of text.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 LETTERS = bytes.maketrans(UPPER.encode() + b"\t" + ENDS, UPPER.lower().encode() + b" " + b"\n" * len(ENDS))
@@ -67,15 +71,11 @@ class Sequences:
         return first, mixed(hashes[first] ^ self.lang)
 
 
-def cells(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(hashes >> np.uint64(64 - bits)).astype(np.int64), ((hashes >> np.uint64(64 - 2 * bits)) & np.uint64((1 << bits) - 1)).astype(np.int64)]
-
-
 def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
     """Normalised texts of one language, about PORTION bytes at a time; longer ones fall
-    apart where a piece ends."""
+    apart where a piece ends. All languages' texts together stay below some PORTIONs."""
+    texts, size = defaultdict(list), Counter()
     for part in in_slices(batches):
-        texts, size = defaultdict(list), defaultdict(int)
         for lang, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
             rest = normalised(text.as_py())
             while rest:
@@ -85,20 +85,36 @@ def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[byte
                 rest = rest[cut:]
                 if size[lang] >= PORTION:
                     yield lang, texts.pop(lang)
-                    size[lang] = 0
-        yield from texts.items()
+                    del size[lang]
+        while size.total() >= 4 * PORTION:
+            ((lang, _),) = size.most_common(1)
+            yield lang, texts.pop(lang)
+            del size[lang]
+    yield from texts.items()
+
+
+def cells(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shards of the cells, and their places in them."""
+    cell, place_bits = hashes >> np.uint64(64 - bits), np.uint64(bits - min(SHARD_BITS, bits))
+    return (cell >> place_bits).astype(np.int64), cell & ((np.uint64(1) << place_bits) - np.uint64(1))
+
+
+def marks_of(places: np.ndarray, masks: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each place among ``masks`` + 1 of its shard."""
+    hashed = mixed(places)
+    return (hashed & masks).astype(np.int64), ((hashed >> np.uint64(32)) & masks).astype(np.int64)
 
 
-def sketch(texts: DataFrame, longest: int, least: int, bits: int, key: int) -> np.ndarray:
-    """For both rows, whether a cell reaches ``least``: a bit each. The result has a
-    fixed size, so it may pass the driver."""
-    shard_bits, enough = min(16, bits), min(least, 255)
+def sketch(texts: DataFrame, longest: int, least: int, bits: int, key: int, tasks: int) -> dict[str, np.ndarray]:
+    """Marks of the cells that reach ``least``: bits, and where those of a shard start and
+    how many they are, less one. Their size is bounded, so they may pass the driver."""
+    enough = min(least, 255)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for lang, found in portions(batches):
             own = Sequences(lang, found, key)
-            held += [own.of(n)[1] for n in range(2, longest + 1)]
+            held += [own.of(n)[1] for n in range(1, longest + 1)]
             if sum(map(len, held)) >= HELD:
                 yield counted(held)
                 held = []
@@ -106,174 +122,171 @@ def sketch(texts: DataFrame, longest: int, least: int, bits: int, key: int) -> n
             yield counted(held)
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        shards, places, counts = [], [], []
-        for row, found in enumerate(cells(np.concatenate(held), bits)):
-            at, n = np.unique(found, return_counts=True)
-            shard = at >> shard_bits
-            border = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
-            for a, b in zip(border[:-1].tolist(), border[1:].tolist(), strict=True):
-                shards.append((row << (bits - shard_bits)) + int(shard[a]))
-                places.append((at[a:b] & ((1 << shard_bits) - 1)).astype("<u2").tobytes())
-                counts.append(np.minimum(n[a:b], enough).astype(np.uint8).tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(places, pa.binary()), pa.array(counts, pa.binary())], ["shard", "places", "counts"])
+        found, n = np.unique(np.concatenate(held) >> np.uint64(64 - bits) << np.uint64(64 - bits), return_counts=True)
+        shard, place = cells(found, bits)
+        border = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)) if len(found) else np.zeros(1, np.int64)
+        place, n = place.astype("<u4"), np.minimum(n, enough).astype(np.uint8)
+        runs = list(zip(border[:-1].tolist(), border[1:].tolist(), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(shard[border[:-1]].astype(np.int32)), pa.array([place[a:b].tobytes() for a, b in runs], pa.binary()), pa.array([n[a:b].tobytes() for a, b in runs], pa.binary())], ["shard", "places", "counts"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        held = defaultdict(lambda: ([], []))
         for batch in batches:
             for shard, places, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = sums.setdefault(shard, np.zeros(1 << shard_bits, np.uint16))
-                at = np.frombuffer(places, "<u2")
-                own[at] = np.minimum(own[at] + np.frombuffer(counts, np.uint8), enough)
-        packed = [np.packbits(x >= enough).tobytes() for x in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["shard", "bits"])
-
-    shards = texts.mapInArrow(count, "shard int, places binary, counts binary").repartition("shard").mapInArrow(added, "shard int, bits binary")
-    out = np.zeros((2 << (bits - shard_bits), max(1, (1 << shard_bits) // 8)), np.uint8)
+                held[shard][0].append(places)
+                held[shard][1].append(counts)
+        for shard in list(held):
+            places, counts = map(b"".join, held.pop(shard))
+            both = np.frombuffer(places, "<u4").astype(np.uint64) << np.uint64(8) | np.frombuffer(counts, np.uint8)
+            both.sort()
+            first = np.flatnonzero(np.diff(both >> np.uint64(8), prepend=~both[:1]))
+            reached = both[first][np.add.reduceat((both & np.uint64(255)).astype(np.int64), first) >= enough] >> np.uint64(8)
+            if len(reached):
+                marks = np.zeros(1 << min(max((8 * len(reached) - 1).bit_length(), 3), MARK_BITS), bool)
+                for at in marks_of(reached, np.uint64(len(marks) - 1)):
+                    marks[at] = True
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(marks).tobytes()], pa.binary())], ["shard", "bits"])
+
+    shards = staged(texts.mapInArrow(count, "shard int, places binary, counts binary").repartition(tasks, "shard").mapInArrow(added, "shard int, bits binary"))
+    out, size = [b"\0"], 8  # what a shard without marks has
+    start, mask = np.zeros(1 << min(SHARD_BITS, bits), np.int64), np.full(1 << min(SHARD_BITS, bits), 7, np.uint64)
     for shard in shards.toLocalIterator():
-        out[shard["shard"]] = np.frombuffer(shard["bits"], np.uint8)
-    return out.reshape(2, -1)
-
-
-def reaches(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        out.append(bytes(shard["bits"]))
+        start[shard["shard"]], mask[shard["shard"]] = size, 8 * len(out[-1]) - 1
+        size += 8 * len(out[-1])
+    return {"bits": np.frombuffer(b"".join(out), np.uint8), "start": start, "mask": mask}
+
+
+def reaches(marks: dict[str, np.ndarray], hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Whether both marks of each hash's cell are set."""
+    shard, place = cells(hashes, bits)
+    out = np.ones(len(hashes), bool)
+    for at in marks_of(place, marks["mask"][shard]):
+        at += marks["start"][shard]
+        out &= (marks["bits"][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    return out
 
 
-def candidates(texts: DataFrame, marks: Broadcast, longest: int, bits: int, key: int) -> DataFrame:
-    """lang, phrase of every candidate, and for each language a row without a phrase;
-    n is 0, or the language's number of words. A row of the shuffle has many phrases."""
+class Block:
+    """Some texts of one language in codes of their words, and the candidates in them.
+    Codes of different words differ, and a code's first letter is never a second one, so
+    that equal codes are equal words at a word's start."""
+
+    def __init__(self) -> None:
+        self.codes: dict[bytes, int] = {}
+        self.seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # words, names, how often
+        self.phrases: dict[str, int] = {}  # and their names
+        self.texts: list[str] = []
+        self.size = 0
+
+    def add(self, own: Sequences, longest: int, marks: dict[str, np.ndarray], bits: int) -> None:
+        first, hashes = own.of(1)
+        names, at, back, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        kept = np.flatnonzero(reaches(marks, names, bits))
+        # Frequent words come first: an automaton tries its letters in their order.
+        kept = kept[np.argsort(-n[kept], kind="stable")]
+        where = first[at[kept]]
+        new = np.array([self.codes.setdefault(own.data[a:b], len(self.codes)) for a, b in zip(own.start[where].tolist(), own.end[where].tolist(), strict=True)], np.int64)
+        self.seen.append((new, names[kept], n[kept]))
+        number = np.full(len(names), -1)
+        number[kept] = new
+        words = np.full(len(own.words), -1)
+        words[first] = number[back]
+        letters = np.stack([words // CODES + CODES + 1, words % CODES + 1], 1).astype("<u4")
+        letters[words < 0] = 0  # stands in no phrase that reaches the least count
+        text = letters.tobytes().decode("utf-32-le", "surrogatepass")
+        for n in range(2, longest + 1):
+            first, hashes = own.of(n)
+            marked = reaches(marks, hashes, bits) & reduce(np.logical_and, (words[first + k] >= 0 for k in range(n)))
+            names, at = np.unique(hashes[marked], return_index=True)
+            where = 2 * first[marked][at]
+            self.phrases.update(zip([text[k : k + 2 * n] for k in where.tolist()], names.tolist(), strict=True))
+        self.texts.append(text)
+        self.size += len(words)
+
+    def count(self) -> Iterator[tuple[int, bytes, np.ndarray]]:
+        """Parts of the candidates, words and phrases, and all their occurrences in the
+        texts. Equal phrases have one part in all blocks."""
+        import ahocorasick
+
+        phrases, n_words = list(self.phrases), len(self.codes)
+        counts, names = np.zeros((2, n_words + len(phrases)), np.uint64)
+        for number, name, n in self.seen:
+            names[number] = name
+            counts[number] += n.astype(np.uint64)
+        names[n_words:] = list(self.phrases.values())
+        if phrases:
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for k, phrase in enumerate(phrases, n_words):
+                automaton.add_word(phrase, k)
+            automaton.make_automaton()
+            for text in self.texts:
+                matches = map(itemgetter(1), automaton.iter(text))
+                while len(part := np.fromiter(islice(matches, HELD), np.int64)):
+                    counts += np.bincount(part, minlength=len(counts)).astype(np.uint64)
+        # Words of the phrases, part by part: a line feed follows the last one of each.
+        parts = names % np.uint64(PARTS)
+        order = np.argsort(parts, kind="stable")
+        letters = np.frombuffer("".join(phrases).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64).reshape(-1, 2)
+        numbers = np.concatenate([np.arange(n_words), (letters[:, 0] - CODES - 1) * CODES + letters[:, 1] - 1])
+        size = np.concatenate([np.ones(n_words, np.int64), np.fromiter(map(len, phrases), np.int64, len(phrases)) // 2])
+        start, size = (np.cumsum(size) - size)[order], size[order]
+        last = np.cumsum(size) - 1
+        own = numbers[np.repeat(start - last + size - 1, size) + np.arange(int(size.sum()))]
+        own[last] += n_words
+        words = [w + b" " for w in self.codes] + [w + b"\n" for w in self.codes]
+        border = np.flatnonzero(np.diff(parts[order], prepend=PARTS, append=PARTS)) if len(order) else np.zeros(1, np.int64)
+        for a, b in zip(border[:-1].tolist(), border[1:].tolist(), strict=True):
+            found = own[last[a] - size[a] + 1 : last[b - 1] + 1].tolist()
+            yield int(parts[order[a]]), b"".join(map(words.__getitem__, found))[:-1], counts[order[a:b]].astype("<i8")
+
+
+def counts_of(texts: DataFrame, marks: Broadcast, longest: int, least: int, bits: int, key: int, tasks: int) -> DataFrame:
+    """lang, phrase, f of every word and phrase that occurs ``least`` times, and for each
+    language a row without a phrase, where f is its number of words. A row of the shuffle
+    has many phrases."""
+    schema = ["lang", "part", "phrases", "counts"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, words = defaultdict(dict), defaultdict(int)
+        blocks, words = defaultdict(Block), Counter()
+        n_words = n_phrases = 0
         for lang, found in portions(batches):
-            own, mine = Sequences(lang, found, key), seen[lang]
+            own, block = Sequences(lang, found, key), blocks[lang]
             words[lang] += len(own.words) - int(own.ends.sum())
-            for n in range(2, longest + 1):
-                first, hashes = own.of(n)
-                one, two = (reaches(row, at) for row, at in zip(marks.value, cells(hashes, bits), strict=True))
-                names, at = np.unique(hashes[one & two], return_index=True)
-                where = first[one & two][at]
-                for name, a, b in zip(names.tolist(), own.start[where].tolist(), own.end[where + n - 1].tolist(), strict=True):
-                    if name not in mine:
-                        mine[name] = own.data[a:b]
-            if len(mine) >= REMEMBERED:  # a phrase may then be passed on again
-                yield packed(lang, seen.pop(lang))
-        for lang, mine in seen.items():
-            yield packed(lang, mine)
-        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array([-1] * len(words), pa.int32()), pa.nulls(len(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["lang", "part", "phrases", "n"])
-
-    def packed(lang: str, phrases: dict[int, bytes]) -> pa.RecordBatch:
-        parts = defaultdict(list)
-        for name, phrase in phrases.items():
-            parts[name % PARTS].append(phrase)
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(parts), pa.string()), pa.array(list(parts), pa.int32()), pa.array(list(map(b"\n".join, parts.values())), pa.binary()), pa.array(np.zeros(len(parts), np.int64))], ["lang", "part", "phrases", "n"])
+            n_words, n_phrases = n_words - block.size, n_phrases - len(block.phrases)
+            block.add(own, longest, marks.value, bits)
+            n_words, n_phrases = n_words + block.size, n_phrases + len(block.phrases)
+            while n_words >= BLOCK or n_phrases >= REMEMBERED:
+                largest = max(blocks, key=lambda k: blocks[k].size)
+                block = blocks.pop(largest)
+                n_words, n_phrases = n_words - block.size, n_phrases - len(block.phrases)
+                yield packed(largest, block)
+        for lang in list(blocks):
+            yield packed(lang, blocks.pop(lang))
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array([-1] * len(words), pa.int32()), pa.nulls(len(words), pa.binary()), pa.array([np.array([n], "<i8").tobytes() for n in words.values()], pa.binary())], schema)
+
+    def packed(lang: str, block: Block) -> pa.RecordBatch:
+        found = list(block.count())
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array([part for part, _, _ in found], pa.int32()), pa.array([blob for _, blob, _ in found], pa.binary()), pa.array([counts.tobytes() for _, _, counts in found], pa.binary())], schema)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases, words = defaultdict(set), defaultdict(int)
+        counts, words = defaultdict(Counter), Counter()
         for batch in batches:
-            for lang, part, blob, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for lang, part, blob, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part < 0:
-                    words[lang] += n
+                    words[lang] += int(np.frombuffer(own, "<i8")[0])
                 else:
-                    phrases[lang].update(blob.split(b"\n"))
-        for lang, found in phrases.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.binary()), pa.array(np.zeros(len(found), np.int64))], ["lang", "phrase", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.nulls(len(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["lang", "phrase", "n"])
-
-    dealt = texts.mapInArrow(find, "lang string, part int, phrases binary, n bigint").repartition("lang", "part")
-    return dealt.mapInArrow(merge, "lang string, phrase binary, n bigint").select("lang", F.col("phrase").cast("string").alias("phrase"), "n")
-
-
-built: dict[object, dict[str, tuple[object, int]]] = {}
+                    sums = counts[lang]
+                    for phrase, n in zip(blob.split(b"\n"), np.frombuffer(own, "<i8").tolist(), strict=True):
+                        sums[phrase] += n
+        for lang in list(counts):
+            found = iter([(phrase, n) for phrase, n in counts.pop(lang).items() if n >= least])
+            while some := list(islice(found, ROW)):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([phrase for phrase, _ in some], pa.binary()), pa.array([n for _, n in some], pa.int64())], ["lang", "phrase", "f"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.nulls(len(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["lang", "phrase", "f"])
 
-
-def automata(phrases: Broadcast) -> dict[str, tuple[object, int]]:
-    """Automaton and number of the first phrase by language; a worker keeps those of
-    one block."""
-    import ahocorasick
-
-    if phrases.value["id"] not in built:
-        built.clear()
-        own = built[phrases.value["id"]] = {}
-        first = 0
-        for lang, blob in phrases.value["phrases"]:
-            found = blob.decode("latin-1").split("\n")
-            own.setdefault(lang, ahocorasick.Automaton(ahocorasick.STORE_INTS))
-            for k, phrase in enumerate(found):
-                own[lang].add_word(f" {phrase} ", first + k)
-            first += len(found)
-        for a in own.values():
-            a.make_automaton()
-    return built[phrases.value["id"]]
-
-
-def scan(texts: DataFrame, phrases: Broadcast, n: int) -> DataFrame:
-    """lang, phrase, f (all occurrences) of the ``n`` phrases of one block."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, counts, held = automata(phrases), np.zeros(n, np.int64), []
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if lang in own:
-                    matches = map(itemgetter(1), own[lang].iter(normalised(text.as_py()).decode("latin-1")))
-                    while len(part := np.fromiter(islice(matches, HELD), np.int64)):
-                        held.append(part)
-                        if sum(map(len, held)) >= HELD:
-                            counts += np.bincount(np.concatenate(held), minlength=n)
-                            held = []
-        if held:
-            counts += np.bincount(np.concatenate(held), minlength=n)
-        rows = [k for k in range(0, n, ROW) if counts[k : k + ROW].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k // ROW for k in rows], pa.int32()), pa.array([counts[k : k + ROW].astype("<i8").tobytes() for k in rows], pa.binary())], ["row", "counts"])
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for row, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[row] = sums.get(row, 0) + np.frombuffer(counts, "<i8")
-        if not sums:
-            return
-        first = 0
-        for lang, blob in phrases.value["phrases"]:
-            found = blob.split(b"\n")
-            for row in range(first // ROW, (first + len(found) - 1) // ROW + 1):
-                if row in sums:
-                    a, b = max(first, row * ROW), min(first + len(found), (row + 1) * ROW)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * (b - a), pa.string()), pa.array(found[a - first : b - first], pa.binary()), pa.array(sums[row][a - row * ROW : b - row * ROW])], ["lang", "phrase", "f"])
-            first += len(found)
-
-    summed = texts.mapInArrow(count, "row int, counts binary").repartition("row").mapInArrow(added, "lang string, phrase binary, f bigint")
-    return summed.select("lang", F.col("phrase").cast("string").alias("phrase"), "f")
-
-
-def counts_of(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """lang, phrase, f of all ``keys``; each block of them is one scan."""
-    spark = texts.sparkSession
-    # A row for each language.
-    sizes = keys.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("phrase") + 1).alias("bytes")).orderBy("lang").collect()
-    blocks: list[tuple[list[str], int, int]] = []  # languages, which part of their phrases, of how many
-    room = 0
-    for lang, n, size in sizes:
-        parts = max(-(-n // BLOCK), -(-size // BLOCK_BYTES))
-        share = max(n / BLOCK, size / BLOCK_BYTES)
-        if parts == 1 and share <= room:
-            blocks[-1][0].append(lang)
-            room -= share
-        else:
-            blocks += [([lang], part, parts) for part in range(parts)]
-            room = 1 - share if parts == 1 else 0
-    dealt = keys.withColumn("hash", F.xxhash64("lang", "phrase"))
-    out = []
-    for langs, part, parts in blocks:
-        # At most BLOCK phrases pass the driver at once, in blobs of some ten thousand.
-        own = dealt.filter(F.col("lang").isin(langs) & (F.pmod("hash", F.lit(parts)) == part))
-        blob = F.array_join(F.sort_array(F.collect_list("phrase")), "\n").cast("binary").alias("blob")
-        blobs = own.groupBy("lang", F.pmod(F.shiftright("hash", 20), F.lit(BLOCK // 20_000 + 1)).alias("part")).agg(blob).orderBy("lang", "part")
-        found = [(r["lang"], bytes(r["blob"])) for r in blobs.collect()]
-        n = sum(b.count(b"\n") + 1 for _, b in found)
-        if n:
-            shared = spark.sparkContext.broadcast({"id": secrets.token_hex(8), "phrases": found})
-            out.append(staged(scan(texts.filter(F.col("lang").isin(langs)), shared, n)))
-    return reduce(DataFrame.unionByName, out) if out else keys.select("lang", "phrase", F.lit(0).cast("bigint").alias("f"))
+    dealt = texts.mapInArrow(find, "lang string, part int, phrases binary, counts binary").repartition(tasks, "lang", "part")
+    return dealt.mapInArrow(merge, "lang string, phrase binary, f bigint").select("lang", F.col("phrase").cast("string").alias("phrase"), "f")
 
 
 def collocations(docs: DataFrame, least: int = 10, longest: int = 3, top: int = 2000, held_percent: int = 50, lang_col: str = "lang", text_col: str = "text", cell_bits: int = CELL_BITS) -> DataFrame:
@@ -294,14 +307,13 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, top: int =
     """
     spark, key = docs.sparkSession, secrets.randbits(62)
     texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
-    marks = spark.sparkContext.broadcast(sketch(texts, longest, least, cell_bits, key))
-    found = staged(candidates(texts, marks, longest, cell_bits, key))
-    phrases = found.filter("phrase IS NOT NULL").select("lang", "phrase")
-    words = phrases.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
-    f = counts_of(texts, staged(phrases.unionByName(words)))
+    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    tasks = 1 + size // DEALT
+    marks = spark.sparkContext.broadcast(sketch(texts, longest, least, cell_bits, key, tasks))
+    found = staged(counts_of(texts, marks, longest, least, cell_bits, key, tasks))
 
     split = F.split("phrase", " ")
-    enough = staged(f.filter(f"f >= {least}").withColumn("words", F.size(split)))
+    enough = found.filter("phrase IS NOT NULL").withColumn("words", F.size(split))
 
     def joined(first: Column, n: Column) -> Column:
         return F.array_join(F.slice(split, first, n), " ")
@@ -325,6 +337,6 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, top: int =
     part = F.pmod(F.xxhash64("phrase"), F.lit(64))
     kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).filter(f"rank <= {top}")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    n = found.filter("phrase IS NULL").select("lang", "n")
+    n = found.filter("phrase IS NULL").groupBy("lang").agg(F.sum("f").alias("n"))
     best = kept.withColumn("rank", rank.cast("long")).filter(f"rank <= {top}")
     return best.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -96,6 +96,22 @@ def test_collocations_in_blocks_and_portions(spark, monkeypatch):
     assert sorted(map(tuple, collocations(docs, least=3, cell_bits=12).collect())) == brute_collocations(rows, 3)
 
 
+def test_texts_are_read_as_often_for_many_phrases_as_for_few(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(0, t, rng.choice(["en", "fr", "de"]), "", 0, 0) for t in some_texts(rng, 90)]
+    for name, value in (("BLOCK", 25), ("PORTION", 50), ("REMEMBERED", 8)):
+        monkeypatch.setattr(collocation_module, name, value)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(seen), DOCS)
+    assert len(collocations(docs, least=3, cell_bits=12).collect()) > 100
+    assert read.value == 3 * len(rows)  # their size, the sketch, the counts
+
+
 def test_no_collocations(spark):
     assert collocations(spark.createDataFrame([], DOCS), cell_bits=8).collect() == []
     assert collocations(spark.createDataFrame([(1, "a b a b", "en", "", 0, 0)], DOCS), cell_bits=8).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
