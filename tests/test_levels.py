@@ -82,6 +82,29 @@ def test_one_exchange_pairs_both_sides(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
 
 
+def grouped_by_key(records):
+    """What duplicate_keys() gives, by grouping all rows of ``records``."""
+    usable = records.filter("source_key_count IS NOT NULL").groupBy("k0")
+    found = usable.agg(F.max("source_key_count").alias("s"), F.max("target_key_count").alias("t"), F.count_if(F.col("status") == "MATCHED").alias("n"))
+    return Counter(map(str, found.filter("s > 1 OR t > 1").collect()))
+
+
+@pytest.mark.parametrize("hot_rows", [0, 40])
+def test_duplicate_keys_are_found_without_grouping(spark, hot_rows):
+    s = [*SOURCE, *[("hot", "x", i % 3) for i in range(70)], ("b", "Beta", 1), ("c", None, None), ("", None, 1), ("", None, 1), (None, "Delta", 5)]
+    t = [*TARGET, *[("hot", None, i % 5) for i in range(90)], *[("far", "x", 1)] * 45, ("d", "Delta", 6), ("e", "x", 1)]
+    spec = ReconSpec(keys=SPEC.keys, hot_rows=hot_rows)
+    for x, y in ((s, t), (t, s), (s, []), ([], t), (s, s)):
+        found = reconcile(frame(spark, x), frame(spark, y), spec).records
+        got = records.duplicate_keys(found)
+        assert Counter(map(str, got.toDF("k0", "s", "t", "n").collect())) == grouped_by_key(found)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert hot_rows or plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan
+    numbers = [(-0.0, "x", 1), (0.0, "x", 2), (float("nan"), "x", 1), (float("nan"), "y", 1), (1.5, "x", 1), (None, "x", 1), (None, "x", 1)]
+    found = reconcile(*(frame(spark, x, "k double, name string, n int") for x in (numbers, numbers[:1])), spec).records
+    assert Counter(map(str, records.duplicate_keys(found).toDF("k0", "s", "t", "n").collect())) == grouped_by_key(found) == {"Row(k0=0.0, s=2, t=1, n=2)": 1, "Row(k0=nan, s=2, t=0, n=0)": 1}
+
+
 def test_a_dataset_agrees_with_itself_and_sides_swap(spark):
     good = frame(spark, [x for x in SOURCE if x[0] and x[0].strip()])
     r = reconcile(good, good, SPEC)
