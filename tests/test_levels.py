@@ -342,6 +342,15 @@ def test_a_frequent_key_in_a_tiny_file_is_found(spark, tmp_path):
     assert {r.status: r["count"] for r in got} == {"MATCHED": 180_000 + 16_000, "MISSING_IN_TARGET": 4000}
 
 
+def test_a_sample_without_a_usable_key_still_counts_its_rows(spark):
+    keyless, empty = frame(spark, [(None, "x", 1)] * 20 + [(" ", "y", 2)] * 5), frame(spark, [])
+    for s, t, n in ((keyless, keyless, 50), (keyless, empty, 25), (empty, empty, 0)):
+        seen = {}
+        assert records.frequent_keys([(s, [F.col("k")], ["k"]), (t, [F.col("k")], ["k"])], 10, 1.0, seen) is None and seen == {"n": n}
+        for hot_rows in (10, 1_000_000):
+            assert reconcile(s, t, ReconSpec(keys=SPEC.keys, hot_rows=hot_rows)).records.count() == n
+
+
 def test_rows_of_a_task_do_not_grow_with_the_tables(spark, monkeypatch):
     monkeypatch.setattr(records, "TASK_ROWS", 100, raising=False)
     s = spark.range(3000).select(F.col("id").alias("k"))
