@@ -105,6 +105,41 @@ def test_duplicate_keys_are_found_without_grouping(spark, hot_rows):
     assert Counter(map(str, records.duplicate_keys(found).toDF("k0", "s", "t", "n").collect())) == grouped_by_key(found) == {"Row(k0=0.0, s=2, t=1, n=2)": 1, "Row(k0=nan, s=2, t=0, n=0)": 1}
 
 
+def test_numbers_take_one_window_and_values_a_second(spark):
+    r = reconcile(frame(spark, SOURCE), frame(spark, TARGET), ReconSpec(keys=SPEC.keys, hot_rows=0)).records
+    for rows, n in ((records.status_counts(r), 1), (records.record_metrics(r), 1), (records.duplicate_keys(r), 1), (r, 2)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Window [") == n and plan.count("- Sort [") == n
+
+
+@pytest.mark.parametrize("hot_rows", [0, 25])
+def test_pairs_equal_those_made_by_hand(spark, hot_rows):
+    """Columns of one type and of two, null values and keys, repeated rows, surplus on either side."""
+    rng = random.Random(3)
+    some = lambda n: [(rng.choice(["a", "b", "c", "d", "", None, "hot", "hot"]), rng.choice(["x", None, "y"]), rng.choice([None, 1, 2, 3])) for _ in range(n)]
+    s, t = [("s", "only", 1)] * 3 + some(60), [("t", "only", 2)] * 2 + some(45)
+
+    def numbered(rows):
+        by_key = {}
+        for k, *row in sorted(rows, key=lambda r: [(v is not None, v) for v in r]):
+            if k:
+                by_key.setdefault(k, []).append(tuple(row))
+        return by_key
+
+    a, b = numbered(s), numbered(t)
+    want = Counter((None, f"UNMATCHABLE_{own}", None, None, None, None) for own, rows in (("SOURCE", s), ("TARGET", t)) for k, *_ in rows if not k)
+    for k in {*a, *b}:
+        x, y = a.get(k, []), b.get(k, [])
+        for i in range(max(len(x), len(y))):
+            m, n = i if i < len(x) else 0, i if i < len(y) else 0
+            status = "MATCHED" if x and y else "MISSING_IN_TARGET" if x else "EXTRA_IN_TARGET"
+            want[k, status, *((m + 1, x[m]) if x else (None, None)), *((n + 1, y[n]) if y else (None, None))] += 1
+    for schema in (SCHEMA, "k string, name string, n double"):
+        found = reconcile(frame(spark, s), frame(spark, [(k, v, n and (float(n) if "double" in schema else n)) for k, v, n in t], schema), ReconSpec(keys=SPEC.keys, hot_rows=hot_rows)).records
+        got = Counter((r.k0, r.status, r.source_ordinal, r.s and (r.s.name, r.s.n), r.target_ordinal, r.t and (r.t.name, r.t.n)) if r.source_key_count is not None else (None, r.status, None, None, None, None) for r in found.collect())
+        assert got == want
+
+
 def test_a_dataset_agrees_with_itself_and_sides_swap(spark):
     good = frame(spark, [x for x in SOURCE if x[0] and x[0].strip()])
     r = reconcile(good, good, SPEC)
