@@ -24,8 +24,10 @@ from pyspark.sql import types as T
 from ..functions.columns import col, comparable, every, exact_type, is_numeric, kind, normalize, normalized_type, some
 from ..spec import Mapping, require
 
-#: Leaves are 2 ** BITS, children of a bucket 2 ** FANOUT; predicates of a scan at most.
+#: Leaves are 2 ** BITS, children of a bucket 2 ** FANOUT; predicates of a scan at most; levels
+#: above the leaves.
 BITS, FANOUT, RANGES = 16, 4, 32
+LEVELS = BITS // FANOUT
 SUMS = ("low", "high", "low2", "high2")
 DIGESTS = "level int, bucket long, n long, " + ", ".join(f"{s} decimal(38,0)" for s in SUMS)
 
@@ -76,26 +78,29 @@ def digest_leaves(rows: DataFrame) -> DataFrame:
 
 def tree(leaves: DataFrame) -> DataFrame:
     """level, bucket, n and sums: level 0 is the root, the last one the leaves. At most
-    (16 / 15) * 2 ** BITS rows, whatever the table."""
-    out = []
-    for level, bits in enumerate(range(0, BITS + 1, FANOUT)):
-        rows = leaves.withColumn("bucket", F.shiftright("bucket", BITS - bits)).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("n", *SUMS)))
-        out.append(rows.select(F.lit(level).alias("level"), F.col("bucket").cast("long").alias("bucket"), "n", *(F.col(s).cast("decimal(38,0)").alias(s) for s in SUMS)))
-    return reduce(DataFrame.unionByName, out)
+    (16 / 15) * 2 ** BITS rows, whatever the table. One aggregate adds the leaves to all
+    buckets above them."""
+    path = F.array(*(F.struct(F.lit(level).alias("level"), F.shiftright("bucket", BITS - FANOUT * level).alias("bucket")) for level in range(LEVELS)))
+    above = leaves.select(F.inline(path), "n", *SUMS).groupBy("level", "bucket").agg(F.sum("n").alias("n"), *(F.sum(s).cast("decimal(38,0)").alias(s) for s in SUMS))
+    # Said again, so that a plan that asks for the leaves alone is without the levels above.
+    return above.filter(F.col("level") < LEVELS).unionByName(leaves.withColumn("level", F.lit(LEVELS)))
+
+
+def unequal(source: DataFrame, target: DataFrame, by: list[str]) -> DataFrame:
+    s, t = (x.select(*by, F.struct("n", *SUMS).alias(own)) for x, own in ((source, "s"), (target, "t")))
+    return s.join(t, by, "full").filter(~F.col("s").eqNullSafe(F.col("t"))).select(*by)
 
 
 def descend(source: DataFrame, target: DataFrame) -> DataFrame:
-    """bucket: the leaves of two trees that differ. Each step looks at the children of
-    what differed above it."""
-    found = None
-    for level in range(BITS // FANOUT + 1):
-        s, t = (x.filter(F.col("level") == level).select("bucket", F.struct("n", *SUMS).alias(own)) for x, own in ((source, "s"), (target, "t")))
-        both = s.join(t, "bucket", "full")
-        if found is not None:
-            both = both.join(found, F.shiftright("bucket", FANOUT) == F.col("parent"), "left_semi")
-        leaves = both.filter(~F.col("s").eqNullSafe(F.col("t"))).select("bucket")
-        found = leaves.withColumnRenamed("bucket", "parent")
-    return leaves
+    """bucket: the leaves of two trees that differ, as all buckets above them do. The levels
+    above are compared at once: a bucket that differs stands for all parents of leaves below
+    it, and a parent that every level has is descended."""
+    last = F.col("level") == LEVELS
+    above = unequal(source.filter(~last), target.filter(~last), ["level", "bucket"])
+    width = f"{BITS - FANOUT} - {FANOUT} * CAST(level AS int)"
+    below = above.selectExpr(f"explode(sequence(shiftleft(bucket, {width}), shiftleft(bucket + 1, {width}) - 1)) AS parent")
+    parents = below.groupBy("parent").agg(F.count(F.lit(1)).alias("levels")).filter(F.col("levels") == LEVELS).select("parent")
+    return unequal(source.filter(last), target.filter(last), ["bucket"]).join(F.broadcast(parents), F.shiftright("bucket", FANOUT) == F.col("parent"), "left_semi")
 
 
 class Checksums:

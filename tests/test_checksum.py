@@ -70,6 +70,28 @@ def test_only_what_differs_is_descended(spark):
         x.unpersist()
 
 
+def test_leaves_are_made_twice_a_side_for_all_levels(spark):
+    """Once to be added to the buckets above them, once to be compared."""
+    own = Checksums(*sides(spark), [Mapping(c, c) for c in COLUMNS])
+    plan = own.differing()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(leaf") == 4
+    assert own.digests(0).dtypes == spark.createDataFrame([], checksum.DIGESTS).dtypes
+
+
+def test_a_leaf_is_found_below_buckets_that_differ(spark):
+    """Trees made by hand, with buckets that differ below equal ones and buckets of one side alone."""
+    rng = random.Random(2)
+    leaves = sorted({rng.choice([rng.randrange(1 << BITS), rng.randrange(600)]) for _ in range(400)} | {0, (1 << BITS) - 1})
+    buckets = sorted({(level, leaf >> (BITS - 4 * level)) for leaf in leaves for level in range(5)})
+    trees = [{b: rng.choice([1, 1, 1, 2]) for b in buckets if b[0] == 0 or rng.random() < 0.95} for _ in range(2)]
+    for root in ((1, 2), (1, 1)):
+        for tree, n in zip(trees, root, strict=True):
+            tree[0, 0] = n
+        want = {leaf for leaf in leaves if all(trees[0].get(b) != trees[1].get(b) for b in ((level, leaf >> (BITS - 4 * level)) for level in range(5)))}
+        s, t = (spark.createDataFrame([(level, b, n, *[0] * 4) for (level, b), n in tree.items()], "level int, bucket long, n long, low long, high long, low2 long, high2 long") for tree in trees)
+        assert {r.bucket for r in descend(s, t).collect()} == want and bool(want) == (root[0] != root[1])
+
+
 def test_ranges_reach_the_scan(spark, tmp_path):
     rows = spark.range(0, 200_000, 1, 4).select("id", (F.col("id") % 7).alias("v"))
     rows.repartitionByRange(8, "id").write.parquet(str(tmp_path / "s"))
